@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches
 
-#: Distinct pre-tokens that a worker remembers; the table starts afresh beyond it.
-REMEMBERED = 400_000
+#: Distinct pre-tokens in each of the two generations that a worker remembers (about 0.2 KB each).
+REMEMBERED = 350_000
 
 
 class PerfectHash:
@@ -88,17 +88,23 @@ class PerfectHash:
 
 
 class Remembered(dict):
-    """pre-token -> its decimal ids, comma-joined; resolved on first sight."""
+    """pre-token -> its decimal ids, comma-joined; resolved on first sight.
+
+    When it is full it becomes the older generation; words met again move back, the others go with the next turn.
+    """
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, token: str) -> str:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = ",".join(map(str, self.codec.encode_word(token.encode())))
+        ids = self.older.get(token)
+        if ids is None:
+            ids = ",".join(map(str, self.codec.encode_word(token.encode())))
         if len(token) <= 64:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
             self[token] = ids
         return ids
 
