@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, rules_iforest, secret_scan, sharding, simhash
+from . import bpe, decontam, pii, rules_iforest, secret_scan, sharding, simhash
 from .common import table
 
 
@@ -56,6 +56,17 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"))
+
+    def joined(*kinds: str) -> F.Column:
+        each = F.transform(F.concat(*kinds), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(each, ",")
+
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(*pii.KINDS).cast("binary"), 256).alias("base_sha256"), joined(*pii.KINDS, "term").alias("spans"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), *public_vocabulary())
 
@@ -70,7 +81,7 @@ def op9_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    op1_hilbert_shards, op2_simhash_near_dedup, op4_isolation_rules, op5_winnowing, op8_byte_bpe, op9_secret_entropy,
+    op1_hilbert_shards, op2_simhash_near_dedup, op4_isolation_rules, op5_winnowing, op6_pii_disclosure, op8_byte_bpe, op9_secret_entropy,
 )
 
 
