@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, pii, rules_iforest, secret_scan, sharding, simhash
-from .common import table
+from . import bpe, decontam, html_main, langid, pii, quality_mil, rules_iforest, secret_scan, sharding, simhash
+from .common import id_crc32, table
 
 
 def public_vocabulary() -> tuple[str, str]:
@@ -41,6 +41,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_mil.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", (id_crc32("doc_id") % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules_iforest.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -80,8 +85,19 @@ def op9_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_dom_belief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_main.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", (id_crc32("doc_id") % 5 == 0).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = (
-    op1_hilbert_shards, op2_simhash_near_dedup, op4_isolation_rules, op5_winnowing, op6_pii_disclosure, op8_byte_bpe, op9_secret_entropy,
+    op1_hilbert_shards, op2_simhash_near_dedup, op3_attention_quality, op4_isolation_rules, op5_winnowing,
+    op6_pii_disclosure, op7_dom_belief, op8_byte_bpe, op9_secret_entropy, op10_byte_cnn_language,
 )
 
 
