@@ -6,39 +6,28 @@
 4 PII: personal data and disclosive terms are replaced in the text; all documents stay.
 5 byte-level BPE: every text is encoded and decoded; returns the digests of both.
 
-Rows are carried whole: a repeated row is judged like its twin, and near-dedup keeps one of both. Null texts fail the
+Rows are carried whole: a repeated row is judged like its twin, and near-dedup keeps one of all. Null texts fail the
 quality rules. Columns beyond those of documents pass through the first four stages.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docintake.llm import bpe, decontam, pii, rules_iforest, simhash
 from docintake.llm.queries import public_vocabulary
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in kept(doc_id); a null id is an id like any other."""
-    ids = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _only(docs, rules_iforest.quality_rules(docs, labels).where("kept"))
+    return rules_iforest.passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    one = _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    return one.dropDuplicates(["doc_id"])
+    return simhash.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _only(docs, decontam.contamination(docs, benchmark).where(F.size("items") == 0))
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

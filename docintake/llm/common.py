@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of one Arrow batch between the JVM and a Python worker, so that long texts do not pile up.
 BATCH_BYTES = 32 << 20
@@ -53,6 +54,28 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def add_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Sequence]], reads: list[str], schema: str) -> DataFrame:
+    """df with the columns of schema, which fn makes from the columns `reads`; all other columns pass through untouched."""
+    bound_batches(df.sparkSession)
+    target = to_arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_PER_CALL):
+                part = batch.slice(at, ROWS_PER_CALL)
+                out = fn({n: part.column(n).to_pylist() for n in reads})
+                new = [pa.array(out[f.name], type=f.type) for f in target]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *target.names])
+
+    full = StructType([*df.schema.fields, *StructType.fromDDL(schema).fields])
+    return df.mapInArrow(run, full)
+
+
+def text_key() -> F.Column:
+    """Hash of the text, null as empty; with doc_id it names a row among rows of one id."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def to_arrow(schema: str) -> pa.Schema:
     kinds = {
         "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(),

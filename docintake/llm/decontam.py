@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_batches
+from .common import LOWER, add_columns, map_batches
 
 WINDOW = 10
 GRAM = 5
@@ -195,18 +195,37 @@ HITS = "n_words long, starts array<long>, ends array<long>, items array<string>"
 
 def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, starts, ends (merged hit spans in words), items (ids as text, sorted)."""
-    spark = docs.sparkSession
+    out = docs.select("doc_id", "text")
+    indexes = _indexes(benchmark, gram, window, block_bytes)
+    for k, index in enumerate(indexes):
+        out = _pass(out, index, first=k == 0, last=k == len(indexes) - 1)
+    return out
+
+
+def _indexes(benchmark: DataFrame, gram: int, window: int, block_bytes: int) -> list:
+    """A broadcast index for each block of the benchmark, one at least."""
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     size = named.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = docs.select("doc_id", "text")
+    out = []
     for k in range(blocks):
         rows = named.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else named
-        index = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in rows.orderBy("item_id").collect()], gram, window))
-        out = _pass(out, index, first=k == 0, last=k == blocks - 1)
+        index = build_index([(r[0], r[1]) for r in rows.orderBy("item_id").collect()], gram, window)
+        out.append(benchmark.sparkSession.sparkContext.broadcast(index))
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that share no window with any item, with their columns."""
+    for index in _indexes(benchmark, gram, window, block_bytes):
+
+        def run(rows: dict[str, list], index=index) -> dict[str, list]:
+            return {"__clean": [not index.value.hits(words_of(t))[0] for t in rows["text"]]}
+
+        docs = add_columns(docs, run, ["text"], "__clean boolean").where("__clean").drop("__clean")
+    return docs
+
+
 def _pass(docs: DataFrame, index, first: bool, last: bool) -> DataFrame:
     def run(rows: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"doc_id": rows["doc_id"], "text": rows["text"], "n_words": [], "starts": [], "ends": [], "items": []}

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -133,7 +133,7 @@ def base_spans(text: Column, kind: str) -> Column:
 def with_base(docs: DataFrame) -> DataFrame:
     """docs plus text_key and the arrays of base spans `email`, `ip`, `card`, `phone`."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("text_key", F.xxhash64(text)).withColumns({k: base_spans(text, k) for k in KINDS})
+    return docs.withColumn("text_key", text_key()).withColumns({k: base_spans(text, k) for k in KINDS})
 
 
 def disclosive(base: DataFrame, docs: DataFrame, total: int, support: int = SUPPORT, disclosed: float = DISCLOSED, always: float = ALWAYS) -> DataFrame | None:
@@ -173,7 +173,7 @@ def term_spans(docs: DataFrame, base: DataFrame, terms: DataFrame) -> DataFrame:
         "doc_id", "text_key", F.xxhash64("s.kind", "s.value").alias("entity")
     )
     hits = seen.distinct().join(terms.select("entity", "term"), "entity").groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("terms"))
-    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).dropDuplicates(["doc_id", "text_key"])
+    texts = docs.select("doc_id", "text", text_key().alias("text_key")).dropDuplicates(["doc_id", "text_key"])
     joined = texts.join(hits.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_key", "__key"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")))
     marked = F.filter(located(F.col("text"), WORD), lambda r: F.array_contains(F.col("terms"), F.lower(r["found"])))
     spans = F.transform(marked, lambda r: F.struct(F.lit("term").alias("kind"), r["start"].alias("start"), r["end"].alias("end")))
@@ -228,7 +228,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """docs with the spans of text generalised or removed and n_chars (if there is one) counted anew; null texts stay null."""
     found = spans(docs).dropDuplicates(["doc_id", "text_key"])
     marks = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.concat(*KINDS, "term").alias("__marks")).where(F.size("__marks") > 0)
-    keyed = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("__own", text_key())
     joined = keyed.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
     joined = joined.withColumn("text", F.when(F.col("__marks").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("__marks"))))
     if "n_chars" in docs.columns:

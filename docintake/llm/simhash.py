@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, checkpointed, map_batches
+from .common import LOWER, checkpointed, map_batches, text_key
 from .components import connected
 
 BITS = 64
@@ -57,13 +57,12 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+    """doc_id, text_key, fp: the fingerprint as a signed long."""
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        found = [fingerprint(t, shingle) for t in rows["text"]]
-        return {"doc_id": rows["doc_id"], "fp": [x - (1 << 64) if x >> 63 else x for x in found]}
+        return {"doc_id": rows["doc_id"], "text_key": rows["text_key"], "fp": [signed(fingerprint(t, shingle)) for t in rows["text"]]}
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return map_batches(docs.select("doc_id", "text", text_key().alias("text_key")), run, "doc_id long, text_key long, fp long")
 
 
 def signed(x: int) -> int:
@@ -183,11 +182,32 @@ def links(nodes: DataFrame, radius: int = 4, hot: int = HOT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, hot: int = HOT) -> DataFrame:
-    """doc_id, fp (signed long), component_id: the smallest doc_id reachable over links of at most `radius` bits."""
+    """doc_id, text_key, fp (signed long), group, component_id.
+
+    component_id is the smallest doc_id reachable over links of at most `radius` bits, group the least fingerprint.
+    """
     marked = checkpointed(fingerprints(docs, shingle))
     nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     labels = connected(links(nodes, radius, hot))
-    named = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
-    ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    resolved = named.join(ids, "label").select("fp", "component_id")
-    return marked.join(resolved, "fp").select("doc_id", "fp", "component_id")
+    named = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "rep", F.coalesce("label", "fp").alias("group"))
+    ids = named.groupBy("group").agg(F.min("rep").alias("component_id"))
+    resolved = named.join(ids, "group").select("fp", "group", "component_id")
+    return marked.join(resolved, "fp").select("doc_id", "text_key", "fp", "group", "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = 4, shingle: int = 4, hot: int = HOT) -> DataFrame:
+    """One row of docs for each group of near-duplicates, with its columns: the smallest id, then the smallest text_key.
+
+    Texts are not shuffled: the rows to leave out, fewer than those that stay, are anti-joined by their keys, and only
+    rows that repeat an id and text are brought together.
+    """
+    found = near_duplicates(docs, radius, shingle, hot)
+    rows = checkpointed(found.groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("copies")))
+    best = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
+    marked = rows.join(best, "group").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))
+    keys = marked.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "stays", "copies")
+    keyed = docs.withColumn("__own", text_key())
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
+    kept = keyed.join(keys.where(~F.col("stays") | (F.col("copies") > 1)), same, "left_anti")
+    repeated = keyed.join(keys.where(F.col("stays") & (F.col("copies") > 1)), same, "left_semi").dropDuplicates(["doc_id", "__own"])
+    return kept.union(repeated).drop("__own")
