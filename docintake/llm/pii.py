@@ -130,6 +130,14 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(likely & text.rlike(PATTERNS[kind]), found).otherwise(empty)
 
 
+def mentions(text: Column) -> Column:
+    """Whether a text has a match of any base pattern, valid or not; others have no spans of any kind."""
+    out = F.lit(False)
+    for kind, sign in SIGNS.items():
+        out = out | ((text.contains(sign) if sign else F.lit(True)) & text.rlike(PATTERNS[kind]))
+    return F.coalesce(out, F.lit(False))
+
+
 def with_base(docs: DataFrame) -> DataFrame:
     """docs plus text_key and the arrays of base spans `email`, `ip`, `card`, `phone`."""
     text = F.coalesce("text", F.lit(""))
@@ -157,11 +165,11 @@ def disclosive(base: DataFrame, docs: DataFrame, total: int, support: int = SUPP
     terms = checkpointed(terms)
     if not terms.take(1):
         return None
-    wanted = terms.select("term").distinct()
+    # counted before the join: what is shuffled is one number per word and partition, not every word of every document
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    n_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = words.groupBy(F.xxhash64("term").alias("term_key")).agg(F.count("*").alias("n_t"))
     n_docs = seen.join(terms.select("entity").distinct(), "entity", "left_semi").select("entity", "doc_id", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_d"))
-    scored = terms.join(n_t, "term").join(n_docs, "entity")
+    scored = terms.withColumn("term_key", F.xxhash64("term")).join(n_t, "term_key").join(n_docs, "entity")
     bits = F.log2((F.col("n_te") / F.col("n_e")) / (F.col("n_t") / F.lit(total)))
     carried = F.greatest(-F.log2(F.col("n_d") / F.lit(total)), F.lit(1.0))
     return checkpointed(scored.select("entity", "term", bits.alias("bits"), (bits / carried).alias("share")).where(F.col("share") >= disclosed))
@@ -173,11 +181,11 @@ def term_spans(docs: DataFrame, base: DataFrame, terms: DataFrame) -> DataFrame:
         "doc_id", "text_key", F.xxhash64("s.kind", "s.value").alias("entity")
     )
     hits = seen.distinct().join(terms.select("entity", "term"), "entity").groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("terms"))
-    texts = docs.select("doc_id", "text", text_key().alias("text_key")).dropDuplicates(["doc_id", "text_key"])
+    texts = docs.where(mentions(F.col("text"))).select("doc_id", "text", text_key().alias("text_key"))
     joined = texts.join(hits.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_key", "__key"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")))
     marked = F.filter(located(F.col("text"), WORD), lambda r: F.array_contains(F.col("terms"), F.lower(r["found"])))
     spans = F.transform(marked, lambda r: F.struct(F.lit("term").alias("kind"), r["start"].alias("start"), r["end"].alias("end")))
-    return joined.select("doc_id", "text_key", spans.alias("term"))
+    return joined.select("doc_id", "text_key", spans.alias("term")).dropDuplicates(["doc_id", "text_key"])
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -228,9 +236,14 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """docs with the spans of text generalised or removed and n_chars (if there is one) counted anew; null texts stay null."""
     found = spans(docs).dropDuplicates(["doc_id", "text_key"])
     marks = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.concat(*KINDS, "term").alias("__marks")).where(F.size("__marks") > 0)
-    keyed = docs.withColumn("__own", text_key())
+    # texts without any match are neither shuffled nor joined
+    likely = mentions(F.col("text"))
+    keyed = docs.where(likely).withColumn("__own", text_key())
     joined = keyed.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
     joined = joined.withColumn("text", F.when(F.col("__marks").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("__marks"))))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"]))
-    return joined.select(*docs.columns)
+    rest = docs.where(~likely)
+    if "n_chars" in docs.columns:
+        rest = rest.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"]))
+    return joined.select(*docs.columns).union(rest.select(*docs.columns))
