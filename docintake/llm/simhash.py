@@ -204,10 +204,14 @@ def representatives(docs: DataFrame, radius: int = 4, shingle: int = 4, hot: int
     found = near_duplicates(docs, radius, shingle, hot)
     rows = checkpointed(found.groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("copies")))
     best = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
-    marked = rows.join(best, "group").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))
-    keys = marked.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "stays", "copies")
+    best = best.select(F.col("best.doc_id").alias("b_id"), F.col("best.text_key").alias("b_key"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_key") == F.col("b_key"))
+    # by id and text, not by group: a group may hold a third of all rows
+    left_out = rows.join(best, chosen, "left_anti")
+    twins = rows.where("copies > 1").join(best, chosen, "left_semi")
+    leaves, again = (k.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")) for k in (left_out.unionByName(twins), twins))
     keyed = docs.withColumn("__own", text_key())
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
-    kept = keyed.join(keys.where(~F.col("stays") | (F.col("copies") > 1)), same, "left_anti")
-    repeated = keyed.join(keys.where(F.col("stays") & (F.col("copies") > 1)), same, "left_semi").dropDuplicates(["doc_id", "__own"])
+    kept = keyed.join(leaves, same, "left_anti")
+    repeated = keyed.join(again, same, "left_semi").dropDuplicates(["doc_id", "__own"])
     return kept.union(repeated).drop("__own")
