@@ -12,7 +12,7 @@ from pathlib import PurePosixPath, PureWindowsPath
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank, strip, strip_accents
+from .text import blank, let, strip, strip_accents
 
 TOKEN = re.compile(r"\{([^{}:]+)(?::([^{}]+))?\}")
 FORBIDDEN = r'[<>:"/\\|?*]'
@@ -36,18 +36,20 @@ def _ends(c: Column) -> Column:
 
 def sanitize_component(c: Column, max_len: int = 200) -> Column:
     """One safe path component; null stays null."""
-    clean = F.regexp_replace(c, FORBIDDEN, "_")
-    clean = F.when(clean.rlike(r"^[. ]*\z"), F.lit("_")).otherwise(_ends(clean))
-    base = F.when(clean.contains("."), F.regexp_extract(clean, r"(?s)^(.*)\.[^.]*$", 1)).otherwise(clean)
-    clean = F.when(F.upper(base).isin(*RESERVED), F.concat(F.lit("_"), clean)).otherwise(clean)
-    ext = F.regexp_extract(clean, r"(?s)(\.[^.]*)$", 1)
-    kept = F.when(
-        (F.length(ext) > 0) & (F.length(ext) < max_len),
-        F.concat(F.substr(clean, F.lit(1), F.least(F.lit(max_len), F.length(clean)) - F.length(ext)), ext),
-    ).otherwise(F.substr(clean, F.lit(1), F.lit(max_len)))
-    kept = _ends(kept)
-    short = F.when(kept == "", F.lit("_")).otherwise(kept)
-    return F.when(F.length(clean) > max_len, short).otherwise(clean)
+    def trimmed(x: Column) -> Column:
+        return F.when(x.rlike(r"^[. ]*\z"), F.lit("_")).otherwise(_ends(x))
+
+    def unreserved(x: Column) -> Column:
+        base = F.when(x.contains("."), F.regexp_extract(x, r"(?s)^(.*)\.[^.]*$", 1)).otherwise(x)
+        return F.when(F.upper(base).isin(*RESERVED), F.concat(F.lit("_"), x)).otherwise(x)
+
+    def shortened(x: Column) -> Column:
+        ext = F.regexp_extract(x, r"(?s)(\.[^.]*)$", 1)
+        room = F.lit(max_len) - F.length(ext)
+        kept = _ends(F.when((F.length(ext) > 0) & (room > 0), F.concat(F.substr(x, F.lit(1), F.least(room, F.length(x) - F.length(ext))), ext)).otherwise(F.substr(x, F.lit(1), F.lit(max_len))))
+        return F.when(F.length(x) > max_len, F.coalesce(F.nullif(kept, F.lit("")), F.lit("_"))).otherwise(x)
+
+    return let(let(let(F.regexp_replace(c, FORBIDDEN, "_"), trimmed), unreserved), shortened)
 
 
 def head(c: Column, n: int) -> Column:

@@ -13,6 +13,11 @@ _SPACE = r"[\s\x1c-\x1f]"
 EXTENSIONS = (".pdf", ".jpg", ".jpeg", ".png")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value evaluated once, so that chains of steps do not multiply in the plan."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")

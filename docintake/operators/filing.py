@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Automation
 from ..functions.naming import Lookup, from_map, resolve_dest_folder, resolve_pattern
-from ..functions.text import file_name, stem, suffix
+from ..functions.text import file_name, let, stem, suffix
 
 OUTPUT = "array<struct<kind:string,folder:string,name:string>>"
 #: Fixed limit of numbered siblings.
@@ -57,12 +57,9 @@ def _output(kind: str, folder: Column, name: Column) -> Column:
 def plan_dest(source: Column, folder: Column, name: Column) -> Column:
     """folder/name; a name without a real extension (one that starts with a letter) gets that of the source."""
     own = file_name(source)
-    where = F.coalesce(folder, F.regexp_replace(source, "/[^/]*$", ""))
-    name = F.coalesce(name, own)
-    real = suffix(name).rlike(r"^\.\p{L}")
-    full = F.when(real, name).otherwise(F.concat(name, suffix(own)))
-    separator = F.when(where.rlike(r"^[A-Za-z]:|^\\\\"), F.lit("\\")).otherwise(F.lit("/"))
-    return F.concat(F.regexp_replace(where, r"[/\\]+$", ""), separator, full)
+    where = let(F.coalesce(folder, F.regexp_replace(source, "/[^/]*$", "")), lambda w: F.concat(F.regexp_replace(w, r"[/\\]+$", ""), F.when(w.rlike(r"^[A-Za-z]:|^\\\\"), F.lit("\\")).otherwise(F.lit("/"))))
+    full = let(F.coalesce(name, own), lambda n: F.when(suffix(n).rlike(r"^\.\p{L}"), n).otherwise(F.concat(n, suffix(own))))
+    return F.concat(where, full)
 
 
 def source_path(docs: DataFrame, originals: DataFrame, folders: DataFrame) -> DataFrame:

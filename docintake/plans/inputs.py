@@ -103,8 +103,10 @@ def with_inputs(sql: str) -> str:
 
     for name in dict.fromkeys(_NAME.findall(sql)):
         add(name)
-    body = _NAME.sub(r"\1", sql).strip()
+    body = _NAME.sub(r"\1", sql).strip().replace("{{", "{").replace("}}", "}")
     ctes = [f"{n} AS ({text})" for n, text in done.items()]
-    if body.upper().startswith("WITH "):
+    if body.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join([*ctes, body[15:]])
+    if body.startswith("WITH "):
         return "WITH " + ", ".join([*ctes, body[5:]]) if ctes else body
     return (f"WITH {', '.join(ctes)} " if ctes else "") + body
