@@ -11,6 +11,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Seconds that one search may take before it counts as no match.
 DEADLINE = 0.25
@@ -35,13 +36,13 @@ def search_with_deadline(c: Column, pattern: str, deadline: float = DEADLINE) ->
     return found(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents(texts: pd.Series) -> pd.Series:
     """The full compatibility decomposition without combining marks."""
     return texts.map(lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def exotic_number(texts: pd.Series) -> pd.Series:
     """The canonical form of exponents, digits of other scripts and grouped digits; null for what is no number."""
 
@@ -57,7 +58,7 @@ def exotic_number(texts: pd.Series) -> pd.Series:
 _MONTHS = {m: i % 12 + 1 for i, m in enumerate("jan fev mar abr mai jun jul ago set out nov dez jan feb mar apr may jun jul aug sep oct nov dec".split())}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def lenient_date(texts: pd.Series) -> pd.Series:
     """Day, month (number or name) and year in this order with any separators; parts may not be missing."""
 
