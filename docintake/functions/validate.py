@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank, strip
+from .text import blank, let, strip
 
 #: Spellings of booleans.
 TRUE = ("sim", "true", "1", "verdadeiro", "s", "v")
@@ -20,11 +20,14 @@ RESULT = "struct<valid:boolean,raw:string,normalized:string,reason:string>"
 
 def normalize_date(raw: Column) -> Column:
     """ISO date text. ISO and compact ISO first, then day-first formats; null for anything else."""
-    text = strip(raw)
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
-    compact = F.when(text.rlike(r"^\d{8}\z"), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
-    shapes = [F.when(text.rlike(r"^\d{1,2}[/. -]\d{1,2}[/. -]\d{4}\z"), F.try_to_timestamp(text, F.lit(f))) for f in DATE_FORMATS]
-    return F.date_format(F.coalesce(iso, compact, *shapes), "yyyy-MM-dd")
+
+    def parsed(text: Column) -> Column:
+        iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
+        compact = F.when(text.rlike(r"^\d{8}\z"), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+        shapes = [F.when(text.rlike(r"^\d{1,2}[/. -]\d{1,2}[/. -]\d{4}\z"), F.try_to_timestamp(text, F.lit(f))) for f in DATE_FORMATS]
+        return F.date_format(F.coalesce(iso, compact, *shapes), "yyyy-MM-dd")
+
+    return let(strip(raw), parsed)
 
 
 def canonical(number: Column) -> Column:
@@ -40,13 +43,12 @@ def normalize_money_brl(raw: Column) -> Column:
     """1.234,56 and R$ 2.000,00 to 1234.56 and 2000.00; null for what is no amount."""
     kept = F.regexp_replace(F.regexp_replace(raw, r"[^0-9,.\-]", ""), r"\.", "")
     plain = F.regexp_replace(kept, ",", ".")
-    return F.when(plain.rlike(r"^-?(\d+(\.\d*)?|\.\d+)\z"), canonical(plain))
+    return let(plain, lambda x: F.when(x.rlike(r"^-?(\d+(\.\d*)?|\.\d+)\z"), canonical(x)))
 
 
 def normalize_number(raw: Column) -> Column:
     """plain decimal text; exponents, NaN and digits of other scripts are for slow.exotic_number()."""
-    text = strip(raw)
-    return F.when(text.rlike(r"^[-+]?(\d+(\.\d*)?|\.\d+)\z"), canonical(text))
+    return let(strip(raw), lambda x: F.when(x.rlike(r"^[-+]?(\d+(\.\d*)?|\.\d+)\z"), canonical(x)))
 
 
 def normalize_doc_id(raw: Column) -> Column:
@@ -61,10 +63,12 @@ def _check_digit(digits: Column, weights: list[int]) -> Column:
 
 
 def _checked(raw: Column, length: int, first: list[int], second: list[int]) -> Column:
-    digits = normalize_doc_id(raw)
-    right = (_check_digit(digits, first) == F.substr(digits, F.lit(length - 1), F.lit(1))) & (_check_digit(digits, second) == F.substr(digits, F.lit(length), F.lit(1)))
-    shaped = (F.length(digits) == length) & ~digits.rlike(r"^(\d)\1*$")
-    return F.coalesce(F.when(shaped, right), F.lit(False))
+    def right(digits: Column) -> Column:
+        sums = (_check_digit(digits, first) == F.substr(digits, F.lit(length - 1), F.lit(1))) & (_check_digit(digits, second) == F.substr(digits, F.lit(length), F.lit(1)))
+        shaped = (F.length(digits) == length) & ~digits.rlike(r"^(\d)\1*$")
+        return F.coalesce(F.when(shaped, sums), F.lit(False))
+
+    return let(normalize_doc_id(raw), right)
 
 
 def is_valid_cnpj(raw: Column) -> Column:
@@ -80,8 +84,7 @@ def is_valid_cpf(raw: Column) -> Column:
 
 def normalize_bool(raw: Column) -> Column:
     """'true', 'false' or null."""
-    word = F.lower(strip(raw))
-    return F.when(word.isin(*TRUE), "true").when(word.isin(*FALSE), "false")
+    return let(F.lower(strip(raw)), lambda word: F.when(word.isin(*TRUE), "true").when(word.isin(*FALSE), "false"))
 
 
 def regex_ok(raw: Column, pattern: str) -> Column:
@@ -96,8 +99,7 @@ def validate_field(field_type: Column | str, raw: Column, required: Column | boo
     """
     kind = F.lit(field_type) if isinstance(field_type, str) else field_type
     needed = F.lit(required) if isinstance(required, bool) else required
-    digits = normalize_doc_id(raw)
-    tax_id = F.when(F.when(F.length(digits) == 14, is_valid_cnpj(raw)).otherwise(is_valid_cpf(raw)), digits)
+    tax_id = let(normalize_doc_id(raw), lambda x: F.when(F.when(F.length(x) == 14, is_valid_cnpj(x)).otherwise(is_valid_cpf(x)), x))
     normalized = (
         F.when(kind == "data", normalize_date(raw))
         .when(kind == "moeda", normalize_money_brl(raw))
@@ -109,10 +111,13 @@ def validate_field(field_type: Column | str, raw: Column, required: Column | boo
     pattern_ok = F.lit(True)
     for which, pattern in reversed(list(regexes)):
         pattern_ok = F.when(which, regex_ok(raw, pattern)).otherwise(pattern_ok)
-    empty = blank(raw)
-    valid = F.when(empty, ~needed).otherwise(normalized.isNotNull() & pattern_ok)
-    reason = F.when(empty & needed, "required").when(empty, F.lit(None)).when(normalized.isNull(), F.concat(F.lit("not a "), kind)).when(~pattern_ok, "pattern")
-    return F.struct(valid.alias("valid"), raw.alias("raw"), F.when(~empty, normalized).alias("normalized"), reason.alias("reason"))
+
+    def judged(x: Column) -> Column:
+        valid = F.when(x["empty"], ~needed).otherwise(x["normalized"].isNotNull() & x["pattern_ok"])
+        reason = F.when(x["empty"], F.when(needed, "required")).when(x["normalized"].isNull(), F.concat(F.lit("not a "), kind)).when(~x["pattern_ok"], "pattern")
+        return F.struct(valid.alias("valid"), raw.alias("raw"), F.when(~x["empty"], x["normalized"]).alias("normalized"), reason.alias("reason"))
+
+    return let(F.struct(blank(raw).alias("empty"), normalized.alias("normalized"), pattern_ok.alias("pattern_ok")), judged)
 
 
 def confidence_band(score: Column) -> Column:

@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TemplateField
-from ..functions.text import norm_key
+from ..functions.text import let, norm_key
 from ..functions.validate import validate_field
 
 
 def pairs_map(pairs: Column) -> Column:
     """normalised key -> value; of equal keys the last counts."""
-    keyed = F.transform(pairs, lambda p: F.struct(norm_key(p["key"]).alias("k"), p["value"].alias("v")))
-    indexed = F.transform(keyed, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i")))
-    last = F.filter(indexed, lambda p: ~F.exists(indexed, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"].alias("key"), p["v"].alias("value"))))
+    keyed = F.transform(pairs, lambda p: F.struct(norm_key(p["key"]).alias("key"), p["value"].alias("value")))
+
+    def last_of_each(entries: Column) -> Column:
+        later = lambda i: F.slice(entries["key"], i + 2, F.size(entries))
+        return F.map_from_entries(F.filter(entries, lambda p, i: ~F.array_contains(later(i), p["key"])))
+
+    return let(keyed, last_of_each)
 
 
 def template_fields_table(spark, fields: dict[int, list[TemplateField]]) -> DataFrame:
@@ -62,18 +65,24 @@ def compute_confidence(fields: DataFrame) -> DataFrame:
 def fill_nested(docs: DataFrame, fields: dict[int, list[TemplateField]]) -> DataFrame:
     """F2-F13 without a shuffle: docs(template_id, pairs map) with `filled` (array of structs), `score`, `invalid_required`.
 
-    Templates are compiled into one `case` over template_id, so documents with long texts are never exploded.
+    Templates are compiled into one `case` over template_id that lists the fields and raw values; one validation serves
+    them all, so the plan does not grow with it and documents with long texts are never exploded.
     """
-    shape = "array<struct<name:string,required:boolean,valid:boolean,raw:string,normalized:string,reason:string>>"
-    filled = F.array().cast(shape)
+    asked = F.array().cast("array<struct<name:string,field_type:string,required:boolean,regex:string,raw:string>>")
     for template_id, own in fields.items():
         rows = []
         for f in own:
-            raw = F.try_element_at("pairs", norm_key(F.lit(f.name)))
-            v = validate_field(f.field_type, raw, f.required, [(F.lit(True), f.regex)] if f.regex else [])
-            rows.append(F.struct(F.lit(f.name).alias("name"), F.lit(f.required).alias("required"), v["valid"].alias("valid"), v["raw"].alias("raw"), v["normalized"].alias("normalized"), v["reason"].alias("reason")))
-        present = F.filter(F.array(*rows), lambda r: r["required"] | r["raw"].isNotNull()) if rows else F.array().cast(shape)
-        filled = F.when(F.col("template_id") == template_id, present).otherwise(filled)
+            known = {"name": f.name, "field_type": f.field_type, "required": f.required, "regex": f.regex}
+            rows.append(F.struct(*[F.lit(v).cast("boolean" if k == "required" else "string").alias(k) for k, v in known.items()], F.try_element_at("pairs", norm_key(F.lit(f.name))).alias("raw")))
+        if rows:
+            asked = F.when(F.col("template_id") == template_id, F.array(*rows)).otherwise(asked)
+    patterns = dict.fromkeys(f.regex for own in fields.values() for f in own if f.regex)
+
+    def checked(r: Column) -> Column:
+        v = validate_field(r["field_type"], r["raw"], r["required"], [(r["regex"] == p, p) for p in patterns])
+        return let(v, lambda x: F.struct(r["name"].alias("name"), r["required"].alias("required"), *[x[n].alias(n) for n in ("valid", "raw", "normalized", "reason")]))
+
+    filled = F.transform(F.filter(asked, lambda r: r["required"] | r["raw"].isNotNull()), checked)
     out = docs.withColumn("filled", filled)
     needed, good = F.filter("filled", lambda r: r["required"]), F.filter("filled", lambda r: r["required"] & r["valid"])
     score = F.when(F.size(needed) == 0, F.lit(1.0)).otherwise(F.size(good) / F.greatest(F.size(needed), F.lit(1)))
