@@ -48,7 +48,7 @@ def strip_accents(c: Column) -> Column:
 
 
 def casefold(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "ß", "ss"), "ς", "σ")
+    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def normalize_text(c: Column) -> Column:
@@ -58,7 +58,7 @@ def normalize_text(c: Column) -> Column:
 
 def norm_key(c: Column) -> Column:
     """F1: field names compare without accents, case, underscores and repeated space; punctuation counts."""
-    plain = casefold(F.regexp_replace(strip_accents(c), "_", " "))
+    plain = casefold(F.translate(strip_accents(c), "_", " "))
     return F.trim(F.regexp_replace(plain, rf"(?U){_SPACE}+", " "))
 
 

@@ -21,33 +21,39 @@ def apply_actions(docs: DataFrame, automations: list[Automation], base: str, fie
     unless there are only copies. A name or folder that cannot be resolved blocks the document: no outputs at all.
     """
     look = from_map(F.col(fields))
-    blocked, moves, outputs = F.lit(False), F.lit(False), F.array().cast(OUTPUT)
+    plan = F.lit(None).cast(f"struct<blocked:boolean,has_move:boolean,outputs:{OUTPUT}>")
     for a in automations:
-        own = F.col("automation_id") == a.automation_id
-        b, m, o = _folded(a, look, base)
-        blocked, moves, outputs = F.when(own, b).otherwise(blocked), F.when(own, F.lit(m)).otherwise(moves), F.when(own, o).otherwise(outputs)
-    out = docs.withColumns({"blocked": F.coalesce(blocked, F.lit(False)), "has_move": F.coalesce(moves, F.lit(False)), "__outputs": outputs})
-    return out.withColumn("outputs", F.when(F.col("blocked"), F.array().cast(OUTPUT)).otherwise(F.col("__outputs"))).drop("__outputs")
+        plan = F.when(F.col("automation_id") == a.automation_id, _folded(a, look, base)).otherwise(plan)
+    absent = {"blocked": F.lit(False), "has_move": F.lit(False), "outputs": F.array().cast(OUTPUT)}
+    out = docs.withColumn("__plan", plan)
+    return out.withColumns({n: F.coalesce(F.col(f"__plan.{n}"), c) for n, c in absent.items()}).drop("__plan")
 
 
-def _folded(a: Automation, look: Lookup, base: str) -> tuple[Column, bool, Column]:
-    folder, name, copies, resolved, moved = F.col("default_folder"), F.col("default_name"), [], [], False
+def _folded(a: Automation, look: Lookup, base: str) -> Column:
+    """struct(blocked, has_move, outputs) of one automation; each name and folder is worked out once."""
+    folder, name, copies, resolved, moved = "default_folder", "default_name", [], [], False
     for action in sorted(a.actions, key=lambda x: x.position):
+        made = f"made_{len(resolved)}"
         if action.action_type == "rename":
-            name = resolve_pattern(action.params.get("name_pattern", ""), look)
-            resolved.append(name)
+            resolved.append(resolve_pattern(action.params.get("name_pattern", ""), look).alias(made))
+            name = made
         elif action.action_type in ("move", "copy"):
-            target = resolve_dest_folder(action.params.get("dest_folder", ""), look, base)
-            resolved.append(target)
+            resolved.append(resolve_dest_folder(action.params.get("dest_folder", ""), look, base).alias(made))
             if action.action_type == "move":
-                folder, moved = target, True
+                folder, moved = made, True
             else:
-                copies.append(_output("copy", target, name))
-    blocked = F.lit(False)
-    for c in resolved:
-        blocked = blocked | c.isNull()
-    outputs = [*copies, _output("move", folder, name)] if moved or not copies else copies
-    return blocked, moved, F.array(*outputs).cast(OUTPUT)
+                copies.append(("copy", made, name))
+    wanted = [*copies, ("move", folder, name)] if moved or not copies else copies
+
+    def planned(x: Column) -> Column:
+        blocked = F.lit(False)
+        for i in range(len(resolved)):
+            blocked = blocked | x[f"made_{i}"].isNull()
+        outputs = F.array(*[_output(kind, x[f], x[n]) for kind, f, n in wanted]).cast(OUTPUT)
+        outputs = F.when(blocked, F.array().cast(OUTPUT)).otherwise(outputs)
+        return F.struct(blocked.alias("blocked"), F.lit(moved).alias("has_move"), outputs.alias("outputs"))
+
+    return let(F.struct("default_folder", "default_name", *resolved), planned)
 
 
 def _output(kind: str, folder: Column, name: Column) -> Column:
@@ -107,10 +113,10 @@ def resolve_collision(plans: DataFrame, manifest: DataFrame) -> DataFrame:
     j = plans.join(_siblings(manifest), "dest", "left")
     none = F.create_map().cast("map<int,string>")
     taken = F.coalesce("taken", none)
-    free = _first_free(taken)
+    j, free = j.withColumn("__free", _first_free(taken)), F.col("__free")
     same = F.when(free > 0, F.exists(F.sequence(F.lit(0), free - 1), lambda i: F.element_at(taken, i) == F.col("hash"))).otherwise(F.lit(False))
-    final = F.when(same, F.lit(None)).when(free <= MOST_SUFFIXES, numbered(F.col("dest"), free))
-    return j.withColumns({"final": final, "identical": same}).drop("taken")
+    final = F.when(F.col("identical"), F.lit(None)).when(free <= MOST_SUFFIXES, numbered(F.col("dest"), free))
+    return j.withColumn("identical", same).withColumn("final", final).drop("taken", "__free")
 
 
 def resolve_batch(plans: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -143,16 +149,19 @@ def resolve_batch(plans: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def planned_outputs(docs: DataFrame) -> DataFrame:
-    """One row per output of P1: document_id, position, kind, dest, hash; docs has source and content_hash."""
-    rows = docs.select("document_id", "source", "content_hash", F.posexplode("outputs").alias("position", "o"))
+    """One row per output of P1: document_id, position, kind, dest, hash; docs has source and content_hash.
+
+    array_compact keeps all outputs; it is there so that no filter on `outputs` works the names out a second time.
+    """
+    rows = docs.select("document_id", "source", "content_hash", F.posexplode(F.array_compact("outputs")).alias("position", "o"))
     return rows.select("document_id", "position", F.col("o.kind").alias("kind"), plan_dest(F.col("source"), F.col("o.folder"), F.col("o.name")).alias("dest"), F.col("content_hash").alias("hash"), "source")
 
 
 def dry_run(docs: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row for a blocked or unmatched document, else one per output, held against the manifest only."""
     state = F.when(F.col("automation_id").isNull(), "no_match").when(F.col("blocked"), "blocked")
-    idle = docs.select("document_id", state.alias("status")).where("status is not null")
-    outputs = resolve_collision(planned_outputs(docs.where("automation_id is not null and not blocked")), manifest)
+    idle = docs.select("document_id", F.explode(F.array_compact(F.array(state))).alias("status"))
+    outputs = resolve_collision(planned_outputs(docs), manifest)
     none = [F.lit(None).cast(t).alias(n) for n, t in (("position", "int"), ("kind", "string"), ("dest", "string"), ("final", "string"))]
     done = outputs.select("document_id", F.when(F.col("identical"), "skipped").otherwise("applicable").alias("status"), "position", "kind", "dest", "final")
     return done.unionByName(idle.select("document_id", "status", *none))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import Condition, Template, TemplateField
 from ..functions import text, validate
 from ..operators import classify, fields, signals
-from ..sources.files import read_pairs
+from ..sources.files import read_pairs, spread
 from .registry import query
 
 
@@ -46,7 +46,7 @@ HITS = rf"""n AS (SELECT document_id, lang, {N} AS n, {L} AS l FROM {{texts}}),
 
 
 def matched(t):
-    docs = signals.match_templates(signals.haystacks(t.texts.repartition(t.spark.sparkContext.defaultParallelism, "document_id")), TEMPLATES)
+    docs = signals.match_templates(signals.haystacks(spread(t.texts, t.documents, "document_id")), TEMPLATES)
     return docs.drop("full_text", "lowered", "normalised")
 
 
@@ -169,7 +169,7 @@ FIELDS = {
 
 
 def pairs(t):
-    return t.order_json.select("document_id", "template_id", fields.pairs_map(read_pairs(F.col("fields_json"))).alias("pairs"))
+    return spread(t.order_json, t.orders, "document_id").select("document_id", "template_id", fields.pairs_map(read_pairs(F.col("fields_json"))).alias("pairs"))
 
 
 #: What normalisation gives for the raw values, column by column; broken JSON has no values at all.

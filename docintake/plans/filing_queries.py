@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..config import Action, Automation, Rule, RuleCondition
 from ..functions import naming
 from ..operators import audit, filing, rules
+from ..sources.files import spread
 from .registry import query
 
 C = RuleCondition
 
 
 def values(t):
-    v = t.rule_values
+    v = spread(t.rule_values, t.orders, "document_id")
     entries = [F.struct(F.lit(n).alias("key"), F.col(n).alias("value")) for n in ("cliente", "numero", "data", "valor")]
     return v.withColumn("fields", F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull())))
 
@@ -282,7 +283,7 @@ def p9(t):
 def p10(t):
     docs = planned(t)
     there = docs.where("document_id % 2 = 0").select(F.col("source").alias("path"), F.col("content_hash").alias("hash"))
-    outputs = filing.resolve_collision(filing.planned_outputs(docs.where("automation_id is not null and not blocked")), there)
+    outputs = filing.resolve_collision(filing.planned_outputs(docs), there)
     return filing.audit_rows(outputs, "run1").drop("run_id")
 
 

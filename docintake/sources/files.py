@@ -26,6 +26,16 @@ def active_folders(folders: DataFrame) -> DataFrame:
     return folders.where("active")
 
 
+def spread(df: DataFrame, scan: DataFrame, key: str) -> DataFrame:
+    """df over all cores by key where scan, the table it comes from, has fewer splits than there are cores.
+
+    A table with enough splits is left as it is, so that a large one is never shuffled for this. `scan` must be a plain
+    read: its splits are counted from the file listing, without a job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if scan.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def content_hash(content: Column) -> Column:
     """SHA-256 in hex of bytes, or of the UTF-8 of a text."""
     return F.sha2(content.cast("binary"), 256)
