@@ -16,14 +16,14 @@ def l1(t):
     return lifecycle.valid_transition(a.join(b, "k")).select("document_id", "valid")
 
 
-@query(
-    "l2_replay_states",
-    f"""WITH RECURSIVE s AS (SELECT document_id, to_state, step, row_number() OVER (PARTITION BY document_id ORDER BY ts, id) AS n FROM {{state_log}}),
+REPLAYED = f"""WITH RECURSIVE s AS (SELECT document_id, to_state, step, row_number() OVER (PARTITION BY document_id ORDER BY ts, id) AS n FROM {{state_log}}),
        r AS (SELECT DISTINCT document_id, CAST(0 AS BIGINT) AS n, 'recebido' AS f, CAST(NULL AS VARCHAR) AS step, CAST(0 AS BIGINT) AS rejected FROM s
          UNION ALL SELECT r.document_id, s.n, CASE WHEN ok THEN s.to_state ELSE r.f END, CASE WHEN ok THEN coalesce(s.step, r.step) ELSE r.step END, r.rejected + CASE WHEN ok THEN 0 ELSE 1 END
          FROM r JOIN s ON s.document_id = r.document_id AND s.n = r.n + 1, LATERAL (SELECT {EDGES.replace("CASE f", "CASE r.f").replace(" t ", " s.to_state ")} AS ok) e)
-       SELECT document_id, f AS state, step, rejected FROM r QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n DESC) = 1""",
-)
+       SELECT document_id, f AS state, step, rejected FROM r QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n DESC) = 1"""
+
+
+@query("l2_replay_states", REPLAYED)
 def l2(t):
     return lifecycle.replay_states(t.state_log)
 

@@ -7,8 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..config import STATES
+from ..sources.files import write_stage
 from ..streaming import ops
+from .classify_queries import HITS, TEMPLATES
+from .inputs import INPUTS
 from .registry import query
+from .report_queries import REPLAYED
 
 STATE_OF = {"signup": "processando", "view": "em_revisao", "click": "quarentena", "purchase": "concluido"}
 
@@ -47,3 +51,45 @@ def t2(t):
     return t.spark.read.parquet(f"{where}/registry").groupBy("status").agg(F.count("*").alias("n"))
 
 
+def _input(t, name: str, table: str):
+    """An input that needs one given table, over the stream of that table's files."""
+    rows = ops.table_stream(t.spark, f"{t.sf_dir}/{table}*.parquet", getattr(t, table).schema)
+    return t.spark.sql(INPUTS[name], **{table: rows})
+
+
+@query("s8_write_stage", "SELECT document_id, CASE WHEN state = 'em_revisao' THEN 'first' ELSE 'second' END AS run FROM {docs}")
+def s8(t):
+    where = f"{_folder(t)}/stage"
+    write_stage(t.docs.where("state = 'em_revisao'").select("document_id", F.lit("first").alias("run")), where, "document_id")
+    write_stage(t.docs.select("document_id", F.lit("second").alias("run")), where, "document_id")
+    return t.spark.read.parquet(where)
+
+
+@query(
+    "t3_quiet_files",
+    """WITH m AS (SELECT path, size, mtime, ts, CASE WHEN row_number() OVER w = 1 OR (size IS NOT DISTINCT FROM lag(size) OVER w AND mtime IS NOT DISTINCT FROM lag(mtime) OVER w) THEN 0 ELSE 1 END AS changed
+         FROM {observations} WINDOW w AS (PARTITION BY path ORDER BY ts)),
+       g AS (SELECT *, sum(changed) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM m),
+       i AS (SELECT path, island, min(size) AS size, min(ts) AS since FROM g GROUP BY path, island QUALIFY row_number() OVER (PARTITION BY path ORDER BY island DESC) = 1)
+       SELECT path, size, epoch_us(since) AS since_us FROM i WHERE size IS NOT NULL AND epoch_ms(since) + 7200000 < (SELECT max(epoch_ms(ts)) FROM {observations})""",
+)
+def t3(t):
+    seen = _input(t, "observations", "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    where = _folder(t)
+    ops.land_batches(ops.quiet_files(seen, 7200), "append", f"{where}/rows", f"{where}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{where}/rows").select("path", "size", F.unix_micros("since").alias("since_us"))
+
+
+@query("t4_live_states", REPLAYED)
+def t4(t):
+    where = _folder(t)
+    ops.land_batches(ops.live_states(_input(t, "state_log", "events")), "update", f"{where}/rows", f"{where}/checkpoint").awaitTermination()
+    last = t.spark.read.parquet(f"{where}/rows").groupBy("document_id").agg(F.max_by(F.struct("state", "step", "rejected"), "batch").alias("s"))
+    return last.select("document_id", "s.state", "s.step", "s.rejected")
+
+
+@query("t5_classify_stream", f"WITH {HITS} SELECT document_id, decision, template_id, CASE WHEN decision = 'matched' THEN 1.0 END AS confidence FROM d")
+def t5(t):
+    where = _folder(t)
+    ops.classify_stream(_input(t, "texts", "documents"), TEMPLATES, f"{where}/results", f"{where}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{where}/results")

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..config import TRANSITIONS
+from ..config import TRANSITIONS, Template
 from ..functions.text import is_supported_ext
 from ..operators.ingest import ingest_gate
+from ..operators.signals import decide, haystacks, match_templates
+from ..sources.files import write_stage
 
 
 def file_stream(spark: SparkSession, root: str) -> DataFrame:
@@ -82,6 +84,19 @@ def live_states(log: DataFrame, initial: str = "recebido") -> DataFrame:
     return log.groupBy("document_id").applyInPandasWithState(step, f"document_id long, {shape}", shape, "update", "NoTimeout")
 
 
+def classify_stream(texts: DataFrame, templates: list[Template], table_path: str, checkpoint: str) -> StreamingQuery:
+    """T5: texts(document_id, full_text) classified as they come; each document is written once, whatever runs again."""
+    decided = decide(match_templates(haystacks(texts), templates)).select("document_id", "decision", "template_id", "confidence")
+    run = decided.writeStream.foreachBatch(lambda rows, number: write_stage(rows, table_path, "document_id"))
+    return run.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def land_batches(rows: DataFrame, mode: str, table_path: str, checkpoint: str) -> StreamingQuery:
+    """Every batch of a stream under its own number, so that one that runs again replaces what it wrote."""
+    run = rows.writeStream.outputMode(mode).foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{table_path}/batch={number}"))
+    return run.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def live_counts(docs: DataFrame) -> DataFrame:
     """Documents per state, kept up to date."""
     return docs.groupBy("state").agg(F.count("*").alias("n"))
