@@ -12,6 +12,8 @@ from ..functions.text import file_name, let, stem, suffix
 OUTPUT = "array<struct<kind:string,folder:string,name:string>>"
 #: Fixed limit of numbered siblings.
 MOST_SUFFIXES = 10_000
+#: Slices in which the contents for one destination are ranked before they meet.
+SLICES = 64
 
 
 def apply_actions(docs: DataFrame, automations: list[Automation], base: str, fields: str = "fields") -> DataFrame:
@@ -123,8 +125,10 @@ def resolve_batch(plans: DataFrame, manifest: DataFrame) -> DataFrame:
     """P5: plans(document_id, position, dest, hash) one after another, earlier outputs occupying their place.
 
     Of equal content for one destination the first keeps the place and the others are identical; each further content
-    takes the next free number. Only distinct contents of one destination meet in a window. Destinations whose plain
-    name is another one's numbered name count as occupied too, through a second look at the planned plain names.
+    takes the next free number, and none beyond MOST_SUFFIXES: `final` is null and `identical` false there. Numbers are
+    given out in two steps, first per slice of a destination, so that one task never sees more than SLICES times the
+    numbers there are. Destinations whose plain name is another one's numbered name count as occupied too, through a
+    second look at the planned plain names.
     """
     order = F.struct("document_id", "position")
     firsts = plans.groupBy("dest", "hash").agg(F.min(order).alias("at"))
@@ -138,11 +142,15 @@ def resolve_batch(plans: DataFrame, manifest: DataFrame) -> DataFrame:
     free = _first_free(F.col("taken"))
     same = F.when(free > 0, F.exists(F.sequence(F.lit(0), free - 1), lambda i: F.element_at(F.col("taken"), i) == F.col("hash"))).otherwise(F.lit(False))
     j = j.withColumn("same", same)
-    rank = F.row_number().over(Window.partitionBy("dest").orderBy("at"))
-    new = j.where(~F.col("same")).withColumn("k", rank)
+    new = j.where(~F.col("same"))
+    room = F.lit(MOST_SUFFIXES + 1)
+    slices = new.withColumn("slice", F.pmod(F.xxhash64("hash"), F.lit(SLICES)))
+    early = slices.withColumn("k", F.row_number().over(Window.partitionBy("dest", "slice").orderBy("at"))).where(F.col("k") <= room)
+    ranked = early.withColumn("k", F.row_number().over(Window.partitionBy("dest").orderBy("at"))).where(F.col("k") <= room)
     slots = F.filter(F.sequence(F.lit(0), F.size("taken_all") + F.col("k")), lambda i: ~F.map_contains_key(F.col("taken_all"), i))
-    new = new.withColumn("final", numbered(F.col("dest"), F.element_at(slots, F.col("k"))))
-    placed = new.select("dest", "hash", "at", "final")
+    ranked = ranked.withColumn("slot", F.element_at(slots, F.col("k"))).where(F.col("slot") <= MOST_SUFFIXES)
+    finals = ranked.select("dest", "hash", numbered(F.col("dest"), F.col("slot")).alias("final"))
+    placed = new.select("dest", "hash", "at").join(finals, ["dest", "hash"], "left")
     out = plans.join(placed, ["dest", "hash"], "left")
     first = F.col("at") == order
     return out.withColumns({"identical": ~F.coalesce(first, F.lit(False)), "final": F.when(first, F.col("final"))}).drop("at")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docintake.config import Condition, Template, normalize_extensions, parse_groups
 from docintake.functions import naming, slow, text, validate
-from docintake.operators import fields, ingest, lifecycle, signals
+from docintake.operators import fields, filing, ingest, lifecycle, signals
 from docintake.sources import files
 
 
@@ -121,3 +121,12 @@ def test_live_states_equal_replay(spark, sf, tmp_path):
     run.awaitTermination()
     expected = {(r.document_id, r.state, r.step, r.rejected) for r in lifecycle.replay_states(log).collect()}
     assert {(r.document_id, r.state, r.step, r.rejected) for r in spark.table("live_states").collect()} == expected
+
+
+def test_batch_beyond_the_last_number(spark, monkeypatch):
+    monkeypatch.setattr(filing, "MOST_SUFFIXES", 2)
+    plans = spark.createDataFrame([(i, 0, "/o/a.pdf", f"h{min(i, 5)}") for i in range(7)], "document_id long, position int, dest string, hash string")
+    there = spark.createDataFrame([("/o/a_1.pdf", "x")], "path string, hash string")
+    got = {r.document_id: (r.final, r.identical) for r in filing.resolve_batch(plans, there).collect()}
+    none = (None, False)
+    assert got == {0: ("/o/a.pdf", False), 1: ("/o/a_2.pdf", False), 2: none, 3: none, 4: none, 5: none, 6: (None, True)}
