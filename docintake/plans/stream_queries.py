@@ -76,14 +76,15 @@ def s8(t):
 def t3(t):
     seen = _input(t, "observations", "events").withColumn("ts", F.col("ts").cast("timestamp"))
     where = _folder(t)
-    ops.land_batches(ops.quiet_files(seen, 7200), "append", f"{where}/rows", f"{where}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{where}/rows").select("path", "size", F.unix_micros("since").alias("since_us"))
+    ops.land_batches(ops.quiet_files(seen, 7200), "update", f"{where}/rows", f"{where}/checkpoint").awaitTermination()
+    last = t.spark.read.parquet(f"{where}/rows").groupBy("path").agg(F.max_by(F.struct("size", "since"), "batch").alias("s")).where("s.size is not null")
+    return last.select("path", "s.size", F.unix_micros("s.since").alias("since_us"))
 
 
 @query("t4_live_states", REPLAYED)
 def t4(t):
     where = _folder(t)
-    ops.land_batches(ops.live_states(_input(t, "state_log", "events")), "update", f"{where}/rows", f"{where}/checkpoint").awaitTermination()
+    ops.land_batches(ops.live_states(_input(t, "state_log", "events").withColumn("ts", F.col("ts").cast("timestamp"))), "update", f"{where}/rows", f"{where}/checkpoint").awaitTermination()
     last = t.spark.read.parquet(f"{where}/rows").groupBy("document_id").agg(F.max_by(F.struct("state", "step", "rejected"), "batch").alias("s"))
     return last.select("document_id", "s.state", "s.step", "s.rejected")
 

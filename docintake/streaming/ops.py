@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -45,43 +46,62 @@ def gate_stream(files: DataFrame, registry_path: str, checkpoint: str) -> Stream
 
 
 def quiet_files(observations: DataFrame, window_s: float = 4.0) -> DataFrame:
-    """observations(path, size, mtime, ts) -> path, size, since once nothing changed for window_s seconds of event time."""
+    """observations(path, size, mtime, ts) -> path, size, since once nothing changed for window_s seconds of event time.
+
+    The last row of a path holds: one with null size takes back what was said before. No row is too late: a path is folded
+    anew from all its observations, and the watermark on `ts` only tells the time.
+    """
     wait = int(window_s * 1000)
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            size, _, since = state.get
-            state.remove()
-            if size is not None:
-                yield pd.DataFrame({"path": [key[0]], "size": [size], "since": [pd.Timestamp(since, unit="us")]})
-            return
-        held = state.get if state.exists else None
-        for row in pd.concat(list(batches)).sort_values("ts").itertuples(index=False):
-            size, mtime = (None if pd.isna(x) else int(x) for x in (row.size, row.mtime))
-            if held is None or (held[0], held[1]) != (size, mtime):
-                held = (size, mtime, int(row.ts.value // 1000))
-        state.update(held)
-        state.setTimeoutTimestamp(max(held[2] // 1000 + wait, state.getCurrentWatermarkMs() + 1))
-
-    rows = observations.withWatermark("ts", "0 seconds").select("path", "size", "mtime", "ts")
-    return rows.groupBy("path").applyInPandasWithState(step, "path string, size long, since timestamp", "size long, mtime long, since long", "append", "EventTimeTimeout")
+        history, said = state.get if state.exists else ("[]", None)
+        seen = _merged(history, [] if state.hasTimedOut else batches, ["at", "size", "mtime"])
+        held = None
+        for at, size, mtime in seen:
+            if held is None or held[1:] != (size, mtime):
+                held = (at, size, mtime)
+        ends, now = held[0] // 1000 + wait, state.getCurrentWatermarkMs()
+        quiet = held[1] is not None and (state.hasTimedOut or ends < now)
+        says = json.dumps(held[:2]) if quiet else None
+        state.update((json.dumps(seen), says))
+        if not state.hasTimedOut and ends >= now:
+            state.setTimeoutTimestamp(max(ends, 1))
+        if says != said:
+            yield pd.DataFrame({"path": [key[0]], "size": pd.array([held[1] if quiet else None], "Int64"), "since_us": pd.array([held[0] if quiet else None], "Int64")})
+
+    # Spark drops rows whose marked column is behind the watermark, so the mark is moved from ts to a time that never is
+    never = F.lit("2200-01-01 00:00:00").cast("timestamp")
+    rows = observations.withWatermark("ts", "0 seconds").select("path", F.unix_micros("ts").alias("at"), "size", "mtime", never.alias("never", metadata={"spark.watermarkDelayMs": 0}))
+    out = rows.groupBy("path").applyInPandasWithState(step, "path string, size long, since_us long", "history string, said string", "update", "EventTimeTimeout")
+    return out.select("path", "size", F.timestamp_micros("since_us").alias("since"))
+
+
+def _merged(history: str, batches: Iterable[pd.DataFrame], names: list[str]) -> list[tuple]:
+    """The rows kept as JSON and the named columns of the batches in the order of their values, nulls first."""
+    plain = lambda x: None if pd.isna(x) else x if isinstance(x, str) else int(x)
+    rows = [tuple(r) for r in json.loads(history)] + [tuple(map(plain, r)) for b in batches for r in b[names].itertuples(index=False)]
+    return sorted(rows, key=lambda r: [(x is not None, x) for x in r])
 
 
 def live_states(log: DataFrame, initial: str = "recebido") -> DataFrame:
-    """T4: log(document_id, ts, id, to_state, step) -> the state of each document after every batch that touches it."""
+    """T4: log(document_id, ts, id, to_state, step) -> the state of each document after every batch that touches it.
+
+    The requests of a document are kept and folded anew, so that one which comes late takes the place that l2 gives it.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        current, at, rejected = state.get if state.exists else (initial, None, 0)
-        for row in pd.concat(list(batches)).sort_values(["ts", "id"]).itertuples(index=False):
-            if row.to_state in TRANSITIONS.get(current, ()):
-                current, at = row.to_state, at if row.step is None else row.step
+        seen = _merged(state.get[0] if state.exists else "[]", batches, ["at", "id", "to_state", "step"])
+        current, at, rejected = initial, None, 0
+        for _, _, wanted, named in seen:
+            if wanted in TRANSITIONS.get(current, ()):
+                current, at = wanted, at if named is None else named
             else:
                 rejected += 1
-        state.update((current, at, rejected))
+        state.update((json.dumps(seen),))
         yield pd.DataFrame({"document_id": [key[0]], "state": [current], "step": [at], "rejected": [rejected]})
 
-    shape = "state string, step string, rejected long"
-    return log.groupBy("document_id").applyInPandasWithState(step, f"document_id long, {shape}", shape, "update", "NoTimeout")
+    rows = log.select("document_id", F.unix_micros("ts").alias("at"), "id", "to_state", "step")
+    return rows.groupBy("document_id").applyInPandasWithState(step, "document_id long, state string, step string, rejected long", "history string", "update", "NoTimeout")
 
 
 def classify_stream(texts: DataFrame, templates: list[Template], table_path: str, checkpoint: str) -> StreamingQuery:
