@@ -13,12 +13,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Seconds that one search may take before it counts as no match.
+#: Seconds that one search may take for each DEADLINE_CHARS of the text, begun ones included, before it counts as no match.
 DEADLINE = 0.25
+DEADLINE_CHARS = 200_000
 
 
 def search_with_deadline(c: Column, pattern: str, deadline: float = DEADLINE) -> Column:
-    """Whether the pattern is found, ignoring case; a search past the deadline counts as not found."""
+    """Whether the pattern is found in the whole text, ignoring case; a search past the deadline counts as not found."""
 
     @F.pandas_udf("boolean")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -26,7 +27,7 @@ def search_with_deadline(c: Column, pattern: str, deadline: float = DEADLINE) ->
 
         def one(text: str | None) -> bool:
             try:
-                return bool(text is not None and compiled.search(text, timeout=deadline))
+                return bool(text is not None and compiled.search(text, timeout=deadline * max(1, -(-len(text) // DEADLINE_CHARS))))
             except TimeoutError:
                 return False
 

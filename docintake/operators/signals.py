@@ -12,9 +12,8 @@ from ..config import Condition, Template
 from ..functions import slow
 from ..functions.text import normalize_text
 
-#: Fixed limits: length of a pattern, and of the text that patterns see.
+#: Fixed limit: length of a pattern.
 PATTERN_LENGTH = 512
-SEEN_CHARS = 200_000
 #: Shorter normalised needles are looked for as they were typed.
 SHORT = 3
 #: Conditions beyond this number are evaluated once each as columns of their own, so that no expression grows too large.
@@ -61,10 +60,9 @@ def _regex(pattern: str) -> Column:
         regex.compile(pattern)
     except regex.error:
         return F.lit(False)
-    seen = F.substring("lowered", 1, SEEN_CHARS)
     if is_safe(pattern) and _java_reads(pattern):
-        return seen.rlike("(?iU)" + pattern)
-    return slow.search_with_deadline(seen, pattern)
+        return F.col("lowered").rlike("(?iU)" + pattern)
+    return slow.search_with_deadline(F.col("lowered"), pattern)
 
 
 def _java_reads(pattern: str) -> bool:
