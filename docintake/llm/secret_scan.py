@@ -1,9 +1,10 @@
 """Secret scan: fixed credential patterns plus a sliding-window entropy detector.
 
 Base kinds are `assign`, `access` and `hex`. The method adds the kind `entropy`: over every candidate string (a run of
-token characters) a window slides with incrementally kept character counts; the Shannon entropy of the window is
-compared with a threshold of the character class of the candidate (hex, alphanumeric, base64). Candidates on the
-allow-list (UUIDs, URLs and e-mail parts, words joined by - or _, one repeated unit) are suppressed.
+token characters, `=` only as padding at its end) a window slides with incrementally kept character counts; the Shannon
+entropy of the window is compared with a threshold of the character class of that window (hex, letters, alphanumeric,
+base64; windows of digits are numbers). Suppressed are proven shapes only: UUIDs, numbers and words joined by - or _, one
+repeated unit, e-mail addresses, and URLs without user information up to their query.
 
 Edge cases: null and empty texts give no spans; very long candidates cost O(length), since counts are incremental;
 repeated rows give repeated results; an empty table gives an empty table; extra columns are ignored.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -27,26 +29,29 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 
 #: Window length, and bits per character that a window of a class must reach (hex tops out at 4.0).
 WINDOW = 20
-THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
+THRESHOLDS = {"hex": 3.0, "letters": 3.9, "alnum": 3.7, "base64": 3.9}
+LEAST = min(THRESHOLDS.values())
+#: The first class that holds all characters of a window counts.
+CLASSES = {"digits": str.isdigit, "hex": frozenset("0123456789abcdefABCDEF").__contains__, "letters": str.isalpha, "alnum": str.isalnum}
 
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"[A-Za-z]+([-_/+=]+[A-Za-z]+)*[-_/+=]*"),
+    # words and camel humps; a longer run of letters is no proven word
+    re.compile(r"[-_/+=]*+(?:(?:[A-Z]?[a-z]{2,19}+(?![a-z])|(?:A[nst]|B[ey]|Do|Go|I[dfnst]|M[ey]|No|O[fnr]|To|Up)(?![a-z])|[A-Z]{2,19}+(?![A-Z])|[A-Za-z](?![A-Za-z]))[-_/+=]*+)++"),
     re.compile(r"[-_/+=]*[0-9]+([-_/+=]+[0-9]+)*[-_/+=]*"),
     re.compile(r"(.{1,8})\1+"),
 )
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, kinds array<string>, starts array<long>, ends array<long>"
-
+#: A URL up to its query, and an e-mail address; neither may hold or be user information, as in scheme://user:password@host.
+URL = re.compile(r"\b(?:https?|ftps?|wss?|file)://[A-Za-z0-9.:_%-]*+(?!@)(?:/[A-Za-z0-9._~%/+-]*+)?", re.IGNORECASE)
+USER_INFO = re.compile(r"""://[^\s/?#"'<>]*@""")
+EMAIL = re.compile(r"(?:(?<=mailto:)|(?<![A-Za-z0-9._%+:/-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 
-def char_class(text: str) -> str:
-    if all(c in "0123456789abcdefABCDEF" for c in text):
-        return "hex"
-    return "alnum" if text.isalnum() else "base64"
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, kinds array<string>, starts array<long>, ends array<long>"
 
 
 def window_entropies(text: str, width: int = WINDOW) -> list[float]:
@@ -73,18 +78,35 @@ def window_entropies(text: str, width: int = WINDOW) -> list[float]:
     return out
 
 
+def reaches(word: str, width: int = WINDOW) -> bool:
+    """Whether a window of word has the entropy that its own character class asks for."""
+    runs = {name: list(accumulate((not test(c) for c in word), initial=0)) for name, test in CLASSES.items()}
+    for i, bits in enumerate(window_entropies(word, width)):
+        if bits >= LEAST:
+            end = min(i + width, len(word))
+            kind = next((name for name, other in runs.items() if other[end] == other[i]), "base64")
+            if bits >= THRESHOLDS.get(kind, math.inf):
+                return True
+    return False
+
+
+def proven(text: str) -> list[tuple[int, int]]:
+    """Spans of URLs without user information and of e-mail addresses."""
+    logins = [m.span() for m in USER_INFO.finditer(text)] if "://" in text and "@" in text else []
+    found = [m.span() for m in URL.finditer(text)] if "://" in text else []
+    found += [m.span() for m in EMAIL.finditer(text)] if "@" in text else []
+    return [(s, e) for s, e in found if not any(a < e and s < b for a, b in logins)]
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
-    """Candidate strings with a window over the threshold of their class, allow-listed ones left out."""
-    found = []
+    """Candidate strings with a window over the threshold of its class, proven shapes left out."""
+    found, harmless = [], None
     for m in CANDIDATE.finditer(text):
         word = m[0]
-        if word.isalpha() or word.isdigit() or any(p.fullmatch(word) for p in ALLOW):
-            continue
-        if m.start() >= 1 and text[m.start() - 1] in "@." or text[m.end() : m.end() + 1] == "@" or "//" in word or text[max(0, m.start() - 3) : m.start()].endswith(":"):
-            continue
-        if not any(c.isdigit() for c in word):
+        if word.isdigit() or any(p.fullmatch(word) for p in ALLOW) or not reaches(word):
             continue
-        if max(window_entropies(word)) >= THRESHOLDS[char_class(word)]:
+        harmless = proven(text) if harmless is None else harmless
+        if not any(s <= m.start() and m.end() <= e for s, e in harmless):
             found.append(m.span())
     return found
 
