@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -85,18 +86,50 @@ def to_arrow(schema: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (part.strip().split(" ") for part in schema.split(","))])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; only where that is unset, one next to the warehouse."""
+    named = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if named.isDefined():
+        return named.get()
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
 
-    Only where spark.checkpoint.dir is unset (tests, a notebook) a folder next to the warehouse is chosen.
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts lineage: df written as Parquet in the shared folder and read back, so that lost executors cost no rerun of df.
+
+    `stored_at` of the result names its folder, for removed().
+    """
+    where = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    out = df.sparkSession.read.schema(df.schema).parquet(where)
+    out.stored_at = where
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes what stored() wrote for df; nothing may read df afterwards."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key counts as hot if it holds over one in HOT_SHARE of all rows, so that there are fewer than HOT_SHARE hot keys.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, total: int, count: str) -> DataFrame:
+    """rows joined with facts (one row for each key, `count` of them the rows it has), no task getting a hot key.
+
+    Facts of hot keys, fewer than HOT_SHARE by arithmetic, are broadcast; the other keys meet by a shuffle in which no
+    key holds more than one in HOT_SHARE of the `total` rows. `count` is not in the result; null keys meet nothing.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = context.getConf().get("spark.checkpoint.dir", None) or (
-            df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
-        )
-        context.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    heavy = F.col(count) * HOT_SHARE > total
+    hot, rest = facts.where(heavy).drop(count), facts.where(~heavy).drop(count)
+    few = [r[0] for r in hot.select(key).limit(HOT_SHARE).collect()]
+    if not few:
+        return rows.join(rest, key)
+    is_hot = F.col(key).isin(few)
+    return rows.where(is_hot).join(F.broadcast(hot), key).unionByName(rows.where(~is_hot).join(rest, key))
 
 
 def id_crc32(column: str) -> F.Column:

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_key
+from .common import stored, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -162,7 +162,7 @@ def disclosive(base: DataFrame, docs: DataFrame, total: int, support: int = SUPP
         .agg(F.count("*").alias("n_te"))
         .where((F.col("n_te") >= support) & (F.col("n_te") >= always * F.col("n_e")))
     )
-    terms = checkpointed(terms)
+    terms = stored(terms)
     if not terms.take(1):
         return None
     # counted before the join: what is shuffled is one number per word and partition, not every word of every document
@@ -172,7 +172,7 @@ def disclosive(base: DataFrame, docs: DataFrame, total: int, support: int = SUPP
     scored = terms.withColumn("term_key", F.xxhash64("term")).join(n_t, "term_key").join(n_docs, "entity")
     bits = F.log2((F.col("n_te") / F.col("n_e")) / (F.col("n_t") / F.lit(total)))
     carried = F.greatest(-F.log2(F.col("n_d") / F.lit(total)), F.lit(1.0))
-    return checkpointed(scored.select("entity", "term", bits.alias("bits"), (bits / carried).alias("share")).where(F.col("share") >= disclosed))
+    return stored(scored.select("entity", "term", bits.alias("bits"), (bits / carried).alias("share")).where(F.col("share") >= disclosed))
 
 
 def term_spans(docs: DataFrame, base: DataFrame, terms: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def term_spans(docs: DataFrame, base: DataFrame, terms: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and five span arrays: email, ip, card, phone, term (struct<kind, start, end>, code points)."""
-    base = checkpointed(with_base(docs.select("doc_id", "text")).drop("text"))
+    base = stored(with_base(docs.select("doc_id", "text")).drop("text"))
     plain = [F.transform(k, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS]
     found = base.select("doc_id", "text_key", *plain)
     terms = disclosive(base, docs, max(base.count(), 1))

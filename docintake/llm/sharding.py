@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import stored
 
 #: Relative rank error of the bin limits is 1 / ACCURACY.
 ACCURACY = 1000
@@ -78,7 +78,7 @@ def quantised(df: DataFrame, dims: list[str], bits: int) -> tuple[list[Column],
 def ranked(df: DataFrame, keys: list[Column]) -> DataFrame:
     """Adds `rank`, 0 .. rows - 1 in the order of keys, which must be fine enough to spread over range partitions."""
     spread = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    spread = checkpointed(spread.withColumn("__at", F.monotonically_increasing_id()))
+    spread = stored(spread.withColumn("__at", F.monotonically_increasing_id()))
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = sorted((r["p"], r["n"]) for r in spread.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     before, offsets = 0, {}

@@ -3,8 +3,10 @@
 Fingerprint: 64 bits over word shingles, a bit set if it is set in over half of the shingle hashes (XXH64, seed 42).
 Search: correlated bits are grouped into m parts; part i gets a threshold t_i (-1: not probed) with
 sum(t_i + 1) = radius + 1, so that two fingerprints within the radius agree on some part within its threshold. Dynamic
-programming picks the thresholds, and the number of parts, that make probes and estimated candidates cheapest. Every
-fingerprint probes all values within t_i of its part i; what it meets is verified by the whole distance.
+programming picks the thresholds that make probes and estimated candidates cheapest for a stated design size, so the
+rows per fingerprint (66 for 64 bits and radius 4) are the same for any table. The flips of a part are shared between
+both sides: the index holds all values within t_i / 2 of a fingerprint's own, probes go to all within the rest of t_i;
+what meets is verified by the whole distance.
 
 Equal fingerprints are one node, so thousands of copies cost one. A part value that over `hot` fingerprints share is
 not joined with itself: its members, and all that probe it, meet at midpoints (two fingerprints within an even radius r
@@ -17,16 +19,19 @@ a component's id unless all its members have none; an empty table gives an empty
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
-from math import comb
+from math import comb, inf
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, checkpointed, map_batches, text_key
+from .common import LOWER, join_hot, map_batches, stored, text_key
 from .components import connected
+from .sieve import without
 
 BITS = 64
 SEED = 42
@@ -34,6 +39,12 @@ SEED = 42
 #: Fingerprints that the estimates of correlations and candidates are made from; all fingerprints are searched.
 SAMPLED = 4_000
 
+#: Distinct fingerprints that the plan is made for; with more of them there are more candidates for each, not more rows.
+DESIGN = 10**9
+
+#: Fingerprints that one task takes when it makes keys of them.
+ROWS_EACH = 1_000_000
+
 #: Fingerprints with one part value beyond which they meet at midpoints.
 HOT = 2_000
 
@@ -105,32 +116,70 @@ def allocate(costs: list[list[float]], units: int) -> tuple[float, list[int]]:
     return best[units]
 
 
-def plan(sample: np.ndarray, total: int, radius: int) -> list[tuple[int, int, list[int]]]:
-    """(mask, threshold, deltas to probe) of every probed part, for `total` fingerprints like those of the sample."""
-    apart = sample[:2000]
-    choices = []
+@dataclass(frozen=True)
+class Part:
+    """A probed part: its bits and threshold; index and probe side share the flips, near + far = threshold."""
+
+    mask: int
+    threshold: int
+
+    @property
+    def near(self) -> int:
+        return self.threshold // 2
+
+    @property
+    def far(self) -> int:
+        return self.threshold - self.near
+
+    def flips(self, radius: int) -> list[int]:
+        bits = [1 << b for b in range(BITS) if self.mask >> b & 1]
+        return [sum(f) for r in range(radius + 1) for f in combinations(bits, r)]
+
+    def value(self, fp: Column) -> Column:
+        return fp.bitwiseAND(F.lit(signed(self.mask)))
+
+
+def _rows(width: int, threshold: int) -> int:
+    """Rows of both sides that a part makes for each fingerprint."""
+    return ball(width, threshold // 2) + ball(width, threshold - threshold // 2)
+
+
+def _price(width: int, threshold: int, share: float, design: int) -> float:
+    """Rows plus estimated candidates for `design` fingerprints, `share` of whose pairs agree on the part.
+
+    No value keeps more than HOT fingerprints, which bounds the candidates of each.
+    """
+    return design * (_rows(width, threshold) + min(share * design, float(HOT * ball(width, threshold))) / 2)
+
+
+def shape(radius: int, design: int = DESIGN) -> tuple[int, int]:
+    """(parts, rows for each fingerprint) of the cheapest plan for `design` fingerprints of evenly spread bits."""
+    found = []
     for parts in range(2, radius + 2):
-        groups = group_bits(sample, parts)
-        costs = []
-        for group in groups:
-            mask = np.uint64(sum(1 << b for b in group))
-            near = np.bincount(np.bitwise_count((apart[:, None] ^ apart[None, :]) & mask).ravel(), minlength=BITS + 1).cumsum()
-            pairs = max(1, len(apart) ** 2)
-            row = [0.0]
-            for t in range(radius + 1):
-                size = ball(len(group), t)
-                share = max((near[t] - len(apart)) / pairs, size / 2.0 ** len(group))
-                row.append(total * (size + 1.0) + share * total * total / 2)
-            costs.append(row)
+        widths = [(BITS + i) // parts for i in range(parts)]
+        costs = [[0.0, *(_price(w, t, ball(w, t) / 2.0**w, design) for t in range(radius + 1))] for w in widths]
         cost, units = allocate(costs, radius + 1)
-        choices.append((cost, groups, units))
-    _, groups, units = min(choices, key=lambda c: c[0])
-    out = []
-    for group, u in zip(groups, units, strict=True):
-        if u:
-            deltas = [sum(1 << b for b in flips) for r in range(u) for flips in combinations(group, r)]
-            out.append((sum(1 << b for b in group), u - 1, deltas))
-    return out
+        found.append((cost, parts, sum(_rows(w, u - 1) for w, u in zip(widths, units, strict=True) if u)))
+    return min(found)[1:]
+
+
+def plan(sample: np.ndarray, radius: int, design: int = DESIGN) -> list[Part]:
+    """The probed parts for `design` fingerprints like those of the sample; how many rows there are plays no part.
+
+    No part may make more rows than the whole plan for evenly spread bits, however uneven the sample is. Pairs within the radius are links, which every plan has to meet; candidates are what else agrees on a part.
+    """
+    differ = sample[:2000, None] ^ sample[None, :2000]
+    false, costs = differ[np.bitwise_count(differ) > radius], []
+    parts, rows = shape(radius, design)
+    groups = group_bits(sample, parts)
+    masks = [sum(1 << b for b in group) for group in groups]
+    for mask, group in zip(masks, groups, strict=True):
+        near = np.bincount(np.bitwise_count(false & np.uint64(mask)), minlength=BITS + 1).cumsum()
+        shares = [max(near[t] / max(1, differ.size), ball(len(group), t) / 2.0 ** len(group)) for t in range(radius + 1)]
+        prices = [_price(len(group), t, share, design) if _rows(len(group), t) <= rows else inf for t, share in enumerate(shares)]
+        costs.append([0.0, *prices])
+    _, units = allocate(costs, radius + 1)
+    return [Part(mask, u - 1) for mask, u in zip(masks, units, strict=True) if u]
 
 
 def _sample(nodes: DataFrame) -> np.ndarray:
@@ -138,80 +187,82 @@ def _sample(nodes: DataFrame) -> np.ndarray:
     return np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
 
 
-def links(nodes: DataFrame, radius: int = 4, hot: int = HOT) -> DataFrame:
+def _keys(fps: DataFrame, part: Part, radius: int) -> DataFrame:
+    """(fp, key) for all values of the part within `radius` of the fingerprint's own."""
+    flips = F.array(*[F.lit(signed(f)) for f in part.flips(radius)])
+    return fps.select("fp", F.explode(F.transform(flips, lambda f: part.value(F.col("fp")).bitwiseXOR(f))).alias("key"))
+
+
+def links(nodes: DataFrame, radius: int = 4, hot: int = HOT, design: int = DESIGN) -> DataFrame:
     """nodes(fp, distinct) -> edges (a, b) between fingerprints, whose components are those of "at most `radius` bits apart".
 
-    Below the hot bound there is one edge for every pair within the radius; members of hot part values are linked
-    through midpoints.
+    Outside of crowded values there is one edge or more for every pair within the radius.
+    """
+    nodes = nodes.select("fp")
+    parts = plan(_sample(nodes), radius, design)
+    own = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), p.value(F.col("fp")).alias("value")) for i, p in enumerate(parts)])).alias("at"))
+    crowded = stored(own.groupBy("at.part", "at.value").count().where(F.col("count") > hot).select("part", "value"))
+    some = bool(crowded.take(1))
+    found, members = [], []
+    for i, part in enumerate(parts):
+        calm = nodes
+        if some:
+            here = crowded.where(F.col("part") == i).select(F.col("value").alias("fp"))
+            spots = _keys(here, part, part.near).select("key").distinct()
+            members.append(_keys(nodes, part, part.far).join(spots, "key", "left_semi").select("fp"))
+            calm = nodes.join(here.select(F.col("fp").alias("value")), part.value(F.col("fp")) == F.col("value"), "left_anti")
+        probe, index = _keys(calm, part, part.far), _keys(calm, part, part.near).withColumnRenamed("fp", "other")
+        apart = F.col("fp").bitwiseXOR(F.col("other"))
+        differ = F.bit_count(part.value(apart))
+        # a pair that the probe side alone can bring together meets at the other one's own value only
+        once = (F.col("key") == part.value(F.col("other"))) | (differ > part.far)
+        found.append(probe.join(index, "key").where((F.col("fp") < F.col("other")) & (F.bit_count(apart) <= radius) & once).select(F.col("fp").alias("a"), F.col("other").alias("b")))
+    if some:
+        found.append(_midpoints(reduce(DataFrame.union, members).distinct(), radius))
+    return reduce(DataFrame.union, found)
+
+
+def _midpoints(members: DataFrame, radius: int) -> DataFrame:
+    """Edges from each member to the least one that shares a value within radius / 2 of both.
+
+    As many fingerprints as such a value can have neighbours meet there at most, whatever the number of members.
     """
-    total = nodes.count()
-    parts = plan(_sample(nodes), total, radius)
-
-    def values(i: int, mask: int, deltas: list[int]) -> Column:
-        own = F.col("fp").bitwiseAND(F.lit(signed(mask)))
-        flips = F.array(*[F.lit(signed(d)) for d in deltas])
-        return F.transform(flips, lambda d: F.struct(F.lit(i).alias("part"), own.bitwiseXOR(d).alias("key")))
-
-    def meets(own_only: bool) -> DataFrame:
-        keys = [values(i, mask, [0] if own_only else deltas) for i, (mask, _, deltas) in enumerate(parts)]
-        return nodes.select("fp", F.explode(F.concat(*keys)).alias("at")).select("fp", "at.part", "at.key")
-
-    index, probes = meets(own_only=True), meets(own_only=False)
-    crowded = checkpointed(index.groupBy("part", "key").count().where(F.col("count") > hot).select("part", "key"))
-    midpoints = None
-    if crowded.take(1):
-        if radius % 2:
-            raise ValueError("hot part values need an even radius")
-        members = probes.join(crowded, ["part", "key"], "left_semi").select("fp").distinct()
-        index = index.join(crowded, ["part", "key"], "left_anti")
-        flips = [signed(sum(1 << b for b in f)) for r in range(radius // 2 + 1) for f in combinations(range(BITS), r)]
-        around = members.select("fp", F.explode(F.array(*[F.lit(f) for f in flips])).alias("flip")).select(
-            "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("z")
-        )
-        least = around.groupBy("z").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("z", "a")
-        midpoints = around.join(least, "z").select("a", F.col("fp").alias("b")).where("a != b")
-    left, right = probes.alias("l"), index.withColumnRenamed("fp", "other").alias("r")
-    found = left.join(
-        right,
-        (F.col("l.part") == F.col("r.part"))
-        & (F.col("l.key") == F.col("r.key"))
-        & (F.col("l.fp") < F.col("r.other"))
-        & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.other"))) <= radius),
-    ).select(F.col("l.fp").alias("a"), F.col("r.other").alias("b"))
-    return found if midpoints is None else found.union(midpoints)
+    if radius % 2:
+        raise ValueError("crowded part values need an even radius")
+    whole = Part((1 << BITS) - 1, radius)
+    around = _keys(members, whole, radius // 2).withColumn("a", F.min("fp").over(Window.partitionBy("key")))
+    return around.where("a != fp").select("a", F.col("fp").alias("b")).distinct()
+
+
+def _node(least: Column) -> Column:
+    """What components are ordered by: the least row of a fingerprint (rows without an id last), then the fingerprint."""
+    return F.struct(least["none"].alias("none"), least["id"].alias("id"), least["key"].alias("key"), F.col("fp").alias("fp"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, hot: int = HOT) -> DataFrame:
-    """doc_id, text_key, fp (signed long), group, component_id.
+    """doc_id, text_key, fp (signed long), component_id, first_key.
 
-    component_id is the smallest doc_id reachable over links of at most `radius` bits, group the least fingerprint.
+    component_id is the smallest doc_id reachable over links of at most `radius` bits; (component_id, first_key) names
+    the first row of the component: the smallest id, then the smallest text_key.
     """
-    marked = checkpointed(fingerprints(docs, shingle))
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    labels = connected(links(nodes, radius, hot))
-    named = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "rep", F.coalesce("label", "fp").alias("group"))
-    ids = named.groupBy("group").agg(F.min("rep").alias("component_id"))
-    resolved = named.join(ids, "group").select("fp", "group", "component_id")
-    return marked.join(resolved, "fp").select("doc_id", "text_key", "fp", "group", "component_id")
+    marked = stored(fingerprints(docs, shingle))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    least = marked.groupBy("fp").agg(F.min(row).alias("least"), F.count("*").alias("n"))
+    total = marked.count()
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, total // ROWS_EACH + 1)
+    nodes = stored(least.select("fp", "n", _node(F.col("least")).alias("node")).repartition(tasks, "fp"))
+    ends = {side: nodes.select(F.col("fp").alias(side), F.col("node").alias(f"node_{side}")) for side in ("a", "b")}
+    # the least row of a component names it, so components need no further grouping by their members
+    edges = links(nodes, radius, hot).join(ends["a"], "a").join(ends["b"], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    labels = connected(edges).select(F.col("node.fp").alias("fp"), "label")
+    named = nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "node"))
+    facts = stored(named.select("fp", "n", F.col("label.id").alias("component_id"), F.col("label.key").alias("first_key")))
+    return join_hot(marked, facts, "fp", total, "n").select("doc_id", "text_key", "fp", "component_id", "first_key")
 
 
 def representatives(docs: DataFrame, radius: int = 4, shingle: int = 4, hot: int = HOT) -> DataFrame:
-    """One row of docs for each group of near-duplicates, with its columns: the smallest id, then the smallest text_key.
-
-    Texts are not shuffled: the rows to leave out, fewer than those that stay, are anti-joined by their keys, and only
-    rows that repeat an id and text are brought together.
-    """
+    """One row of docs for each group of near-duplicates, with its columns: the smallest id, then the smallest text_key."""
     found = near_duplicates(docs, radius, shingle, hot)
-    rows = checkpointed(found.groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("copies")))
-    best = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("b_id"), F.col("best.text_key").alias("b_key"))
-    chosen = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_key") == F.col("b_key"))
-    # by id and text, not by group: a group may hold a third of all rows
-    left_out = rows.join(best, chosen, "left_anti")
-    twins = rows.where("copies > 1").join(best, chosen, "left_semi")
-    leaves, again = (k.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")) for k in (left_out.unionByName(twins), twins))
-    keyed = docs.withColumn("__own", text_key())
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
-    kept = keyed.join(leaves, same, "left_anti")
-    repeated = keyed.join(again, same, "left_semi").dropDuplicates(["doc_id", "__own"])
-    return kept.union(repeated).drop("__own")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key"))
+    keys = stored(found.select("doc_id", "text_key", first.alias("stays")))
+    return without(docs, keys)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docintake.llm import html_main, html_pages, html_tree, pii, sharding, simhash
+from docintake.llm import html_main, html_pages, html_tree, pii, sharding, sieve, simhash
 from docintake.llm import queries as q
 from docintake.llm.components import connected
 
@@ -70,12 +70,37 @@ def test_links_lose_nothing(spark, hot):
 def test_plan_covers_the_radius():
     rng = np.random.default_rng(0)
     sample = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
-    for total in (100, 10**5, 10**7, 10**9):
-        parts = simhash.plan(sample, total, 4)
-        masks = [m for m, _, _ in parts]
-        assert sum(t + 1 for _, t, _ in parts) == 5 and all(a & b == 0 for i, a in enumerate(masks) for b in masks[:i])
-        for m, t, deltas in parts:
-            assert len(deltas) == simhash.ball(m.bit_count(), t) and all(d & ~m == 0 and d.bit_count() <= t for d in deltas)
+    for radius in (2, 4, 6):
+        parts = simhash.plan(sample, radius)
+        masks = [p.mask for p in parts]
+        assert sum(p.threshold + 1 for p in parts) == radius + 1 and all(a & b == 0 for i, a in enumerate(masks) for b in masks[:i])
+        for p in parts:
+            width = p.mask.bit_count()
+            assert p.near + p.far == p.threshold and [len(set(p.flips(r))) for r in (p.near, p.far)] == [simhash.ball(width, r) for r in (p.near, p.far)]
+            assert all(f & ~p.mask == 0 for f in p.flips(p.far))
+
+
+def test_plan_keeps_rows_in_proportion():
+    """Rows for each fingerprint do not move with the number of fingerprints, nor with near copies among them."""
+    rng = np.random.default_rng(4)
+    rows = set()
+    for copies in (0, 50, 400):
+        sample = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
+        sample[:copies] = sample[0] ^ (np.uint64(1) << rng.integers(0, 64, copies, dtype=np.uint64))
+        rows.add(sum(simhash.ball(p.mask.bit_count(), p.far) for p in simhash.plan(sample, 4)))
+    assert rows == {66}
+
+
+@pytest.mark.parametrize("most_bytes", [0, 1 << 20])
+def test_sieve_is_exact(spark, most_bytes):
+    rows = [(i if i % 7 else None, f"text {i % 1500}", "x") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(4)
+    keys = docs.select("doc_id", F.xxhash64("text").alias("text_key"), (F.crc32(F.concat_ws(" ", F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string"), "text").cast("binary")) % 3 > 0).alias("stays"))
+    wanted = {(i, t) for i, t, _ in rows if zlib.crc32(f"{-1 if i is None else i} {t}".encode()) % 3}
+    got = sieve.without(docs, keys, most_bytes)
+    assert got.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted
 
 
 def test_allocate_is_the_least():
