@@ -2,12 +2,16 @@
 
 Every run of `window` words that a document shares with a benchmark item is found: both sides are fingerprinted by the
 smallest k-gram hash of each run of window - k + 1 k-grams (rightmost on ties), so any shared run of `window` words has a
-common fingerprint at the same place. Common fingerprints are joined and each hit is extended word by word in both
-directions, comparing the words themselves; an extended hit of at least `window` words marks its words. An item of fewer
-words is one window of its own length, found by the hash of all document runs of that length and verified the same way.
+common fingerprint at the same place. Common fingerprints are joined and each hit is extended to the windows around it;
+those that an item holds too, by hash and then by the words themselves, mark their words. Neighbouring windows share
+their words, so a hit grows to the whole shared run, and repeated words cost no more than others: each window of a
+document is looked up once, however often it occurs. An item of fewer words is one window of its own length, found by
+the hash of all document runs of that length and verified the same way. Windows of one block whose 64-bit hashes are
+equal count as one.
 
-The benchmark is a stated query set: it is put to workers in blocks of at most BLOCK_BYTES text, one pass of the
-documents per block, so that a larger benchmark costs passes, not memory. Documents are never shuffled.
+The benchmark is a stated query set: it is put to workers in blocks of about BLOCK_BYTES text, one pass of the
+documents per block, which is written before the next block is read, so that a larger benchmark costs passes, not
+memory. Documents are never shuffled.
 
 Edge cases: null texts have no words; items without words match nothing; repeated rows of an item count once (by
 item_id), a null item_id counts as the id ''; documents keep all their rows; an empty benchmark leaves all documents
@@ -17,18 +21,20 @@ clean; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, add_columns, map_batches
+from .common import LOWER, add_columns, map_batches, removed, stored
 
 WINDOW = 10
 GRAM = 5
 
-#: Text of the items that workers hold at a time; items are put to blocks by a hash of their id.
+#: Text of the items that workers hold at a time; items are put to blocks by a hash of their id and text.
 BLOCK_BYTES = 32 << 20
 
 #: Bytes of words after A-Z is lower-cased: digits, a-z and everything beyond ASCII.
@@ -101,69 +107,77 @@ def words_of(text: str | None) -> Words:
 
 @dataclass
 class Index:
-    """Fingerprints of one block of items."""
+    """Fingerprints and windows of one block of items; items of equal words are one entry with several ids."""
 
     gram: int
     window: int
-    items: list[list[bytes]] = field(default_factory=list)
-    ids: list[str] = field(default_factory=list)
-    long: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
-    short: dict[int, dict[int, list[int]]] = field(default_factory=dict)
-    long_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))
-    short_keys: dict[int, np.ndarray] = field(default_factory=dict)
-
-    def add(self, item_id: str, text: str | None) -> None:
-        w = words_of(text)
-        if not len(w):
-            return
-        number = len(self.items)
-        self.items.append([w[i] for i in range(len(w))])
-        self.ids.append(item_id)
-        if len(w) < self.window:
-            self.short.setdefault(len(w), {}).setdefault(int(w.grams(len(w))[0]), []).append(number)
-        else:
-            for h, at in zip(*w.winnowed(self.gram, self.window), strict=True):
-                self.long.setdefault(int(h), []).append((number, int(at)))
-
-    def close(self) -> Index:
-        self.long_keys = np.array(sorted(self.long), dtype=np.uint64)
-        self.short_keys = {n: np.array(sorted(x), dtype=np.uint64) for n, x in self.short.items()}
-        return self
+    entries: list[list[bytes]]
+    ids: list[list[str]]
+    fingerprints: np.ndarray
+    #: Sorted hashes of all windows, an occurrence (entry, place) of each, and the entries that hold it, from `first` on.
+    windows: np.ndarray
+    entry: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+    owners: np.ndarray
+    short: dict[int, tuple[np.ndarray, dict[int, list[int]]]]
 
     def hits(self, w: Words) -> tuple[list[tuple[int, int]], set[str]]:
         """Word spans [start, end) of w inside occurrences of windows, and the ids of the items they come from."""
-        spans, ids = [], set()
-        if len(self.long_keys) and len(w) >= self.window:
+        spans, found = [], []
+        if len(self.windows) and len(w) >= self.window:
             hashes, places = w.winnowed(self.gram, self.window)
-            reached: dict[tuple[int, int], int] = {}
-            for i in np.flatnonzero(_member(hashes, self.long_keys)).tolist():
-                p = int(places[i])
-                for number, q in self.long[int(hashes[i])]:
-                    if reached.get((number, p - q), -1) > p:
-                        continue
-                    a, b = self._extend(w, p, number, q)
-                    reached[number, p - q] = b
-                    if b - a >= self.window:
-                        spans.append((a, b))
-                        ids.add(self.ids[number])
-        for n, keys in self.short_keys.items():
+            met = places[_member(hashes, self.fingerprints)]
+            if len(met):
+                near = np.zeros(len(w) + 1, dtype=np.int64)
+                np.add.at(near, np.maximum(met - (self.window - self.gram), 0), 1)
+                np.add.at(near, met + 1, -1)
+                starts = np.flatnonzero(near.cumsum()[: len(w) - self.window + 1] > 0)
+                grams = w.grams(self.window)[starts]
+                starts, grams = (x[_member(grams, self.windows)] for x in (starts, grams))
+                for s, k in zip(starts.tolist(), np.searchsorted(self.windows, grams).tolist(), strict=True):
+                    entry, q = self.entry[k], self.place[k]
+                    if [w[i] for i in range(s, s + self.window)] == self.entries[entry][q : q + self.window]:
+                        spans.append((s, s + self.window))
+                        found.append(k)
+        items = {int(e) for k in set(found) for e in self.owners[self.first[k] : self.first[k + 1]]}
+        for n, (keys, entries) in self.short.items():
             grams = w.grams(n)
             for p in np.flatnonzero(_member(grams, keys)).tolist():
-                for number in self.short[n][int(grams[p])]:
-                    if all(w[p + j] == x for j, x in enumerate(self.items[number])):
+                for e in entries[int(grams[p])]:
+                    if all(w[p + j] == x for j, x in enumerate(self.entries[e])):
                         spans.append((p, p + n))
-                        ids.add(self.ids[number])
-        return spans, ids
+                        items.add(e)
+        return spans, {i for e in items for i in self.ids[e]}
 
-    def _extend(self, w: Words, p: int, number: int, q: int) -> tuple[int, int]:
-        """The longest equal run of words through document word p and item word q; empty if these differ."""
-        item, n = self.items[number], len(w)
-        a, b = 0, 0
-        while p - a > 0 and q - a > 0 and w[p - a - 1] == item[q - a - 1]:
-            a += 1
-        while p + b < n and q + b < len(item) and w[p + b] == item[q + b]:
-            b += 1
-        return p - a, p + b
+
+def build_index(items: list[tuple[str, str | None]], gram: int = GRAM, window: int = WINDOW) -> Index:
+    texts: dict[bytes, tuple[Words, set[str]]] = {}
+    for item_id, text in items:
+        w = words_of(text)
+        if len(w):
+            texts.setdefault(b" ".join(w[i] for i in range(len(w))), (w, set()))[1].add(item_id)
+    entries, short = [w for w, _ in texts.values()], {}
+    marks, hashes, entry, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for number, w in enumerate(entries):
+        if len(w) < window:
+            short.setdefault(len(w), {}).setdefault(int(w.grams(len(w))[0]), []).append(number)
+        else:
+            marks.append(w.winnowed(gram, window)[0])
+            hashes.append(w.grams(window))
+            entry.append(np.full(len(hashes[-1]), number))
+            place.append(np.arange(len(hashes[-1])))
+    h, e, at = (np.concatenate(x) for x in (hashes, entry, place))
+    order = np.lexsort((at, e, h))
+    h, e, at = h[order], e[order], at[order]
+    once = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (e[1:] != e[:-1]))[: len(h)])
+    h, e, at = h[once], e[once], at[once]
+    windows, first = np.unique(h, return_index=True)
+    return Index(
+        gram, window, [[w[i] for i in range(len(w))] for w in entries], [sorted(ids) for _, ids in texts.values()],
+        np.unique(np.concatenate(marks)), windows, e[first], at[first], np.append(first, len(h)), e,
+        {n: (np.array(sorted(x), dtype=np.uint64), x) for n, x in short.items()},
+    )
 
 
 def _member(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -183,49 +197,55 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def build_index(items: list[tuple[str, str | None]], gram: int = GRAM, window: int = WINDOW) -> Index:
-    index = Index(gram, window)
-    for item_id, text in items:
-        index.add(item_id, text)
-    return index.close()
-
-
 HITS = "n_words long, starts array<long>, ends array<long>, items array<string>"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, starts, ends (merged hit spans in words), items (ids as text, sorted)."""
+    count, blocks = _blocks(benchmark, block_bytes)
     out = docs.select("doc_id", "text")
-    indexes = _indexes(benchmark, gram, window, block_bytes)
-    for k, index in enumerate(indexes):
-        out = _pass(out, index, first=k == 0, last=k == len(indexes) - 1)
-    return out
-
-
-def _indexes(benchmark: DataFrame, gram: int, window: int, block_bytes: int) -> list:
-    """A broadcast index for each block of the benchmark, one at least."""
-    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    size = named.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    out = []
-    for k in range(blocks):
-        rows = named.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else named
-        index = build_index([(r[0], r[1]) for r in rows.orderBy("item_id").collect()], gram, window)
-        out.append(benchmark.sparkSession.sparkContext.broadcast(index))
+    for k, items in enumerate(blocks):
+        out = _in_turn(out, lambda d, index, k=k: _pass(d, index, k == 0, k == count - 1), items, gram, window, k == count - 1)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that share no window with any item, with their columns."""
-    for index in _indexes(benchmark, gram, window, block_bytes):
+    count, blocks = _blocks(benchmark, block_bytes)
 
-        def run(rows: dict[str, list], index=index) -> dict[str, list]:
+    def free(d: DataFrame, index: Broadcast) -> DataFrame:
+        def run(rows: dict[str, list]) -> dict[str, list]:
             return {"__clean": [not index.value.hits(words_of(t))[0] for t in rows["text"]]}
 
-        docs = add_columns(docs, run, ["text"], "__clean boolean").where("__clean").drop("__clean")
+        return add_columns(d, run, ["text"], "__clean boolean").where("__clean").drop("__clean")
+
+    for k, items in enumerate(blocks):
+        docs = _in_turn(docs, free, items, gram, window, k == count - 1)
     return docs
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[DataFrame]]:
+    """How many blocks the items make, one at least, and the items of each."""
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    size = named.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    count = max(1, -(-size // block_bytes))
+    # by id and text: items of one id may be many
+    return count, (named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) if count > 1 else named for k in range(count))
+
+
+def _in_turn(docs: DataFrame, step: Callable[[DataFrame, Broadcast], DataFrame], items: DataFrame, gram: int, window: int, last: bool) -> DataFrame:
+    """docs after the step with an index of items; before another block follows, the result is written and the index dropped."""
+    index = docs.sparkSession.sparkContext.broadcast(build_index([(r[0], r[1]) for r in items.collect()], gram, window))
+    out = step(docs, index)
+    if last:
+        return out
+    out = stored(out)
+    index.unpersist()
+    if hasattr(docs, "stored_at"):
+        removed(docs)
+    return out
+
+
 def _pass(docs: DataFrame, index, first: bool, last: bool) -> DataFrame:
     def run(rows: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"doc_id": rows["doc_id"], "text": rows["text"], "n_words": [], "starts": [], "ends": [], "items": []}

@@ -8,8 +8,8 @@ Text runs of elements with a content marginal of at least one half are joined in
 Labelled pages come from html_pages.labelled_pages(): layouts with every kind of boilerplate, with and without the
 semantic elements, so that names, places, links and text shape all carry weight.
 
-Edge cases: null, empty and broken pages give an empty text or what can be read; scripts, styles, comments and hidden
-markup never count; long and deep pages cost time in proportion; repeated rows give repeated results; an empty table
+Edge cases: null, empty and broken pages give an empty text or what can be read; scripts, styles, comments and templates
+never count, elements that readers do not see are one kind of boilerplate; long and deep pages cost time in proportion; repeated rows give repeated results; an empty table
 gives an empty table; extra columns are ignored.
 """
 

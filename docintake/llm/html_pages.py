@@ -73,7 +73,13 @@ def _share(r: random.Random) -> str:
     return r.choice([f'<div class="share">{_links(r, 3)}</div>', f'<ul class="social"><li><a href=#>{_words(r, 1)}</a></li></ul>', f'<div class="tags"><a href=#>{_words(r, 1)}</a></div>'])
 
 
-EXTRAS = (_menu, _header, _footer, _advert, _notice, _side, _form, _comments, _share)
+def _hidden(r: random.Random) -> str:
+    """An element that readers do not see."""
+    how = r.choice(["hidden", 'style="display: none"', 'style="visibility:hidden"', 'aria-hidden="true"', 'class="sr-only"', 'class="visually-hidden"'])
+    return r.choice([f"<p {how}>{_words(r, r.randint(3, 40))}</p>", f"<div {how}><p>{_words(r, r.randint(3, 60))}</p></div>"])
+
+
+EXTRAS = (_menu, _header, _footer, _advert, _notice, _side, _form, _comments, _share, _hidden)
 
 
 def _block(r: random.Random) -> str:
@@ -106,7 +112,7 @@ def _page(r: random.Random) -> str:
     inside = [f"<h1>{_words(r, r.randint(2, 9))}</h1>"] if r.random() < 0.9 else []
     inside += [_block(r) for _ in range(r.randint(1, 12))]
     for _ in range(r.choice([0, 0, 1, 2])):
-        inside.insert(r.randint(1, len(inside)), _unmarked(r.choice((_advert, _side, _form, _share, _notice, _comments, _menu, _footer))(r)))
+        inside.insert(r.randint(1, len(inside)), _unmarked(r.choice((_advert, _side, _form, _share, _notice, _comments, _menu, _footer, _hidden))(r)))
     body = "".join(inside)
     article = r.choice([f'<article data-y="1">{body}</article>'] * 4 + [f'<main data-y="1">{body}</main>', f'<main><article data-y="1">{body}</article></main>', f'<div data-y="1" class="{r.choice(["content", "post", "entry-content", "article-body", "main-text", "story"])}">{body}</div>', f'<div data-y="1" id="{r.choice(["content", "main", "article"])}">{body}</div>', f'<div data-y="1">{body}</div>'])
     before = [_unmarked(f(r)) for f in r.sample([_menu, _header, _notice, _advert, _form, _side], r.randint(0, 4))]

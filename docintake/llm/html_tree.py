@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -13,9 +15,9 @@ BLOCKS = frozenset(
     "summary dialog address center hgroup menu search output".split()
 )
 #: Elements whose content is never text of the page.
-SILENT = frozenset("script style noscript template head title iframe svg math object canvas audio video".split())
+SILENT = frozenset("script style template head title iframe".split())
 #: Silent elements whose content is raw up to their own end tag, whatever it looks like.
-RAW = frozenset("script style title textarea iframe noscript".split())
+RAW = frozenset("script style title iframe".split())
 #: An open element of the second kind ends where one of the first kind starts.
 _P_ENDS = BLOCKS - {"label", "button", "output", "legend", "caption", "summary", "figcaption"} - {"html", "body"}
 CLOSED_BY = {"p": _P_ENDS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
@@ -24,7 +26,12 @@ FENCES = {"p": {"td", "th", "li", "dd", "div", "article", "section", "body", "bl
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][-\w:.@]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-BREAKS = frozenset(("br", "hr", "wbr", "img", "input"))
+#: Elements that part words; all other inline elements, `wbr` and `img` too, leave the text around them joined.
+BREAKS = frozenset(("br", "hr"))
+
+
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE) for tag in RAW}
+HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 @dataclass
@@ -38,12 +45,16 @@ class Page:
 
 
 def read(html: str | None) -> Page:
+    """The page in time proportional to its length: open elements are found by name, never by walking the stack."""
     page, html = Page(), html or ""
     stack: list[int] = [0]
     names: list[str] = ["#root"]
+    #: Places in the stack of the open elements of each name.
+    open_at: defaultdict[str, list[int]] = defaultdict(list)
     pieces: list[str] = []
-    silent: list[str] = []
+    silent = {tag: 0 for tag in SILENT - RAW}
     link, linked, at, n = 0, False, 0, len(html)
+    last = html.rfind(">")
 
     def flush() -> None:
         nonlocal linked
@@ -56,19 +67,26 @@ def read(html: str | None) -> Page:
 
     def close(depth: int) -> None:
         flush()
+        for name in names[depth:]:
+            open_at[name].pop()
         del stack[depth:], names[depth:]
 
+    def innermost(tags: Iterable[str]) -> int:
+        return max((open_at[t][-1] for t in tags if open_at[t]), default=0)
+
     while at < n:
         start = html.find("<", at)
         if start < 0:
             start = n
-        if start > at and not silent:
+        quiet = any(silent.values())
+        if start > at and not quiet:
             pieces.append(html[at:start])
         if start == n:
             break
-        m = TOKEN.match(html, start)
+        # beyond the last > there is no tag, but perhaps an open comment
+        m = TOKEN.match(html, start) if start < last or html.startswith(("<!", "<?"), start) else None
         if not m:
-            if not silent:
+            if not quiet:
                 pieces.append("<")
             at = start + 1
             continue
@@ -77,19 +95,17 @@ def read(html: str | None) -> Page:
             continue
         ends, tag = bool(m[1]), m[2].lower()
         if tag in SILENT:
-            if ends:
-                if tag in silent:
-                    del silent[len(silent) - 1 - silent[::-1].index(tag) :]
-            elif not m[3].endswith("/"):
-                if tag in RAW:
-                    stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(html, at)
-                    at = stop.end() if stop else n
-                else:
-                    silent.append(tag)
+            if tag in RAW and not ends and not m[3].endswith("/"):
+                stop = RAW_END[tag].search(html, at)
+                at = stop.end() if stop else n
+            elif tag in silent and not m[3].endswith("/"):
+                silent[tag] = max(0, silent[tag] + (-1 if ends else 1))
             continue
+        if tag in BLOCKS and not silent["template"]:
+            silent["head"] = 0
         if tag == "body":
-            silent.clear()
-        if silent:
+            silent["template"] = 0
+        if any(silent.values()):
             continue
         if tag in BREAKS:
             pieces.append(" ")
@@ -100,8 +116,8 @@ def read(html: str | None) -> Page:
             linked = linked or link > 0
         elif tag in BLOCKS:
             if ends:
-                if tag in names:
-                    close(len(names) - 1 - names[::-1].index(tag))
+                if open_at[tag]:
+                    close(open_at[tag][-1])
                 elif tag == "p":
                     flush()
                 link = 0
@@ -109,17 +125,27 @@ def read(html: str | None) -> Page:
                 continue
             flush()
             for open_tag, starters in CLOSED_BY.items():
-                if tag in starters:
-                    for depth in range(len(names) - 1, 0, -1):
-                        if names[depth] == open_tag:
-                            close(depth)
-                            break
-                        if names[depth] in FENCES[open_tag]:
-                            break
+                if tag in starters and open_at[open_tag] and open_at[open_tag][-1] > innermost(FENCES[open_tag]):
+                    close(open_at[open_tag][-1])
             page.parent.append(stack[-1])
             page.tag.append(tag)
-            page.marks.append(" ".join(v.strip("\"'").lower() if v else k.lower() for k, v in ATTRIBUTE.findall(m[3]) if k.lower() in ("class", "id", "role", "hidden", "aria-label", "aria-hidden", "itemprop")) if m[3] else "")
+            page.marks.append(marks_of(m[3]) if m[3] else "")
             stack.append(len(page.parent) - 1)
+            open_at[tag].append(len(names))
             names.append(tag)
     flush()
     return page
+
+
+def marks_of(attributes: str) -> str:
+    """What the attributes say about an element; a style that hides it counts as the word hidden."""
+    out = []
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "style":
+            out.append("hidden" if HIDES.search(value) else "")
+        elif name == "aria-hidden":
+            out.append("hidden" if value == "true" else "")
+        elif name in ("class", "id", "role", "hidden", "aria-label", "itemprop"):
+            out.append(value or name)
+    return " ".join(out)

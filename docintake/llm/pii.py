@@ -4,11 +4,15 @@ Base kinds are `email`, `ip`, `card` and `phone`. Java's matcher gives no offset
 pattern and matched with it; offsets are running sums of the lengths of the alternating pieces.
 
 Information-theoretic part (kind `term`): each base span is an occurrence of a protected entity (its normalised value).
-The words in a context around it co-occur with it. With P(t|e) the share of different contexts of entity e that hold
-term t and P(t) the share of documents that hold it, t discloses log2(P(t|e) / P(t)) bits of the -log2 P(e) bits that the
-entity carries; from DISCLOSED of them on, with at least SUPPORT different contexts, the term is marked in the documents
-that mention the entity. Contexts count once per wording, so copies are no evidence. Contexts bound the pairs by the
-number of spans, so no document or entity makes pairs of everything with everything.
+The words in a context around it co-occur with it, those of other base spans left out. With P(t|e) the share of
+different contexts of entity e that hold term t and P(t) the share of documents that hold it, t discloses
+log2(P(t|e) / P(t)) bits of the -log2 P(e) bits that the entity carries; a term that gives away DISCLOSED of them, with
+at least SUPPORT different contexts, is marked wherever it occurs, since it points to the entity in documents that do
+not name it too. Contexts count once per wording, so copies are no evidence. Contexts bound the pairs by the number of
+spans, so no document or entity makes pairs of everything with everything.
+
+Texts stay where they are: spans are made in place, and what is shuffled are contexts and counts. Up to MOST_TERMS
+candidates are looked up in place as well; more of them meet the exploded words of the corpus by a join.
 
 Edge cases: null and empty texts have no spans; overlapping spans of different kinds all stay, the sanitised text
 replaces their union; repeated rows give repeated results; a null doc_id keeps its row; an empty table gives an empty
@@ -22,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_key
+from .common import join_hot, removed, stored, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -40,18 +44,25 @@ VALID_IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
 WORD = r"[\p{L}\p{N}]+"
 
-#: Characters on each side of a span that form its context.
+#: Characters on each side of a span that form its context; words cut by the limit do not count.
 CONTEXT = 80
 #: Different contexts of an entity that must hold a term, share of its bits that a term may not reach, and the least
 #: share of the entity's contexts that hold the term.
 SUPPORT = 3
 DISCLOSED = 0.8
 ALWAYS = 0.5
+#: Terms that are looked up in place, as part of the expression; with more of them words are joined.
+MOST_TERMS = 5_000
 
 CHUNK = 256
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fold(items: Column, state: Column, out_type: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     """Running fold over an array that emits one element per item: step(state, item) -> (new state, element).
 
@@ -95,8 +106,15 @@ def valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, found, before, after>> of all matches, `before` and `after` being the texts between them."""
+def nearby(piece: Column, last: bool) -> Column:
+    """The last or first CONTEXT characters of a text between spans, without a word that the limit cuts."""
+    cut = F.right(piece, F.lit(CONTEXT)) if last else F.left(piece, F.lit(CONTEXT))
+    whole = F.regexp_replace(cut, rf"^{WORD}" if last else rf"{WORD}$", "")
+    return F.when(F.length(piece) > CONTEXT, whole).otherwise(cut)
+
+
+def located(text: Column, pattern: str, contexts: bool = False) -> Column:
+    """array<struct<start, end, found>> of all matches; with `contexts`, also what stands `before` and `after` each."""
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     starts = fold(
         F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m"))),
@@ -104,102 +122,126 @@ def located(text: Column, pattern: str) -> Column:
         "bigint",
         lambda at, x: (at + x["p"] + x["m"], at + x["p"]),
     )
-    rows = F.arrays_zip(starts.alias("start"), matches.alias("found"), F.slice(pieces, 1, F.size(matches)).alias("before"), F.slice(pieces, 2, F.size(matches)).alias("after"))
-    return F.transform(
-        rows,
-        lambda r: F.struct(
-            r["start"].alias("start"), (r["start"] + F.length(r["found"])).alias("end"), r["found"].alias("found"),
-            F.right(r["before"], F.lit(CONTEXT)).alias("before"), F.left(r["after"], F.lit(CONTEXT)).alias("after"),
-        ),
-    )
+    around = [F.slice(pieces, 1, F.size(matches)).alias("before"), F.slice(pieces, 2, F.size(matches)).alias("after")]
+    rows = F.arrays_zip(starts.alias("start"), matches.alias("found"), *(around if contexts else ()))
+
+    def row(r: Column) -> Column:
+        near = [nearby(r["before"], last=True).alias("before"), nearby(r["after"], last=False).alias("after")] if contexts else []
+        return F.struct(r["start"].alias("start"), (r["start"] + F.length(r["found"])).alias("end"), r["found"].alias("found"), *near)
 
+    return F.transform(rows, row)
 
-def base_spans(text: Column, kind: str) -> Column:
-    """array<struct<kind, start, end, value, context>> of the valid matches of one kind, by start."""
+
+def base_spans(text: Column, kind: str, contexts: bool = False) -> Column:
+    """array<struct<kind, start, end>> of the valid matches of one kind, by start; with `contexts`, also `value` and `context`."""
     sign = SIGNS[kind]
-    empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string,context:string>>")
-    found = F.transform(
-        F.filter(located(text, PATTERNS[kind]), lambda r: valid(kind, r["found"])),
-        lambda r: F.struct(
-            F.lit(kind).alias("kind"), r["start"].alias("start"), r["end"].alias("end"),
-            (F.lower(r["found"]) if kind == "email" else F.regexp_replace(r["found"], "[^0-9.]" if kind == "ip" else "[^0-9]", "")).alias("value"),
-            F.concat_ws(" ", r["before"], r["after"]).alias("context"),
-        ),
-    )
+    more = "value:string,context:string," if contexts else ""
+    empty = F.array().cast(f"array<struct<{more}kind:string,start:bigint,end:bigint>>")
+
+    def row(r: Column) -> Column:
+        value = F.lower(r["found"]) if kind == "email" else F.regexp_replace(r["found"], "[^0-9.]" if kind == "ip" else "[^0-9]", "")
+        extra = [value.alias("value"), F.concat_ws(" ", r["before"], r["after"]).alias("context")] if contexts else []
+        return F.struct(*extra, F.lit(kind).alias("kind"), r["start"].alias("start"), r["end"].alias("end"))
+
+    found = F.transform(F.filter(located(text, PATTERNS[kind], contexts), lambda r: valid(kind, r["found"])), row)
     likely = text.contains(sign) if sign else F.lit(True)
     return F.when(likely & text.rlike(PATTERNS[kind]), found).otherwise(empty)
 
 
-def mentions(text: Column) -> Column:
-    """Whether a text has a match of any base pattern, valid or not; others have no spans of any kind."""
-    out = F.lit(False)
-    for kind, sign in SIGNS.items():
-        out = out | ((text.contains(sign) if sign else F.lit(True)) & text.rlike(PATTERNS[kind]))
-    return F.coalesce(out, F.lit(False))
+def words_of(text: Column) -> Column:
+    """The different words of a text in small letters."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def without_spans(context: Column) -> Column:
+    """A context without the personal data that stands in it, whose parts are no terms."""
+    for pattern in PATTERNS.values():
+        context = F.regexp_replace(context, pattern, " ")
+    return context
 
 
-def with_base(docs: DataFrame) -> DataFrame:
-    """docs plus text_key and the arrays of base spans `email`, `ip`, `card`, `phone`."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(entity, context): one row for each base span, and one without a context for each entity that a document names."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("text_key", text_key()).withColumns({k: base_spans(text, k) for k in KINDS})
+    found = F.concat(*[base_spans(text, k, contexts=True) for k in KINDS])
+    named = F.transform(found, lambda s: F.struct(F.xxhash64(s["kind"], s["value"]).alias("entity"), without_spans(s["context"]).alias("context")))
+    none = F.lit(None).cast("string").alias("context")
+    rows = let(named, lambda s: F.concat(s, F.transform(F.array_distinct(s["entity"]), lambda e: F.struct(e.alias("entity"), none))))
+    return docs.select(F.explode(rows).alias("s")).select("s.entity", "s.context")
 
 
-def disclosive(base: DataFrame, docs: DataFrame, total: int, support: int = SUPPORT, disclosed: float = DISCLOSED, always: float = ALWAYS) -> DataFrame | None:
-    """(entity, term, bits, share): terms that give away at least `disclosed` of an entity's bits; None if there are none.
+def disclosive(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED, always: float = ALWAYS, most_terms: int = MOST_TERMS) -> DataFrame:
+    """(entity, term, bits, share): terms that give away at least `disclosed` of the bits of an entity.
 
-    Entities and terms are grouped by value with map-side counts; the document counts of terms are taken over all
-    documents, but only for terms that are candidates.
+    Pairs are counted map-side before they are shuffled. The document counts of terms are taken over all documents.
     """
-    seen = base.select("doc_id", "text_key", F.explode(F.concat(*[F.col(k) for k in KINDS])).alias("s")).select(
-        "doc_id", "text_key", F.xxhash64("s.kind", "s.value").alias("entity"), "s.context", F.xxhash64("s.context").alias("wording")
-    )
-    wordings = seen.groupBy("entity", "wording").agg(F.min("context").alias("context"))
+    seen = stored(occurrences(docs))
+    wordings = seen.where("context is not null").distinct()
     known = wordings.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    terms = (
-        wordings.join(known, "entity")
-        .select("entity", "n_e", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("context"), F.lit(WORD), F.lit(0)))).alias("term"))
-        .groupBy("entity", "n_e", "term")
-        .agg(F.count("*").alias("n_te"))
-        .where((F.col("n_te") >= support) & (F.col("n_te") >= always * F.col("n_e")))
-    )
-    terms = stored(terms)
-    if not terms.take(1):
-        return None
-    # counted before the join: what is shuffled is one number per word and partition, not every word of every document
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    n_t = words.groupBy(F.xxhash64("term").alias("term_key")).agg(F.count("*").alias("n_t"))
-    n_docs = seen.join(terms.select("entity").distinct(), "entity", "left_semi").select("entity", "doc_id", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_d"))
-    scored = terms.withColumn("term_key", F.xxhash64("term")).join(n_t, "term_key").join(n_docs, "entity")
+    named = seen.where("context is null").groupBy("entity").agg(F.count("*").alias("n_d"))
+    pairs = wordings.select("entity", F.explode(words_of(F.col("context"))).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    candidates = stored(pairs.join(known, "entity").where(F.col("n_te") >= always * F.col("n_e")).join(named, "entity"))
+    removed(seen)
+    # a common word is a candidate of most entities, hence a hot key
+    terms = stored(candidates.groupBy("term").agg(F.count("*").alias("n_c")))
+    counted = docs.select(F.explode(_only(words_of(F.col("text")), listed(terms, most_terms))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    total = max(docs.count(), 1)
     bits = F.log2((F.col("n_te") / F.col("n_e")) / (F.col("n_t") / F.lit(total)))
     carried = F.greatest(-F.log2(F.col("n_d") / F.lit(total)), F.lit(1.0))
-    return stored(scored.select("entity", "term", bits.alias("bits"), (bits / carried).alias("share")).where(F.col("share") >= disclosed))
+    facts = stored(terms.join(counted, "term"))
+    scored = join_hot(candidates, facts, "term", candidates.count(), "n_c").select("entity", "term", bits.alias("bits"), (bits / carried).alias("share"))
+    return stored(scored.where(F.col("share") >= disclosed))
 
 
-def term_spans(docs: DataFrame, base: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, text_key, term array of spans) for the documents that mention an entity with disclosive terms."""
-    seen = base.select("doc_id", "text_key", F.explode(F.concat(*[F.col(k) for k in KINDS])).alias("s")).select(
-        "doc_id", "text_key", F.xxhash64("s.kind", "s.value").alias("entity")
-    )
-    hits = seen.distinct().join(terms.select("entity", "term"), "entity").groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("terms"))
-    texts = docs.where(mentions(F.col("text"))).select("doc_id", "text", text_key().alias("text_key"))
-    joined = texts.join(hits.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_key", "__key"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")))
-    marked = F.filter(located(F.col("text"), WORD), lambda r: F.array_contains(F.col("terms"), F.lower(r["found"])))
-    spans = F.transform(marked, lambda r: F.struct(F.lit("term").alias("kind"), r["start"].alias("start"), r["end"].alias("end")))
-    return joined.select("doc_id", "text_key", spans.alias("term")).dropDuplicates(["doc_id", "text_key"])
+def listed(terms: DataFrame, most: int) -> list[str] | None:
+    """The terms, or None if there are more than `most`."""
+    found = [r[0] for r in terms.select("term").distinct().limit(most + 1).collect()]
+    return sorted(found) if len(found) <= most else None
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and five span arrays: email, ip, card, phone, term (struct<kind, start, end>, code points)."""
-    base = stored(with_base(docs.select("doc_id", "text")).drop("text"))
-    plain = [F.transform(k, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS]
-    found = base.select("doc_id", "text_key", *plain)
-    terms = disclosive(base, docs, max(base.count(), 1))
-    none = F.array().cast(f"array<{SPAN}>")
+def _only(words: Column, terms: list[str] | None) -> Column:
+    if terms is None:
+        return words
+    return F.filter(words, lambda w: w.isin(terms)) if terms else F.array().cast("array<string>")
+
+
+def marked_terms(text: Column, is_term: Callable[[Column], Column]) -> Column:
+    """array<struct<kind, start, end>> of the words of text that are terms."""
+    marked = F.filter(located(text, WORD), lambda r: is_term(F.lower(r["found"])))
+    return F.transform(marked, lambda r: F.struct(F.lit("term").alias("kind"), r["start"].alias("start"), r["end"].alias("end")))
+
+
+def with_spans(docs: DataFrame, most_terms: int = MOST_TERMS) -> DataFrame:
+    """docs with the struct column `__spans` of five arrays email, ip, card, phone, term (struct<kind, start, end>, code points)."""
+    text = F.coalesce("text", F.lit(""))
+    found = disclosive(docs, most_terms=most_terms)
+    terms, none = listed(found, most_terms), F.array().cast(f"array<{SPAN}>")
     if terms is None:
-        return found.withColumn("term", none)
-    extra = term_spans(docs, base, terms).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "term")
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
-    return found.join(extra, on, "left").select("doc_id", "text_key", *KINDS, F.coalesce("term", none).alias("term"))
+        docs = _holding(docs, found.select("term").distinct())
+        term = F.when(F.size("__terms") > 0, marked_terms(text, lambda w: F.array_contains(F.col("__terms"), w))).otherwise(none)
+    elif terms:
+        term = F.when(F.exists(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w).isin(terms)), marked_terms(text, lambda w: w.isin(terms))).otherwise(none)
+    else:
+        term = none
+    plain = [base_spans(text, k).alias(k) for k in KINDS]
+    return docs.withColumn("__spans", F.struct(*plain, term.alias("term"))).drop("__terms")
+
+
+def _holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """docs with `__terms`, the terms that each row holds, for more terms than fit an expression: words meet terms by a join."""
+    keyed = docs.withColumn("__own", text_key())
+    words = keyed.select("doc_id", "__own", F.explode(words_of(F.col("text"))).alias("term"))
+    hits = words.join(terms, "term").groupBy("doc_id", "__own").agg(F.collect_set("term").alias("__terms"))
+    hits = hits.withColumnsRenamed({"doc_id": "__id", "__own": "__key"})
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
+    none = F.array().cast("array<string>")
+    return keyed.join(hits, same, "left").withColumn("__terms", F.coalesce("__terms", none)).drop("__own", "__id", "__key")
+
+
+def spans(docs: DataFrame, most_terms: int = MOST_TERMS) -> DataFrame:
+    """doc_id, text_key and five span arrays: email, ip, card, phone, term (struct<kind, start, end>, code points)."""
+    found = with_spans(docs.select("doc_id", "text"), most_terms)
+    return found.select("doc_id", text_key().alias("text_key"), *[F.col(f"__spans.{k}") for k in (*KINDS, "term")])
 
 
 def generalised(kind: Column) -> Column:
@@ -232,18 +274,11 @@ def replaced(text: Column, marks: Column) -> Column:
     return F.when(F.size(marks) > 0, F.concat(body, tail)).otherwise(text)
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+def sanitise(docs: DataFrame, most_terms: int = MOST_TERMS) -> DataFrame:
     """docs with the spans of text generalised or removed and n_chars (if there is one) counted anew; null texts stay null."""
-    found = spans(docs).dropDuplicates(["doc_id", "text_key"])
-    marks = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.concat(*KINDS, "term").alias("__marks")).where(F.size("__marks") > 0)
-    # texts without any match are neither shuffled nor joined
-    likely = mentions(F.col("text"))
-    keyed = docs.where(likely).withColumn("__own", text_key())
-    joined = keyed.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
-    joined = joined.withColumn("text", F.when(F.col("__marks").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("__marks"))))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"]))
-    rest = docs.where(~likely)
+    found = with_spans(docs, most_terms)
+    clean = let(F.concat(*[F.col(f"__spans.{k}") for k in (*KINDS, "term")]), lambda marks: F.when(F.size(marks) > 0, replaced(F.col("text"), marks)).otherwise(F.col("text")))
+    out = found.withColumn("text", F.when(F.col("text").isNotNull(), clean))
     if "n_chars" in docs.columns:
-        rest = rest.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"]))
-    return joined.select(*docs.columns).union(rest.select(*docs.columns))
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)

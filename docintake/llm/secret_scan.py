@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -90,12 +91,37 @@ def reaches(word: str, width: int = WINDOW) -> bool:
     return False
 
 
-def proven(text: str) -> list[tuple[int, int]]:
-    """Spans of URLs without user information and of e-mail addresses."""
-    logins = [m.span() for m in USER_INFO.finditer(text)] if "://" in text and "@" in text else []
-    found = [m.span() for m in URL.finditer(text)] if "://" in text else []
-    found += [m.span() for m in EMAIL.finditer(text)] if "@" in text else []
-    return [(s, e) for s, e in found if not any(a < e and s < b for a, b in logins)]
+class Places:
+    """Disjoint spans in order, asked by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts, self.ends = [s for s, _ in spans], [e for _, e in spans]
+
+    def touch(self, start: int, end: int) -> bool:
+        i = bisect_right(self.ends, start)
+        return i < len(self.starts) and self.starts[i] < end
+
+    def hold(self, start: int, end: int) -> bool:
+        i = bisect_right(self.starts, start) - 1
+        return i >= 0 and end <= self.ends[i]
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with overlapping ones made one."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def proven(text: str) -> list[Places]:
+    """Places of URLs without user information, and of e-mail addresses."""
+    logins = Places([m.span() for m in USER_INFO.finditer(text)] if "://" in text and "@" in text else [])
+    kinds = [p.finditer(text) for sign, p in (("://", URL), ("@", EMAIL)) if sign in text]
+    return [Places([m.span() for m in found if not logins.touch(*m.span())]) for found in kinds]
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
@@ -106,7 +132,7 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
         if word.isdigit() or any(p.fullmatch(word) for p in ALLOW) or not reaches(word):
             continue
         harmless = proven(text) if harmless is None else harmless
-        if not any(s <= m.start() and m.end() <= e for s, e in harmless):
+        if not any(p.hold(*m.span()) for p in harmless):
             found.append(m.span())
     return found
 
@@ -119,8 +145,8 @@ def scan_text(text: str) -> list[tuple[int, int, int]]:
     # a run of 24 and more found from the left is the same maximal run that [0-9a-f]+ finds
     spans += [(m.start(), 2, m.end()) for m in HEX_LONG.finditer(text)]
     base = sorted(spans)
-    taken = [(s, e) for s, _, e in base]
-    extra = [(s, 3, e) for s, e in entropy_spans(text) if not any(a < e and s < b for a, b in taken)]
+    taken = Places(joined([(s, e) for s, _, e in base]))
+    extra = [(s, 3, e) for s, e in entropy_spans(text) if not taken.touch(s, e)]
     return sorted(base + extra)
 
 
