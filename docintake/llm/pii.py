@@ -69,19 +69,21 @@ def fold(items: Column, state: Column, out_type: str, step: Callable[[Column, Co
     Goes in chunks, since appending to one growing array would copy it for every item.
     """
     none = F.array().cast(f"array<{out_type}>")
-    start = F.struct(state.alias("s"), none.alias("out"))
+    nested = F.array().cast(f"array<array<{out_type}>>")
 
     def within(acc: Column, x: Column) -> Column:
         new, element = step(acc["s"], x)
         return F.struct(new.alias("s"), F.concat(acc["out"], F.array(element)).alias("out"))
 
-    def over(acc: Column, at: Column) -> Column:
-        chunk = F.slice(items, at * CHUNK + 1, F.lit(CHUNK))
-        inner = F.aggregate(chunk, F.struct(acc["s"].alias("s"), none.alias("out")), within)
-        return F.transform(F.array(inner), lambda i: F.struct(i["s"].alias("s"), F.concat(acc["out"], i["out"]).alias("out")))[0]
+    def whole(rows: Column) -> Column:
+        def over(acc: Column, at: Column) -> Column:
+            inner = F.aggregate(F.slice(rows, at * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["s"].alias("s"), none.alias("out")), within)
+            return let(inner, lambda i: F.struct(i["s"].alias("s"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
 
-    chunks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))
-    return F.when(F.size(items) > 0, F.aggregate(chunks, start, over)["out"]).otherwise(none)
+        chunks = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int"))
+        return F.when(F.size(rows) > 0, F.flatten(F.aggregate(chunks, F.struct(state.alias("s"), nested.alias("out")), over)["out"])).otherwise(none)
+
+    return let(items, whole)
 
 
 def luhn(digits: Column) -> Column:
@@ -115,21 +117,21 @@ def nearby(piece: Column, last: bool) -> Column:
 
 def located(text: Column, pattern: str, contexts: bool = False) -> Column:
     """array<struct<start, end, found>> of all matches; with `contexts`, also what stands `before` and `after` each."""
-    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    starts = fold(
-        F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m"))),
-        F.lit(0).cast("bigint"),
-        "bigint",
-        lambda at, x: (at + x["p"] + x["m"], at + x["p"]),
-    )
-    around = [F.slice(pieces, 1, F.size(matches)).alias("before"), F.slice(pieces, 2, F.size(matches)).alias("after")]
-    rows = F.arrays_zip(starts.alias("start"), matches.alias("found"), *(around if contexts else ()))
 
     def row(r: Column) -> Column:
         near = [nearby(r["before"], last=True).alias("before"), nearby(r["after"], last=False).alias("after")] if contexts else []
         return F.struct(r["start"].alias("start"), (r["start"] + F.length(r["found"])).alias("end"), r["found"].alias("found"), *near)
 
-    return F.transform(rows, row)
+    def placed(x: Column) -> Column:
+        pieces, matches = x["pieces"], x["matches"]
+        before = F.slice(pieces, 1, F.size(matches))
+        lengths = F.zip_with(before, matches, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m")))
+        starts = fold(lengths, F.lit(0).cast("bigint"), "bigint", lambda at, n: (at + n["p"] + n["m"], at + n["p"]))
+        around = [before.alias("before"), F.slice(pieces, 2, F.size(matches)).alias("after")]
+        return F.transform(F.arrays_zip(starts.alias("start"), matches.alias("found"), *(around if contexts else ())), row)
+
+    parts = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"))
+    return let(parts, placed)
 
 
 def base_spans(text: Column, kind: str, contexts: bool = False) -> Column:
@@ -265,13 +267,13 @@ def replaced(text: Column, marks: Column) -> Column:
             ),
         ),
     )
-    chars = F.split(text, "")
-    body = F.array_join(
-        F.transform(pieces, lambda p: F.concat(F.array_join(F.slice(chars, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")), ""), p["label"])), ""
-    )
+    def cut(x: Column) -> Column:
+        slices = F.transform(x["pieces"], lambda p: F.concat(F.array_join(F.slice(x["chars"], (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")), ""), p["label"]))
+        return F.concat(F.array_join(slices, ""), F.substr(text, (x["last"] + 1).cast("int"), F.length(text)))
+
     last = F.array_max(F.transform(marks, lambda s: s["end"]))
-    tail = F.substr(text, (last + 1).cast("int"), F.length(text))
-    return F.when(F.size(marks) > 0, F.concat(body, tail)).otherwise(text)
+    parts = F.struct(F.split(text, "").alias("chars"), pieces.alias("pieces"), last.alias("last"))
+    return F.when(F.size(marks) > 0, let(parts, cut)).otherwise(text)
 
 
 def sanitise(docs: DataFrame, most_terms: int = MOST_TERMS) -> DataFrame:

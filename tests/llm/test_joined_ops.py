@@ -209,11 +209,13 @@ def test_terms_that_reveal(spark):
     filler = lambda: " ".join(rng.choice([f"word{i}" for i in range(60)], 12))
     rows = [(i, f"{filler()} Zebrano called ann@x.org about {filler()}") for i in range(6)]
     rows += [(i, f"{filler()} with bob{i}@x.org and {filler()}") for i in range(10, 60)] + [(i, filler()) for i in range(100, 200)]
+    rows.append((9, "nobody but ZEBRANO is named here"))  # points to the address without it
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: [(s.start, s.end) for s in r.term] for r in pii.spans(docs).collect()}
-    for i, text in rows:
-        words = [text[a:b] for a, b in found[i]]
-        assert ("Zebrano" in words) == (i < 6) and not any(w.startswith("word") for w in words)
+    for most in (pii.MOST_TERMS, 0):  # terms looked up in place, and joined
+        found = {r.doc_id: [(s.start, s.end) for s in r.term] for r in pii.spans(docs, most).collect()}
+        for i, text in rows:
+            words = [text[a:b].lower() for a, b in found[i]]
+            assert ("zebrano" in words) == (i < 10) and not any(w.startswith("word") for w in words)
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert all("Zebrano" not in clean[i] and "[EMAIL]" in clean[i] for i in range(6)) and all(clean[i] == t for i, t in rows if i >= 100)
     copies = spark.createDataFrame([(i, "same odd context ann@x.org of a copied text") for i in range(20)], "doc_id long, text string")
@@ -287,6 +289,8 @@ PAGES = {
     "<body><nav><a href=x>Menu</a></nav><article><h1>T&eacute;st &amp; more</h1><p>One <b>bo</b>ld\n\t line.<br>Next<p>Two, three.</article><footer>Foot</footer>": "Tést & more One bold line. Next Two, three.",
     "<article><p>Text with 1 < 2 and a&nbsp;b.</p><script>var a='</p><p>no</p>';</script><style>p{}</style><!-- <p>gone</p> --><p>Last one.</p></article>": "Text with 1 < 2 and a b. Last one.",
     "<article><p>Body of the article, long enough to count.</p><form><p>Subscribe now</p></form><div class='comments'><p>First!</p></div></article>": "Body of the article, long enough to count.",
+    "<article><p>super<wbr>long a<img src=x>b and <math><mi>x</mi></math>y, written by hand.</p><noscript><p>Kept as well, no script.</p></noscript></article>": "superlong ab and xy, written by hand. Kept as well, no script.",
+    "<article><h1>A title</h1><p>Seen by every reader of this page, all of it.</p><p style='display:none'>Not seen by anybody here.</p><p>More of the text that readers see.</p></article>": "A title Seen by every reader of this page, all of it. More of the text that readers see.",
     "": "",
     "<<<>>": None,
     "<div>" * 3000 + "deep": None,

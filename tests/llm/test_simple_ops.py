@@ -250,3 +250,37 @@ def test_mil_gradients():
         down = loss()
         p[i] = keep
         assert abs((up - down) / 2e-5 - g[i]) < 1e-6
+
+
+def _takes(fn, n):
+    import time
+
+    best = min(_timed(fn, n, time) for _ in range(3))
+    return best
+
+
+def _timed(fn, n, time):
+    began = time.perf_counter()
+    fn(n)
+    return time.perf_counter() - began
+
+
+@pytest.mark.parametrize("case", ["repeated words", "deep cells", "open templates", "many secrets"])
+def test_long_texts_take_time_in_proportion(case):
+    from docintake.llm import html_tree
+
+    index = decontam.build_index([("1", "a " * 4000)])
+    fn = {
+        "repeated words": lambda n: index.hits(decontam.words_of("a " * n)),
+        "deep cells": lambda n: html_tree.read("<div>" * n + "<td>x" * n),
+        "open templates": lambda n: html_tree.read("<template>" * n + "</template>" * n + "<a " * n),
+        "many secrets": lambda n: secret_scan.scan_text("token=q9Zt4Lx8Vb2Nm6Wp0Rs5Kd7 https://x.y/z a@b.co " * (n // 4)),
+    }[case]
+    assert _takes(fn, 16_000) < 4 * _takes(fn, 8_000)  # a quadratic loop takes four times as long; noise stays below
+
+
+def test_hits_of_repeated_words_and_equal_items():
+    items = [(str(i), "a " * 30) for i in range(40)] + [("z", "a " * 12 + "b"), ("s", "a a a")]
+    for text in ("a " * 50, "a " * 9, "b " + "a " * 10 + "b"):
+        spans, ids = decontam.build_index(items).hits(decontam.words_of(text))
+        assert (len(text.split()), sum(b - a for a, b in decontam.merged(spans)), sorted(ids)) == slow_hits(text, items)
