@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docintake.llm import bpe, decontam, pii, rules_iforest, simhash
+from docintake.llm.common import removed, stored
 from docintake.llm.queries import public_vocabulary
 
 
@@ -51,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Every stage but the last is written to the shared folder before the next one reads it, and deleted after that."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            removed(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
