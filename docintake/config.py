@@ -6,9 +6,10 @@ import json
 import re
 from dataclasses import dataclass, field
 
+#: The states of a document.
 STATES = ("recebido", "processando", "em_revisao", "concluido", "quarentena", "falha")
 
-#: Allowed state changes; there are no loops.
+#: The allowed state changes; there are no loops.
 TRANSITIONS = {
     "recebido": ("processando", "quarentena", "falha"),
     "processando": ("em_revisao", "concluido", "quarentena", "falha"),

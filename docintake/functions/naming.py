@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 
 from .text import blank, let, strip, strip_accents
 
+#: The form of a token, characters that a file name must not hold, and reserved names.
 TOKEN = re.compile(r"\{([^{}:]+)(?::([^{}]+))?\}")
 FORBIDDEN = r'[<>:"/\\|?*]'
-RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"{d}{i}" for d in ("COM", "LPT") for i in range(1, 10)))
+RESERVED = (
+    "CON", "PRN", "AUX", "NUL", "COM1", "COM2", "COM3", "COM4", "COM5", "COM6", "COM7", "COM8", "COM9",
+    "LPT1", "LPT2", "LPT3", "LPT4", "LPT5", "LPT6", "LPT7", "LPT8", "LPT9",
+)
 
 Lookup = Callable[[str], Column]
 

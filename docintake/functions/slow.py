@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-from datetime import date
+from collections.abc import Callable, Iterator
+from datetime import date, datetime
 from decimal import Decimal, InvalidOperation
 
 import pandas as pd
 import regex
+from dateutil import parser
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Seconds that one search may take for each DEADLINE_CHARS of the text, begun ones included, before it counts as no match.
 DEADLINE = 0.25
@@ -37,40 +37,86 @@ def search_with_deadline(c: Column, pattern: str, deadline: float = DEADLINE) ->
     return found(c)
 
 
-@F.pandas_udf(StringType())
-def strip_accents(texts: pd.Series) -> pd.Series:
-    """The full compatibility decomposition without combining marks."""
-    return texts.map(lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)))
+def _matcher(pattern: str, deadline: float) -> Callable[[str | None], bool]:
+    compiled = regex.compile(pattern)
+
+    def one(text: str | None) -> bool:
+        try:
+            return bool(text is not None and compiled.fullmatch(text, timeout=deadline))
+        except TimeoutError:
+            return False
+
+    return one
+
+
+def matches_with_deadline(c: Column, pattern: str, deadline: float = DEADLINE) -> Column:
+    """Whether the whole text matches the pattern; past the deadline it does not."""
+
+    @F.pandas_udf("boolean")
+    def matched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = _matcher(pattern, deadline)
+        for batch in batches:
+            yield batch.map(one)
+
+    return matched(c)
+
+
+def _number(t: str | None) -> str | None:
+    try:
+        return None if t is None else str(Decimal(t.strip()))
+    except (InvalidOperation, ValueError):
+        return None
+
+
+#: Two days that share neither year nor month nor day: a date that takes a part from them is not complete.
+_FILLS = (datetime(2001, 2, 3), datetime(2004, 7, 9))
+
+
+def _date(t: str | None) -> str | None:
+    if t is None:
+        return None
+    try:
+        return date.fromisoformat(t).isoformat()
+    except ValueError:
+        pass
+    try:
+        found = {parser.parse(t, dayfirst=True, default=d).date().isoformat() for d in _FILLS}
+    except (ValueError, OverflowError):
+        return None
+    return found.pop() if len(found) == 1 else None
 
 
 @F.pandas_udf(StringType())
 def exotic_number(texts: pd.Series) -> pd.Series:
     """The canonical form of exponents, digits of other scripts and grouped digits; null for what is no number."""
+    return texts.map(_number)
 
-    def one(t: str | None) -> str | None:
-        try:
-            return None if t is None else str(Decimal(t.strip()))
-        except InvalidOperation:
-            return None
 
-    return texts.map(one)
+@F.pandas_udf(StringType())
+def lenient_date(texts: pd.Series) -> pd.Series:
+    """ISO text of a complete date in any ISO form, else in any common form with the day before the month."""
+    return texts.map(_date)
 
 
-_MONTHS = {m: i % 12 + 1 for i, m in enumerate("jan fev mar abr mai jun jul ago set out nov dez jan feb mar apr may jun jul aug sep oct nov dec".split())}
+@F.pandas_udf(ArrayType(StringType()))
+def exotic_numbers(rows: pd.Series) -> pd.Series:
+    """exotic_number() of each item of an array; a null array stays null."""
+    return rows.map(lambda row: None if row is None else [_number(t) for t in row])
 
 
-@F.pandas_udf(StringType())
-def lenient_date(texts: pd.Series) -> pd.Series:
-    """Day, month (number or name) and year in this order with any separators; parts may not be missing."""
+@F.pandas_udf(ArrayType(StringType()))
+def lenient_dates(rows: pd.Series) -> pd.Series:
+    """lenient_date() of each item of an array; a null array stays null."""
+    return rows.map(lambda row: None if row is None else [_date(t) for t in row])
 
-    def one(t: str | None) -> str | None:
-        m = regex.fullmatch(r"\s*(\d{1,2})\W+(?:de\s+)?(\d{1,2}|\p{L}{3,})\W+(?:de\s+)?(\d{4})\s*", (t or "").lower())
-        if not m:
-            return None
-        month = int(m[2]) if m[2].isdigit() else _MONTHS.get(m[2][:3], 0)
-        try:
-            return date(int(m[3]), month, int(m[1])).isoformat()
-        except ValueError:
-            return None
 
-    return texts.map(one)
+def all_match_with_deadline(c: Column, pattern: str, deadline: float = DEADLINE) -> Column:
+    """matches_with_deadline() of each item of an array."""
+
+    @F.pandas_udf("array<boolean>")
+    def matched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = _matcher(pattern, deadline)
+        for batch in batches:
+            yield batch.map(lambda row: None if row is None else [one(t) for t in row])
+
+    return matched(c)

@@ -28,23 +28,77 @@ def blank(c: Column) -> Column:
     return c.isNull() | (F.length(strip(c)) == 0)
 
 
+def _class(codes: list[int], gap: int = 1) -> str:
+    """The inside of a character class that holds the codes; codes at most `gap` apart make one range."""
+    runs: list[list[int]] = []
+    for code in codes:
+        if runs and code - runs[-1][1] <= gap:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs)
+
+
+#: Hangul syllables and the three rows of letters that they are made of.
+HANGUL = ("\uac00", "\ud7a3")
+LEADS, VOWELS, TAILS = [chr(0x1100 + i) for i in range(19)], [chr(0x1161 + i) for i in range(21)], ["", *(chr(0x11A8 + i) for i in range(27))]
+
+
 @cache
-def _plain_letters() -> tuple[str, str]:
-    """Characters that decompose into one base character plus marks, and these base characters."""
-    source, target = [], []
-    for code in range(0x80, 0x2000):
+def _decompositions() -> tuple[dict[str, str], dict[str, str], list[int]]:
+    """Characters whose compatibility decomposition without combining marks is one other character; those for which it
+    is none or several (Hangul left out); and the code points of combining marks."""
+    one, several, marks = {}, {}, []
+    for code in range(0x80, 0x110000):
         char = chr(code)
-        base = "".join(x for x in unicodedata.normalize("NFKD", char) if not unicodedata.combining(x))
-        if len(base) == 1 and base != char:
-            source.append(char)
-            target.append(base)
-    return "".join(source), "".join(target)
+        if unicodedata.combining(char):
+            marks.append(code)
+        elif unicodedata.decomposition(char):
+            base = "".join(x for x in unicodedata.normalize("NFKD", char) if not unicodedata.combining(x))
+            if base != char:
+                (one if len(base) == 1 else several)[char] = base
+    return one, several, marks
+
+
+def _spelt_out(c: Column) -> Column:
+    """Each character that decomposes into several replaced by them; only texts that hold some do any work."""
+    _, several, _ = _decompositions()
+    # coarse ranges are quick to test; what they hold beyond the map stays as it is
+    coarse = _class(sorted(map(ord, several)), gap=0x40) + "".join(f"{HANGUL[0]}-{HANGUL[1]}")
+    known = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in several.items())), F.lit("\x01"), F.lit("\x02"))
+
+    def letters(char: Column) -> Column:
+        i = F.ascii(char) - 0xAC00
+        at = lambda rows, j: F.element_at(F.split(F.lit(",".join(rows)), ","), j.cast("int") + 1)
+        hangul = F.concat(at(LEADS, F.floor(i / 588)), at(VOWELS, F.floor(i % 588 / 28)), at(TAILS, i % 28))
+        return F.when(char.between(*HANGUL), hangul).otherwise(F.coalesce(F.try_element_at(known, char), char))
+
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"[{coarse}]"), F.lit(0)))
+    return F.when(c.rlike(f"[{coarse}]"), F.aggregate(found, c, lambda text, char: F.replace(text, char, letters(char)))).otherwise(c)
 
 
 def strip_accents(c: Column) -> Column:
-    """Without combining marks; characters that decompose into several (ligatures, full width) stay, see slow.strip_accents."""
-    source, target = _plain_letters()
-    return F.translate(F.regexp_replace(c, r"\p{M}", ""), source, target)
+    """The full compatibility decomposition without combining marks."""
+    one, _, marks = _decompositions()
+    bare = F.regexp_replace(_spelt_out(c), rf"[\p{{M}}\p{{Cn}}&&[{_class(marks)}]]", "")
+    return F.translate(bare, "".join(one), "".join(one.values()))
+
+
+@cache
+def _digits() -> tuple[str, str, list[int]]:
+    """Decimal digits of all scripts, what they stand for, and the code points that isdigit() calls digits beyond them."""
+    plain = [chr(c) for c in range(0x80, 0x110000) if chr(c).isdecimal()]
+    return "".join(plain), "".join(str(unicodedata.decimal(c)) for c in plain), [c for c in range(0x80, 0x110000) if chr(c).isdigit() and not chr(c).isdecimal()]
+
+
+def ascii_digits(c: Column) -> Column:
+    """Decimal digits of any script as 0-9."""
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(c, *_digits()[:2])).otherwise(c)
+
+
+def other_digits() -> str:
+    """The inside of a character class of digits that are no decimal ones, superscripts for instance."""
+    return _class(_digits()[2])
 
 
 def casefold(c: Column) -> Column:

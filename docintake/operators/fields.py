@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import TemplateField
 from ..functions.text import let, norm_key
+from ..functions.validate import asked as answers_of
 from ..functions.validate import validate_field
 
 
@@ -78,12 +79,13 @@ def fill_nested(docs: DataFrame, fields: dict[int, list[TemplateField]]) -> Data
             asked = F.when(F.col("template_id") == template_id, F.array(*rows)).otherwise(asked)
     patterns = dict.fromkeys(f.regex for own in fields.values() for f in own if f.regex)
 
-    def checked(r: Column) -> Column:
-        v = validate_field(r["field_type"], r["raw"], r["required"], [(r["regex"] == p, p) for p in patterns])
+    def checked(r: Column, answers: Column) -> Column:
+        v = validate_field(r["field_type"], r["raw"], r["required"], [(r["regex"] == p, p) for p in patterns], answers)
         return let(v, lambda x: F.struct(r["name"].alias("name"), r["required"].alias("required"), *[x[n].alias(n) for n in ("valid", "raw", "normalized", "reason")]))
 
-    filled = F.transform(F.filter(asked, lambda r: r["required"] | r["raw"].isNotNull()), checked)
-    out = docs.withColumn("filled", filled)
+    present = docs.withColumn("__rows", F.filter(asked, lambda r: r["required"] | r["raw"].isNotNull()))
+    helped = present.withColumn("__answers", answers_of(F.col("__rows"), list(patterns)))
+    out = helped.withColumn("filled", F.zip_with("__rows", "__answers", checked)).drop("__rows", "__answers")
     needed, good = F.filter("filled", lambda r: r["required"]), F.filter("filled", lambda r: r["required"] & r["valid"])
     score = F.when(F.size(needed) == 0, F.lit(1.0)).otherwise(F.size(good) / F.greatest(F.size(needed), F.lit(1)))
     return out.withColumns({"score": score, "invalid_required": F.size(good) < F.size(needed)})

@@ -8,14 +8,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Automation, Rule, RuleCondition, normalize_extensions
-from ..functions.text import blank, casefold, strip, suffix
+from ..functions.text import ascii_digits, blank, casefold, let, strip, suffix
 
-NUMBER = "decimal(38,10)"
+#: A number as the text that sorts like it: its sign, the place of its first digit, its digits without zeros at both ends.
+_SHAPE = r"^([-+]?)(?:([0-9]*)\.?([0-9]*)(?:[eE]([-+]?[0-9]{1,9}))?|(?i:inf(?:inity)?))\z"
 
 
 def number(c: Column) -> Column:
-    """Text as a number that compares exactly; null for anything else (NaN and infinities compare with nothing)."""
-    return strip(c).try_cast(NUMBER)
+    """struct(sign, place, digits) of a number of any length, null for anything else; NaN compares with nothing."""
+
+    def read(x: Column) -> Column:
+        part = lambda i: F.regexp_extract(x, _SHAPE, i)
+        endless = x.rlike(r"(?i)inf")
+        digits = let(F.concat(part(2), part(3)), lambda d: F.struct(F.regexp_replace(d, r"^0+|0+\z", "").alias("kept"), (F.length(d) - F.length(F.regexp_replace(d, r"^0+", ""))).alias("zeros")))
+
+        def made(d: Column) -> Column:
+            sign = F.when(~endless & (d["kept"] == ""), 0).when(part(1) == "-", -1).otherwise(1)
+            place = F.when(endless, 1 << 40).otherwise(F.length(part(2)) - d["zeros"] + F.coalesce(F.nullif(part(4), F.lit("")).cast("long"), F.lit(0)))
+            return F.struct(sign.alias("sign"), (sign * place).cast("long").alias("place"), d["kept"].alias("digits"))
+
+        return F.when(x.rlike(_SHAPE) & (endless | x.rlike("^[-+]?\\.?[0-9]")), let(digits, made))
+
+    return let(F.replace(ascii_digits(strip(c)), F.lit("_"), F.lit("")), read)
+
+
+def compared(left: Column, right: Column) -> Column:
+    """-1, 0 or 1 for two numbers of number()."""
+    order = lambda a, b: F.when(a < b, -1).when(a > b, 1).otherwise(0)
+    digits = order(left["digits"], right["digits"]) * left["sign"]
+    return F.when(left["sign"] != right["sign"], order(left["sign"], right["sign"])).when(left["sign"] == 0, 0).when(left["place"] != right["place"], order(left["place"], right["place"])).otherwise(digits)
 
 
 def _all(parts: list[Column]) -> Column:
@@ -35,10 +56,10 @@ def evaluate_condition(value: Column, operator: str, target: str | None) -> Colu
     elif operator == "contains":
         result = casefold(value).contains(folded)
     elif operator in ("gt", "lt"):
-        left, right, text = number(value), F.lit(target).try_cast(NUMBER), strip(value)
-        as_number = left > right if operator == "gt" else left < right
+        wanted, text = (1 if operator == "gt" else -1), strip(value)
         as_text = text > target if operator == "gt" else text < target
-        result = F.when(left.isNotNull() & right.isNotNull(), as_number).otherwise(as_text)
+        both = F.struct(number(value).alias("a"), number(F.lit(target)).alias("b"))
+        result = let(both, lambda n: F.when(n["a"].isNotNull() & n["b"].isNotNull(), compared(n["a"], n["b"]) == wanted).otherwise(as_text))
     else:
         return F.lit(False)
     return F.coalesce(~blank(value) & result, F.lit(False))
@@ -83,9 +104,9 @@ def evaluate_filter(c: RuleCondition, fields: str = "fields") -> Column:
         folded = casefold(own) if c.field == "filename" and c.operator == "contains" else casefold(strip(own))
         return folded.contains(target.casefold()) if c.operator == "contains" else folded == target.casefold()
     if c.field == "size":
-        left, right = F.col("size").try_cast(NUMBER), F.lit(target).try_cast(NUMBER)
-        result = {"gt": left > right, "lt": left < right, "eq": left == right}.get(c.operator, F.lit(False))
-        return F.coalesce(result, F.lit(False))
+        wanted = {"gt": 1, "lt": -1, "eq": 0}.get(c.operator)
+        both = F.struct(number(F.col("size").cast("string")).alias("a"), number(F.lit(target)).alias("b"))
+        return F.coalesce(let(both, lambda n: F.when(n["a"].isNotNull() & n["b"].isNotNull(), compared(n["a"], n["b"]) == wanted)), F.lit(False)) if wanted is not None else F.lit(False)
     return F.lit(False)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Condition, Template
-from ..functions import slow
+from ..functions import patterns, slow
 from ..functions.text import normalize_text
 
 #: Fixed limit: length of a pattern.
@@ -33,12 +33,6 @@ def _normal(value: str) -> str:
     return " ".join(re.sub(r"[^\w\s]", " ", plain).split())
 
 
-def is_safe(pattern: str) -> bool:
-    """Whether Java's matcher takes the pattern in linear time for all we know: no nested repeats, back-references or look-around."""
-    nested = re.search(r"\((?:[^()\\]|\\.)*(?:[+*]|\{\d+,\d*\})(?:[^()\\]|\\.)*\)(?:[+*]|\{\d+,)", pattern)
-    return not (nested or re.search(r"\\[1-9k]|\(\?[=!<P]|\((?:[^()\\]|\\.)*\|(?:[^()\\]|\\.)*\)(?:[+*]|\{\d+,)", pattern))
-
-
 def condition(c: Condition) -> Column:
     """One condition on the columns of haystacks()."""
     if c.mode == "regex":
@@ -52,30 +46,13 @@ def condition(c: Condition) -> Column:
 
 
 def _regex(pattern: str) -> Column:
-    import regex
-
-    if not pattern or len(pattern) > PATTERN_LENGTH:
-        return F.lit(False)
-    try:
-        regex.compile(pattern)
-    except regex.error:
+    if not pattern or len(pattern) > PATTERN_LENGTH or not patterns.is_valid(pattern):
         return F.lit(False)
-    if is_safe(pattern) and _java_reads(pattern):
+    if patterns.is_safe(pattern) and patterns.java_reads("(?iU)" + pattern):
         return F.col("lowered").rlike("(?iU)" + pattern)
     return slow.search_with_deadline(F.col("lowered"), pattern)
 
 
-def _java_reads(pattern: str) -> bool:
-    from pyspark.sql import SparkSession
-
-    session = SparkSession.getActiveSession()
-    try:
-        session._jvm.java.util.regex.Pattern.compile("(?iU)" + pattern)
-    except Exception:  # noqa: BLE001 - whatever Java refuses goes to the helper
-        return False
-    return True
-
-
 def all_of(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(False)
 

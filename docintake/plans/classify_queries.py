@@ -59,6 +59,19 @@ def c1(t):
     return t.texts.select("document_id", F.sha2(text.normalize_text(F.coalesce("full_text", F.lit(""))), 256).alias("hash"))
 
 
+@query(
+    "c1_other_forms",
+    """SELECT document_id, CASE document_id % 3 WHEN 0 THEN lower(lang) || ' ' || regexp_extract(lower(full_text), '^[a-z]*') WHEN 1 THEN replace(replace(lower(lang), 'e', chr(4352) || chr(4449)), 'f', chr(4370) || chr(4449) || chr(4523)) ELSE replace(lower(lang), 'f', 'fi') END AS plain FROM {texts}""",
+)
+def c1_forms(t):
+    """Full-width letters, Hangul syllables and ligatures, put in place of plain letters, come back as what they stand for."""
+    low, wide = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF41 + i) for i in range(26))
+    k, lang = F.col("document_id") % 3, F.lower("lang")
+    head = F.regexp_extract(F.lower("full_text"), "^[a-z]*", 0)
+    raw = F.when(k == 0, F.translate(F.concat_ws(" ", lang, head), low, wide)).when(k == 1, F.translate(lang, "ef", "\uac00\ud55c")).otherwise(F.replace(lang, F.lit("f"), F.lit("\ufb01")))
+    return t.texts.select("document_id", text.strip_accents(raw).alias("plain"))
+
+
 @query("c2_haystacks", f"SELECT document_id, length({L}) AS lowered, length({N}) AS normalised FROM {{texts}}")
 def c2(t):
     return signals.haystacks(t.texts).select("document_id", F.length("lowered").cast("long").alias("lowered"), F.length("normalised").cast("long").alias("normalised"))
@@ -186,9 +199,10 @@ VALUES = r"""v AS (SELECT document_id, template_id, document_id % 29 = 0 AS brok
     CASE trim(urgente) WHEN 'Sim' THEN 'true' WHEN 'não' THEN 'false' END AS urgente_n FROM k)"""
 
 
-@query("f1_norm_key", "SELECT document_id, 'numero pedido' AS key, 'data emissao' AS other FROM {order_raw}")
+@query("f1_norm_key", r"SELECT document_id, trim(regexp_replace(replace(lower(strip_accents(replace(substr(full_text, 1, 60), ' ', '_ '))), 'ß', 'ss'), '[\s_]+', ' ', 'g')) AS key FROM {texts}")
 def f1(t):
-    return t.order_raw.select("document_id", text.norm_key(F.concat(F.lit(" Número_"), F.lit("PEDIDO "), F.lpad(F.lit(""), 1, " "))).alias("key"), text.norm_key(F.lit("DATA  _ Emissão")).alias("other"))
+    raw = F.replace(F.upper(F.substring("full_text", 1, 60)), F.lit(" "), F.lit("_ "))
+    return t.texts.select("document_id", text.norm_key(raw).alias("key"))
 
 
 @query("f2_pairs_map", f"WITH {VALUES} SELECT document_id, numero, valor, urgente FROM v")

@@ -15,3 +15,20 @@ def test_files_of_interleaved_times(name, order, spark, sf, duck, tmp_path):  #
     for i in range(12):
         events.iloc[i::12].to_parquet(tmp_path / "events.parquet" / f"{i:02}.parquet", coerce_timestamps="us")
     assert plain(catalog.queries()[name](spark, str(tmp_path)).toPandas()) == plain(duck.sql(catalog.oracle_sql()[name]).df())
+
+
+def test_file_stream(spark, tmp_path):
+    from docintake.streaming import ops
+
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for name, data in (("a.PDF", b"%PDF-1"), ("sub/b.jpg", b"\xff\xd8x"), ("c.txt", b"x")):
+        (tmp_path / "in" / name).write_bytes(data)
+
+    def land():
+        run = ops.file_stream(spark, str(tmp_path / "in")).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        return sorted((r.path.rsplit("/", 1)[1], r["size"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert land() == [("a.PDF", 6), ("b.jpg", 3)]
+    (tmp_path / "in" / "d.png").write_bytes(b"png!")
+    assert land() == [("a.PDF", 6), ("b.jpg", 3), ("d.png", 4)]  # each file once
