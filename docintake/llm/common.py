@@ -146,3 +146,8 @@ def labelled(labels: DataFrame, value: str, limit: int, where: F.Column | None =
     if where is not None:
         rows = rows.where(where)
     return rows.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+
+
+def one_text_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, text): of rows with equal keys the text with the least hash, whatever the partitioning."""
+    return rows.groupBy(*keys).agg(F.min_by("text", text_key()).alias("text"))

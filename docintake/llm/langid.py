@@ -21,16 +21,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, id_crc32, map_batches
+from .common import LOWER, id_crc32, map_batches, one_text_each
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 6
 
-#: Labelled documents learned from (the smallest by a hash of the id), and windows taken from each, evenly spread.
+#: Labelled documents learned from (the smallest by a hash of the id), and windows drawn from all of their texts in turn.
 LABELLED = 4_000
-WINDOWS_EACH = 4
+TRAINING_WINDOWS = 16_000
 EPOCHS = 8
 
 LETTER = regex.compile(r"\p{L}")
@@ -138,29 +138,34 @@ class Network:
         return out
 
 
-def training_windows(docs: DataFrame, limit: int, each: int) -> tuple[np.ndarray, list[str]]:
-    """Windows of at most `limit` labelled documents that are not held out, `each` per document at most."""
+def training_windows(docs: DataFrame, limit: int, most: int) -> tuple[np.ndarray, list[str]]:
+    """At most `most` windows of at most `limit` labelled documents that are not held out.
+
+    They are drawn in turn: one window of every text, then a second one of every text that has it, and so on, each text
+    giving its windows in a mixed order that covers it from start to end.
+    """
     rows = docs.where((id_crc32("doc_id") % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = rows.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(limit)
 
     def run(part: dict[str, list]) -> dict[str, list]:
-        langs, found = [], []
+        out: dict[str, list] = {"lang": [], "window": [], "turn": []}
         for lang, text in zip(part["lang"], part["text"], strict=True):
             if LETTER.search(text):
                 w = windows(text.encode().translate(LOWER))
-                for i in sorted({round(k * (len(w) - 1) / max(1, each - 1)) for k in range(each)}):
-                    langs.append(lang)
-                    found.append(w[i].tobytes())
-        return {"lang": langs, "window": found}
+                out["lang"] += [lang] * len(w)
+                out["window"] += [x.tobytes() for x in w]
+                out["turn"] += np.random.default_rng(len(w)).permutation(len(w)).tolist()
+        return out
 
-    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
-    got = map_batches(sample, run, "lang string, window binary").orderBy("lang", "window").collect()
+    sample = one_text_each(rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]), "doc_id", "lang")
+    found = map_batches(sample.select("lang", "text"), run, "lang string, window binary, turn long")
+    got = found.orderBy("turn", F.xxhash64("lang", "window"), "lang", "window").limit(most).orderBy("lang", "window").collect()
     x = np.frombuffer(b"".join(bytes(r["window"]) for r in got), dtype=np.uint8).reshape(-1, WINDOW)
     return x, [r["lang"] for r in got]
 
 
-def fit(docs: DataFrame, limit: int = LABELLED, each: int = WINDOWS_EACH) -> Network | None:
-    x, langs = training_windows(docs, limit, each)
+def fit(docs: DataFrame, limit: int = LABELLED, most: int = TRAINING_WINDOWS) -> Network | None:
+    x, langs = training_windows(docs, limit, most)
     if not langs:
         return None
     names = sorted(set(langs))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc32, labelled, map_batches
+from .common import id_crc32, labelled, map_batches, one_text_each
 
 PASSAGE = 1024
 RUN = 8
@@ -26,6 +26,8 @@ GATES = 8
 
 #: Labelled documents learned from (the smallest by a hash of the id).
 LABELLED = 3_000
+#: Passages of one document that the fit learns from, drawn evenly over it: at most 100 MB of features reach the driver.
+TRAINING_PASSAGES = 32
 EPOCHS = 150
 
 
@@ -125,13 +127,17 @@ class Model:
                 p -= rate * ((m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) + decay * p)
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model | None:
-    """The model from at most `limit` labelled documents that are not held out; None without such rows."""
+def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, most: int = TRAINING_PASSAGES) -> Model | None:
+    """The model from at most `limit` labelled documents that are not held out, `most` passages of each; None without such rows."""
     chosen = labelled(labels, "quality", limit, id_crc32("doc_id") % 3 != 1)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    sample = one_text_each(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "y")
+
+    def drawn(text: str | None) -> bytes:
+        bag = passages(text)
+        return bag[np.unique(np.linspace(0, len(bag) - 1, min(len(bag), most)).round().astype(np.int64))].tobytes()
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": rows["doc_id"], "y": rows["y"], "bag": [passages(t).tobytes() for t in rows["text"]]}
+        return {"doc_id": rows["doc_id"], "y": rows["y"], "bag": [drawn(t) for t in rows["text"]]}
 
     got = map_batches(sample.select("doc_id", "text", "y"), run, "doc_id long, y int, bag binary").orderBy("doc_id").collect()
     if not got:

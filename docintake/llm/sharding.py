@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve over metadata dimensions.
 
-Each dimension is quantised into 2^bits equal-depth bins (text by its first bytes, which keeps the order of strings;
-numbers as they are; null below all else), the bins of a row become its index on the Hilbert curve, rows are sorted by
+Each dimension is quantised into 2^bits equal-depth bins (text by whole strings in sort order, numbers as they are; null
+below all else), the bins of a row become its index on the Hilbert curve, rows are sorted by
 that index and the order is cut into runs. Neighbours on the curve are neighbours in every dimension, so each run covers
 narrow ranges of all of them and readers can skip files by any of them.
 
@@ -14,6 +14,8 @@ gives an empty table; fewer rows than shards leave the rest of the shards empty;
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,42 +55,53 @@ def hilbert_index(bins: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A double that keeps the order of the column: numbers as they are, text by its first six bytes."""
-    kind = dict(df.dtypes)[name]
-    if kind == "string":
-        head = F.rpad(F.substring(F.hex(F.col(name).cast("binary")), 1, 12), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(name).cast("double")
+def text_limits(rows: DataFrame, name: str, bits: int) -> list[str]:
+    """Limits of equal-depth bins of a text column, from the counts of all its values, compared as whole strings.
+
+    Values are counted map-side and dealt by range; one count per partition and the limits go to the driver.
+    """
+    counts = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+    dealt = stored(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    sizes = sorted((r["part"], r["n"]) for r in dealt.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    total = sum(n for _, n in sizes)
+    if not total:
+        return []
+    before = rows.sparkSession.createDataFrame(list(zip([p for p, _ in sizes], accumulate([n for _, n in sizes], initial=0), strict=False)), "part int, before long")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    bins = F.lit(1 << bits)
+    placed = dealt.join(F.broadcast(before), "part").withColumn("upto", upto)
+    ends = placed.where(F.floor(F.col("upto") * bins / total) > F.floor((F.col("upto") - F.col("n")) * bins / total))
+    found = sorted((r["value"] for r in ends.select("value").collect()), key=str.encode)
+    return found[:-1] if ends.where(F.col("upto") == total).take(1) else found
+
+
+def quantised(rows: DataFrame, dims: list[str], bits: int) -> list[Column]:
+    """Bin columns (0 .. 2^bits - 1): how many limits lie below the value; limits are 2^bits values, whatever the rows."""
+    asked = [k / 2.0**bits for k in range(1, 2**bits)]
+    kinds = dict(rows.dtypes)
+    numbers = [d for d in dims if kinds[d] != "string"]
+    found = rows.agg(*[F.percentile_approx(F.col(d).cast("double"), asked, ACCURACY).alias(f"q{i}") for i, d in enumerate(numbers)], F.lit(0)).first()
+    limits: dict[str, list] = {d: sorted(set(found[i] or [])) for i, d in enumerate(numbers)}
+    limits |= {d: text_limits(rows, d, bits) for d in dims if kinds[d] == "string"}
 
+    def bin_of(d: str) -> Column:
+        value = F.col(d) if kinds[d] == "string" else F.col(d).cast("double")
+        below = F.size(F.filter(F.array(*[F.lit(x) for x in limits[d]]), lambda x: x < value)) if limits[d] else F.lit(0)
+        return F.when(value.isNull(), 0).otherwise(below).cast("int")
 
-def quantised(df: DataFrame, dims: list[str], bits: int) -> tuple[list[Column], list[list[float]]]:
-    """Bin columns (0 .. 2^bits - 1) and the bin limits of each dimension; limits are 2^bits numbers, whatever the rows."""
-    asked = [k / 2.0**bits for k in range(1, 2**bits)]
-    numbers = [as_number(df, d) for d in dims]
-    row = df.agg(*[F.percentile_approx(n, asked, ACCURACY).alias(f"q{i}") for i, n in enumerate(numbers)]).first()
-    limits = [sorted(set(x or [])) for x in row]
-    bins = [
-        F.coalesce(F.size(F.filter(F.array(*[F.lit(float(x)) for x in lim]), lambda x, n=n: x < n)), F.lit(0)) if lim else F.lit(0)
-        for n, lim in zip(numbers, limits, strict=True)
-    ]
-    return [F.when(n.isNull(), 0).otherwise(b).cast("int") for n, b in zip(numbers, bins, strict=True)], limits
-
-
-def ranked(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """Adds `rank`, 0 .. rows - 1 in the order of keys, which must be fine enough to spread over range partitions."""
+    return [bin_of(d) for d in dims]
+
+
+def ranked(df: DataFrame, keys: list[Column]) -> tuple[DataFrame, int]:
+    """(df with `rank`, 0 .. rows - 1 in the order of keys, row count); keys must be fine enough to spread over range partitions."""
     spread = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     spread = stored(spread.withColumn("__at", F.monotonically_increasing_id()))
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = sorted((r["p"], r["n"]) for r in spread.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    before, offsets = 0, {}
-    for p, n in sizes:
-        offsets[p] = before
-        before += n
-    spark = df.sparkSession
-    starts = spark.createDataFrame(list(offsets.items()) or [(0, 0)], "__p long, __before long")
+    offsets = list(accumulate([n for _, n in sizes], initial=0))
+    starts = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, offsets, strict=False)] or [(0, 0)], "__p long, __before long")
     out = spread.withColumn("__p", part).withColumn("__place", place).join(F.broadcast(starts), "__p")
-    return out.withColumn("rank", F.col("__before") + F.col("__place")).drop("__at", "__p", "__place", "__before")
+    return out.withColumn("rank", F.col("__before") + F.col("__place")).drop("__at", "__p", "__place", "__before"), offsets[-1]
 
 
 def hilbert_shards(docs: DataFrame, dims: list[str], shards: int = 24, bits: int = 5) -> DataFrame:
@@ -96,18 +109,16 @@ def hilbert_shards(docs: DataFrame, dims: list[str], shards: int = 24, bits: int
     if bits * len(dims) > 62:
         raise ValueError("bits times dimensions must fit a long")
     text = F.coalesce("text", F.lit("")).cast("binary")
-    bins, _ = quantised(docs, dims, bits)
+    # texts are read once; all else works on sizes and dimensions
+    narrow = stored(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *[F.col(d).alias(f"__d{i}") for i, d in enumerate(dims)]))
+    bins = quantised(narrow, [f"__d{i}" for i in range(len(dims))], bits)
 
     @F.pandas_udf("long")
     def curve(*parts: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.column_stack([p.to_numpy() for p in parts]), bits))
 
-    small = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *[b.alias(f"__b{i}") for i, b in enumerate(bins)])
-    small = small.withColumn("curve", curve(*[F.col(f"__b{i}") for i in range(len(dims))]))
-    small = small.select("doc_id", "size", "text_crc32", "curve")
     order = [F.col("curve"), F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    out = ranked(small, order)
-    total = small.count()
+    out, total = ranked(narrow.select("doc_id", "size", "text_crc32", curve(*bins).alias("curve")), order)
     # shard s takes the ranks from ceil(s * total / shards) on: at most one row apart
     shard = F.expr(f"cast(rank * {shards}L div {max(total, 1)}L as int)")
     first = F.expr(f"({total}L * shard + {shards - 1}) div {shards}")

@@ -137,6 +137,37 @@ def test_hilbert_neighbours_touch():
         assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_bins_of_long_prefixes(spark):
+    """Values that begin alike still part; bins are of equal depth and keep the order of whole strings."""
+    values = [f"https://example.org/a/very/long/prefix/{i:04}" for i in range(640)]
+    rows = spark.createDataFrame([(v, "x" * (i % 7)) for i, v in enumerate(values)] + [(None, "x")], "url string, text string").repartition(5)
+    bins = dict((r.url, r.b) for r in rows.select("url", sharding.quantised(rows, ["url"], 5)[0].alias("b")).collect())
+    order = [bins[v] for v in values]
+    assert bins[None] == 0 and order == sorted(order) and set(order) == set(range(32)) and max(map(order.count, set(order))) <= 21
+    skewed = spark.createDataFrame([("a",)] * 900 + [(f"b{i:03}",) for i in range(100)], "v string")
+    found = sorted((r.v, r.b) for r in skewed.select("v", sharding.quantised(skewed, ["v"], 3)[0].alias("b")).distinct().collect())
+    assert [b for _, b in found] == sorted(b for _, b in found) and found[0] == ("a", 0) and found[1][1] == 1
+
+
+def test_shard_order_follows_the_curve(spark, sf, documents):
+    """Slots follow the curve index that plain Python works out from bins of its own."""
+    rows = q.op1_hilbert_shards(spark, sf).collect()
+    placed = sorted(rows, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in placed] == sorted(r.curve for r in rows)
+    docs = {r.doc_id: r for r in documents.collect()}
+    n, bins = len(docs), {}
+    for d in ("lang", "source"):
+        values = sorted((getattr(r, d) for r in docs.values() if getattr(r, d) is not None), key=str.encode)
+        limits = sorted({v for i, v in enumerate(values) if (i + 1) * 32 // len(values) > i * 32 // len(values)}, key=str.encode)
+        bins[d] = {v: sum(x.encode() < v.encode() for x in limits) for v in values}
+    for r in rows:
+        own = docs[r.doc_id]
+        # the bin of n_chars comes from approximate quantiles: the index must fit one of its neighbours
+        rank = sum(x.n_chars < own.n_chars for x in docs.values()) * 32 // n
+        points = [[bins["lang"].get(own.lang, 0), bins["source"].get(own.source, 0), k] for k in range(max(0, rank - 2), min(31, rank + 2) + 1)]
+        assert r.curve in sharding.hilbert_index(np.array(points), 5)
+
+
 def test_shards(spark, sf, documents):
     rows = q.op1_hilbert_shards(spark, sf).collect()
     texts = {r.doc_id: r.text for r in documents.collect()}
