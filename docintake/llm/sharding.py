@@ -1,8 +1,7 @@
 """Sharding along a Hilbert curve over metadata dimensions.
 
-Each dimension is quantised into 2^bits equal-depth bins (text by whole strings in sort order, numbers as they are; null
-below all else), the bins of a row become its index on the Hilbert curve, rows are sorted by
-that index and the order is cut into runs. Neighbours on the curve are neighbours in every dimension, so each run covers
+Each dimension is quantised into 2^bits equal-depth bins of its whole values (null below all else), the bins of a row
+become its index on the Hilbert curve, rows are sorted by that index and the order is cut into runs. Neighbours on the curve are neighbours in every dimension, so each run covers
 narrow ranges of all of them and readers can skip files by any of them.
 
 Law `rows`: run sizes differ by one at most. Ranks come from range partitions with a row count each (one number per
@@ -23,10 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Relative rank error of the bin limits is 1 / ACCURACY.
-ACCURACY = 1000
-
-
 def hilbert_index(bins: np.ndarray, bits: int) -> np.ndarray:
     """Hilbert curve index of integer points (rows x dimensions), each coordinate below 2^bits (Skilling's transform)."""
     x = bins.astype(np.int64).T.copy()
@@ -55,10 +50,11 @@ def hilbert_index(bins: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def text_limits(rows: DataFrame, name: str, bits: int) -> list[str]:
-    """Limits of equal-depth bins of a text column, from the counts of all its values, compared as whole strings.
+def value_limits(rows: DataFrame, name: str, bits: int) -> list:
+    """Limits of equal-depth bins of a column, from the counts of all its values.
 
-    Values are counted map-side and dealt by range; one count per partition and the limits go to the driver.
+    Values are counted map-side and dealt by range; one count per partition and the limits go to the driver. A value is
+    a limit if the rows up to it reach another 2^-bits of all rows.
     """
     counts = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
     dealt = stored(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
@@ -68,26 +64,18 @@ def text_limits(rows: DataFrame, name: str, bits: int) -> list[str]:
         return []
     before = rows.sparkSession.createDataFrame(list(zip([p for p, _ in sizes], accumulate([n for _, n in sizes], initial=0), strict=False)), "part int, before long")
     upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("value"))
-    bins = F.lit(1 << bits)
     placed = dealt.join(F.broadcast(before), "part").withColumn("upto", upto)
-    ends = placed.where(F.floor(F.col("upto") * bins / total) > F.floor((F.col("upto") - F.col("n")) * bins / total))
-    found = sorted((r["value"] for r in ends.select("value").collect()), key=str.encode)
-    return found[:-1] if ends.where(F.col("upto") == total).take(1) else found
+    ends = placed.where(f"upto * {1 << bits} div {total} > (upto - n) * {1 << bits} div {total} and upto < {total}")
+    return [r["value"] for r in ends.orderBy("upto").select("value").collect()]
 
 
 def quantised(rows: DataFrame, dims: list[str], bits: int) -> list[Column]:
     """Bin columns (0 .. 2^bits - 1): how many limits lie below the value; limits are 2^bits values, whatever the rows."""
-    asked = [k / 2.0**bits for k in range(1, 2**bits)]
-    kinds = dict(rows.dtypes)
-    numbers = [d for d in dims if kinds[d] != "string"]
-    found = rows.agg(*[F.percentile_approx(F.col(d).cast("double"), asked, ACCURACY).alias(f"q{i}") for i, d in enumerate(numbers)], F.lit(0)).first()
-    limits: dict[str, list] = {d: sorted(set(found[i] or [])) for i, d in enumerate(numbers)}
-    limits |= {d: text_limits(rows, d, bits) for d in dims if kinds[d] == "string"}
 
     def bin_of(d: str) -> Column:
-        value = F.col(d) if kinds[d] == "string" else F.col(d).cast("double")
-        below = F.size(F.filter(F.array(*[F.lit(x) for x in limits[d]]), lambda x: x < value)) if limits[d] else F.lit(0)
-        return F.when(value.isNull(), 0).otherwise(below).cast("int")
+        limits = value_limits(rows, d, bits)
+        below = F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x < F.col(d))) if limits else F.lit(0)
+        return F.when(F.col(d).isNull(), 0).otherwise(below).cast("int")
 
     return [bin_of(d) for d in dims]
 
@@ -117,7 +105,7 @@ def hilbert_shards(docs: DataFrame, dims: list[str], shards: int = 24, bits: int
     def curve(*parts: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.column_stack([p.to_numpy() for p in parts]), bits))
 
-    order = [F.col("curve"), F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    order = [F.col("curve"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("text_crc32"), F.col("size")]
     out, total = ranked(narrow.select("doc_id", "size", "text_crc32", curve(*bins).alias("curve")), order)
     # shard s takes the ranks from ceil(s * total / shards) on: at most one row apart
     shard = F.expr(f"cast(rank * {shards}L div {max(total, 1)}L as int)")

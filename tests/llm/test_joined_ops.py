@@ -155,17 +155,16 @@ def test_shard_order_follows_the_curve(spark, sf, documents):
     placed = sorted(rows, key=lambda r: (r.shard, r.slot))
     assert [r.curve for r in placed] == sorted(r.curve for r in rows)
     docs = {r.doc_id: r for r in documents.collect()}
-    n, bins = len(docs), {}
-    for d in ("lang", "source"):
-        values = sorted((getattr(r, d) for r in docs.values() if getattr(r, d) is not None), key=str.encode)
-        limits = sorted({v for i, v in enumerate(values) if (i + 1) * 32 // len(values) > i * 32 // len(values)}, key=str.encode)
-        bins[d] = {v: sum(x.encode() < v.encode() for x in limits) for v in values}
+
+    def bins(d):
+        values = sorted(getattr(r, d) for r in docs.values() if getattr(r, d) is not None)
+        ends = sorted({v for i, v in enumerate(values) if (i + 1) * 32 // len(values) > i * 32 // len(values)})[:-1]
+        return {v: sum(x < v for x in ends) for v in set(values)} | {None: 0}
+
+    own = {d: bins(d) for d in ("lang", "source", "n_chars")}
     for r in rows:
-        own = docs[r.doc_id]
-        # the bin of n_chars comes from approximate quantiles: the index must fit one of its neighbours
-        rank = sum(x.n_chars < own.n_chars for x in docs.values()) * 32 // n
-        points = [[bins["lang"].get(own.lang, 0), bins["source"].get(own.source, 0), k] for k in range(max(0, rank - 2), min(31, rank + 2) + 1)]
-        assert r.curve in sharding.hilbert_index(np.array(points), 5)
+        point = [own[d][getattr(docs[r.doc_id], d)] for d in own]
+        assert r.curve == sharding.hilbert_index(np.array([point]), 5)[0]
 
 
 def test_shards(spark, sf, documents):
