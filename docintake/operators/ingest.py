@@ -107,18 +107,31 @@ def duplicates_total(registry: DataFrame) -> DataFrame:
     return registry.agg(F.coalesce(F.sum("duplicate_hits"), F.lit(0)).alias("total"))
 
 
-def stable_files(observations: DataFrame, window_s: float = 4.0) -> DataFrame:
+def stable_files(observations: DataFrame, window_s: float = 4.0, piece: str = "hour") -> DataFrame:
     """Path, size, since, seen of files whose (size, mtime) did not change for window_s seconds up to the last look.
 
-    observations(path, size, mtime, ts); a row with null size says that the file has gone.
+    observations(path, size, mtime, ts); a row with null size says that the file has gone. The looks at a path are
+    summed up for each `piece` of time and the pieces put together, so that a path looked at often is no single task.
     """
-    by = Window.partitionBy("path").orderBy("ts")
+    by = Window.partitionBy("path", "piece").orderBy("ts")
     same = F.col("size").eqNullSafe(F.lag("size").over(by)) & F.col("mtime").eqNullSafe(F.lag("mtime").over(by))
-    marked = observations.withColumn("island", F.sum(F.when(F.row_number().over(by) == 1, 0).when(same, 0).otherwise(1)).over(by))
-    islands = marked.groupBy("path", "island").agg(F.first("size").alias("size"), F.min("ts").alias("since"), F.max("ts").alias("seen"))
-    last = islands.groupBy("path").agg(F.max_by(F.struct("size", "since", "seen"), "island").alias("at")).select("path", "at.*")
+    looks = observations.withColumn("piece", F.date_trunc(piece, F.col("ts").cast("timestamp")))
+    marked = looks.withColumn("change", F.when((F.row_number().over(by) > 1) & ~same, F.col("ts")))
+    state = F.struct("size", "mtime")
+    pieces = marked.groupBy("path", "piece").agg(
+        F.min_by(state, "ts").alias("first"), F.max_by(state, "ts").alias("last"), F.max("change").alias("change"), F.min("ts").alias("begin"), F.max("ts").alias("seen")
+    )
+
+    def follow(acc: Column, x: Column) -> Column:
+        goes_on = x["change"].isNull() & F.coalesce(acc["last"] == x["first"], F.lit(False))
+        return F.struct(x["last"].alias("last"), F.when(goes_on, acc["since"]).otherwise(F.coalesce(x["change"], x["begin"])).alias("since"), x["seen"].alias("seen"))
+
+    kinds = dict(pieces.dtypes)
+    start = F.struct(F.lit(None).cast(kinds["last"]).alias("last"), F.lit(None).cast(kinds["begin"]).alias("since"), F.lit(None).cast(kinds["seen"]).alias("seen"))
+    ordered = F.sort_array(F.collect_list(F.struct("piece", "first", "last", "change", "begin", "seen")))
+    at = pieces.groupBy("path").agg(F.aggregate(ordered, start, follow).alias("at")).select("path", "at.last.size", "at.since", "at.seen")
     quiet = F.col("seen").cast("timestamp").cast("double") - F.col("since").cast("timestamp").cast("double") >= window_s
-    return last.where(F.col("size").isNotNull() & quiet)
+    return at.where(F.col("size").isNotNull() & quiet)
 
 
 def text_route(pages: DataFrame, min_chars: int = 16) -> DataFrame:

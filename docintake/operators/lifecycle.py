@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import TRANSITIONS
+from ..config import STATES, TRANSITIONS
 from .audit import without_splits
 
 
@@ -22,15 +22,19 @@ def valid_transition(changes: DataFrame) -> DataFrame:
     return changes.withColumn("valid", allowed(F.col("from_state"), F.col("to_state")))
 
 
-def replay_states(log: DataFrame, initial: str = "recebido") -> DataFrame:
+def replay_states(log: DataFrame, initial: str = "recebido", piece: str = "day") -> DataFrame:
     """L2: log(document_id, ts, id, to_state, step) folded in order; a request that is not allowed changes nothing.
 
-    One shuffle and no Python. Requests of one document are folded in one row, as each depends on the one before.
+    The log of a document is folded piece by piece (requests of one `piece` of time), each piece from every state that
+    could stand before it; the pieces of a document are then put together, so that a long log is many small tasks.
     """
     ordered = F.sort_array(F.collect_list(F.struct("ts", "id", "to_state", "step")))
-    start = F.struct(F.lit(initial).alias("state"), F.lit(None).cast("string").alias("step"), F.lit(0).cast("long").alias("rejected"))
+    states = list(dict.fromkeys((*STATES, initial)))
 
-    def fold(acc: Column, x: Column) -> Column:
+    def start(state: str) -> Column:
+        return F.struct(F.lit(state).alias("state"), F.lit(None).cast("string").alias("step"), F.lit(0).cast("long").alias("rejected"))
+
+    def request(acc: Column, x: Column) -> Column:
         ok = allowed(acc["state"], x["to_state"])
         return F.struct(
             F.when(ok, x["to_state"]).otherwise(acc["state"]).alias("state"),
@@ -38,8 +42,14 @@ def replay_states(log: DataFrame, initial: str = "recebido") -> DataFrame:
             (acc["rejected"] + F.when(ok, 0).otherwise(1)).alias("rejected"),
         )
 
-    folded = log.groupBy("document_id").agg(F.aggregate(ordered, start, fold).alias("s"))
-    return folded.select("document_id", "s.state", "s.step", "s.rejected")
+    def follow(acc: Column, x: Column) -> Column:
+        came = F.element_at(x["ends"], F.array_position(F.array(*map(F.lit, states)), acc["state"]).cast("int"))
+        return F.struct(came["state"].alias("state"), F.coalesce(came["step"], acc["step"]).alias("step"), (acc["rejected"] + came["rejected"]).alias("rejected"))
+
+    ends = F.aggregate(ordered, F.array(*map(start, states)), lambda acc, x: F.transform(acc, lambda a: request(a, x)))
+    pieces = log.groupBy("document_id", F.date_trunc(piece, F.col("ts").cast("timestamp")).alias("piece")).agg(ends.alias("ends"))
+    whole = F.aggregate(F.sort_array(F.collect_list(F.struct("piece", "ends"))), start(initial), follow)
+    return pieces.groupBy("document_id").agg(whole.alias("s")).select("document_id", "s.state", "s.step", "s.rejected")
 
 
 def pending_extractions(docs: DataFrame, extractions: DataFrame) -> DataFrame:

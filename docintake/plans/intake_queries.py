@@ -209,5 +209,8 @@ def x4(t):
 )
 def w1(t):
     """Workload 1: scan, hash, gate, folder; originals per watched folder."""
-    gated = ingest.ingest_gate(hashed(t), registry(t)).where("status = 'ingested'")
+    # contents are read and hashed once; the gate, the registry and the folders work on paths and hashes
+    files = src.staged(hashed(t).drop("size"))
+    known = files.where("arrival % 3 = 0").select("hash").distinct()
+    gated = src.staged(ingest.ingest_gate(files, known).where("status = 'ingested'").select("arrival", "path"))
     return ingest.folder_of(gated, src.active_folders(t.folders)).groupBy("folder_id").agg(F.count("*").alias("originals"), F.min("arrival").alias("first_arrival"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..config import STATES
-from ..sources.files import write_stage
+from ..sources.files import shared_folder, write_stage
 from ..streaming import ops
 from .classify_queries import HITS, TEMPLATES
 from .inputs import INPUTS
@@ -18,9 +18,7 @@ STATE_OF = {"signup": "processando", "view": "em_revisao", "click": "quarentena"
 
 
 def _folder(t) -> str:
-    """A new folder in the place that the session names for checkpoints, else next to the warehouse."""
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir") + "-streams"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(t.spark, "stream")
 
 
 def _events(t):

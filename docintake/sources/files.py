@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,19 @@ from ..functions.text import file_name, is_supported_ext
 PAIR = "array<struct<key:string,value:string,confidence:double>>"
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder in the place that the session names for checkpoints, else (tests, a notebook) next to the warehouse."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-{kind}s"
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: a narrow result that several steps read is worked out once."""
+    where = shared_folder(df.sparkSession, "stage")
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """Path, content, size, modified of all supported files below root, whatever the case of their extension."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

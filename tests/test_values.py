@@ -93,6 +93,32 @@ def test_blocks_and_empty_tables(spark):
     assert lifecycle.replay_states(log).count() == 0
 
 
+def test_replay_in_pieces(spark, sf):
+    """However the log is cut into pieces, the result is that of one fold in plain Python."""
+    import random
+
+    from docintake.config import STATES, TRANSITIONS
+
+    r = random.Random(5)
+    rows = [(r.randrange(4), f"2024-01-{r.randrange(1, 9):02} {r.randrange(24):02}:00:00", i, r.choice([*STATES, "x"]), r.choice([None, "a", "b"])) for i in range(600)]
+    log = spark.createDataFrame(rows, "document_id long, ts string, id long, to_state string, step string")
+    expected = {}
+    for doc, *_, wanted, named in sorted(rows, key=lambda x: (x[1], x[2])):
+        state, step, rejected = expected.get(doc, ("recebido", None, 0))
+        ok = wanted in TRANSITIONS[state]
+        expected[doc] = (wanted, named or step, rejected) if ok else (state, step, rejected + 1)
+    for piece in ("hour", "day", "year"):
+        assert {x.document_id: (x.state, x.step, x.rejected) for x in lifecycle.replay_states(log, piece=piece).collect()} == expected
+
+
+def test_quiet_files_in_pieces(spark):
+    rows = [("a", 1, 1, "2024-01-01 00:59:00"), ("a", 1, 1, "2024-01-01 01:01:00"), ("a", 1, 1, "2024-01-01 03:00:00"), ("b", 1, 1, "2024-01-01 00:00:00"), ("b", 2, 1, "2024-01-01 02:00:00"), ("b", 2, 1, "2024-01-01 02:30:00"),
+            ("c", 1, 1, "2024-01-01 00:00:00"), ("c", None, None, "2024-01-01 05:00:00"), ("d", 1, None, "2024-01-01 00:00:00"), ("d", 1, None, "2024-01-01 09:00:00")]
+    seen = spark.createDataFrame(rows, "path string, size long, mtime long, ts string")
+    got = sorted((x.path, x["size"], x.since, x.seen) for x in ingest.stable_files(seen, 1800).collect())
+    assert got == [("a", 1, "2024-01-01 00:59:00", "2024-01-01 03:00:00"), ("b", 2, "2024-01-01 02:00:00", "2024-01-01 02:30:00"), ("d", 1, "2024-01-01 00:00:00", "2024-01-01 09:00:00")]
+
+
 def test_write_stage_twice_adds_nothing(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k long, v string")
     where = str(tmp_path / "t")
