@@ -94,22 +94,18 @@ class Automation:
 def parse_groups(signals_json: str | None) -> tuple[tuple[Condition, ...], ...]:
     """Signal groups from JSON. A flat list of strings is one group per string; whatever is malformed is dropped."""
     try:
-        raw = json.loads(signals_json or "")
+        found = json.loads(signals_json or "[]")
     except ValueError:
         return ()
-    if not isinstance(raw, list):
-        return ()
-    if raw and all(isinstance(x, str) for x in raw):
-        return tuple((Condition("texto", x),) for x in raw)
-    groups = []
-    for group in raw:
-        if isinstance(group, list):
-            groups.append(tuple(Condition(str(c.get("mode") or "texto"), str(c.get("value") or "")) for c in group if isinstance(c, dict)))
-    return tuple(groups)
+    rows = found if isinstance(found, list) else []
+    if all(isinstance(row, str) for row in rows):
+        rows = [[{"value": row}] for row in rows]
+    signal = lambda c: Condition(*(str(c.get(k) or default) for k, default in (("mode", "texto"), ("value", ""))))
+    return tuple(tuple(signal(c) for c in row if isinstance(c, dict)) for row in rows if isinstance(row, list))
 
 
 def normalize_extensions(raw: str | list | None) -> list[str]:
     """`.ext` in small letters, in order, each once, from a list or a text separated by commas, semicolons or space."""
-    items = re.split(r"[,;\s]+", raw) if isinstance(raw, str) else list(raw or [])
-    found = [str(x).strip().casefold() for x in items]
-    return list(dict.fromkeys(x if x.startswith(".") else f".{x}" for x in found if x))
+    typed = re.findall(r"[^,;\s]+", raw) if isinstance(raw, str) else [str(x).strip() for x in raw or ()]
+    dotted = (re.sub(r"^(?!\.)", ".", x.casefold()) for x in typed if x)
+    return list(dict.fromkeys(dotted))

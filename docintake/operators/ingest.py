@@ -152,6 +152,15 @@ def document_text(pages: DataFrame) -> DataFrame:
     return pages.groupBy("document_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("full_text"))
 
 
+def usage_ledger(answers: DataFrame) -> DataFrame:
+    """One row for each paid call of answers(document_id, step, usage struct<input_tokens, output_tokens>).
+
+    What was answered without a call has no usage and leaves no row; a call without a token count counts 0.
+    """
+    paid = answers.where(F.col("usage").isNotNull() & F.col("step").isin("extract", "classify"))
+    return paid.select("document_id", "step", *[F.coalesce(f"usage.{n}", F.lit(0)).alias(to) for n, to in (("input_tokens", "prompt_tokens"), ("output_tokens", "completion_tokens"))])
+
+
 def usage_totals(calls: DataFrame) -> DataFrame:
     """Tokens per document and step of the ledger of paid calls."""
     return calls.groupBy("document_id", "step").agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))

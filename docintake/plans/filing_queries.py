@@ -294,13 +294,13 @@ def p10(t):
 
 @query(
     "p11_apply_outcome",
-    f"""WITH {P}, j AS (SELECT d.document_id, d.state, d.step, p.a, p.a = 3 AND p.valor IS NULL AS blocked, d.document_id IN (SELECT document_id FROM {{audit}} WHERE status = 'done' AND run_id = 'run3') AS already FROM {{docs}} d JOIN p ON d.document_id = p.document_id)
+    f"""WITH {P}, j AS (SELECT d.document_id, d.state, d.step, p.a, p.a = 3 AND p.valor IS NULL AS blocked, d.document_id IN (SELECT document_id FROM {{audit}} WHERE status = 'done') AS already FROM {{docs}} d JOIN p ON d.document_id = p.document_id)
        SELECT document_id, CASE WHEN already OR a IS NULL THEN state WHEN blocked THEN CASE WHEN state = 'processando' THEN 'em_revisao' ELSE state END WHEN state IN ('processando', 'em_revisao') THEN 'concluido' ELSE state END AS state,
        CASE WHEN NOT already AND a IS NOT NULL AND NOT blocked AND state IN ('processando', 'em_revisao') THEN 'aplicado' ELSE step END AS step FROM j""",
 )
 def p11(t):
     docs = planned(t).select("document_id", "automation_id", "blocked").join(t.docs, "document_id")
-    return filing.apply_outcome(docs, t.audit.where("run_id = 'run3'")).select("document_id", "state", "step")
+    return filing.apply_outcome(docs, t.audit).select("document_id", "state", "step")
 
 
 @query(

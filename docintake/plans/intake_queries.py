@@ -51,11 +51,12 @@ def s5(t):
 
 @query(
     "s7_read_pairs",
-    """SELECT j.document_id, CASE WHEN j.document_id % 29 = 0 THEN 0 ELSE 4 + CASE WHEN numero IS NULL THEN 0 ELSE 1 END + CASE WHEN urgente IS NULL THEN 0 ELSE 1 END END AS pairs
+    """SELECT j.document_id, CASE WHEN j.document_id % 29 = 0 THEN '' ELSE concat_ws(';', 'Número_Pedido=ignored', CASE WHEN numero IS NOT NULL THEN 'numero  PEDIDO=' || numero END, 'VALOR total=' || valor, 'Data  Emissão=' || emissao, 'CNPJ=' || cnpj, CASE WHEN urgente IS NOT NULL THEN 'Urgente=' || urgente END) END AS pairs
        FROM {order_json} j JOIN {order_raw} r ON j.document_id = r.document_id""",
 )
 def s7(t):
-    return t.order_json.select("document_id", F.size(src.read_pairs(F.col("fields_json"))).alias("pairs"))
+    pairs = F.transform(src.read_pairs(F.col("fields_json")), lambda p: F.concat_ws("=", p["key"], p["value"]))
+    return t.order_json.select("document_id", F.array_join(pairs, ";").alias("pairs"))
 
 
 @query(
@@ -195,6 +196,13 @@ def x3(t):
     return ingest.document_text(t.page_texts).select("document_id", F.sha2("full_text", 256).alias("text_hash"))
 
 
+@query("x4_usage_rows", "SELECT document_id, step, prompt_tokens, CASE WHEN document_id % 4 = 0 THEN 0 ELSE completion_tokens END AS completion_tokens FROM {usage} WHERE (document_id + completion_tokens) % 3 > 0")
+def x4_rows(t):
+    called = (F.col("document_id") + F.col("completion_tokens")) % 3 > 0
+    usage = F.struct(F.col("prompt_tokens").alias("input_tokens"), F.when(F.col("document_id") % 4 != 0, F.col("completion_tokens")).alias("output_tokens"))
+    return ingest.usage_ledger(t.usage.select("document_id", "step", F.when(called, usage).alias("usage")))
+
+
 @query("x4_usage_ledger", "SELECT document_id, step, count(*) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens FROM {usage} GROUP BY 1, 2")
 def x4(t):
     return ingest.usage_totals(t.usage)

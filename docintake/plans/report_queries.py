@@ -41,10 +41,10 @@ def l4(t):
 @query(
     "l5_pending_applications",
     """SELECT d.document_id FROM {docs} d JOIN {results} r ON d.document_id = r.document_id WHERE state = 'processando' AND step = 'classificado' AND score >= 0.8
-       AND d.document_id NOT IN (SELECT document_id FROM {audit} WHERE status = 'done' AND run_id = 'run2' AND (details IS NULL OR NOT starts_with(details, 'split_to_files:')))""",
+       AND d.document_id NOT IN (SELECT document_id FROM {audit} WHERE status = 'done' AND (details IS NULL OR NOT starts_with(details, 'split_to_files:')))""",
 )
 def l5(t):
-    return lifecycle.pending_applications(t.docs, t.results, t.audit.where("run_id = 'run2'")).select("document_id")
+    return lifecycle.pending_applications(t.docs, t.results, t.audit).select("document_id")
 
 
 @query(
@@ -83,16 +83,17 @@ def l12(t):
     """WITH gone AS (SELECT * FROM {docs} WHERE origin_id % 10 < 3 AND (origin_id % 10 < 2 OR document_id % 2 = 0)), rest AS (SELECT * FROM {docs} WHERE document_id NOT IN (SELECT document_id FROM gone)),
        lost AS (SELECT * FROM {originals} WHERE origin_id IN (SELECT origin_id FROM gone) AND origin_id NOT IN (SELECT origin_id FROM rest)),
        h AS (SELECT content_hash AS hash FROM gone UNION SELECT hash FROM lost)
-       SELECT 'documents' AS name, count(*) AS n FROM rest UNION ALL SELECT 'originals', count(*) FROM {originals} WHERE origin_id NOT IN (SELECT origin_id FROM lost)
-       UNION ALL SELECT 'jobs', count(*) FROM {jobs} WHERE hash NOT IN (SELECT hash FROM h) UNION ALL SELECT 'results', count(*) FROM {results} WHERE document_id NOT IN (SELECT document_id FROM gone)
-       UNION ALL SELECT 'filled', count(*) FROM {filled} WHERE document_id NOT IN (SELECT document_id FROM gone)""",
+       SELECT 'documents' AS name, CAST(document_id AS VARCHAR) AS key FROM rest UNION ALL SELECT 'originals', CAST(origin_id AS VARCHAR) FROM {originals} WHERE origin_id NOT IN (SELECT origin_id FROM lost)
+       UNION ALL SELECT 'jobs', CAST(job_id AS VARCHAR) FROM {jobs} WHERE hash NOT IN (SELECT hash FROM h) UNION ALL SELECT 'results', CAST(document_id AS VARCHAR) FROM {results} WHERE document_id NOT IN (SELECT document_id FROM gone)
+       UNION ALL SELECT 'filled', CAST(document_id AS VARCHAR) || '/' || CAST(field_no AS VARCHAR) FROM {filled} WHERE document_id NOT IN (SELECT document_id FROM gone)""",
 )
 def l13(t):
     ids = t.docs.where("origin_id % 10 < 3 and (origin_id % 10 < 2 or document_id % 2 = 0)").select("document_id").union(t.spark.createDataFrame([(-5,)], "document_id long"))
     left = lifecycle.delete_documents(ids, t.docs, t.originals, t.jobs, {"results": t.results, "filled": t.filled})
-    counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in left.items()]
-    out = counts[0]
-    for c in counts[1:]:
+    keys = {"documents": ["document_id"], "originals": ["origin_id"], "jobs": ["job_id"], "results": ["document_id"], "filled": ["document_id", "field_no"]}
+    rows = [df.select(F.lit(name).alias("name"), F.concat_ws("/", *[F.col(k).cast("string") for k in keys[name]]).alias("key")) for name, df in left.items()]
+    out = rows[0]
+    for c in rows[1:]:
         out = out.unionByName(c)
     return out
 
@@ -104,11 +105,11 @@ def q1(t):
 
 @query(
     "q2_state_counts",
-    """WITH s AS (SELECT unnest(['recebido', 'processando', 'em_revisao', 'concluido', 'quarentena', 'falha']) AS state), c AS (SELECT s.state, count(d.document_id) AS n FROM s LEFT JOIN (SELECT * FROM {docs} WHERE state <> 'falha') d ON s.state = d.state GROUP BY 1)
+    """WITH s AS (SELECT unnest(['recebido', 'processando', 'em_revisao', 'concluido', 'quarentena', 'falha']) AS state), c AS (SELECT s.state, count(d.document_id) AS n FROM s LEFT JOIN {docs} d ON s.state = d.state GROUP BY 1)
        SELECT * FROM c UNION ALL SELECT 'total', CAST(sum(n) AS BIGINT) FROM c""",
 )
 def q2(t):
-    return reports.state_counts(t.docs.where("state <> 'falha'"))
+    return reports.state_counts(t.docs)
 
 
 @query(

@@ -74,11 +74,15 @@ def read_pairs(fields_json: Column) -> Column:
 
 
 def write_stage(df: DataFrame, path: str, key: str) -> None:
-    """Appends the rows whose key is not in the table at path yet, so that a second run adds nothing."""
+    """Appends the rows whose key is not in the table at path yet, so that a second run adds nothing.
+
+    Of rows with one key the one with the least hash of its columns counts, whatever the partitioning.
+    """
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    new = df.dropDuplicates([key])
+    others = F.struct(*[c for c in df.columns if c != key])
+    new = df.groupBy(key).agg(F.min_by(others, F.xxhash64(F.to_json(others))).alias("__row")).select(key, "__row.*").select(*df.columns)
     if there:
         new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
     new.write.mode("append").parquet(path)
