@@ -93,7 +93,7 @@ def _digits() -> tuple[str, str, list[int]]:
 
 def ascii_digits(c: Column) -> Column:
     """Decimal digits of any script as 0-9."""
-    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(c, *_digits()[:2])).otherwise(c)
+    return let(c, lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), F.translate(x, *_digits()[:2])).otherwise(x))
 
 
 def other_digits() -> str:

@@ -58,12 +58,12 @@ def _is_plain(text: Column) -> Column:
 
 
 def _number_question(text: Column) -> Column:
-    return F.when(~_is_plain(text) & text.rlike(r"(?iU)\d|inf|nan"), text)
+    return let(text, lambda x: F.when(~_is_plain(x) & x.rlike(r"(?iU)\d|inf|nan"), x))
 
 
 def _decimal_text(text: Column, answer: Column | None) -> Column:
     """Canonical text of a decimal number; exponents, tiny numbers, NaN and infinities go to a helper, null is no number."""
-    return F.coalesce(F.when(_is_plain(text), canonical(text)), slow.exotic_number(_number_question(text)) if answer is None else answer)
+    return F.coalesce(let(text, lambda x: F.when(_is_plain(x), canonical(x))), slow.exotic_number(_number_question(text)) if answer is None else answer)
 
 
 def _amount(raw: Column) -> Column:
