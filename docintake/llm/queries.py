@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_main, langid, pii, quality_mil, rules_iforest, secret_scan, sharding, simhash, twins
+from . import bpe, decontam, fim, html_main, langid, pii, quality_mil, rules_iforest, secret_scan, sharding, simhash, twins
 from .common import id_crc32, table
 
 
@@ -95,9 +95,16 @@ def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_crc32("doc_id") % 5 == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op13_fenwick_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = (
     op1_hilbert_shards, op2_simhash_near_dedup, op3_attention_quality, op4_isolation_rules, op5_winnowing,
     op6_pii_disclosure, op7_dom_belief, op8_byte_bpe, op9_secret_entropy, op10_byte_cnn_language,
+    op13_fenwick_fim,
 )
 
 
@@ -107,4 +114,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The others hold a part that DuckDB cannot say: XXH64, trained models, offsets of matches, tokenizer ranks."""
-    return {"op1_hilbert_shards": twins.hilbert_shards(["lang", "source", "n_chars"], 24, 5), "op5_winnowing": twins.WINNOWING}
+    return {"op1_hilbert_shards": twins.hilbert_shards(["lang", "source", "n_chars"], 24, 5), "op5_winnowing": twins.WINNOWING, "op13_fenwick_fim": twins.FIM}

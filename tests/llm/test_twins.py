@@ -9,8 +9,10 @@ from docintake.llm import queries as q
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_twin(name, spark, sf):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    want, got = c.sql(q.oracle_sql()[name]).df(), q.queries()[name](spark, sf).toPandas()
-    rows = lambda df: sorted(map(repr, df.reindex(sorted(df.columns), axis=1).astype(object).where(lambda x: x.notna(), None).itertuples(index=False, name=None)))
-    assert sorted(want.columns) == sorted(got.columns) and rows(want) == rows(got)
+    want, got = c.sql(q.oracle_sql()[name]), q.queries()[name](spark, sf)
+    columns = sorted(got.columns)
+    assert sorted(want.columns) == columns
+    rows = lambda found: sorted(map(repr, found))
+    assert rows(want.select(*columns).fetchall()) == rows(map(tuple, got.select(*columns).collect()))
