@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fim, html_main, langid, pii, quality_mil, rules_iforest, secret_scan, sharding, simhash, twins
+from . import bpe, decontam, fim, html_main, langid, pii, quality_mil, rules_iforest, secret_scan, sentencepiece_bpe, sharding, simhash, twins
 from .common import id_crc32, table
 
 
@@ -17,6 +17,12 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def public_pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def spans_column(keep: F.Column | None = None) -> F.Column:
     """kind:start:end of the parallel span arrays, comma-joined in their order."""
     spans = F.arrays_zip("kinds", "starts", "ends")
@@ -95,6 +101,10 @@ def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_crc32("doc_id") % 5 == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op12_sentencepiece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.checked(table(spark, sf_dir, "documents"), public_pieces())
+
+
 def op13_fenwick_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
     digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
@@ -104,7 +114,7 @@ def op13_fenwick_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     op1_hilbert_shards, op2_simhash_near_dedup, op3_attention_quality, op4_isolation_rules, op5_winnowing,
     op6_pii_disclosure, op7_dom_belief, op8_byte_bpe, op9_secret_entropy, op10_byte_cnn_language,
-    op13_fenwick_fim,
+    op12_sentencepiece_agenda, op13_fenwick_fim,
 )
 
 
