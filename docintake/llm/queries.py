@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fim, html_main, langid, pii, quality_mil, rules_iforest, secret_scan, sentencepiece_bpe, sharding, simhash, twins
+from . import bpe, decontam, fim, hard_negatives, html_main, langid, pii, quality_mil, rules_iforest, secret_scan, sentencepiece_bpe, sharding, simhash, twins
 from .common import id_crc32, table
 
 
@@ -101,6 +101,12 @@ def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_crc32("doc_id") % 5 == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(rows, "vec_id % 50 = 0")
+
+
 def op12_sentencepiece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.checked(table(spark, sf_dir, "documents"), public_pieces())
 
@@ -114,7 +120,7 @@ def op13_fenwick_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     op1_hilbert_shards, op2_simhash_near_dedup, op3_attention_quality, op4_isolation_rules, op5_winnowing,
     op6_pii_disclosure, op7_dom_belief, op8_byte_bpe, op9_secret_entropy, op10_byte_cnn_language,
-    op12_sentencepiece_agenda, op13_fenwick_fim,
+    op11_hard_negatives, op12_sentencepiece_agenda, op13_fenwick_fim,
 )
 
 
@@ -124,4 +130,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The others hold a part that DuckDB cannot say: XXH64, trained models, offsets of matches, tokenizer ranks."""
-    return {"op1_hilbert_shards": twins.hilbert_shards(["lang", "source", "n_chars"], 24, 5), "op5_winnowing": twins.WINNOWING, "op13_fenwick_fim": twins.FIM}
+    return {"op1_hilbert_shards": twins.hilbert_shards(["lang", "source", "n_chars"], 24, 5), "op5_winnowing": twins.WINNOWING, "op11_hard_negatives": twins.HARD_NEGATIVES, "op13_fenwick_fim": twins.FIM}
