@@ -1,22 +1,16 @@
-"""File plans: actions, destinations, collisions, dry run, audit rows, outcomes."""
+"""File plans: actions, destinations, dry run, audit rows, outcomes."""
 
 from __future__ import annotations
 
-from functools import partial
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Automation
 from ..functions.naming import Lookup, from_map, resolve_dest_folder, resolve_pattern
-from ..functions.text import file_name, let, stem, suffix
+from ..functions.text import file_name, let, suffix
+from .collisions import resolve_collision
 
 OUTPUT = "array<struct<kind:string,folder:string,name:string>>"
-#: Fixed limit of numbered siblings.
-MOST_SUFFIXES = 10_000
-#: Slices in which the contents for one destination are ranked before they meet.
-SLICES = 64
 
 
 def apply_actions(docs: DataFrame, automations: list[Automation], base: str, fields: str = "fields") -> DataFrame:
@@ -84,137 +78,6 @@ def source_path(docs: DataFrame, originals: DataFrame, folders: DataFrame) -> Da
     return j.withColumn("source", F.coalesce("by_hash", "by_id", "filename")).drop("by_hash", "by_id")
 
 
-def split_numbered(path: Column) -> tuple[Column, Column]:
-    """(path without a trailing _i of its stem, i or null); i is a positive number without leading zeros."""
-    name = file_name(path)
-    head = F.substr(path, F.lit(1), F.length(path) - F.length(name))
-    i = F.regexp_extract(stem(name), r"_([1-9]\d{0,4})$", 1)
-    base = F.concat(head, F.regexp_replace(stem(name), r"_[1-9]\d{0,4}$", ""), suffix(name))
-    return F.when(i != "", base), F.when(i != "", i.cast("int"))
-
-
-def numbered(path: Column, i: Column) -> Column:
-    name = file_name(path)
-    head = F.substr(path, F.lit(1), F.length(path) - F.length(name))
-    return F.when(i == 0, path).otherwise(F.concat(head, stem(name), F.lit("_"), i.cast("string"), suffix(name)))
-
-
-def family(path: Column) -> Column:
-    """The path without any numbers at the end of its stem: what names can get in each other's way have in common."""
-    name = file_name(path)
-    head = F.substr(path, F.lit(1), F.length(path) - F.length(name))
-    return F.concat(head, F.regexp_replace(stem(name), r"(?:_[1-9]\d{0,4})+$", ""), suffix(name))
-
-
-def _siblings(manifest: DataFrame, most: int) -> DataFrame:
-    """(dest, i, hash): who holds number i (0: the plain name) of each destination that has a numbered or plain holder."""
-    base, i = split_numbered(F.col("path"))
-    both = F.array(F.struct(F.col("path").alias("dest"), F.lit(0).alias("i")), F.struct(base.alias("dest"), i.alias("i")))
-    rows = manifest.select("hash", F.explode(both).alias("at")).where(F.col("at.i") <= most)
-    return rows.groupBy("at.dest", "at.i").agg(F.min("hash").alias("hash"))
-
-
-def resolve_collision(plans: DataFrame, manifest: DataFrame, most: int = MOST_SUFFIXES) -> DataFrame:
-    """plans(dest, hash) with `identical` and `final`: dest if it is free; null and identical if it or a sibling
-    before the first gap has this content; else the first free numbered sibling; null if all numbers are taken.
-
-    The gap and the contents before it are worked out once for each destination. A null hash is like no content.
-    """
-    held = _siblings(manifest, most)
-    place = F.row_number().over(Window.partitionBy("dest").orderBy("i")) - 1
-    run = held.withColumn("place", place).where("i = place")
-    free = run.groupBy("dest").agg(F.count("*").alias("free"))
-    same = run.select("dest", "hash").where("hash is not null").distinct().withColumn("identical", F.lit(True))
-    j = plans.join(free, "dest", "left").join(same, ["dest", "hash"], "left")
-    gap, identical = F.coalesce("free", F.lit(0)), F.coalesce("identical", F.lit(False))
-    final = F.when(~F.col("identical") & (gap <= most), numbered(F.col("dest"), gap))
-    return j.withColumn("identical", identical).withColumn("final", final).drop("free")
-
-
-def resolve_batch(plans: DataFrame, manifest: DataFrame, most: int = MOST_SUFFIXES) -> DataFrame:
-    """P5: plans(document_id, position, dest, hash) one after another, each output occupying its place for the next ones.
-
-    Adds `identical` and `final` as P4 does; both are false and null for an output that finds no free number. A null
-    hash is a content of its own. Names reach each other through numbers only (a.pdf takes a_1.pdf), so families of
-    names are independent. A family of one destination with one content that nobody holds needs no order. The others
-    are played through one by one, a task for each family: of one destination only the first contents that could get a
-    number (`most` + 1) take part, found by rank in SLICES first, and later ones can only be identical to these.
-    """
-    order = F.struct("document_id", "position")
-    own = F.concat_ws("/", F.lit("?"), F.col("document_id").cast("string"), F.col("position").cast("string"))
-    named = plans.withColumn("content", F.coalesce(F.concat(F.lit("="), F.col("hash")), own))
-    firsts = named.groupBy("dest", "content").agg(F.min(order).alias("at")).withColumn("family", family(F.col("dest")))
-    held = manifest.select("path", F.concat(F.lit("="), "hash").alias("content"), family(F.col("path")).alias("family"))
-    wanted = firsts.groupBy("family").agg(F.count("*").alias("n"))
-    taken = held.join(wanted, "family", "left_semi").groupBy("family", "path").agg(F.min("content").alias("content"))
-    busy = taken.select("family").distinct().withColumn("busy", F.lit(True))
-    judged = wanted.join(busy, "family", "left").select("family", ((F.col("n") > 1) | F.coalesce("busy", F.lit(False))).alias("busy"))
-    split = firsts.join(judged, "family")
-    quiet = split.where("not busy").select("dest", "content", F.col("dest").alias("final"), F.lit(False).alias("same"))
-    played = split.where("busy")
-    room = most + 1
-    slices = played.withColumn("slice", F.pmod(F.xxhash64("content"), F.lit(SLICES)))
-    early = slices.withColumn("k", F.row_number().over(Window.partitionBy("dest", "slice").orderBy("at"))).where(F.col("k") <= room)
-    entered = early.withColumn("k", F.row_number().over(Window.partitionBy("dest").orderBy("at"))).where(F.col("k") <= room)
-    entered = entered.select("family", "dest", "content", F.col("at.document_id").alias("document_id"), F.col("at.position").alias("position"))
-    results = entered.groupBy("family").cogroup(taken.groupBy("family")).applyInPandas(partial(_play, most=most), "dest string, content string, final string, same boolean, held boolean")
-    known = results.where("not held").select("dest", "content", "final", "same")
-    # contents that came too late for a number: identical to what holds one, or without a place
-    places = results.where("held").select("dest", "content").distinct().withColumn("same", F.lit(True))
-    late = played.select("dest", "content").join(known, ["dest", "content"], "left_anti").join(places, ["dest", "content"], "left")
-    late = late.select("dest", "content", F.lit(None).cast("string").alias("final"), F.coalesce("same", F.lit(False)).alias("same"))
-    facts = quiet.unionByName(known).unionByName(late).join(firsts.select("dest", "content", "at"), ["dest", "content"])
-    out = named.join(facts, ["dest", "content"])
-    first = F.col("at") == order
-    identical = F.when(first, F.col("same")).otherwise(F.col("same") | F.col("final").isNotNull())
-    return out.withColumns({"identical": identical, "final": F.when(first, F.col("final"))}).drop("at", "same", "content")
-
-
-def _play(entered: pd.DataFrame, taken: pd.DataFrame, most: int) -> pd.DataFrame:
-    """One family, output by output: (dest, content, final, same), then who holds the numbers of crowded names (held)."""
-    holds: dict[str, str | None] = dict(zip(taken["path"], taken["content"], strict=True))
-    ways = {}
-    rows = []
-    for dest, content in entered.sort_values(["document_id", "position"])[["dest", "content"]].itertuples(index=False):
-        way = ways.get(dest)
-        if way is None:
-            name = dest.rsplit("/", 1)[-1]
-            dot = name.rfind(".")
-            end = len(name) - dot if 0 < dot < len(name) - 1 else 0
-            way = ways[dest] = _Way(dest[: len(dest) - end], dest[len(dest) - end :], most)
-        rows.append((dest, content, *way.take(holds, content), False))
-    for dest, way in ways.items():
-        if way.gap(holds) is None:
-            rows += [(dest, content, None, True, True) for content in way.seen if content is not None]
-    return pd.DataFrame(rows, columns=["dest", "content", "final", "same", "held"])
-
-
-class _Way:
-    """The numbers of one destination from the plain name on: how far they are taken, and by which contents."""
-
-    def __init__(self, stem: str, suffix: str, most: int) -> None:
-        self.stem, self.suffix, self.most, self.next, self.seen = stem, suffix, most, 0, set()
-
-    def gap(self, holds: dict[str, str | None]) -> str | None:
-        """The first free place, or None; the contents before it are seen."""
-        while self.next <= self.most:
-            place = f"{self.stem}_{self.next}{self.suffix}" if self.next else f"{self.stem}{self.suffix}"
-            if place not in holds:
-                return place
-            self.seen.add(holds[place])
-            self.next += 1
-        return None
-
-    def take(self, holds: dict[str, str | None], content: str) -> tuple[str | None, bool]:
-        """(the place that the content gets, whether it is there already)."""
-        place = self.gap(holds)
-        if content in self.seen:
-            return None, True
-        if place is not None:
-            holds[place] = content
-        return place, False
-
-
 def planned_outputs(docs: DataFrame) -> DataFrame:
     """One row per output of P1: document_id, position, kind, dest, hash; docs has source and content_hash.
 

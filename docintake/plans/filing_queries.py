@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import Action, Automation, Rule, RuleCondition
 from ..functions import naming
-from ..operators import audit, filing, rules
+from ..operators import audit, collisions, filing, rules
 from ..sources.files import spread
 from .registry import query
 
@@ -229,21 +229,32 @@ FREE = "list_min(list_filter(range(0, len(coalesce(used, [])) + 1), lambda x: NO
        SELECT document_id, CASE WHEN same THEN NULL WHEN free = 0 THEN dest ELSE replace(dest, '.pdf', '_' || free || '.pdf') END AS final FROM s""",
 )
 def p4(t):
-    return filing.resolve_collision(plans(t), t.manifest).select("document_id", "final")
+    return collisions.resolve_collision(plans(t), t.manifest).select("document_id", "final")
+
+
+def numbered_plans(t):
+    """Names that end in numbers themselves, some of which are what others are pushed to."""
+    k, o = F.col("o_orderkey"), t.orders
+    tail = F.when(k % 7 == 3, "_1.pdf").when(k % 11 == 5, "_2.pdf").otherwise(".pdf")
+    return o.select(k.alias("document_id"), F.lit(0).alias("position"), F.concat(F.lit("/out/d_"), (k % 450).cast("string"), tail).alias("dest"), F.concat(F.lit("h"), (F.col("o_custkey") % 97).cast("string")).alias("hash"))
 
 
 @query(
     "p5_resolve_batch",
-    f"""WITH RECURSIVE {PLANS}, {TAKEN}, held AS (SELECT dest, list(i) AS nums, list(hash) AS hashes FROM mm GROUP BY dest),
-       firsts AS (SELECT dest, hash, min(document_id) AS document_id, row_number() OVER (PARTITION BY dest ORDER BY min(document_id)) AS r FROM plans GROUP BY dest, hash),
-       play AS (SELECT d.dest, CAST(0 AS BIGINT) AS r, coalesce(nums, []) AS nums, coalesce(hashes, []) AS hashes, CAST(NULL AS BIGINT) AS document_id, CAST(NULL AS BIGINT) AS slot FROM (SELECT DISTINCT dest FROM plans) d LEFT JOIN held ON d.dest = held.dest
-         UNION ALL SELECT dest, r, CASE WHEN same THEN nums ELSE list_append(nums, CAST(free AS INT)) END, CASE WHEN same THEN hashes ELSE list_append(hashes, hash) END, document_id, CASE WHEN NOT same THEN free END FROM
-           (SELECT *, len(list_filter(range(1, len(nums) + 1), lambda j: nums[j] < free AND hashes[j] = hash)) > 0 AS same FROM
-             (SELECT p.dest, f.r, p.nums, p.hashes, f.hash, f.document_id, list_min(list_filter(range(0, len(p.nums) + 1), lambda x: NOT list_contains(p.nums, x))) AS free FROM play p JOIN firsts f ON f.dest = p.dest AND f.r = p.r + 1)))
-       SELECT plans.document_id, CASE WHEN slot = 0 THEN plans.dest ELSE replace(plans.dest, '.pdf', '_' || slot || '.pdf') END AS final FROM plans LEFT JOIN play ON plans.document_id = play.document_id""",
+    r"""WITH RECURSIVE plans AS (SELECT o_orderkey AS document_id, o_orderkey % 450 AS fam, '/out/d_' || CAST(o_orderkey % 450 AS VARCHAR) || CASE WHEN o_orderkey % 7 = 3 THEN '_1' WHEN o_orderkey % 11 = 5 THEN '_2' ELSE '' END AS stem, 'h' || CAST(o_custkey % 97 AS VARCHAR) AS hash FROM {orders}),
+       turns AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY document_id) AS r FROM plans),
+       mm AS (SELECT CAST(regexp_extract(path, '^/out/d(\d+)', 1) AS BIGINT) AS fam, replace(path, '/out/d', '/out/d_') AS path, hash FROM {manifest}),
+       held AS (SELECT fam, list(path ORDER BY path) AS paths, list(hash ORDER BY path) AS hashes FROM mm GROUP BY fam),
+       play AS (SELECT f.fam, CAST(0 AS BIGINT) AS r, coalesce(paths, []) AS paths, coalesce(hashes, []) AS hashes, CAST(NULL AS BIGINT) AS document_id, CAST(NULL AS VARCHAR) AS final, false AS identical FROM (SELECT DISTINCT fam FROM plans) f LEFT JOIN held ON f.fam = held.fam
+         UNION ALL SELECT fam, r, CASE WHEN same THEN paths ELSE list_append(paths, ways[free]) END, CASE WHEN same THEN hashes ELSE list_append(hashes, hash) END, document_id, CASE WHEN NOT same THEN ways[free] END, same FROM
+           (SELECT *, len(list_filter(ways[1:free - 1], lambda w: hashes[list_position(paths, w)] = hash)) > 0 AS same FROM
+             (SELECT *, list_min(list_filter(range(1, len(ways) + 1), lambda x: NOT list_contains(paths, ways[x]))) AS free FROM
+               (SELECT t.fam, t.r, t.document_id, t.hash, p.paths, p.hashes, list_transform(range(0, len(p.paths) + 1), lambda x: t.stem || CASE WHEN x = 0 THEN '' ELSE '_' || CAST(x AS VARCHAR) END || '.pdf') AS ways FROM play p JOIN turns t ON t.fam = p.fam AND t.r = p.r + 1))))
+       SELECT document_id, final, identical FROM play WHERE document_id IS NOT NULL""".replace("\\\\", "\\"),
 )
 def p5(t):
-    return filing.resolve_batch(plans(t), t.manifest).select("document_id", "final")
+    there = t.manifest.withColumn("path", F.replace("path", F.lit("/out/d"), F.lit("/out/d_")))
+    return collisions.resolve_batch(numbered_plans(t), there).select("document_id", "final", "identical")
 
 
 DRY = f"""{P}, taken AS (SELECT source AS path, hash FROM p WHERE document_id % 2 = 0),
@@ -288,7 +299,7 @@ def p9(t):
     f"WITH {DRY} SELECT d.document_id, CASE WHEN kind = 'copy' THEN 'copy' ELSE 'apply' END AS action, 'done' AS status, p.source AS source_path, d.dest AS dest_path, p.hash AS content_hash FROM d JOIN p ON d.document_id = p.document_id WHERE status = 'applicable' AND NOT EXISTS (SELECT 1 FROM taken x WHERE x.path = d.dest)",
 )
 def p10(t):
-    outputs = filing.resolve_collision(filing.planned_outputs(planned(t)), there(t))
+    outputs = collisions.resolve_collision(filing.planned_outputs(planned(t)), there(t))
     return filing.audit_rows(outputs, "run1").drop("run_id")
 
 

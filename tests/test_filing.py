@@ -7,7 +7,7 @@ from pathlib import PurePosixPath
 import pytest
 from pyspark.sql import functions as F
 
-from docintake.operators import filing
+from docintake.operators import collisions, filing
 
 
 def one_by_one(plans, manifest, most, keep):
@@ -44,18 +44,43 @@ def test_outputs_one_after_another(spark, most):
     contents = ["h1", "h2", "h3", "h4", "h5", "h6", "h7", None]
     plans = [(d, k, r.choice(names), r.choice(contents)) for d in range(60) for k in range(2)]
     manifest = [(p, r.choice(contents)) for p in ["/o/a.pdf", "/o/a_2.pdf", "/o/a_1_2.pdf", "/o/b_1", "/o/c.x_1.pdf", "/o/zzz.pdf"]]
-    assert resolved(filing.resolve_batch, spark, plans, manifest, most) == one_by_one(plans, manifest, most, keep=True)
-    assert resolved(filing.resolve_collision, spark, plans, manifest, most) == one_by_one(plans, manifest, most, keep=False)
+    assert resolved(collisions.resolve_batch, spark, plans, manifest, most) == one_by_one(plans, manifest, most, keep=True)
+    assert resolved(collisions.resolve_collision, spark, plans, manifest, most) == one_by_one(plans, manifest, most, keep=False)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_names_that_push_each_other(spark, seed):
+    """Chains of numbered names, some held, some wanted by several, in every order."""
+    r = random.Random(seed)
+    tails = ["", "_1", "_2", "_1_1", "_1_2", "_2_1", "_1_1_1", "_3", "_10", "_01", "_1_01_1"]
+    names = [f"/o/{stem}{tail}{end}" for stem in ("a", "x.y", ".h", "_5", "_") for tail in tails for end in (".pdf", "")]
+    plans = [(d, k, r.choice(names), r.choice(["h1", "h2", "h3", "h4", None])) for d in range(90) for k in range(2)]
+    manifest = [(p, r.choice(["h1", "h2", None])) for p in r.sample(names, 12)]
+    most = r.choice([1, 2, 3, 10_000])
+    assert resolved(collisions.resolve_batch, spark, plans, manifest, most) == one_by_one(plans, manifest, most, keep=True)
+
+
+def test_a_folder_of_numbered_names(spark):
+    """A million names of one folder that differ in their number: only the contested ones are played."""
+    n = 1_000_000
+    plans = spark.range(n).select(F.col("id").alias("document_id"), F.lit(0).alias("position"), F.concat(F.lit("/o/doc_"), F.col("id").cast("string"), F.lit(".pdf")).alias("dest"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("hash"))
+    extra = spark.createDataFrame([(-2, 0, "/o/doc_7.pdf", "x"), (-1, 0, "/o/doc_7_1.pdf", "z"), (n, 0, "/o/doc.pdf", "p"), (n + 1, 0, "/o/doc.pdf", "q"), (n + 2, 0, "/o/doc.pdf", "h3")], PLANS)
+    began = time.time()
+    out = collisions.resolve_batch(plans.unionByName(extra), spark.createDataFrame([], MANIFEST))
+    moved = out.where("final is null or final <> dest").collect()
+    assert time.time() - began < 60
+    # doc_7.pdf is taken and so is doc_7_1.pdf; doc.pdf's second content finds all 10,000 numbers taken, its third is there
+    assert {(r.document_id, r.final, r.identical) for r in moved} == {(7, "/o/doc_7_2.pdf", False), (n + 1, None, False), (n + 2, None, True)}
 
 
 def test_a_taken_name_pushes_the_next_one(spark):
     plans = [(1, 0, "/o/a.pdf", "x"), (2, 0, "/o/a_1.pdf", "y")]
-    got = resolved(filing.resolve_batch, spark, plans, [("/o/a.pdf", "z")], 10_000)
+    got = resolved(collisions.resolve_batch, spark, plans, [("/o/a.pdf", "z")], 10_000)
     assert [f for *_, f in got] == ["/o/a_1.pdf", "/o/a_1_1.pdf"]
 
 
 def test_contents_without_a_hash_are_never_identical(spark):
-    got = resolved(filing.resolve_batch, spark, [(1, 0, "/o/a", None), (2, 0, "/o/a", None)], [], 10_000)
+    got = resolved(collisions.resolve_batch, spark, [(1, 0, "/o/a", None), (2, 0, "/o/a", None)], [], 10_000)
     assert got == [(1, 0, False, "/o/a"), (2, 0, False, "/o/a_1")]
 
 
@@ -65,7 +90,7 @@ def test_crowded_name(spark):
     manifest = spark.createDataFrame(held, MANIFEST)
     content = F.when(F.col("id") % 10 == 0, F.concat(F.lit("m"), (F.col("id") % 5000).cast("string"))).otherwise(F.concat(F.lit("n"), F.col("id").cast("string")))
     plans = spark.range(1, 100_001).select(F.col("id").alias("document_id"), F.lit(0).alias("position"), F.lit("/o/a.pdf").alias("dest"), content.alias("hash"))
-    for fn, placed in ((filing.resolve_batch, 2), (filing.resolve_collision, None)):
+    for fn, placed in ((collisions.resolve_batch, 2), (collisions.resolve_collision, None)):
         began = time.time()
         got = {r.document_id: r for r in fn(plans, manifest).collect()}
         assert time.time() - began < 60 and len(got) == 100_000
@@ -77,5 +102,5 @@ def test_crowded_name(spark):
 def test_no_free_number_is_an_error(spark):
     outputs = spark.createDataFrame([(1, 0, "move", "/o/a", "x", "/in/a"), (2, 0, "copy", "/o/b", "x", "/in/b")], "document_id long, position int, kind string, dest string, hash string, source string")
     manifest = spark.createDataFrame([("/o/a", "y"), ("/o/a_1", "z")], MANIFEST)
-    rows = {r.document_id: r for r in filing.audit_rows(filing.resolve_collision(outputs, manifest, 1), "run").collect()}
+    rows = {r.document_id: r for r in filing.audit_rows(collisions.resolve_collision(outputs, manifest, 1), "run").collect()}
     assert rows[1].status == "error" and rows[2].status == "done" and rows[2].dest_path == "/o/b"
