@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -151,3 +151,16 @@ def labelled(labels: DataFrame, value: str, limit: int, where: F.Column | None =
 def one_text_each(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, text): of rows with equal keys the text with the least hash, whatever the partitioning."""
     return rows.groupBy(*keys).agg(F.min_by("text", text_key()).alias("text"))
+
+
+def whole_rows(sizes: Iterable[tuple[Hashable, int]], most: int) -> list[Hashable]:
+    """The first keys, in the order given, whose sizes add up to `most` at most; one that is larger by itself is passed over."""
+    taken, total = [], 0
+    for key, size in sizes:
+        if size > most:
+            continue
+        if total + size > most:
+            break
+        taken.append(key)
+        total += size
+    return taken

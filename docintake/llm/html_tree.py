@@ -59,7 +59,7 @@ def read(html: str | None) -> Page:
     def flush() -> None:
         nonlocal linked
         if pieces:
-            text = " ".join(unescape("".join(pieces)).split())
+            text = " ".join("".join(pieces).split())
             if text:
                 page.runs.append((stack[-1], text, linked))
             pieces.clear()
@@ -80,7 +80,7 @@ def read(html: str | None) -> Page:
             start = n
         quiet = any(silent.values())
         if start > at and not quiet:
-            pieces.append(html[at:start])
+            pieces.append(unescape(html[at:start]))  # by itself: a tag ends a character reference
         if start == n:
             break
         # beyond the last > there is no tag, but perhaps an open comment

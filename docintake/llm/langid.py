@@ -21,16 +21,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, id_crc32, map_batches, one_text_each
+from .common import LOWER, id_crc32, map_batches, one_text_each, removed, stored, whole_rows
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 6
 
-#: Labelled documents learned from (the smallest by a hash of the id), and windows drawn from all of their texts in turn.
+#: Labelled documents learned from (the smallest by a hash of the id), and windows of all of them together: documents are
+#: taken whole, in that order, up to this many.
 LABELLED = 4_000
-TRAINING_WINDOWS = 16_000
+TRAINING_WINDOWS = 24_000
 EPOCHS = 8
 
 LETTER = regex.compile(r"\p{L}")
@@ -139,29 +140,32 @@ class Network:
 
 
 def training_windows(docs: DataFrame, limit: int, most: int) -> tuple[np.ndarray, list[str]]:
-    """At most `most` windows of at most `limit` labelled documents that are not held out.
+    """All windows of at most `limit` labelled documents that are not held out, taken whole until they have `most` windows.
 
-    They are drawn in turn: one window of every text, then a second one of every text that has it, and so on, each text
-    giving its windows in a mixed order that covers it from start to end.
+    A document that has more windows by itself is not among the labelled rows learned from.
     """
     rows = docs.where((id_crc32("doc_id") % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = rows.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(limit)
 
     def run(part: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"lang": [], "window": [], "turn": []}
+        out: dict[str, list] = {"lang": [], "windows": []}
         for lang, text in zip(part["lang"], part["text"], strict=True):
             if LETTER.search(text):
-                w = windows(text.encode().translate(LOWER))
-                out["lang"] += [lang] * len(w)
-                out["window"] += [x.tobytes() for x in w]
-                out["turn"] += np.random.default_rng(len(w)).permutation(len(w)).tolist()
+                out["lang"].append(lang)
+                out["windows"].append(windows(text.encode().translate(LOWER)).tobytes())
         return out
 
-    sample = one_text_each(rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]), "doc_id", "lang")
-    found = map_batches(sample.select("lang", "text"), run, "lang string, window binary, turn long")
-    got = found.orderBy("turn", F.xxhash64("lang", "window"), "lang", "window").limit(most).orderBy("lang", "window").collect()
-    x = np.frombuffer(b"".join(bytes(r["window"]) for r in got), dtype=np.uint8).reshape(-1, WINDOW)
-    return x, [r["lang"] for r in got]
+    sample = stored(one_text_each(rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]), "doc_id", "lang"))
+    size = F.greatest(F.lit(1), F.ceil((F.octet_length("text") - max(WIDTHS) + 1) / (WINDOW - max(WIDTHS) + 1)))
+    order = F.xxhash64("doc_id"), "doc_id", "lang"
+    sizes = sample.select(F.struct("doc_id", "lang"), size).orderBy(*order).collect()
+    taken = docs.sparkSession.createDataFrame(whole_rows([((r[0][0], r[0][1]), r[1]) for r in sizes], most), "doc_id long, lang string")
+    learned = sample.join(F.broadcast(taken), ["doc_id", "lang"])
+    got = map_batches(learned.select("lang", "text"), run, "lang string, windows binary").collect()
+    removed(sample)
+    each = sorted((r["lang"], bytes(r["windows"][at : at + WINDOW])) for r in got for at in range(0, len(r["windows"]), WINDOW))
+    x = np.frombuffer(b"".join(w for _, w in each), dtype=np.uint8).reshape(-1, WINDOW)
+    return x, [lang for lang, _ in each]
 
 
 def fit(docs: DataFrame, limit: int = LABELLED, most: int = TRAINING_WINDOWS) -> Network | None:

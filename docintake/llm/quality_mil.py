@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc32, labelled, map_batches, one_text_each
+from .common import id_crc32, labelled, map_batches, one_text_each, removed, stored, whole_rows
 
 PASSAGE = 1024
 RUN = 8
@@ -26,8 +26,8 @@ GATES = 8
 
 #: Labelled documents learned from (the smallest by a hash of the id).
 LABELLED = 3_000
-#: Passages of one document that the fit learns from, drawn evenly over it: at most 100 MB of features reach the driver.
-TRAINING_PASSAGES = 32
+#: Passages of all of them together, at about 1 KB each: labelled documents are taken whole, in that order, up to this many.
+TRAINING_PASSAGES = 64_000
 EPOCHS = 150
 
 
@@ -128,18 +128,22 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, most: int = TRAINING_PASSAGES) -> Model | None:
-    """The model from at most `limit` labelled documents that are not held out, `most` passages of each; None without such rows."""
-    chosen = labelled(labels, "quality", limit, id_crc32("doc_id") % 3 != 1)
-    sample = one_text_each(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "y")
+    """The model from at most `limit` labelled documents that are not held out, taken whole until they have `most` passages.
 
-    def drawn(text: str | None) -> bytes:
-        bag = passages(text)
-        return bag[np.unique(np.linspace(0, len(bag) - 1, min(len(bag), most)).round().astype(np.int64))].tobytes()
+    A document that has more passages by itself is not among the labelled rows learned from. None without such rows.
+    """
+    chosen = labelled(labels, "quality", limit, id_crc32("doc_id") % 3 != 1)
+    sample = stored(one_text_each(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "y"))
+    size = F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / PASSAGE))
+    sizes = sample.select("doc_id", size.alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    taken = whole_rows(sizes, most)
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": rows["doc_id"], "y": rows["y"], "bag": [drawn(t) for t in rows["text"]]}
+        return {"doc_id": rows["doc_id"], "y": rows["y"], "bag": [passages(t).tobytes() for t in rows["text"]]}
 
-    got = map_batches(sample.select("doc_id", "text", "y"), run, "doc_id long, y int, bag binary").orderBy("doc_id").collect()
+    learned = sample.where(F.col("doc_id").isin(taken)).select("doc_id", "text", "y")
+    got = map_batches(learned, run, "doc_id long, y int, bag binary").orderBy("doc_id").collect()
+    removed(sample)
     if not got:
         return None
     bags = [np.frombuffer(r["bag"], dtype=np.float32).reshape(-1, WIDTH) for r in got]

@@ -2,7 +2,7 @@
 
 The rows to leave out are known by (doc_id, text_key). Their keys go into a Bloom filter, whose size is checked; rows
 that miss it stay where they are. Kept rows that hit it by chance are found among the keys alone and put into a second
-filter, so that only rows which hit both, about one in 10,000, are shuffled with their texts for an exact anti-join.
+filter, which all of these hit: they, about one row in 250, are shuffled with their texts for an exact anti-join.
 """
 
 from __future__ import annotations

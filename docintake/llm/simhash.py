@@ -4,13 +4,14 @@ Fingerprint: 64 bits over word shingles, a bit set if it is set in over half of
 Search: correlated bits are grouped into m parts; part i gets a threshold t_i (-1: not probed) with
 sum(t_i + 1) = radius + 1, so that two fingerprints within the radius agree on some part within its threshold. Dynamic
 programming picks the thresholds that make probes and estimated candidates cheapest for a stated design size, so the
-rows per fingerprint (66 for 64 bits and radius 4) are the same for any table. The flips of a part are shared between
-both sides: the index holds all values within t_i / 2 of a fingerprint's own, probes go to all within the rest of t_i;
+rows per fingerprint (66 to probe and 34 to find, for 64 bits and radius 4) are the same for any table. The flips of a
+part are shared between both sides: the index holds all values within t_i / 2 of a fingerprint's own, probes go to all within the rest of t_i;
 what meets is verified by the whole distance.
 
 Equal fingerprints are one node, so thousands of copies cost one. A part value that over `hot` fingerprints share is
-not joined with itself: its members, and all that probe it, meet at midpoints (two fingerprints within an even radius r
-share a value within r / 2 of both), which is linear in the number of members and loses no link of a component.
+not joined with itself: its members, and all that probe it, meet at midpoints (two fingerprints within a radius r share
+a value within r / 2 of both, rounded up for one of them), which is linear in the number of members and loses no link
+of a component.
 
 Edge cases: null and empty texts and texts without a word have fingerprint zero and link like any other; texts with
 fewer words than a shingle are one shingle; repeated rows stay, each with its component; a null doc_id never becomes
@@ -225,12 +226,15 @@ def links(nodes: DataFrame, radius: int = 4, hot: int = HOT, design: int = DESIG
 def _midpoints(members: DataFrame, radius: int) -> DataFrame:
     """Edges from each member to the least one that shares a value within radius / 2 of both.
 
-    As many fingerprints as such a value can have neighbours meet there at most, whatever the number of members.
+    As many fingerprints as such a value can have neighbours meet there at most, whatever the number of members. For an
+    odd radius one of the two may be a bit further away: the least member is sought among the nearer ones, so that no
+    edge is longer than the radius.
     """
-    if radius % 2:
-        raise ValueError("crowded part values need an even radius")
     whole = Part((1 << BITS) - 1, radius)
-    around = _keys(members, whole, radius // 2).withColumn("a", F.min("fp").over(Window.partitionBy("key")))
+    keys, least = _keys(members, whole, (radius + 1) // 2), F.col("fp")
+    if radius % 2:
+        least = F.when(F.bit_count(F.col("fp").bitwiseXOR(F.col("key"))) <= radius // 2, F.col("fp"))
+    around = keys.withColumn("a", F.min(least).over(Window.partitionBy("key")))
     return around.where("a != fp").select("a", F.col("fp").alias("b")).distinct()
 
 

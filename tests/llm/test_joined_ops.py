@@ -67,6 +67,23 @@ def test_links_lose_nothing(spark, hot):
     assert [label.get(x, x) for x in fps] == [fps[i] for i in expected]
 
 
+@pytest.mark.parametrize("radius", [1, 3, 5])
+@pytest.mark.parametrize("hot", [5, 1000])
+def test_odd_radius(spark, radius, hot):
+    """Crowded part values meet at midpoints of which one side may be further away; components are those of all pairs."""
+    rng = np.random.default_rng(radius)
+    fps = set()
+    for c in rng.integers(0, 1 << 63, 4, dtype=np.uint64).tolist():
+        for _ in range(60):
+            flips = rng.choice(64, rng.integers(0, 5), replace=False)
+            fps.add(int(np.bitwise_xor.reduce([np.uint64(1) << np.uint64(b) for b in flips] + [np.uint64(c)])))
+    fps = sorted(simhash.signed(x) for x in fps)
+    edges = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), radius, hot)
+    label = {r.node: r.label for r in connected(edges).collect()}
+    expected = components([x & (1 << 64) - 1 for x in fps], radius)
+    assert [label.get(x, x) for x in fps] == [fps[i] for i in expected]
+
+
 def test_plan_covers_the_radius():
     rng = np.random.default_rng(0)
     sample = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
@@ -320,6 +337,7 @@ PAGES = {
     "<article><p>Text with 1 < 2 and a&nbsp;b.</p><script>var a='</p><p>no</p>';</script><style>p{}</style><!-- <p>gone</p> --><p>Last one.</p></article>": "Text with 1 < 2 and a b. Last one.",
     "<article><p>Body of the article, long enough to count.</p><form><p>Subscribe now</p></form><div class='comments'><p>First!</p></div></article>": "Body of the article, long enough to count.",
     "<article><p>super<wbr>long a<img src=x>b and <math><mi>x</mi></math>y, written by hand.</p><noscript><p>Kept as well, no script.</p></noscript></article>": "superlong ab and xy, written by hand. Kept as well, no script.",
+    "<article><p>A reference ends at a tag, as in a &am<b>p;</b> b, written by hand.</p><p>So x &lt<i>;</i> y keeps its semicolon here.</p></article>": "A reference ends at a tag, as in a &amp; b, written by hand. So x <; y keeps its semicolon here.",
     "<article><h1>A title</h1><p>Seen by every reader of this page, all of it.</p><p style='display:none'>Not seen by anybody here.</p><p>More of the text that readers see.</p></article>": "A title Seen by every reader of this page, all of it. More of the text that readers see.",
     "": "",
     "<<<>>": None,

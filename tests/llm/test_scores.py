@@ -45,7 +45,7 @@ def test_language_scores(spark, sf, tables, texts):
     """Convolution, maximum and softmax position by position."""
     net = langid.fit(tables["documents"])
     got = {r.doc_id: (r.lang_pred, r.score) for r in q.op10_byte_cnn_language(spark, sf).collect()}
-    for doc_id in sorted(texts, key=lambda i: len(texts[i]))[:25]:
+    for doc_id in sorted(texts, key=lambda i: len(texts[i]))[:25] + [max(texts, key=lambda i: len(texts[i]))]:
         text = texts[doc_id]
         if not re.search(r"[^\W\d_]", text):
             assert got[doc_id] == ("und", 0.0)
@@ -116,3 +116,23 @@ def test_calibrated_threshold():
     assert not (scores[good] >= t).any() and (scores[~good] >= t).mean() > 0.9
     tied = rules_iforest.calibrated(np.full(120, 0.5), good)
     assert tied > 0.5  # good and bad rows that score alike are all kept
+
+
+def test_labelled_rows_are_whole(spark, tables):
+    """The bound of the fit leaves rows out, never a part of one."""
+    from docintake.llm.common import whole_rows
+
+    assert whole_rows([("a", 5), ("b", 99), ("c", 4), ("d", 2), ("e", 1)], 10) == ["a", "c"] and whole_rows([], 3) == []
+    docs = tables["documents"].limit(80)
+    lang = {r.doc_id: (r.lang, r.text) for r in docs.collect()}
+    x, langs = langid.training_windows(docs, 50, 400)
+    left = sorted((y, w.tobytes()) for y, w in zip(langs, x, strict=True))
+    assert 0 < len(left) <= 400
+    whole = [sorted((y, w.tobytes()) for w in langid.windows(t.encode().translate(langid.LOWER))) for y, t in lang.values() if y and t]
+    for bag in sorted(whole, key=len, reverse=True):  # what is left after whole documents are taken out is nothing
+        if all(left.count(w) >= bag.count(w) for w in bag):
+            for w in bag:
+                left.remove(w)
+    assert not left
+    assert langid.training_windows(docs, 50, 0)[1] == []
+    assert quality_mil.fit(docs, tables["labels"], most=0) is None
