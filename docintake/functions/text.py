@@ -101,8 +101,29 @@ def other_digits() -> str:
     return _class(_digits()[2])
 
 
+def all_digits() -> str:
+    """The inside of a character class of all digits beyond ASCII."""
+    return _class(sorted([*map(ord, _digits()[0]), *_digits()[2]]))
+
+
+@cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters beyond ASCII that case folding turns into one other character, and those that it turns into several."""
+    changed = {c: c.casefold() for c in map(chr, range(0x80, 0x110000)) if c.casefold() != c}
+    return {c: f for c, f in changed.items() if len(f) == 1}, {c: f for c, f in changed.items() if len(f) > 1}
+
+
 def casefold(c: Column) -> Column:
-    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Full case folding: small letters first, then what folding says beyond them; only texts beyond ASCII need the latter."""
+    one, several = _folds()
+
+    def folded(x: Column) -> Column:
+        single = F.translate(x, "".join(one), "".join(one.values()))
+        found = F.array_distinct(F.regexp_extract_all(single, F.lit(f"[{_class(sorted(map(ord, several)))}]"), F.lit(0)))
+        known = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in several.items())), F.lit("\x01"), F.lit("\x02"))
+        return F.aggregate(found, single, lambda text, char: F.replace(text, char, F.element_at(known, char)))
+
+    return let(F.lower(c), lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), folded(x)).otherwise(x))
 
 
 def normalize_text(c: Column) -> Column:

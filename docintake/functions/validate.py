@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns, slow
-from .text import ascii_digits, blank, let, other_digits, strip
+from .text import all_digits, ascii_digits, blank, let, other_digits, strip
 
 #: Spellings of booleans.
 TRUE = ("sim", "true", "1", "verdadeiro", "s", "v")
@@ -92,8 +92,8 @@ def normalize_number(raw: Column, answer: Column | None = None) -> Column:
 
 
 def normalize_doc_id(raw: Column) -> Column:
-    """F8: digits only."""
-    return F.regexp_replace(raw, r"\D", "")
+    """F8: digits only, of any script, as they stand."""
+    return F.regexp_replace(raw, rf"[^0-9{all_digits()}]", "")
 
 
 def _check_digit(digits: Column, weights: list[int]) -> Column:
@@ -105,10 +105,10 @@ def _check_digit(digits: Column, weights: list[int]) -> Column:
 def _checked(raw: Column, length: int, first: list[int], second: list[int]) -> Column:
     def right(digits: Column) -> Column:
         sums = (_check_digit(digits, first) == F.substr(digits, F.lit(length - 1), F.lit(1))) & (_check_digit(digits, second) == F.substr(digits, F.lit(length), F.lit(1)))
-        shaped = (F.length(digits) == length) & ~digits.rlike(r"^(\d)\1*$")
-        return F.coalesce(F.when(shaped, sums), F.lit(False))
+        return F.coalesce(F.when(digits.rlike(rf"^[0-9]{{{length}}}\z"), sums), F.lit(False))
 
-    return let(normalize_doc_id(raw), right)
+    # a number in digits of one kind only is none, whatever they stand for; superscripts and the like stand for nothing
+    return let(normalize_doc_id(raw), lambda typed: ~typed.rlike(r"^(.)\1*\z") & right(ascii_digits(typed)))
 
 
 def is_valid_cnpj(raw: Column) -> Column:

@@ -16,6 +16,8 @@ from ..functions.text import normalize_text
 PATTERN_LENGTH = 512
 #: Shorter normalised needles are looked for as they were typed.
 SHORT = 3
+#: Longer texts go to a matcher with a deadline where a pattern may take the square of their length.
+SQUARED = 10_000
 #: Conditions beyond this number are evaluated once each as columns of their own, so that no expression grows too large.
 INLINE = 200
 
@@ -48,9 +50,13 @@ def condition(c: Condition) -> Column:
 def _regex(pattern: str) -> Column:
     if not pattern or len(pattern) > PATTERN_LENGTH or not patterns.is_valid(pattern):
         return F.lit(False)
-    if patterns.is_safe(pattern) and patterns.java_reads("(?iU)" + pattern):
-        return F.col("lowered").rlike("(?iU)" + pattern)
-    return slow.search_with_deadline(F.col("lowered"), pattern)
+    quick, text = "(?iU)" + patterns.from_run_start(pattern), F.col("lowered")
+    if not patterns.is_safe(pattern) or not patterns.java_reads(quick):
+        return slow.search_with_deadline(text, pattern)
+    if patterns.is_linear(pattern):
+        return text.rlike(quick)
+    long = F.length(text) > SQUARED
+    return F.when(long, slow.search_with_deadline(F.when(long, text), pattern)).otherwise(text.rlike(quick))
 
 
 def all_of(parts: list[Column]) -> Column:

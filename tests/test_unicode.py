@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 from decimal import Decimal, InvalidOperation
 
@@ -90,8 +91,8 @@ def test_comparing_numbers_of_any_length(spark):
             assert column(spark, values, lambda c: rules.evaluate_condition(c, operator, target)) == wanted, (operator, target)  # noqa: B023
 
 
-SAFE = [r"\d{44}", r"[a-z0-9.]+@[a-z]+\.[a-z]+", r"\bund\b.*\bder\b", r"\+\d{1,3} \(", "token = ", r"a|b+c", r"(?:ab)+", r"\d+,\d+", "[^]]x"]
-UNSAFE = [".*.*.*=", "(.*)(.*)(.*)x", r"\s*\s*\s*;", r"\d+\d+\d+x", "(a+)+$", r"(x)\1", "(?=a)b", "(a|b+)*c", ".*=", r"x.*a.*b", r"\w+-?\w+;", "(?:a*)*"]
+SAFE = [r"\d{44}", r"[a-z0-9.]+@[a-z]+\.[a-z]+", r"\bund\b.*\bder\b", r"\+\d{1,3} \(", "token = ", r"a|b+c", r"(?:ab)+", r"\d+,\d+", "[^]]x", ".*="]
+UNSAFE = [".*.*.*=", "(.*)(.*)(.*)x", r"\s*\s*\s*;", r"\d+\d+\d+x", "(a+)+$", r"(x)\1", "(?=a)b", "(a|b+)*c", r"x.*a.*b", r"\w+-?\w+;", "(?:a*)*"]
 
 
 def test_patterns():
@@ -129,3 +130,54 @@ def test_slow_patterns_have_a_deadline(spark, pattern):
     began = time.time()
     assert not docs.select(signals.condition(Condition("regex", pattern))).first()[0]
     assert time.time() - began < 20
+
+
+def test_case_folding(spark):
+    """All characters that folding changes, and random texts; a value equals and contains itself in a rule."""
+    r = random.Random(11)
+    some = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).casefold() != chr(c) or chr(c).lower() != chr(c))]
+    values = ["|".join(some[i : i + 100]) for i in range(0, len(some), 100)] + ["µg", "ﬁnance", "ǰ", "ΑΣ", "ΣΑΣ ς", "İstanbul", "STRASSE straße ẞ"]
+    values += ["".join(r.choice(some) if r.random() < 0.4 else chr(r.randrange(33, 0x2FF)) for _ in range(30)) for _ in range(300)]
+    assert column(spark, values, text.casefold) == [v.casefold() for v in values]
+    own = ["µg", "ﬁnance", "ǰ", "ẞ", "Σ"]
+    for v in own:
+        for op, other in (("eq", v.upper()), ("contains", v), ("eq", v)):
+            want = v.casefold() == other.strip().casefold() if op == "eq" else True
+            assert column(spark, [f" {v} "], lambda c: rules.evaluate_condition(c, op, other)) == [want]  # noqa: B023
+
+
+def test_digits_of_other_scripts_in_tax_ids(spark):
+    values = ["٥٢٩.982.247-25", "529.982.247-25", "529.982.247-24", "١١١١١١١١١١١", "1١1١1١1١1١1", "52998224725²", "²" * 11, "११.२२२.३३३/०००१-८१", "11222333000181"]
+    assert column(spark, values, validate.normalize_doc_id) == ["".join(c for c in v if c.isdigit()) for v in values]
+    assert column(spark, values, validate.is_valid_cpf)[:3] == [True, True, False]
+    assert column(spark, values, validate.is_valid_cpf)[3:7] == [False, True, False, False]  # digits that stand for one value but differ are no one digit
+    assert column(spark, values, validate.is_valid_cnpj)[7:] == [True, True]
+
+
+SLOW = [r"[0-9]{1,200}[0-9]{1,200}[0-9]{1,200}k", r"[0-9]{1,200}[0-9]{1,200}k", r"\d{1,50}\d{1,50}\d{1,50}\d{1,50}k", r"[a-z]{2,}[a-z]{2,500}[a-z]{2,500}x", r"(?:a?b?c?){20}d", r"(a*)*b", r"(x+x+)+y", r"a?a?a?a?aaaab", r"(?:\d+,?)+x", r"(\d|\d\d)+x", r"(?:ab|aba|b)+x", r".*nota.*fiscal"]
+QUICK = ["(?i)nota", r"\d{44}", r"nota\s+fiscal", r"\b\d+x", r"\d+x", r"[^a]*a", r"[\w.]+@[\w.]+\.\w+", r"R\$\s*\d+,\d{2}", r"colou?r", r"NF-?e?\b", r"(a|ab)(c|bcd)(d*)", r"cnpj:?\s*\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}"]
+
+
+def test_ambiguous_patterns_get_a_deadline(spark):
+    """Safe patterns stay with the built-in matcher, all others end by their deadline, whatever the text."""
+    assert [p for p in SLOW if patterns.is_safe(p)] == [] and [p for p in QUICK if not patterns.is_safe(p)] == []
+    assert patterns.is_safe(r"(?:\d+,)+x") and not patterns.is_linear(r"(?:\d+,)+x") and not patterns.is_linear("nota.*fiscal")
+    assert [p for p in QUICK if not patterns.is_linear(p)] == []
+    texts = ["7" * 200_000, "a" * 200_000, "ab" * 100_000, "x" * 700, "7," * 100_000]
+    hay = signals.haystacks(spark.createDataFrame(list(enumerate(texts)), "document_id int, full_text string")).cache()
+    hay.count()
+    for p in [*SLOW, *QUICK, r"(?:\d+,)+x", "7.*8", "(?:ab)+c"]:
+        began = time.time()
+        hay.where(signals.condition(Condition("regex", p))).count()
+        assert time.time() - began < 5, p
+
+
+def test_search_from_the_start_of_a_run(spark):
+    """The lookbehind before a leading run changes no answer."""
+    r = random.Random(5)
+    made = [r.choice([r"\d+", r"[a-c]*", r"[^x]{2,}", r"\w+", r"b+?", r"a{1,3}", "(?:ab)+"]) + r.choice(["x", r"\d", r"\b", "ab", "", r"\s?y"]) for _ in range(60)]
+    texts = ["".join(r.choice("abcx1 y") for _ in range(r.randrange(12))) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select("t", *[F.col("t").rlike(patterns.from_run_start(p)).alias(f"p{i}") for i, p in enumerate(made)]).collect()
+    for row in got:
+        assert [row[i + 1] for i in range(len(made))] == [bool(re.search(p, row.t)) for p in made]
