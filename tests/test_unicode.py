@@ -169,7 +169,7 @@ def test_ambiguous_patterns_get_a_deadline(spark):
     for p in [*SLOW, *QUICK, r"(?:\d+,)+x", "7.*8", "(?:ab)+c"]:
         began = time.time()
         hay.where(signals.condition(Condition("regex", p))).count()
-        assert time.time() - began < 5, p
+        assert time.time() - began < 20, p  # five texts; without a deadline the first alone takes minutes
 
 
 def test_search_from_the_start_of_a_run(spark):
