@@ -28,7 +28,7 @@ def haystacks(docs: DataFrame, text: str = "full_text") -> DataFrame:
     return docs.withColumns({"lowered": F.lower(whole), "normalised": normalize_text(whole)})
 
 
-def _normal(value: str) -> str:
+def normal_form(value: str) -> str:
     import unicodedata
 
     plain = "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c)).lower()
@@ -39,7 +39,7 @@ def condition(c: Condition) -> Column:
     """One condition on the columns of haystacks()."""
     if c.mode == "regex":
         return _regex(c.value)
-    needle, typed = _normal(c.value), c.value.casefold().strip()
+    needle, typed = normal_form(c.value), c.value.casefold().strip()
     if not typed:
         return F.lit(False)
     if len(needle) < SHORT:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import Condition, Template, TemplateField
 from ..functions import text, validate
-from ..operators import classify, fields, signals
+from ..operators import classify, fields, needles, signals
 from ..sources.files import read_pairs, spread
 from .registry import query
 
@@ -106,6 +106,25 @@ def c7(t):
     return signals.exploded(matched(t))
 
 
+#: A rule that makes as many needles as there are rows of three letters out of twelve.
+LETTERS = "etaoinshrdlu"
+MANY = [a + b + c for a in LETTERS for b in LETTERS for c in LETTERS]
+
+
+@query(
+    "c7_many_templates",
+    f"""WITH n AS (SELECT document_id, {N} AS n FROM {{texts}}), w AS (SELECT k, substr('{LETTERS}', CAST(k // 144 AS INT) + 1, 1) || substr('{LETTERS}', CAST(k // 12 % 12 AS INT) + 1, 1) || substr('{LETTERS}', CAST(k % 12 AS INT) + 1, 1) AS w FROM range(1728) r(k)),
+       h AS (SELECT n.document_id, a.k + 1 AS template_id FROM n, w a JOIN w b ON b.k = (a.k + 1) % 1728 WHERE contains(n.n, a.w) AND contains(n.n, b.w))
+       SELECT n.document_id, count(template_id) AS templates, CAST(coalesce(sum(template_id), 0) AS BIGINT) AS ids FROM n LEFT JOIN h ON n.document_id = h.document_id GROUP BY 1""",
+)
+def c7_many(t):
+    """1,728 templates of two needles each."""
+    made = [_t(k + 1, w, [("texto", w), ("texto", MANY[(k + 1) % len(MANY)])]) for k, w in enumerate(MANY)]
+    docs = needles.match_many(signals.haystacks(spread(t.texts, t.documents, "document_id")), made)
+    ids = F.aggregate("matches", F.lit(0).cast("long"), lambda n, m: n + m["template_id"])
+    return docs.select("document_id", F.size("matches").cast("long").alias("templates"), ids.alias("ids"))
+
+
 @query("c8_decide", f"WITH {HITS} SELECT document_id, decision, template_id, CASE WHEN decision = 'matched' THEN 1.0 END AS confidence FROM d")
 def c8(t):
     return decided(t).select("document_id", "decision", "template_id", "confidence")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import Action, Automation, Rule, RuleCondition
 from ..functions import naming
-from ..operators import audit, collisions, filing, rules
+from ..operators import audit, collisions, filing, rule_tables, rules
 from ..sources.files import spread
 from .registry import query
 
@@ -98,6 +98,34 @@ def r9(t):
     return rules.evaluate_automations(values(t), AUTOMATIONS).select("document_id", "automation_id")
 
 
+def own_rules(t):
+    """One automation for each customer, with two or three conditions, and one for each nation."""
+    c = t.customer.select(F.col("c_custkey").alias("automation_id"), (F.col("c_custkey") * 7919 % 1009).alias("position"), (F.col("c_custkey") % 11 != 0).alias("active"), F.col("c_name"))
+    n = t.nation.select((F.col("n_nationkey") + 1_000_000).cast("long").alias("automation_id"), (F.col("n_nationkey") * 100).cast("long").alias("position"), F.lit(True).alias("active"), "n_name")
+    k = F.col("automation_id")
+
+    def condition(rows, field, operator, value, name=None):
+        return rows.select("automation_id", F.lit(field).alias("field"), F.lit(operator).alias("operator"), value.alias("value"), F.lit(name).cast("string").alias("field_name"))
+
+    conditions = condition(c, "field", "eq", F.upper("c_name"), "cliente")
+    conditions = conditions.union(condition(c.where("automation_id % 3 = 0"), "field", "gt", F.concat((k % 50 * 5000).cast("string"), F.lit(".0")), "valor"))
+    conditions = conditions.union(condition(c.where("automation_id % 3 = 1"), "extension", "eq", F.when(k % 2 == 0, F.lit("PDF; .jpg")).otherwise(F.lit("png"))))
+    conditions = conditions.union(condition(n, "source_folder", "contains", F.lower("n_name"))).union(condition(n, "size", "lt", F.lit("700"))).union(condition(n.where("automation_id % 2 = 0"), "filename", "contains", F.lit("7")))
+    return c.drop("c_name").union(n.drop("n_name")), conditions
+
+
+@query(
+    "r9_rules_as_tables",
+    """WITH a AS (SELECT v.document_id, c_custkey AS automation_id, c_custkey * 7919 % 1009 AS position FROM {rule_values} v JOIN {customer} c ON v.cliente = c.c_name WHERE c_custkey % 11 <> 0
+         AND CASE c_custkey % 3 WHEN 0 THEN coalesce(CAST(valor AS BIGINT) > c_custkey % 50 * 5000, false) WHEN 1 THEN CASE WHEN c_custkey % 2 = 0 THEN ext IN ('.pdf', '.jpg') ELSE ext = '.png' END ELSE true END
+       UNION ALL SELECT v.document_id, n_nationkey + 1000000, n_nationkey * 100 FROM {rule_values} v JOIN {nation} n ON contains(lower(v.source_folder), lower(n.n_name)) WHERE size < 700 AND (n_nationkey % 2 = 1 OR contains(original_filename, '7')))
+       SELECT v.document_id, CAST(arg_min(a.automation_id, a.position * 10000000 + a.automation_id) AS BIGINT) AS automation_id FROM {rule_values} v LEFT JOIN a ON v.document_id = a.document_id GROUP BY v.document_id""",
+)
+def r9_tables(t):
+    """As many automations as there are customers and nations, held in tables."""
+    return rule_tables.evaluate_automations(values(t), *own_rules(t)).select("document_id", "automation_id")
+
+
 @query(
     "r10_fields_map",
     """WITH g AS (SELECT document_id, name, normalized FROM {filled} WHERE valid AND trim(normalized) <> '') SELECT document_id, string_agg(name || '=' || normalized, ';' ORDER BY name) AS fields FROM g GROUP BY 1""",
