@@ -12,14 +12,14 @@ from ..functions.validate import validate_field
 
 
 def pairs_map(pairs: Column) -> Column:
-    """normalised key -> value; of equal keys the last counts."""
-    keyed = F.transform(pairs, lambda p: F.struct(norm_key(p["key"]).alias("key"), p["value"].alias("value")))
+    """normalised key -> value; of equal keys the last counts: it stands last among them once they are sorted by place."""
+    placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(norm_key(p["key"]).alias("key"), i.alias("place"), p["value"].alias("value"))))
 
     def last_of_each(entries: Column) -> Column:
-        later = lambda i: F.slice(entries["key"], i + 2, F.size(entries))
-        return F.map_from_entries(F.filter(entries, lambda p, i: ~F.array_contains(later(i), p["key"])))
+        last = F.filter(entries, lambda p, i: ~F.coalesce(F.get(entries, i + 1)["key"] == p["key"], F.lit(False)))
+        return F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))
 
-    return let(keyed, last_of_each)
+    return let(placed, last_of_each)
 
 
 def template_fields_table(spark, fields: dict[int, list[TemplateField]]) -> DataFrame:

@@ -113,15 +113,25 @@ def stable_files(observations: DataFrame, window_s: float = 4.0, piece: str = "h
     observations(path, size, mtime, ts); a row with null size says that the file has gone. The looks at a path are
     summed up for each `piece` of time and the pieces put together, so that a path looked at often is no single task.
     """
+    at = joined_looks(look_pieces(observations.withColumn("piece", F.date_trunc(piece, F.col("ts").cast("timestamp")))))
+    quiet = F.col("seen").cast("timestamp").cast("double") - F.col("since").cast("timestamp").cast("double") >= window_s
+    return at.where(F.col("size").isNotNull() & quiet)
+
+
+def look_pieces(looks: DataFrame, *also: str) -> DataFrame:
+    """path, piece (and what goes with them): the first and last state of a piece of time, when it last changed, began and ended."""
     by = Window.partitionBy("path", "piece").orderBy("ts")
     same = F.col("size").eqNullSafe(F.lag("size").over(by)) & F.col("mtime").eqNullSafe(F.lag("mtime").over(by))
-    looks = observations.withColumn("piece", F.date_trunc(piece, F.col("ts").cast("timestamp")))
     marked = looks.withColumn("change", F.when((F.row_number().over(by) > 1) & ~same, F.col("ts")))
     state = F.struct("size", "mtime")
-    pieces = marked.groupBy("path", "piece").agg(
+    return marked.groupBy("path", "piece", *also).agg(
         F.min_by(state, "ts").alias("first"), F.max_by(state, "ts").alias("last"), F.max("change").alias("change"), F.min("ts").alias("begin"), F.max("ts").alias("seen")
     )
 
+
+def joined_looks(pieces: DataFrame) -> DataFrame:
+    """path, size, since, seen: the last state of each path, since when it holds, and when it was last looked at."""
+
     def follow(acc: Column, x: Column) -> Column:
         goes_on = x["change"].isNull() & F.coalesce(acc["last"] == x["first"], F.lit(False))
         return F.struct(x["last"].alias("last"), F.when(goes_on, acc["since"]).otherwise(F.coalesce(x["change"], x["begin"])).alias("since"), x["seen"].alias("seen"))
@@ -129,9 +139,7 @@ def stable_files(observations: DataFrame, window_s: float = 4.0, piece: str = "h
     kinds = dict(pieces.dtypes)
     start = F.struct(F.lit(None).cast(kinds["last"]).alias("last"), F.lit(None).cast(kinds["begin"]).alias("since"), F.lit(None).cast(kinds["seen"]).alias("seen"))
     ordered = F.sort_array(F.collect_list(F.struct("piece", "first", "last", "change", "begin", "seen")))
-    at = pieces.groupBy("path").agg(F.aggregate(ordered, start, follow).alias("at")).select("path", "at.last.size", "at.since", "at.seen")
-    quiet = F.col("seen").cast("timestamp").cast("double") - F.col("since").cast("timestamp").cast("double") >= window_s
-    return at.where(F.col("size").isNotNull() & quiet)
+    return pieces.groupBy("path").agg(F.aggregate(ordered, start, follow).alias("at")).select("path", "at.last.size", "at.since", "at.seen")
 
 
 def text_route(pages: DataFrame, min_chars: int = 16) -> DataFrame:

@@ -28,28 +28,50 @@ def replay_states(log: DataFrame, initial: str = "recebido", piece: str = "day")
     The log of a document is folded piece by piece (requests of one `piece` of time), each piece from every state that
     could stand before it; the pieces of a document are then put together, so that a long log is many small tasks.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("ts", "id", "to_state", "step")))
-    states = list(dict.fromkeys((*STATES, initial)))
+    return joined_replays(replay_pieces(log.withColumn("piece", F.date_trunc(piece, F.col("ts").cast("timestamp"))), initial=initial), initial)
 
-    def start(state: str) -> Column:
-        return F.struct(F.lit(state).alias("state"), F.lit(None).cast("string").alias("step"), F.lit(0).cast("long").alias("rejected"))
+
+def _known(initial: str) -> list[str]:
+    return list(dict.fromkeys((*STATES, initial)))
+
+
+def replay_pieces(log: DataFrame, *also: str, initial: str = "recebido") -> DataFrame:
+    """document_id, piece (and what goes with them), ends: where the requests of the piece lead from each state, by its number.
+
+    A request carries its own number and, as bits, the states that it is allowed from: one shift for each state and request.
+    """
+    states = _known(initial)
+    code, sources = F.lit(-1), F.lit(0)
+    for k, state in enumerate(states):
+        bits = sum(1 << states.index(s) for s, targets in TRANSITIONS.items() if state in targets)
+        code, sources = F.when(F.col("to_state") == state, k).otherwise(code), F.when(F.col("to_state") == state, bits).otherwise(sources)
 
     def request(acc: Column, x: Column) -> Column:
-        ok = allowed(acc["state"], x["to_state"])
+        ok = F.call_function("shiftright", x["sources"], acc["state"]).bitwiseAND(1) == 1
         return F.struct(
-            F.when(ok, x["to_state"]).otherwise(acc["state"]).alias("state"),
+            F.when(ok, x["code"]).otherwise(acc["state"]).alias("state"),
             F.when(ok, F.coalesce(x["step"], acc["step"])).otherwise(acc["step"]).alias("step"),
             (acc["rejected"] + F.when(ok, 0).otherwise(1)).alias("rejected"),
         )
 
+    start = F.array(*[F.struct(F.lit(k).alias("state"), F.lit(None).cast("string").alias("step"), F.lit(0).cast("long").alias("rejected")) for k in range(len(states))])
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "id", "to_state", "step", code.alias("code"), sources.alias("sources"))))
+    ends = F.aggregate(ordered, start, lambda acc, x: F.transform(acc, lambda a: request(a, x)))
+    return log.groupBy("document_id", "piece", *also).agg(ends.alias("ends"))
+
+
+def joined_replays(pieces: DataFrame, initial: str = "recebido") -> DataFrame:
+    """document_id, state, step, rejected: the pieces of each document one after another from `initial` on."""
+    states = _known(initial)
+
     def follow(acc: Column, x: Column) -> Column:
-        came = F.element_at(x["ends"], F.array_position(F.array(*map(F.lit, states)), acc["state"]).cast("int"))
+        came = F.get(x["ends"], acc["state"])
         return F.struct(came["state"].alias("state"), F.coalesce(came["step"], acc["step"]).alias("step"), (acc["rejected"] + came["rejected"]).alias("rejected"))
 
-    ends = F.aggregate(ordered, F.array(*map(start, states)), lambda acc, x: F.transform(acc, lambda a: request(a, x)))
-    pieces = log.groupBy("document_id", F.date_trunc(piece, F.col("ts").cast("timestamp")).alias("piece")).agg(ends.alias("ends"))
-    whole = F.aggregate(F.sort_array(F.collect_list(F.struct("piece", "ends"))), start(initial), follow)
-    return pieces.groupBy("document_id").agg(whole.alias("s")).select("document_id", "s.state", "s.step", "s.rejected")
+    start = F.struct(F.lit(states.index(initial)).alias("state"), F.lit(None).cast("string").alias("step"), F.lit(0).cast("long").alias("rejected"))
+    whole = F.aggregate(F.sort_array(F.collect_list(F.struct("piece", "ends"))), start, follow)
+    name = F.get(F.array(*map(F.lit, states)), F.col("s.state"))
+    return pieces.groupBy("document_id").agg(whole.alias("s")).select("document_id", name.alias("state"), "s.step", "s.rejected")
 
 
 def pending_extractions(docs: DataFrame, extractions: DataFrame) -> DataFrame:

@@ -13,9 +13,14 @@ NO_ERROR_TEXT = "Falha sem detalhe registrado."
 QUARANTINE_TEXT = "Nenhum template correspondeu."
 
 
-def list_documents(docs: DataFrame, originals: DataFrame, folders: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """Q1: one page, newest id first; the page is cut before the joins."""
-    page = docs.orderBy(F.desc("document_id")).offset(offset).limit(limit)
+def list_documents(docs: DataFrame, originals: DataFrame, folders: DataFrame, limit: int = 100, offset: int = 0, before: int | None = None) -> DataFrame:
+    """Q1: one page, newest id first; the page is cut before the joins.
+
+    `before` is the last id of the page before: a page then costs the same wherever it is, and nothing but the page comes
+    to one place. `offset` skips rows and gathers all that it skips.
+    """
+    rows = docs if before is None else docs.where(F.col("document_id") < before)
+    page = rows.orderBy(F.desc("document_id")).offset(offset).limit(limit) if offset else rows.orderBy(F.desc("document_id")).limit(limit)
     o = originals.select("origin_id", F.col("filename").alias("original_filename"), "folder_id")
     f = folders.select("folder_id", F.col("path").alias("folder"))
     return page.join(o, "origin_id", "left").join(f, "folder_id", "left").orderBy(F.desc("document_id"))
@@ -30,14 +35,20 @@ def state_counts(docs: DataFrame) -> DataFrame:
 
 
 def attention(docs: DataFrame, jobs: DataFrame, results: DataFrame, filled: DataFrame) -> DataFrame:
-    """Q3: document_id, bucket, reason, score, fields (array in field order) of documents that wait for a person."""
+    """Q3: document_id, bucket, reason, score, fields (array in field order) of documents that wait for a person.
+
+    Jobs of failed documents and fields of those in review are gathered, of no others. An empty error is none.
+    """
     waiting = docs.where(F.col("state").isin("falha", "quarentena", "em_revisao"))
-    last = jobs.groupBy(F.col("hash").alias("content_hash")).agg(F.max_by(F.struct("last_error"), F.struct("updated_at", "job_id")).alias("job"))
-    fields = filled.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("field_no", "name", "raw", "valid"))).alias("fields"))
-    j = waiting.join(last, "content_hash", "left")
-    review = waiting.where("state = 'em_revisao'").select("document_id").join(results.select("document_id", "score"), "document_id", "left").join(fields, "document_id", "left")
-    reason = F.when(F.col("state") == "falha", F.coalesce("job.last_error", F.lit(NO_ERROR_TEXT))).when(F.col("state") == "quarentena", QUARANTINE_TEXT)
-    return j.join(review, "document_id", "left").select("document_id", F.col("state").alias("bucket"), reason.alias("reason"), "score", "fields")
+    failed = waiting.where("state = 'falha'").select("content_hash")
+    in_review = waiting.where("state = 'em_revisao'").select("document_id")
+    errors = jobs.withColumnRenamed("hash", "content_hash").join(failed, "content_hash", "left_semi")
+    last = errors.groupBy("content_hash").agg(F.max_by(F.struct("last_error"), F.struct("updated_at", "job_id")).alias("job"))
+    fields = filled.join(in_review, "document_id", "left_semi").groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("field_no", "name", "raw", "valid"))).alias("fields"))
+    review = in_review.join(results.select("document_id", "score"), "document_id", "left").join(fields, "document_id", "left")
+    error = F.coalesce(F.nullif("job.last_error", F.lit("")), F.lit(NO_ERROR_TEXT))
+    reason = F.when(F.col("state") == "falha", error).when(F.col("state") == "quarentena", QUARANTINE_TEXT)
+    return waiting.join(last, "content_hash", "left").join(review, "document_id", "left").select("document_id", F.col("state").alias("bucket"), reason.alias("reason"), "score", "fields")
 
 
 def search_documents(docs: DataFrame, status: str | None, q: str) -> DataFrame:

@@ -22,6 +22,28 @@ SQUARED = 10_000
 INLINE = 200
 
 
+def signal_groups(signals_json: Column) -> Column:
+    """C3 over a table: array<array<struct<mode, value>>> of JSON configurations, as config.parse_groups() reads one."""
+    none = "array<variant>"
+    items = F.coalesce(F.try_variant_get(F.try_parse_json(signals_json), "$", none), F.array().cast(none))
+    kind, get = F.schema_of_variant, F.try_variant_get
+    signal = lambda mode, value: F.struct(mode.alias("mode"), value.alias("value"))
+
+    def text(c: Column, path: str, default: str) -> Column:
+        """What is there as text; nothing, an empty text, zero and false give the default."""
+        found = get(c, path, "string")
+        plain = F.when(kind(get(c, path, "variant")) == "BOOLEAN", F.when(found == "true", "True")).otherwise(F.when(kind(get(c, path, "variant")) == "STRING", found).otherwise(F.nullif(found, F.lit("0"))))
+        return F.coalesce(F.nullif(plain, F.lit("")), F.lit(default))
+
+    def group(item: Column) -> Column:
+        inside = F.filter(get(item, "$", none), lambda c: kind(c).startswith("OBJECT"))
+        return F.transform(inside, lambda c: signal(text(c, "$.mode", "texto"), text(c, "$.value", "")))
+
+    flat = F.transform(items, lambda x: F.array(signal(F.lit("texto"), get(x, "$", "string"))))
+    nested = F.transform(F.filter(items, lambda x: kind(x).startswith("ARRAY")), group)
+    return F.when(F.forall(items, lambda x: kind(x) == "STRING"), flat).otherwise(nested)
+
+
 def haystacks(docs: DataFrame, text: str = "full_text") -> DataFrame:
     """Adds `lowered` (small letters) and `normalised` (C1) of the text; null is ''."""
     whole = F.coalesce(text, F.lit(""))

@@ -61,15 +61,16 @@ def c1(t):
 
 @query(
     "c1_other_forms",
-    """SELECT document_id, CASE document_id % 3 WHEN 0 THEN lower(lang) || ' ' || regexp_extract(lower(full_text), '^[a-z]*') WHEN 1 THEN replace(replace(lower(lang), 'e', chr(4352) || chr(4449)), 'f', chr(4370) || chr(4449) || chr(4523)) ELSE replace(lower(lang), 'f', 'fi') END AS plain FROM {texts}""",
+    """SELECT document_id, CASE document_id % 3 WHEN 0 THEN sha256(lower(lang) || ' ' || strip_accents(lower(full_text))) WHEN 1 THEN replace(replace(lower(lang), 'e', chr(4352) || chr(4449)), 'f', chr(4370) || chr(4449) || chr(4523)) ELSE replace(lower(lang), 'f', 'fi') END AS plain FROM {texts}""",
 )
 def c1_forms(t):
     """Full-width letters, Hangul syllables and ligatures, put in place of plain letters, come back as what they stand for."""
     low, wide = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF41 + i) for i in range(26))
     k, lang = F.col("document_id") % 3, F.lower("lang")
-    head = F.regexp_extract(F.lower("full_text"), "^[a-z]*", 0)
-    raw = F.when(k == 0, F.translate(F.concat_ws(" ", lang, head), low, wide)).when(k == 1, F.translate(lang, "ef", "\uac00\ud55c")).otherwise(F.replace(lang, F.lit("f"), F.lit("\ufb01")))
-    return t.texts.select("document_id", text.strip_accents(raw).alias("plain"))
+    whole = F.translate(F.concat(lang, F.lit(" "), F.lower("full_text")), low, wide)
+    raw = F.when(k == 0, whole).when(k == 1, F.translate(lang, "ef", "\uac00\ud55c")).otherwise(F.replace(lang, F.lit("f"), F.lit("\ufb01")))
+    plain = text.strip_accents(raw)
+    return t.texts.select("document_id", F.when(k == 0, F.sha2(plain, 256)).otherwise(plain).alias("plain"))
 
 
 @query("c2_haystacks", f"SELECT document_id, length({L}) AS lowered, length({N}) AS normalised FROM {{texts}}")
@@ -77,6 +78,21 @@ def c2(t):
     return signals.haystacks(t.texts).select("document_id", F.length("lowered").cast("long").alias("lowered"), F.length("normalised").cast("long").alias("normalised"))
 
 
+SIGNALS = """CASE document_id % 6 WHEN 0 THEN '["nota ' || iso || '", "x"]' WHEN 1 THEN '{{broken' WHEN 2 THEN '[[{{"mode": "regex", "value": "' || iso || '"}}, 7], "y", [{{"value": 5, "mode": ""}}]]' WHEN 4 THEN '[[{{"value": "a"}}, {{"value": "b' || iso || '"}}], []]' WHEN 5 THEN '{{"value": "a"}}' END"""
+
+
+@query(
+    "c3_signal_groups",
+    """SELECT document_id, CASE document_id % 6 WHEN 0 THEN 'texto=nota ' || iso || '|texto=x' WHEN 2 THEN 'regex=' || iso || '|texto=5' WHEN 4 THEN 'texto=a&texto=b' || iso || '|' ELSE '' END AS groups,
+       CAST(CASE document_id % 6 WHEN 0 THEN 2 WHEN 2 THEN 2 WHEN 4 THEN 2 ELSE 0 END AS BIGINT) AS n FROM {order_values}""",
+)
+def c3(t):
+    """Configurations as JSON texts of a table: flat, nested, partly and wholly malformed ones."""
+    made = t.order_values.select("document_id", signals.signal_groups(F.expr(SIGNALS.replace("{{", "{").replace("}}", "}"))).alias("g"))
+    joined = F.array_join(F.transform("g", lambda g: F.array_join(F.transform(g, lambda c: F.concat(c["mode"], F.lit("="), c["value"])), "&")), "|")
+    return made.select("document_id", joined.alias("groups"), F.size("g").cast("long").alias("n"))
+
+
 @query("c4_text_condition", f"SELECT document_id, contains({N}, 'de la') AS long_needle, contains({L}, 'é|') OR contains({L}, 'ß') AS short_needle, false AS no_needle FROM {{texts}}")
 def c4(t):
     h = signals.haystacks(t.texts)
@@ -218,10 +234,11 @@ VALUES = r"""v AS (SELECT document_id, template_id, document_id % 29 = 0 AS brok
     CASE trim(urgente) WHEN 'Sim' THEN 'true' WHEN 'não' THEN 'false' END AS urgente_n FROM k)"""
 
 
-@query("f1_norm_key", r"SELECT document_id, trim(regexp_replace(replace(lower(strip_accents(replace(substr(full_text, 1, 60), ' ', '_ '))), 'ß', 'ss'), '[\s_]+', ' ', 'g')) AS key FROM {texts}")
+@query("f1_norm_key", r"SELECT document_id, sha256(trim(regexp_replace(replace(lower(strip_accents(replace(full_text, ' ', '_ '))), 'ß', 'ss'), '[\s_]+', ' ', 'g'))) AS hash FROM {texts}")
 def f1(t):
-    raw = F.replace(F.upper(F.substring("full_text", 1, 60)), F.lit(" "), F.lit("_ "))
-    return t.texts.select("document_id", text.norm_key(raw).alias("key"))
+    """Whole texts as if they were field names."""
+    raw = F.replace(F.upper("full_text"), F.lit(" "), F.lit("_ "))
+    return t.texts.select("document_id", F.sha2(text.norm_key(raw), 256).alias("hash"))
 
 
 @query("f2_pairs_map", f"WITH {VALUES} SELECT document_id, numero, valor, urgente FROM v")
@@ -277,9 +294,10 @@ def f8(t):
     return t.order_raw.select("document_id", validate.normalize_doc_id(dotted).alias("digits"))
 
 
-@query("f9_cnpj", f"WITH {VALUES} SELECT document_id, cnpj_n IS NOT NULL AS valid FROM n WHERE NOT broken")
+@query("f9_cnpj", f"WITH {VALUES} SELECT document_id, cnpj_n IS NOT NULL AS valid FROM n")
 def f9(t):
-    return t.order_raw.where("document_id % 29 <> 0").select("document_id", validate.is_valid_cnpj(F.col("cnpj")).alias("valid"))
+    """The tax id of every document; where the pairs are broken there is none."""
+    return pairs(t).select("document_id", validate.is_valid_cnpj(F.try_element_at("pairs", F.lit("cnpj"))).alias("valid"))
 
 
 CPF = """p AS (SELECT document_id, lpad(CAST((document_id * 104729) % 1000000000 AS VARCHAR), 9, '0') AS b, o_custkey % 100 AS last FROM {order_raw}),

@@ -24,6 +24,14 @@ def registry(t):
 H = "h AS (SELECT arrival, path, size, sha256(content) AS hash FROM {files}), r AS (SELECT DISTINCT hash FROM h WHERE arrival % 3 = 0)"
 
 
+@query("s1_scan_files", f"SELECT regexp_extract(path, '[^/]*$') AS name, octet_length(encode(content)) AS size, sha256(content) AS hash FROM {{files}} WHERE {EXT} AND content IS NOT NULL")
+def s1(t):
+    """The documents as files in a folder, listed and read back."""
+    where = src.shared_folder(t.spark, "files")
+    src.put_files(t.files, where)
+    return src.scan_files(t.spark, where).select(text.file_name(F.col("path")).alias("name"), "size", src.content_hash(F.col("content")).alias("hash"))
+
+
 @query("s2_supported_files", f"SELECT arrival, path, {EXT} AS supported FROM {{files}}")
 def s2(t):
     return t.files.select("arrival", "path", text.is_supported_ext(F.col("path")).alias("supported"))

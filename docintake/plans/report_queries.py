@@ -103,6 +103,11 @@ def q1(t):
     return reports.list_documents(t.docs, t.originals, t.nation_folders, 100, 200).select("document_id", "state", "original_filename", "folder")
 
 
+@query("q1_next_page", "SELECT d.document_id, d.state, o.filename AS original_filename, f.path AS folder FROM (SELECT * FROM {docs} WHERE document_id < 700 ORDER BY document_id DESC LIMIT 100) d LEFT JOIN {originals} o ON d.origin_id = o.origin_id LEFT JOIN {nation_folders} f ON o.folder_id = f.folder_id")
+def q1_next(t):
+    return reports.list_documents(t.docs, t.originals, t.nation_folders, 100, before=700).select("document_id", "state", "original_filename", "folder")
+
+
 @query(
     "q2_state_counts",
     """WITH s AS (SELECT unnest(['recebido', 'processando', 'em_revisao', 'concluido', 'quarentena', 'falha']) AS state), c AS (SELECT s.state, count(d.document_id) AS n FROM s LEFT JOIN {docs} d ON s.state = d.state GROUP BY 1)
@@ -115,7 +120,7 @@ def q2(t):
 @query(
     "q3_attention",
     f"""WITH j AS (SELECT hash, last_error FROM {{jobs}} QUALIFY row_number() OVER (PARTITION BY hash ORDER BY updated_at DESC, job_id DESC) = 1), f AS (SELECT document_id, string_agg(name, ',' ORDER BY field_no) AS names FROM {{filled}} GROUP BY 1)
-       SELECT d.document_id, d.state AS bucket, CASE d.state WHEN 'falha' THEN coalesce(j.last_error, '{reports.NO_ERROR_TEXT}') WHEN 'quarentena' THEN '{reports.QUARANTINE_TEXT}' END AS reason,
+       SELECT d.document_id, d.state AS bucket, CASE d.state WHEN 'falha' THEN coalesce(nullif(j.last_error, ''), '{reports.NO_ERROR_TEXT}') WHEN 'quarentena' THEN '{reports.QUARANTINE_TEXT}' END AS reason,
        CASE WHEN d.state = 'em_revisao' THEN r.score END AS score, CASE WHEN d.state = 'em_revisao' THEN f.names END AS names
        FROM {{docs}} d LEFT JOIN j ON d.content_hash = j.hash LEFT JOIN {{results}} r ON d.document_id = r.document_id LEFT JOIN f ON d.document_id = f.document_id WHERE d.state IN ('falha', 'quarentena', 'em_revisao')""",
 )

@@ -7,13 +7,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..config import STATES
-from ..sources.files import shared_folder, write_stage
+from ..functions.text import file_name
+from ..sources.files import put_files, shared_folder, staged_table, write_stage
 from ..streaming import ops
 from .classify_queries import HITS, TEMPLATES
 from .inputs import INPUTS
+from .intake_queries import EXT
 from .registry import query
 from .report_queries import REPLAYED
 
+#: Buckets of keys in the tables of a stream over one small file.
+FEW = 2
 STATE_OF = {"signup": "processando", "view": "em_revisao", "click": "quarentena", "purchase": "concluido"}
 
 
@@ -38,15 +42,24 @@ def t6(t):
     return t.spark.table(name).where(F.col("state").isin(*STATES))
 
 
+def _gated(t):
+    where = _folder(t)
+    files = _events(t).select(F.concat(F.lit("/in/"), F.col("event_id").cast("string"), F.lit(".pdf")).alias("path"), F.sha2(F.col("user_id").cast("string"), 256).alias("hash"), F.col("event_id").alias("arrival"))
+    ops.gate_stream(files, f"{where}/registry", f"{where}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{where}/registry")
+
+
 @query(
     "t2_streaming_gate",
     "SELECT CASE WHEN status = 1 THEN 'ingested' ELSE 'duplicate' END AS status, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS status FROM {events}) GROUP BY 1",
 )
 def t2(t):
-    where = _folder(t)
-    files = _events(t).select(F.concat(F.lit("/in/"), F.col("event_id").cast("string"), F.lit(".pdf")).alias("path"), F.sha2(F.col("user_id").cast("string"), 256).alias("hash"), F.col("event_id").alias("arrival"))
-    ops.gate_stream(files, f"{where}/registry", f"{where}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{where}/registry").groupBy("status").agg(F.count("*").alias("n"))
+    return _gated(t).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("t2_registry_hits", "SELECT sha256(CAST(user_id AS VARCHAR)) AS hash, CAST(min(event_id) AS VARCHAR) || '.pdf' AS filename, count(*) - 1 AS duplicate_hits FROM {events} GROUP BY user_id")
+def t2_hits(t):
+    return ops.registry_hits(_gated(t))
 
 
 def _input(t, name: str, table: str):
@@ -60,7 +73,17 @@ def s8(t):
     where = f"{_folder(t)}/stage"
     write_stage(t.docs.where("state = 'em_revisao'").select("document_id", F.lit("first").alias("run")), where, "document_id")
     write_stage(t.docs.select("document_id", F.lit("second").alias("run")), where, "document_id")
-    return t.spark.read.parquet(where)
+    return staged_table(t.spark, where)
+
+
+@query("t1_file_stream", f"SELECT regexp_extract(path, '[^/]*$') AS name, octet_length(encode(content)) AS size, sha256(content) AS hash FROM {{files}} WHERE {EXT} AND content IS NOT NULL")
+def t1(t):
+    """The documents as files in a folder that a stream watches."""
+    where = _folder(t)
+    put_files(t.files, f"{where}/in")
+    rows = ops.file_stream(t.spark, f"{where}/in").select(file_name(F.col("path")).alias("name"), "size", F.sha2("content", 256).alias("hash"))
+    ops.land_batches(rows, "append", f"{where}/rows", f"{where}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{where}/rows").drop("batch")
 
 
 @query(
@@ -69,26 +92,24 @@ def s8(t):
          FROM {observations} WINDOW w AS (PARTITION BY path ORDER BY ts)),
        g AS (SELECT *, sum(changed) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM m),
        i AS (SELECT path, island, min(size) AS size, min(ts) AS since FROM g GROUP BY path, island QUALIFY row_number() OVER (PARTITION BY path ORDER BY island DESC) = 1)
-       SELECT path, size, epoch_us(since) AS since_us FROM i WHERE size IS NOT NULL AND epoch_ms(since) + 7200000 < (SELECT max(epoch_ms(ts)) FROM {observations})""",
+       SELECT path, size, epoch_us(since) AS since_us FROM i WHERE size IS NOT NULL AND epoch_us(since) + 7200000000 < (SELECT max(epoch_us(ts)) FROM {observations})""",
 )
 def t3(t):
     seen = _input(t, "observations", "events").withColumn("ts", F.col("ts").cast("timestamp"))
     where = _folder(t)
-    ops.land_batches(ops.quiet_files(seen, 7200), "update", f"{where}/rows", f"{where}/checkpoint").awaitTermination()
-    last = t.spark.read.parquet(f"{where}/rows").groupBy("path").agg(F.max_by(F.struct("size", "since"), "batch").alias("s")).where("s.size is not null")
-    return last.select("path", "s.size", F.unix_micros("s.since").alias("since_us"))
+    ops.quiet_files(seen, where, f"{where}/checkpoint", FEW).awaitTermination()
+    return ops.quiet(ops.latest(t.spark, where, "path"), 7200).select("path", "size", F.unix_micros("since").alias("since_us"))
 
 
 @query("t4_live_states", REPLAYED)
 def t4(t):
     where = _folder(t)
-    ops.land_batches(ops.live_states(_input(t, "state_log", "events").withColumn("ts", F.col("ts").cast("timestamp"))), "update", f"{where}/rows", f"{where}/checkpoint").awaitTermination()
-    last = t.spark.read.parquet(f"{where}/rows").groupBy("document_id").agg(F.max_by(F.struct("state", "step", "rejected"), "batch").alias("s"))
-    return last.select("document_id", "s.state", "s.step", "s.rejected")
+    ops.live_states(_input(t, "state_log", "events").withColumn("ts", F.col("ts").cast("timestamp")), where, f"{where}/checkpoint", buckets=FEW).awaitTermination()
+    return ops.latest(t.spark, where, "document_id")
 
 
 @query("t5_classify_stream", f"WITH {HITS} SELECT document_id, decision, template_id, CASE WHEN decision = 'matched' THEN 1.0 END AS confidence FROM d")
 def t5(t):
     where = _folder(t)
     ops.classify_stream(_input(t, "texts", "documents"), TEMPLATES, f"{where}/results", f"{where}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{where}/results")
+    return staged_table(t.spark, f"{where}/results")

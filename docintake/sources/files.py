@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.text import file_name, is_supported_ext
+from ..functions.text import EXTENSIONS, file_name, is_supported_ext
 
+#: Partitions by key of a table that grows batch by batch.
+BUCKETS = 16
+#: Supported extensions in any case, for a listing; the list itself is in functions.text.
+GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e[1:]) for e in EXTENSIONS) + "}"
 PAIR = "array<struct<key:string,value:string,confidence:double>>"
 
 
@@ -26,8 +33,12 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """Path, content, size, modified of all supported files below root, whatever the case of their extension."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """Path, content, size, modified of all supported files below root, whatever the case of their extension.
+
+    Files are chosen by name while they are listed, so that others are never opened; what a name pattern lets
+    through beyond the rule (a name that is nothing but an extension) is sorted out afterwards.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(root)
     return files.where(is_supported_ext(F.col("path"))).select("path", "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
@@ -73,16 +84,71 @@ def read_pairs(fields_json: Column) -> Column:
     )
 
 
-def write_stage(df: DataFrame, path: str, key: str) -> None:
+def existing(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame | None:
+    """The Parquet table at path, or None where there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+
+def replace_partitions(df: DataFrame, path: str, *partitions: str) -> None:
+    """Writes df by its partitions; those that it has replace what was there, so that a batch can run again."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+def not_staged(df: DataFrame, path: str, key: str, batch: int | None = None) -> DataFrame:
+    """The rows of df whose key no other batch has written to the table at path; only the buckets of these keys are read."""
+    there = existing(df.sparkSession, path, f"{key} {dict(df.dtypes)[key]}, bucket int, batch long")
+    if there is None:
+        return df
+    buckets = [r[0] for r in df.select(bucket_of(key).alias("bucket")).distinct().collect()]
+    there = there.where(F.col("bucket").isin(buckets))
+    return df.join(there.where(F.col("batch") != batch) if batch is not None else there, key, "left_anti")
+
+
+def put_once(new: DataFrame, path: str, key: str, batch: int | None = None) -> None:
+    """Writes rows that are not in the table yet; of rows with one key the one with the least hash of its columns counts."""
+    others = F.struct(*[c for c in new.columns if c != key])
+    one = new.groupBy(key).agg(F.min_by(others, F.xxhash64(F.to_json(others))).alias("__row")).select(key, "__row.*").select(*new.columns)
+    marked = one.withColumns({"bucket": bucket_of(key), "batch": F.lit(-1 if batch is None else batch).cast("long")})
+    if batch is None:
+        marked.write.mode("append").partitionBy("bucket", "batch").parquet(path)
+    else:
+        replace_partitions(marked, path, "bucket", "batch")
+
+
+def write_stage(df: DataFrame, path: str, key: str, batch: int | None = None) -> None:
     """Appends the rows whose key is not in the table at path yet, so that a second run adds nothing.
 
-    Of rows with one key the one with the least hash of its columns counts, whatever the partitioning.
+    The table is partitioned by a hash of the key and by batch: a run reads the keys of its own buckets only, and a
+    numbered batch that runs again replaces what it wrote. staged_table() reads the table.
     """
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    others = F.struct(*[c for c in df.columns if c != key])
-    new = df.groupBy(key).agg(F.min_by(others, F.xxhash64(F.to_json(others))).alias("__row")).select(key, "__row.*").select(*df.columns)
-    if there:
-        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-    new.write.mode("append").parquet(path)
+    put_once(not_staged(df, path, key, batch), path, key, batch)
+
+
+def staged_table(spark: SparkSession, path: str) -> DataFrame:
+    """What write_stage() wrote, without its partitions."""
+    return spark.read.parquet(path).drop("bucket", "batch")
+
+
+def put_files(files: DataFrame, root: str) -> None:
+    """Writes each row of files(path, content) with a content as a file of its own below root."""
+
+    def write(rows: Iterator[Row]) -> None:
+        from pyarrow.fs import FileSystem
+
+        store, base = FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        for row in rows:
+            where = f"{base}/{row.path.lstrip('/')}"
+            store.create_dir(where.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(where) as out:
+                out.write(bytes(row.content))
+
+    files.select("path", F.col("content").cast("binary").alias("content")).where("path is not null and content is not null").foreachPartition(write)

@@ -1,114 +1,152 @@
-"""Streaming forms: file streams, the duplicate gate, quiet files, live states and counts."""
+"""Streaming forms: file streams, the duplicate gate, quiet files, live states and counts.
+
+What a stream must remember lives in Parquet tables that are partitioned by what a batch looks up: by hash prefix, by
+key, by piece of time. A batch reads the partitions it touches, and writes under its own number or replaces whole partitions
+from rows it can read again, so that a batch that runs again changes nothing. No state store grows with the stream.
+"""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..config import TRANSITIONS, Template
-from ..functions.text import is_supported_ext
-from ..operators.ingest import ingest_gate
+from ..config import Template
+from ..functions.text import file_name, is_supported_ext
+from ..operators.ingest import ingest_gate, joined_looks, look_pieces
+from ..operators.lifecycle import joined_replays, replay_pieces
 from ..operators.signals import decide, haystacks, match_templates
-from ..sources.files import write_stage
+from ..sources.files import BUCKETS, GLOB, bucket_of, existing, not_staged, put_once, replace_partitions
+
+REGISTRY = "path string, hash string, arrival long, status string, prefix string, batch long"
+#: Hexadecimal digits of a hash that name its partition of the registry.
+DIGITS = 2
+#: A batch that touches more parts than this lists none in its filters: it is a backfill that reads most of them.
+MOST_PARTS = 2_000
 
 
 def file_stream(spark: SparkSession, root: str) -> DataFrame:
-    """New supported files below root as path, content, size, modified."""
+    """New supported files below root as path, content, size, modified; others are not opened, as in scan_files()."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(root)
     return files.where(is_supported_ext(F.col("path"))).select("path", "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def table_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A table of Parquet files as a stream of its files."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
+def table_stream(spark: SparkSession, path: str, schema: StructType, files: int = 4) -> DataFrame:
+    """A table of Parquet files as a stream of its files, so many in a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _run(rows: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
+def known_hashes(spark: SparkSession, registry_path: str, prefixes: list[str], before: int) -> DataFrame:
+    """Hashes that batches before `before` have ingested, from the partitions of the prefixes alone."""
+    known = existing(spark, registry_path, REGISTRY)
+    if known is None:
+        return spark.createDataFrame([], "hash string")
+    return known.where(F.col("prefix").isin(prefixes) & (F.col("batch") < before) & (F.col("status") == "ingested")).select("hash")
 
-def gate_stream(files: DataFrame, registry_path: str, checkpoint: str) -> StreamingQuery:
+
+def gate_stream(files: DataFrame, registry_path: str, checkpoint: str, digits: int = DIGITS) -> StreamingQuery:
     """files(path, hash, arrival) through the gate; the registry of all hashes ever seen lives in Parquet and never forgets.
 
-    Every batch is written under its own number, so a batch that runs again after a failure replaces what it wrote.
+    It is partitioned by the first `digits` of the hash and by batch. A batch reads the prefixes it holds itself.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        known = spark.read.schema("path string, hash string, arrival long, status string, batch long").option("basePath", registry_path).parquet(f"{registry_path}/batch=*") if number else None
-        registry = known.where(f"batch < {number} and status = 'ingested'").select("hash") if known is not None else spark.createDataFrame([], "hash string")
-        ingest_gate(rows, registry).select("path", "hash", "arrival", "status").write.mode("overwrite").parquet(f"{registry_path}/batch={number}")
+        rows = rows.withColumn("prefix", F.substring("hash", 1, digits))
+        prefixes = sorted(r[0] for r in rows.select("prefix").distinct().collect() if r[0] is not None)
+        gated = ingest_gate(rows, known_hashes(rows.sparkSession, registry_path, prefixes, number))
+        replace_partitions(gated.select("path", "hash", "arrival", "status", "prefix", F.lit(number).cast("long").alias("batch")), registry_path, "prefix", "batch")
+
+    return _run(files, batch, checkpoint)
+
 
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def registry_hits(registry: DataFrame) -> DataFrame:
+    """Hash, filename of its first arrival, and how often it came again."""
+    first = F.min_by(file_name(F.col("path")), F.when(F.col("status") == "ingested", F.struct("batch", "arrival")))
+    return registry.where("status <> 'ignored'").groupBy("hash").agg(first.alias("filename"), F.count_if(F.col("status") == "duplicate").alias("duplicate_hits"))
 
 
-def quiet_files(observations: DataFrame, window_s: float = 4.0) -> DataFrame:
-    """observations(path, size, mtime, ts) -> path, size, since once nothing changed for window_s seconds of event time.
+def by_pieces(rows: DataFrame, key: str, piece: str, summed: Callable[..., DataFrame], joined: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, part: str = "day", buckets: int = BUCKETS) -> StreamingQuery:
+    """Rows with a time `ts`, folded by key in order of time however late they come, with work in proportion to each batch.
 
-    The last row of a path holds: one with null size takes back what was said before. No row is too late: a path is folded
-    anew from all its observations, and the watermark on `ts` only tells the time.
+    A batch lands its rows by `part` of time and by bucket of the key, sums up anew the pieces in the parts that it
+    touches (`summed`, one row for each key and `piece`) from all rows landed there, and puts together (`joined`) the
+    pieces of the keys that it touches. Below path: `rows`, `pieces`, and `results` by batch; see latest(). What a batch
+    reads is the parts it touches and the summaries of its buckets, however many batches came before.
     """
-    wait = int(window_s * 1000)
-
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        history, said = state.get if state.exists else ("[]", None)
-        seen = _merged(history, [] if state.hasTimedOut else batches, ["at", "size", "mtime"])
-        held = None
-        for at, size, mtime in seen:
-            if held is None or held[1:] != (size, mtime):
-                held = (at, size, mtime)
-        ends, now = held[0] // 1000 + wait, state.getCurrentWatermarkMs()
-        quiet = held[1] is not None and (state.hasTimedOut or ends < now)
-        says = json.dumps(held[:2]) if quiet else None
-        state.update((json.dumps(seen), says))
-        if not state.hasTimedOut and ends >= now:
-            state.setTimeoutTimestamp(max(ends, 1))
-        if says != said:
-            yield pd.DataFrame({"path": [key[0]], "size": pd.array([held[1] if quiet else None], "Int64"), "since_us": pd.array([held[0] if quiet else None], "Int64")})
-
-    # Spark drops rows whose marked column is behind the watermark, so the mark is moved from ts to a time that never is
-    never = F.lit("2200-01-01 00:00:00").cast("timestamp")
-    rows = observations.withWatermark("ts", "0 seconds").select("path", F.unix_micros("ts").alias("at"), "size", "mtime", never.alias("never", metadata={"spark.watermarkDelayMs": 0}))
-    out = rows.groupBy("path").applyInPandasWithState(step, "path string, size long, since_us long", "history string, said string", "update", "EventTimeTimeout")
-    return out.select("path", "size", F.timestamp_micros("since_us").alias("since"))
-
-
-def _merged(history: str, batches: Iterable[pd.DataFrame], names: list[str]) -> list[tuple]:
-    """The rows kept as JSON and the named columns of the batches in the order of their values, nulls first."""
-    plain = lambda x: None if pd.isna(x) else x if isinstance(x, str) else int(x)
-    rows = [tuple(r) for r in json.loads(history)] + [tuple(map(plain, r)) for b in batches for r in b[names].itertuples(index=False)]
-    return sorted(rows, key=lambda r: [(x is not None, x) for x in r])
-
-
-def live_states(log: DataFrame, initial: str = "recebido") -> DataFrame:
+    cut = lambda unit: F.date_trunc(unit, F.col("ts").cast("timestamp"))
+    name = F.coalesce(F.date_format(cut(part), "yyyy-MM-dd-HH"), F.lit("0000"))
+    places = {"part": StringType(), "bucket": LongType()}
+
+    def batch(new: DataFrame, number: int) -> None:
+        spark = new.sparkSession
+        schema = StructType([*new.schema.fields, *[StructField(n, k) for n, k in places.items()], StructField("batch", LongType())])
+        replace_partitions(new.withColumns({"part": name, "bucket": bucket_of(key, buckets).cast("long"), "batch": F.lit(number).cast("long")}), f"{path}/rows", *places, "batch")
+        landed = spark.read.schema(schema).parquet(f"{path}/rows").where(F.col("batch") <= number)
+        own = landed.where(F.col("batch") == number)
+        mine = sorted(map(tuple, own.select(*places).distinct().limit(MOST_PARTS + 1).collect()))
+        touched = F.lit(True)
+        if len(mine) <= MOST_PARTS:
+            touched = F.col("part").isin(sorted({p for p, _ in mine})) & F.col("bucket").isin(sorted({b for _, b in mine}))
+        sums = summed(landed.where(touched).withColumn("piece", cut(piece)), *places)
+        replace_partitions(sums, f"{path}/pieces", *places)
+        kinds = StructType([*[f for f in sums.schema.fields if f.name not in places], *[StructField(n, k) for n, k in places.items()]])
+        keys = own.select(F.col(key).alias("__key"), "bucket").distinct()
+        known = spark.read.schema(kinds).parquet(f"{path}/pieces").where(F.col("bucket").isin(sorted({b for _, b in mine})) if len(mine) <= MOST_PARTS else F.lit(True))
+        joined(known.join(keys.drop("bucket"), F.col(key).eqNullSafe(F.col("__key")), "left_semi")).write.mode("overwrite").parquet(f"{path}/results/batch={number}")
+
+    return _run(rows, batch, checkpoint)
+
+
+def latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The last result of each key of by_pieces()."""
+    found = spark.read.parquet(f"{path}/results")
+    others = [c for c in found.columns if c not in (key, "batch")]
+    return found.groupBy(key).agg(F.max_by(F.struct(*others), "batch").alias("__last")).select(key, "__last.*")
+
+
+def quiet_files(observations: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """observations(path, size, mtime, ts) -> for each path its last (size, mtime), since when it holds, and the last look.
+
+    quiet() tells which of latest() are quiet at the time that the looks have reached.
+    """
+    return by_pieces(observations, "path", "hour", look_pieces, joined_looks, path, checkpoint, buckets=buckets)
+
+
+def quiet(files: DataFrame, window_s: float = 4.0) -> DataFrame:
+    """Path, size, since of files that are there and have not changed for window_s seconds up to the last look at any file."""
+    now = files.agg(F.unix_micros(F.max("seen").cast("timestamp"))).first()[0]
+    past = F.unix_micros(F.col("since").cast("timestamp")) + int(window_s * 1_000_000) < F.lit(now).cast("long")
+    return files.where(F.col("size").isNotNull() & past).select("path", "size", "since")
+
+
+def live_states(log: DataFrame, path: str, checkpoint: str, initial: str = "recebido", buckets: int = BUCKETS) -> StreamingQuery:
     """T4: log(document_id, ts, id, to_state, step) -> the state of each document after every batch that touches it.
 
-    The requests of a document are kept and folded anew, so that one which comes late takes the place that l2 gives it.
+    What is kept of a day of a document is where the day leads from each state; a request that comes late folds its own day anew.
     """
+    return by_pieces(log, "document_id", "day", lambda rows, *also: replay_pieces(rows, *also, initial=initial), lambda pieces: joined_replays(pieces, initial), path, checkpoint, buckets=buckets)
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen = _merged(state.get[0] if state.exists else "[]", batches, ["at", "id", "to_state", "step"])
-        current, at, rejected = initial, None, 0
-        for _, _, wanted, named in seen:
-            if wanted in TRANSITIONS.get(current, ()):
-                current, at = wanted, at if named is None else named
-            else:
-                rejected += 1
-        state.update((json.dumps(seen),))
-        yield pd.DataFrame({"document_id": [key[0]], "state": [current], "step": [at], "rejected": [rejected]})
 
-    rows = log.select("document_id", F.unix_micros("ts").alias("at"), "id", "to_state", "step")
-    return rows.groupBy("document_id").applyInPandasWithState(step, "document_id long, state string, step string, rejected long", "history string", "update", "NoTimeout")
+def classify_stream(texts: DataFrame, templates: list[Template], table_path: str, checkpoint: str) -> StreamingQuery:
+    """T5: texts(document_id, full_text) classified as they come; each document is written once, whatever runs again.
 
+    Documents that another batch has written are left out before they are classified.
+    """
 
-def classify_stream(texts: DataFrame, templates: list[Template], table_path: str, checkpoint: str) -> StreamingQuery:
-    """T5: texts(document_id, full_text) classified as they come; each document is written once, whatever runs again."""
-    decided = decide(match_templates(haystacks(texts), templates)).select("document_id", "decision", "template_id", "confidence")
-    run = decided.writeStream.foreachBatch(lambda rows, number: write_stage(rows, table_path, "document_id"))
-    return run.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def batch(rows: DataFrame, number: int) -> None:
+        new = not_staged(rows, table_path, "document_id", number)
+        decided = decide(match_templates(haystacks(new), templates)).select("document_id", "decision", "template_id", "confidence")
+        put_once(decided, table_path, "document_id", number)
+
+    return _run(texts, batch, checkpoint)
 
 
 def land_batches(rows: DataFrame, mode: str, table_path: str, checkpoint: str) -> StreamingQuery:

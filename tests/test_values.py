@@ -124,7 +124,7 @@ def test_write_stage_twice_adds_nothing(spark, tmp_path):
     where = str(tmp_path / "t")
     files.write_stage(df, where, "k")
     files.write_stage(df, where, "k")
-    assert spark.read.parquet(where).count() == 2
+    assert files.staged_table(spark, where).count() == 2
 
 
 def test_scan_files(spark, tmp_path):
@@ -146,3 +146,13 @@ def test_live_states_equal_replay(spark, sf, tmp_path):
     run.awaitTermination()
     expected = {(r.document_id, r.state, r.step, r.rejected) for r in lifecycle.replay_states(log).collect()}
     assert {(r.document_id, r.state, r.step, r.rejected) for r in spark.table("live_states").collect()} == expected
+
+
+def test_signal_groups_over_a_table(spark):
+    """The table form reads what parse_groups() reads."""
+    from docintake.operators import signals
+
+    texts = ['["a", "b"]', "{", '{"a": 1}', None, "[]", '[[{"mode": "regex", "value": "x"}, 3], 4]', '[[{"value": 5}]]', '["a", [{"value": "b"}]]', '[[{"mode": null, "value": null}], []]', '[["x", {"value": "y", "mode": ""}]]', "[1, 2]", '[[{"value": true}, {"value": false}, {"value": 0}]]', '"a"', '["", "é"]', "null", '[[], "x"]']
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", signals.signal_groups(F.col("s")).alias("g")).collect()
+    for r in rows:
+        assert tuple(tuple(Condition(c.mode, c.value) for c in g) for g in r.g) == parse_groups(texts[r.i]), texts[r.i]
