@@ -55,6 +55,8 @@ ALWAYS = 0.5
 MOST_TERMS = 5_000
 
 CHUNK = 256
+#: Characters of one block of a text that is cut.
+BLOCK = 512
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
 
 
@@ -192,7 +194,10 @@ def disclosive(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCL
     carried = F.greatest(-F.log2(F.col("n_d") / F.lit(total)), F.lit(1.0))
     facts = stored(terms.join(counted, "term"))
     scored = join_hot(candidates, facts, "term", candidates.count(), "n_c").select("entity", "term", bits.alias("bits"), (bits / carried).alias("share"))
-    return stored(scored.where(F.col("share") >= disclosed))
+    found = stored(scored.where(F.col("share") >= disclosed))
+    for done in (candidates, terms, facts):
+        removed(done)
+    return found
 
 
 def listed(terms: DataFrame, most: int) -> list[str] | None:
@@ -230,10 +235,15 @@ def with_spans(docs: DataFrame, most_terms: int = MOST_TERMS) -> DataFrame:
 
 
 def _holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """docs with `__terms`, the terms that each row holds, for more terms than fit an expression: words meet terms by a join."""
+    """docs with `__terms`, the terms that each row holds, for more terms than fit an expression: words meet terms by a
+    join that splits off words which a large part of the rows holds."""
     keyed = docs.withColumn("__own", text_key())
     words = keyed.select("doc_id", "__own", F.explode(words_of(F.col("text"))).alias("term"))
-    hits = words.join(terms, "term").groupBy("doc_id", "__own").agg(F.collect_set("term").alias("__terms"))
+    counts = stored(words.groupBy("term").agg(F.count("*").alias("n_w")))
+    facts = stored(terms.join(counts, "term"))
+    total = counts.agg(F.coalesce(F.sum("n_w"), F.lit(0))).first()[0]
+    removed(counts)
+    hits = join_hot(words, facts, "term", total, "n_w").groupBy("doc_id", "__own").agg(F.collect_set("term").alias("__terms"))
     hits = hits.withColumnsRenamed({"doc_id": "__id", "__own": "__key"})
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
     none = F.array().cast("array<string>")
@@ -267,12 +277,21 @@ def replaced(text: Column, marks: Column) -> Column:
             ),
         ),
     )
+
+    def span(blocks: Column, a: Column, b: Column) -> Column:
+        """Characters a to b of the text, from the blocks that they lie in."""
+        i, j = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+        part = lambda at, first, n: F.coalesce(F.substr(F.get(blocks, at), (first + 1).cast("int"), n.cast("int")), F.lit(""))
+        between = F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        return F.when(i == j, part(i, a % BLOCK, b - a)).otherwise(F.concat(part(i, a % BLOCK, F.lit(BLOCK)), between, part(j, F.lit(0), b % BLOCK)))
+
     def cut(x: Column) -> Column:
-        slices = F.transform(x["pieces"], lambda p: F.concat(F.array_join(F.slice(x["chars"], (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")), ""), p["label"]))
+        slices = F.transform(x["pieces"], lambda p: F.concat(span(x["blocks"], p["a"], p["b"]), p["label"]))
         return F.concat(F.array_join(slices, ""), F.substr(text, (x["last"] + 1).cast("int"), F.length(text)))
 
     last = F.array_max(F.transform(marks, lambda s: s["end"]))
-    parts = F.struct(F.split(text, "").alias("chars"), pieces.alias("pieces"), last.alias("last"))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    parts = F.struct(blocks.alias("blocks"), pieces.alias("pieces"), last.alias("last"))
     return F.when(F.size(marks) > 0, let(parts, cut)).otherwise(text)
 
 

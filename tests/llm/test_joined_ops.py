@@ -1,8 +1,10 @@
 """Operators that join or shuffle, against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -269,6 +271,64 @@ def test_terms_that_reveal(spark):
     assert all(not r.term for r in pii.spans(copies).collect())
 
 
+def slow_disclosive(texts):
+    """(term, bits, share) of all entities, from the definition: addresses only, one word pattern."""
+    email, word = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), re.compile(r"[^\W_]+")
+    contexts, named, holding = {}, {}, {}
+    for i, text in enumerate(texts):
+        for w in {w.lower() for w in word.findall(text)}:
+            holding.setdefault(w, set()).add(i)
+        found, at = [*email.finditer(text)], 0
+        for k, m in enumerate(found):
+            before = text[at : m.start()]
+            after = text[m.end() : found[k + 1].start() if k + 1 < len(found) else len(text)]
+            at = m.end()
+            if len(before) > 80:
+                before = re.sub(r"^[^\W_]+", "", before[-80:])
+            if len(after) > 80:
+                after = re.sub(r"[^\W_]+$", "", after[:80])
+            entity = m[0].lower()
+            contexts.setdefault(entity, set()).add(f"{before} {after}")
+            named.setdefault(entity, set()).add(i)
+    out = []
+    for entity, wordings in contexts.items():
+        counts = Counter(w for c in wordings for w in {w.lower() for w in word.findall(c)})
+        for term, n in counts.items():
+            if len(wordings) >= pii.SUPPORT and n >= pii.SUPPORT and n >= pii.ALWAYS * len(wordings):
+                bits = math.log2(n / len(wordings) / (len(holding[term]) / len(texts)))
+                share = bits / max(1.0, -math.log2(len(named[entity]) / len(texts)))
+                if share >= pii.DISCLOSED:
+                    out.append((term, round(bits, 9), round(share, 9)))
+    return sorted(out)
+
+
+def test_disclosed_bits(spark):
+    """Entities with three and more contexts, terms on both sides of the limits, several addresses in a text."""
+    rng = np.random.default_rng(12)
+    letter = lambda k: chr(97 + k // 26) + chr(97 + k % 26)  # noqa: E731 - words with digits in a row count as numbers
+    names = [f"Name{letter(k)}" for k in range(12)]
+    texts = []
+    for i in range(400):
+        words = list(rng.choice([f"word{letter(j)}" for j in range(80)], rng.integers(5, 30)))
+        for k in rng.choice(12, rng.integers(0, 3), replace=False).tolist():
+            near = [names[k]] if rng.random() < 0.2 + 0.07 * k else []
+            at = int(rng.integers(0, len(words) + 1))
+            words[at:at] = [*near, f"mail{letter(k)}@x.org", *([f"rare{letter(k)}"] if k % 3 == 0 else [])]
+        if i % 50 == 0:
+            words.append(names[i // 50])
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = slow_disclosive(texts)
+    for most in (pii.MOST_TERMS, 0):
+        got = sorted((r.term, round(r.bits, 9), round(r.share, 9)) for r in pii.disclosive(docs, most_terms=most).collect())
+        assert got == want
+    assert any(t.startswith("name") for t, _, _ in want) and any(t.startswith("rare") for t, _, _ in want) and len(want) < 40
+    terms, found = {t for t, _, _ in want}, pii.spans(docs).collect()
+    for r in found:
+        text = texts[r.doc_id]
+        assert [(s.start, s.end) for s in r.term] == [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text) if m[0].lower() in terms]
+
+
 def test_sanitised_text(spark, odd, none):
     docs = spark.createDataFrame(list(enumerate(ODD_PII)), "doc_id long, text string")
     for r in pii.sanitise(docs).collect():
@@ -282,6 +342,10 @@ def test_sanitised_text(spark, odd, none):
                 expected += text[at:a] + f"[{kind.upper()}]"
             at = max(at, b)
         assert r.text == expected + text[at:]
+    long = ["é" * k + "a@b.co" + "🙂" * (1024 - k) + " 1.2.3.4" for k in (0, 505, 511, 512, 1024)] + ["x" * 5000 + " a@b.co"]
+    rows = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    for r in pii.sanitise(rows).collect():  # spans at the limits of blocks
+        assert r.text == long[r.doc_id].replace("a@b.co", "[EMAIL]").replace("1.2.3.4", "[IP]")
     same = pii.sanitise(odd)
     assert same.columns == odd.columns and same.count() == 9
     assert pii.sanitise(none).count() == 0 and pii.spans(none).count() == 0
