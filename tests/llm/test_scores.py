@@ -136,3 +136,54 @@ def test_labelled_rows_are_whole(spark, tables):
     assert not left
     assert langid.training_windows(docs, 50, 0)[1] == []
     assert quality_mil.fit(docs, tables["labels"], most=0) is None
+
+
+def test_path_lengths():
+    """Tree 0 split by split: sides are never empty, a leaf's depth is its level and the mean search among its points."""
+    rng = np.random.default_rng(3)
+    rows = np.round(rng.normal(size=(400, 3)), 1)  # with ties
+    forest = rules_iforest.Forest.grow(rows, trees=1, per_tree=64)
+    sample = rows[np.random.default_rng(7).choice(len(rows), 64, replace=False)]
+
+    def usual(n):
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    def walk(at, part, level):
+        f = forest.feature[0, at]
+        if f < 0:
+            assert level == forest.height or len(part) == 1 or (part == part[0]).all()
+            assert abs(forest.depth[0, at] - (level + usual(len(part)))) < 1e-9
+            return len(part)
+        side = part[:, f] <= forest.limit[0, at]
+        assert level < forest.height and side.any() and not side.all()
+        return walk(forest.child[0, at], part[side], level + 1) + walk(forest.child[0, at] + 1, part[~side], level + 1)
+
+    def depth(row, at=0):
+        f = forest.feature[0, at]
+        return forest.depth[0, at] if f < 0 else depth(row, forest.child[0, at] + (row[f] > forest.limit[0, at]))
+
+    assert walk(0, sample, 0) == 64
+    assert np.allclose(forest.score(rows), [2 ** (-depth(r) / usual(64)) for r in rows])
+
+
+def test_entropy_of_windows_by_class():
+    """Which words have a window over the threshold of its class, each window counted from scratch."""
+    from collections import Counter
+    from random import Random
+
+    from docintake.llm import secret_scan as scan
+
+    rng, letters = Random(2), {"digits": "0123456789", "hex": "0123456789abcdefABCDEF", "letters": "qzxwvkjQZXWVKJabcdefgh", "alnum": "q9Zt4Lx8Vb2Nm6Wp0Rs5Kd7", "base64": "q9Z+4/x8Vb2-m6Wp_Rs5Kd7"}
+    hits = 0
+    for _ in range(600):
+        kinds = rng.choices(list(letters), k=rng.randrange(1, 4))
+        word = "".join("".join(rng.choices(letters[k], k=rng.randrange(8, 30))) for k in kinds)
+        want = False
+        for i in range(max(1, len(word) - scan.WINDOW + 1)):
+            window = word[i : i + scan.WINDOW]
+            bits = -sum(n / len(window) * math.log2(n / len(window)) for n in Counter(window).values())
+            kind = "digits" if window.isdigit() else "hex" if set(window) <= set("0123456789abcdefABCDEF") else "letters" if window.isalpha() else "alnum" if window.isalnum() else "base64"
+            want |= kind != "digits" and bits >= scan.THRESHOLDS[kind] - 1e-12
+        assert scan.reaches(word) == want or abs(bits - scan.THRESHOLDS.get(kind, 9)) < 1e-9, word
+        hits += want
+    assert 100 < hits < 590
