@@ -108,6 +108,15 @@ def t4(t):
     return ops.latest(t.spark, where, "document_id")
 
 
+@query("l2_replay_more", REPLAYED)
+def l2_more(t):
+    """The log in three parts, each of which holds requests of all times."""
+    where = _folder(t)
+    for k in range(3):
+        out = ops.replay_more(t.state_log.where(F.col("id") % 3 == (k + 1) % 3), k, where, buckets=FEW)
+    return out
+
+
 @query("t5_classify_stream", f"WITH {HITS} SELECT document_id, decision, template_id, CASE WHEN decision = 'matched' THEN 1.0 END AS confidence FROM d")
 def t5(t):
     where = _folder(t)

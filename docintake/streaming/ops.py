@@ -8,6 +8,7 @@ from rows it can read again, so that a batch that runs again changes nothing. No
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,36 +74,43 @@ def registry_hits(registry: DataFrame) -> DataFrame:
     return registry.where("status <> 'ignored'").groupBy("hash").agg(first.alias("filename"), F.count_if(F.col("status") == "duplicate").alias("duplicate_hits"))
 
 
-def by_pieces(rows: DataFrame, key: str, piece: str, summed: Callable[..., DataFrame], joined: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, part: str = "day", buckets: int = BUCKETS) -> StreamingQuery:
-    """Rows with a time `ts`, folded by key in order of time however late they come, with work in proportion to each batch.
+Summed, Joined = Callable[..., DataFrame], Callable[[DataFrame], DataFrame]
 
-    A batch lands its rows by `part` of time and by bucket of the key, sums up anew the pieces in the parts that it
+
+def fold_batch(new: DataFrame, number: int, key: str, piece: str, summed: Summed, joined: Joined, path: str, part: str = "day", buckets: int = BUCKETS) -> None:
+    """One batch of rows with a time `ts`, folded by key in order of time however late they come.
+
+    The batch lands its rows by `part` of time and by bucket of the key, sums up anew the pieces in the parts that it
     touches (`summed`, one row for each key and `piece`) from all rows landed there, and puts together (`joined`) the
-    pieces of the keys that it touches. Below path: `rows`, `pieces`, and `results` by batch; see latest(). What a batch
-    reads is the parts it touches and the summaries of its buckets, however many batches came before.
+    pieces of the keys that it touches. Below path: `rows`, `pieces`, and `results` by batch; see latest(). What it
+    reads is the parts it touches and the summaries of its buckets, however many batches came before. A batch that runs
+    again under its number changes nothing.
     """
+    spark, places = new.sparkSession, {"part": StringType(), "bucket": LongType()}
     cut = lambda unit: F.date_trunc(unit, F.col("ts").cast("timestamp"))
     name = F.coalesce(F.date_format(cut(part), "yyyy-MM-dd-HH"), F.lit("0000"))
-    places = {"part": StringType(), "bucket": LongType()}
-
-    def batch(new: DataFrame, number: int) -> None:
-        spark = new.sparkSession
-        schema = StructType([*new.schema.fields, *[StructField(n, k) for n, k in places.items()], StructField("batch", LongType())])
-        replace_partitions(new.withColumns({"part": name, "bucket": bucket_of(key, buckets).cast("long"), "batch": F.lit(number).cast("long")}), f"{path}/rows", *places, "batch")
-        landed = spark.read.schema(schema).parquet(f"{path}/rows").where(F.col("batch") <= number)
-        own = landed.where(F.col("batch") == number)
-        mine = sorted(map(tuple, own.select(*places).distinct().limit(MOST_PARTS + 1).collect()))
-        touched = F.lit(True)
-        if len(mine) <= MOST_PARTS:
-            touched = F.col("part").isin(sorted({p for p, _ in mine})) & F.col("bucket").isin(sorted({b for _, b in mine}))
-        sums = summed(landed.where(touched).withColumn("piece", cut(piece)), *places)
-        replace_partitions(sums, f"{path}/pieces", *places)
-        kinds = StructType([*[f for f in sums.schema.fields if f.name not in places], *[StructField(n, k) for n, k in places.items()]])
-        keys = own.select(F.col(key).alias("__key"), "bucket").distinct()
-        known = spark.read.schema(kinds).parquet(f"{path}/pieces").where(F.col("bucket").isin(sorted({b for _, b in mine})) if len(mine) <= MOST_PARTS else F.lit(True))
-        joined(known.join(keys.drop("bucket"), F.col(key).eqNullSafe(F.col("__key")), "left_semi")).write.mode("overwrite").parquet(f"{path}/results/batch={number}")
-
-    return _run(rows, batch, checkpoint)
+    schema = StructType([*new.schema.fields, *[StructField(n, k) for n, k in places.items()], StructField("batch", LongType())])
+    replace_partitions(new.withColumns({"part": name, "bucket": bucket_of(key, buckets).cast("long"), "batch": F.lit(number).cast("long")}), f"{path}/rows", *places, "batch")
+    landed = existing(spark, f"{path}/rows", schema)
+    if landed is None:
+        return  # nothing has come yet
+    landed = landed.where(F.col("batch") <= number)
+    own = landed.where(F.col("batch") == number)
+    mine = sorted(map(tuple, own.select(*places).distinct().limit(MOST_PARTS + 1).collect()))
+    few = len(mine) <= MOST_PARTS
+    here = F.col("bucket").isin(sorted({b for _, b in mine})) if few else F.lit(True)
+    touched = here & F.col("part").isin(sorted({p for p, _ in mine})) if few else F.lit(True)
+    sums = summed(landed.where(touched).withColumn("piece", cut(piece)), *places)
+    replace_partitions(sums, f"{path}/pieces", *places)
+    kinds = StructType([*[f for f in sums.schema.fields if f.name not in places], *[StructField(n, k) for n, k in places.items()]])
+    keys = own.select(F.col(key).alias("__key")).distinct()
+    known = spark.read.schema(kinds).parquet(f"{path}/pieces").where(here)
+    joined(known.join(keys, F.col(key).eqNullSafe(F.col("__key")), "left_semi")).write.mode("overwrite").parquet(f"{path}/results/batch={number}")
+
+
+def by_pieces(rows: DataFrame, key: str, piece: str, summed: Summed, joined: Joined, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """fold_batch() for every batch of a stream."""
+    return _run(rows, lambda new, number: fold_batch(new, number, key, piece, summed, joined, path, buckets=buckets), checkpoint)
 
 
 def latest(spark: SparkSession, path: str, key: str) -> DataFrame:
@@ -117,7 +125,7 @@ def quiet_files(observations: DataFrame, path: str, checkpoint: str, buckets: in
 
     quiet() tells which of latest() are quiet at the time that the looks have reached.
     """
-    return by_pieces(observations, "path", "hour", look_pieces, joined_looks, path, checkpoint, buckets=buckets)
+    return by_pieces(observations, "path", "hour", look_pieces, joined_looks, path, checkpoint, buckets)
 
 
 def quiet(files: DataFrame, window_s: float = 4.0) -> DataFrame:
@@ -130,9 +138,19 @@ def quiet(files: DataFrame, window_s: float = 4.0) -> DataFrame:
 def live_states(log: DataFrame, path: str, checkpoint: str, initial: str = "recebido", buckets: int = BUCKETS) -> StreamingQuery:
     """T4: log(document_id, ts, id, to_state, step) -> the state of each document after every batch that touches it.
 
-    What is kept of a day of a document is where the day leads from each state; a request that comes late folds its own day anew.
+    What is kept of a day of a document is where the day leads from each state; a request that comes late folds its own
+    day anew.
+    """
+    return by_pieces(log, "document_id", "day", partial(replay_pieces, initial=initial), partial(joined_replays, initial=initial), path, checkpoint, buckets)
+
+
+def replay_more(new: DataFrame, number: int, path: str, initial: str = "recebido", buckets: int = BUCKETS) -> DataFrame:
+    """L2 from snapshots: the states of all documents after a further part of the log; number counts the parts.
+
+    Only days that have new requests are replayed, those of other days stand in the summaries below path.
     """
-    return by_pieces(log, "document_id", "day", lambda rows, *also: replay_pieces(rows, *also, initial=initial), lambda pieces: joined_replays(pieces, initial), path, checkpoint, buckets=buckets)
+    fold_batch(new, number, "document_id", "day", partial(replay_pieces, initial=initial), partial(joined_replays, initial=initial), path, buckets=buckets)
+    return latest(new.sparkSession, path, "document_id")
 
 
 def classify_stream(texts: DataFrame, templates: list[Template], table_path: str, checkpoint: str) -> StreamingQuery:

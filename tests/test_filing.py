@@ -48,7 +48,7 @@ def test_outputs_one_after_another(spark, most):
     assert resolved(collisions.resolve_collision, spark, plans, manifest, most) == one_by_one(plans, manifest, most, keep=False)
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(3))
 def test_names_that_push_each_other(spark, seed):
     """Chains of numbered names, some held, some wanted by several, in every order."""
     r = random.Random(seed)

@@ -50,28 +50,28 @@ def _size(path):
 
 
 def test_states_do_not_grow_with_batches(spark, sf, tmp_path):
-    """3 and 30 batches of rows that are late each time keep the same summaries and end in what the batch form says."""
+    """2 and 6 batches of rows that are late each time keep the same summaries and end in what the batch form says."""
     from docintake.operators import lifecycle
     from docintake.plans.inputs import frame
     from docintake.streaming import ops
 
     for name, start, form in (("state_log", ops.live_states, lifecycle.replay_states), ("observations", ops.quiet_files, None)):
-        table = frame(spark, sf, name).withColumn("ts", F.col("ts").cast("timestamp")).where("ts < '2024-01-04'")
+        table = frame(spark, sf, name).withColumn("ts", F.col("ts").cast("timestamp")).where("ts < '2024-01-03'")
         kept, ends = {}, {}
-        for batches in (3, 12):
+        for batches in (2, 6):
             root = tmp_path / f"{name}{batches}"
-            schema = _land(spark, table.toPandas(), root, 12)
+            schema = _land(spark, table.toPandas(), root, 6)
             where = tmp_path / f"{name}{batches}-out"
-            start(ops.table_stream(spark, str(root), schema, 12 // batches), str(where), str(where / "checkpoint"), buckets=2).awaitTermination()
+            start(ops.table_stream(spark, str(root), schema, 6 // batches), str(where), str(where / "checkpoint"), buckets=2).awaitTermination()
             assert len(list((where / "results").glob("batch=*"))) == batches
             kept[batches] = spark.read.parquet(str(where / "pieces")).count(), _size(where / "pieces")
             key = "document_id" if form else "path"
             ends[batches] = sorted(map(repr, (ops.latest(spark, str(where), key) if form else ops.quiet(ops.latest(spark, str(where), key), 3600)).collect()))
-        assert kept[3][0] == kept[12][0] and abs(kept[3][1] - kept[12][1]) < 0.1 * kept[3][1] and ends[3] == ends[12]
+        assert kept[2][0] == kept[6][0] and abs(kept[2][1] - kept[6][1]) < 0.1 * kept[2][1] and ends[2] == ends[6]
         if form:
-            assert ends[3] == sorted(map(repr, form(table).collect()))
+            assert ends[2] == sorted(map(repr, form(table).collect()))
         else:
-            assert len(ends[3]) > 0
+            assert len(ends[2]) > 0
 
 
 def test_gate_reads_the_prefixes_of_its_batch(spark, tmp_path):
