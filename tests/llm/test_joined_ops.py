@@ -69,8 +69,7 @@ def test_links_lose_nothing(spark, hot):
     assert [label.get(x, x) for x in fps] == [fps[i] for i in expected]
 
 
-@pytest.mark.parametrize("radius", [1, 3, 5])
-@pytest.mark.parametrize("hot", [5, 1000])
+@pytest.mark.parametrize("radius, hot", [(1, 5), (3, 5), (3, 1000)])
 def test_odd_radius(spark, radius, hot):
     """Crowded part values meet at midpoints of which one side may be further away; components are those of all pairs."""
     rng = np.random.default_rng(radius)
