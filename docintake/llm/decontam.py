@@ -6,12 +6,12 @@ common fingerprint at the same place. Common fingerprints are joined and each hi
 those that an item holds too, by hash and then by the words themselves, mark their words. Neighbouring windows share
 their words, so a hit grows to the whole shared run, and repeated words cost no more than others: each window of a
 document is looked up once, however often it occurs. An item of fewer words is one window of its own length, found by
-the hash of all document runs of that length and verified the same way. Windows of one block whose 64-bit hashes are
-equal count as one.
+the hash of all document runs of that length and verified the same way. Different windows whose hashes are equal are
+told apart by their words.
 
-The benchmark is a stated query set: it is put to workers in blocks of about BLOCK_BYTES text, one pass of the
-documents per block, which is written before the next block is read, so that a larger benchmark costs passes, not
-memory. Documents are never shuffled.
+The benchmark is a stated query set: it is put to workers in blocks of about BLOCK_BYTES text, one reading pass of the
+documents per block, so that a larger benchmark costs passes, not memory. What a pass writes are hits, never texts;
+documents are not shuffled, but for rows that are left out together with those that a Bloom filter takes for one.
 
 Edge cases: null texts have no words; items without words match nothing; repeated rows of an item count once (by
 item_id), a null item_id counts as the id ''; documents keep all their rows; an empty benchmark leaves all documents
@@ -23,13 +23,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, add_columns, map_batches, removed, stored
+from .common import LOWER, add_columns, map_batches, stored, text_key
+from .sieve import dropped
 
 WINDOW = 10
 GRAM = 5
@@ -120,6 +121,8 @@ class Index:
     place: np.ndarray
     first: np.ndarray
     owners: np.ndarray
+    #: For hashes that different windows share, by number: (an occurrence, the entries that hold it) of each of them.
+    shared: dict[int, list[tuple[int, int, list[int]]]]
     short: dict[int, tuple[np.ndarray, dict[int, list[int]]]]
 
     def hits(self, w: Words) -> tuple[list[tuple[int, int]], set[str]]:
@@ -136,11 +139,13 @@ class Index:
                 grams = w.grams(self.window)[starts]
                 starts, grams = (x[_member(grams, self.windows)] for x in (starts, grams))
                 for s, k in zip(starts.tolist(), np.searchsorted(self.windows, grams).tolist(), strict=True):
-                    entry, q = self.entry[k], self.place[k]
-                    if [w[i] for i in range(s, s + self.window)] == self.entries[entry][q : q + self.window]:
-                        spans.append((s, s + self.window))
-                        found.append(k)
-        items = {int(e) for k in set(found) for e in self.owners[self.first[k] : self.first[k + 1]]}
+                    own = [w[i] for i in range(s, s + self.window)]
+                    for which, (entry, q) in enumerate([x[:2] for x in self.shared[k]] if k in self.shared else [(self.entry[k], self.place[k])]):
+                        if own == self.entries[entry][q : q + self.window]:
+                            spans.append((s, s + self.window))
+                            found.append((k, which))
+                            break
+        items = {int(e) for k, which in set(found) for e in (self.shared[k][which][2] if k in self.shared else self.owners[self.first[k] : self.first[k + 1]])}
         for n, (keys, entries) in self.short.items():
             grams = w.grams(n)
             for p in np.flatnonzero(_member(grams, keys)).tolist():
@@ -170,16 +175,37 @@ def build_index(items: list[tuple[str, str | None]], gram: int = GRAM, window: i
     h, e, at = (np.concatenate(x) for x in (hashes, entry, place))
     order = np.lexsort((at, e, h))
     h, e, at = h[order], e[order], at[order]
-    once = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (e[1:] != e[:-1]))[: len(h)])
+    known: dict[tuple[int, int], bytes] = {}
+    once = np.append(True, (h[1:] != h[:-1]) | (e[1:] != e[:-1]))[: len(h)]
+    for i in np.flatnonzero(~once).tolist():  # a repeated window of an entry, unless its words differ
+        own = (int(h[i]), int(e[i]))
+        if own not in known:
+            first_place = int(at[i - 1])
+            known[own] = [entries[e[i]][j] for j in range(first_place, first_place + window)]
+        once[i] = known[own] != [entries[e[i]][j] for j in range(at[i], at[i] + window)]
     h, e, at = h[once], e[once], at[once]
     windows, first = np.unique(h, return_index=True)
+    ends, words = np.append(first, len(h)), [[w[i] for i in range(len(w))] for w in entries]
     return Index(
-        gram, window, [[w[i] for i in range(len(w))] for w in entries], [sorted(ids) for _, ids in texts.values()],
-        np.unique(np.concatenate(marks)), windows, e[first], at[first], np.append(first, len(h)), e,
+        gram, window, words, [sorted(ids) for _, ids in texts.values()],
+        np.unique(np.concatenate(marks)), windows, e[first], at[first], ends, e, _told_apart(words, e, at, ends, window),
         {n: (np.array(sorted(x), dtype=np.uint64), x) for n, x in short.items()},
     )
 
 
+def _told_apart(words: list[list[bytes]], entry: np.ndarray, place: np.ndarray, ends: np.ndarray, window: int) -> dict[int, list[tuple[int, int, list[int]]]]:
+    """The windows of hashes that stand for several different ones."""
+    out = {}
+    for k in np.flatnonzero(np.diff(ends) > 1).tolist():
+        apart: dict[tuple[bytes, ...], tuple[int, int, list[int]]] = {}
+        for i in range(ends[k], ends[k + 1]):
+            e, q = int(entry[i]), int(place[i])
+            apart.setdefault(tuple(words[e][q : q + window]), (e, q, []))[2].append(e)
+        if len(apart) > 1:
+            out[k] = list(apart.values())
+    return out
+
+
 def _member(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if not len(keys) or not len(values):
         return np.zeros(len(values), dtype=bool)
@@ -202,59 +228,61 @@ HITS = "n_words long, starts array<long>, ends array<long>, items array<string>"
 
 def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, starts, ends (merged hit spans in words), items (ids as text, sorted)."""
-    count, blocks = _blocks(benchmark, block_bytes)
-    out = docs.select("doc_id", "text")
-    for k, items in enumerate(blocks):
-        out = _in_turn(out, lambda d, index, k=k: _pass(d, index, k == 0, k == count - 1), items, gram, window, k == count - 1)
-    return out
+    indexes = _indexes(benchmark, gram, window, block_bytes)
+    if len(indexes) == 1:
+        return _searched(docs.select("doc_id", "text"), indexes[0], "doc_id")
+    keyed = docs.select("doc_id", "text", text_key().alias("own"))
+    hits = _hits(keyed, indexes)
+    whole = hits.groupBy("doc_id", "own").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def merge(rows: dict[str, list]) -> dict[str, list]:
+        spans = [merged([(s["starts"], s["ends"]) for s in own or ()]) for own in rows["spans"]]
+        return {"doc_id": rows["doc_id"], "n_words": rows["n_words"], "starts": [[a for a, _ in x] for x in spans], "ends": [[b for _, b in x] for x in spans], "items": [i or [] for i in rows["items"]]}
+
+    counted = map_batches(keyed, lambda rows: {"__id": rows["doc_id"], "__own": rows["own"], "n_words": [len(words_of(t)) for t in rows["text"]]}, "__id long, __own long, n_words long")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("own") == F.col("__own"))
+    joined = counted.join(whole, same, "left").select(F.col("__id").alias("doc_id"), "n_words", "spans", "items")
+    return map_batches(joined, merge, f"doc_id long, {HITS}")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that share no window with any item, with their columns."""
-    count, blocks = _blocks(benchmark, block_bytes)
+    indexes = _indexes(benchmark, gram, window, block_bytes)
+    if len(indexes) > 1:
+        return dropped(docs, _hits(docs.select("doc_id", "text", text_key().alias("own")), indexes).select("doc_id", "own").distinct())
+    index = docs.sparkSession.sparkContext.broadcast(indexes[0]())
 
-    def free(d: DataFrame, index: Broadcast) -> DataFrame:
-        def run(rows: dict[str, list]) -> dict[str, list]:
-            return {"__clean": [not index.value.hits(words_of(t))[0] for t in rows["text"]]}
-
-        return add_columns(d, run, ["text"], "__clean boolean").where("__clean").drop("__clean")
+    def run(rows: dict[str, list]) -> dict[str, list]:
+        return {"__clean": [not index.value.hits(words_of(t))[0] for t in rows["text"]]}
 
-    for k, items in enumerate(blocks):
-        docs = _in_turn(docs, free, items, gram, window, k == count - 1)
-    return docs
+    return add_columns(docs, run, ["text"], "__clean boolean").where("__clean").drop("__clean")
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[DataFrame]]:
-    """How many blocks the items make, one at least, and the items of each."""
+def _indexes(benchmark: DataFrame, gram: int, window: int, block_bytes: int) -> list[Callable[[], Index]]:
+    """One block of items at least; each index is made when it is asked for."""
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     size = named.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     count = max(1, -(-size // block_bytes))
     # by id and text: items of one id may be many
-    return count, (named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) if count > 1 else named for k in range(count))
+    blocks = [named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) if count > 1 else named for k in range(count)]
+    return [lambda items=items: build_index([(r[0], r[1]) for r in items.collect()], gram, window) for items in blocks]
 
 
-def _in_turn(docs: DataFrame, step: Callable[[DataFrame, Broadcast], DataFrame], items: DataFrame, gram: int, window: int, last: bool) -> DataFrame:
-    """docs after the step with an index of items; before another block follows, the result is written and the index dropped."""
-    index = docs.sparkSession.sparkContext.broadcast(build_index([(r[0], r[1]) for r in items.collect()], gram, window))
-    out = step(docs, index)
-    if last:
-        return out
-    out = stored(out)
-    index.unpersist()
-    if hasattr(docs, "stored_at"):
-        removed(docs)
-    return out
+def _hits(keyed: DataFrame, indexes: list[Callable[[], Index]]) -> DataFrame:
+    """(doc_id, own, n_words, starts, ends, items) of rows that a block hits, a row for each; block after block is written."""
+    out = [stored(_searched(keyed, index, "doc_id", "own").where(F.size("starts") > 0)) for index in indexes]
+    return reduce(DataFrame.unionByName, out)
+
 
+def _searched(docs: DataFrame, make: Callable[[], Index], *keys: str) -> DataFrame:
+    """The keys and HITS of every row of docs(text, keys) by one index."""
+    index = docs.sparkSession.sparkContext.broadcast(make())
 
-def _pass(docs: DataFrame, index, first: bool, last: bool) -> DataFrame:
     def run(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": rows["doc_id"], "text": rows["text"], "n_words": [], "starts": [], "ends": [], "items": []}
-        for i, text in enumerate(rows["text"]):
+        out: dict[str, list] = {**{k: rows[k] for k in keys}, "n_words": [], "starts": [], "ends": [], "items": []}
+        for text in rows["text"]:
             w = words_of(text)
             spans, ids = index.value.hits(w)
-            if not first:
-                spans += list(zip(rows["starts"][i], rows["ends"][i], strict=True))
-                ids |= set(rows["items"][i])
             spans = merged(spans)
             out["n_words"].append(len(w))
             out["starts"].append([a for a, _ in spans])
@@ -262,7 +290,7 @@ def _pass(docs: DataFrame, index, first: bool, last: bool) -> DataFrame:
             out["items"].append(sorted(ids))
         return out
 
-    return map_batches(docs, run, f"doc_id long, {'' if last else 'text string, '}{HITS}")
+    return map_batches(docs, run, f"{', '.join(f'{k} long' for k in keys)}, {HITS}")
 
 
 def items_digest(ids: list[str]) -> str:

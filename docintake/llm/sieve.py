@@ -92,3 +92,18 @@ def without(docs: DataFrame, keys: DataFrame, most_bytes: int = MOST_BYTES) -> D
     kept = looked_at.join(leaves, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_anti")
     one = kept.dropDuplicates(["doc_id", "__own"])
     return (one if untouched is None else untouched.unionByName(one)).drop("__own", "__h")
+
+
+def dropped(docs: DataFrame, keys: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The rows of docs whose key is not in keys(doc_id, own), each of them; only rows that a filter takes for one are shuffled."""
+    hashed = stored(keys.withColumn("h", F.xxhash64("doc_id", "own")))
+    count = hashed.count()
+    if not count:
+        return docs
+    keyed = docs.withColumn("__own", text_key()).withColumn("__h", F.xxhash64("doc_id", "__own"))
+    leaves = hashed.select(F.col("doc_id").alias("__id"), F.col("own").alias("__key"))
+    leave = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
+    if count * BITS_EACH // 8 > most_bytes:
+        return keyed.join(leaves, leave, "left_anti").drop("__own", "__h")
+    hit = Filter(hashed.select("h"), count).hit()
+    return keyed.where(~hit("__h")).unionByName(keyed.where(hit("__h")).join(leaves, leave, "left_anti")).drop("__own", "__h")

@@ -284,3 +284,27 @@ def test_hits_of_repeated_words_and_equal_items():
     for text in ("a " * 50, "a " * 9, "b " + "a " * 10 + "b"):
         spans, ids = decontam.build_index(items).hits(decontam.words_of(text))
         assert (len(text.split()), sum(b - a for a, b in decontam.merged(spans)), sorted(ids)) == slow_hits(text, items)
+
+
+@pytest.mark.parametrize("bits", [1, 3, 7])
+def test_windows_of_equal_hashes(monkeypatch, bits):
+    """With hashes of a few bits nearly all windows collide; words tell them apart."""
+    whole = decontam._spans_hash
+    monkeypatch.setattr(decontam, "_spans_hash", lambda *x: whole(*x) & np.uint64(2**bits - 1))
+    rng = np.random.default_rng(bits)
+    vocabulary = ["a", "b", "c", "Ünï"]
+    for _ in range(60):
+        items = [(str(i), " ".join(rng.choice(vocabulary, rng.integers(0, 22)))) for i in range(6)] + [("z", "a " * 25)]
+        text = " ".join(rng.choice(vocabulary, 30)) + ", " + items[0][1] + "! " + items[1][1][3:] + " a a a" * 4
+        spans, ids = decontam.build_index(items).hits(decontam.words_of(text))
+        assert (len(decontam.words_of(text)), sum(b - a for a, b in decontam.merged(spans)), sorted(ids)) == slow_hits(text, items)
+
+
+def test_many_blocks_of_items(spark, documents):
+    """A block for each few items gives what one index gives, rows that repeat included."""
+    docs = documents.limit(60).union(documents.limit(5))
+    items = spark.createDataFrame([(i, " ".join(r.text.split()[k : k + 14])) for i, (r, k) in enumerate((r, k) for r in documents.limit(12).collect() for k in (0, 5))] + [(99, "nothing of it here")], "item_id long, text string")
+    plain = lambda df: sorted(map(repr, df.collect()))
+    assert plain(decontam.contamination(docs, items)) == plain(decontam.contamination(docs, items, block_bytes=600))
+    assert plain(decontam.clean(docs, items)) == plain(decontam.clean(docs, items, block_bytes=600))
+    assert 0 < decontam.clean(docs, items).count() < 65
