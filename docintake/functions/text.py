@@ -78,10 +78,10 @@ def _spelt_out(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    """The full compatibility decomposition without combining marks."""
+    """The full compatibility decomposition without combining marks; only texts beyond ASCII do any work."""
     one, _, marks = _decompositions()
     bare = F.regexp_replace(_spelt_out(c), rf"[\p{{M}}\p{{Cn}}&&[{_class(marks)}]]", "")
-    return F.translate(bare, "".join(one), "".join(one.values()))
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(bare, "".join(one), "".join(one.values()))).otherwise(c)
 
 
 @cache

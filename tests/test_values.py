@@ -142,10 +142,9 @@ def test_live_states_equal_replay(spark, sf, tmp_path):
     log = frame(spark, sf, "state_log").withColumn("ts", F.col("ts").cast("timestamp"))
     log.repartition(3).write.parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))
-    run = ops.live_states(stream).writeStream.outputMode("update").format("memory").queryName("live_states").option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
-    run.awaitTermination()
+    ops.live_states(stream, str(tmp_path / "live"), str(tmp_path / "c"), buckets=2).awaitTermination()
     expected = {(r.document_id, r.state, r.step, r.rejected) for r in lifecycle.replay_states(log).collect()}
-    assert {(r.document_id, r.state, r.step, r.rejected) for r in spark.table("live_states").collect()} == expected
+    assert {(r.document_id, r.state, r.step, r.rejected) for r in ops.latest(spark, str(tmp_path / "live"), "document_id").collect()} == expected
 
 
 def test_signal_groups_over_a_table(spark):
