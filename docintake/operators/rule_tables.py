@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 
 from ..config import Automation, Rule
 from ..functions.text import blank, casefold, let, strip
+from ..sources.files import staged
 from .rules import compared, number
 
 GRAM = 3
+#: Different values that conditions look at, up to which only these are looked up.
+MOST_SHAPES = 500
 EQUAL, PART, THERE = "equal", "part", "there"
 CONDITIONS = "rule_id long, field string, operator string, value string, field_name string"
 RULES = "rule_id long, position long, conjunction string"
@@ -93,23 +96,33 @@ def _holds(c: Column, attributes: Column) -> Column:
     return F.coalesce(let(F.try_element_at(attributes, c["attr"]), judged), F.lit(False))
 
 
-def _grams(value: Column) -> Column:
-    """All different runs of 1 to GRAM characters of a value."""
+def _grams(value: Column, lengths: Iterable[int] = range(1, GRAM + 1)) -> Column:
+    """All different runs of so many characters of a value."""
     length = F.length(value)
     runs = lambda k: F.when(length >= k, F.transform(F.sequence(F.lit(1), F.greatest(length - (k - 1), F.lit(1))), lambda i: F.substr(value, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*[runs(k) for k in range(1, GRAM + 1)]))
+    return F.array_distinct(F.concat(*[runs(k) for k in lengths]))
 
 
-def _looked_up(kinds: set[str]) -> Column:
-    """What a document looks for in the index: array<struct(kind, attr, probe)>."""
+def _shapes(entries: DataFrame) -> set[tuple[str, str | None, int]]:
+    """The (kind, attr, length of the probe) that occur: 0 for all but runs, no attr where there are more than MOST_SHAPES."""
+    length = F.when(F.col("kind") == PART, F.length("probe")).otherwise(0)
+    found = {tuple(r) for r in entries.select("kind", "attr", length).distinct().limit(MOST_SHAPES + 1).collect()}
+    if len(found) <= MOST_SHAPES:
+        return found
+    return {(r[0], None, r[1]) for r in entries.select("kind", length).distinct().collect()}
+
+
+def _looked_up(shapes: set[tuple[str, str | None, int]]) -> Column:
+    """What a document looks for in the index: array<struct(kind, attr, probe)>, of the shapes that the index has."""
     probe = lambda kind, attr, value: F.struct(F.lit(kind).alias("kind"), attr.alias("attr"), value.alias("probe"))
-    entries, parts = F.map_entries("attributes"), []
-    if EQUAL in kinds:
-        parts.append(F.transform(entries, lambda e: probe(EQUAL, e["key"], e["value"]["folded"])))
-    if PART in kinds:
-        parts.append(F.flatten(F.transform(entries, lambda e: F.transform(_grams(e["value"]["folded"]), lambda g: probe(PART, e["key"], g)))))
-    if THERE in kinds:
-        parts.append(F.transform(entries, lambda e: probe(THERE, e["key"], F.lit(""))))
+    parts = []
+    for kind, length in sorted({(kind, length) for kind, _, length in shapes}):
+        attrs = [a for k, a, n in shapes if (k, n) == (kind, length)]
+        own = F.map_entries("attributes") if None in attrs else F.filter(F.map_entries("attributes"), lambda e: e["key"].isin(attrs))  # noqa: B023 - called at once
+        if kind == PART:
+            parts.append(F.flatten(F.transform(own, lambda e: F.transform(_grams(e["value"]["folded"], [length]), lambda g: probe(PART, e["key"], g)))))  # noqa: B023
+        else:
+            parts.append(F.transform(own, lambda e: probe(kind, e["key"], e["value"]["folded"] if kind == EQUAL else F.lit(""))))  # noqa: B023
     return F.concat(*parts)
 
 
@@ -133,25 +146,27 @@ def first_matching(docs: DataFrame, rules: DataFrame, conditions: DataFrame, fie
     read = _read(conditions).join(either, "rule_id").withColumn("way", F.when(F.col("either"), F.xxhash64(F.to_json("c"))).otherwise(0)).drop("either")
     # one condition that cannot hold is enough for all of its way
     ways = read.groupBy("rule_id", "way").agg(F.collect_list("c").alias("all"), F.bool_and(F.coalesce(F.col("c.mode").isNotNull() & (F.size("c.values") > 0), F.lit(False))).alias("can"))
-    ways = ways.where("can").drop("can").join(rules.select("rule_id", "position"), "rule_id")
+    ways = staged(ways.where("can").drop("can").join(rules.select("rule_id", "position"), "rule_id"))
     read = read.join(ways.select("rule_id", "way"), ["rule_id", "way"], "left_semi")
-    entries = _entries(read)
-    kinds = {r[0] for r in entries.select("kind").distinct().collect()}
-    if not kinds:
+    entries = staged(_entries(read))
+    if not (shapes := _shapes(entries)):
         return docs.withColumn(name, F.lit(None).cast("long"))
 
     known = docs.select(key, _attributes(fields).alias("attributes"))
     places = ["kind", "attr", "probe"]
-    met = known.select(F.explode(_looked_up(kinds)).alias("p")).select("p.*").join(entries.select(*places).distinct(), places, "left_semi").groupBy(*places).agg(F.count("*").alias("docs"))
+    met = known.select(F.explode(_looked_up(shapes)).alias("p")).select("p.*").join(entries.select(*places).distinct(), places, "left_semi").groupBy(*places).agg(F.count("*").alias("docs"))
     priced = entries.join(met, places, "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
     # an equality is entered under each of its values, a `contains` under its rarest run only
     rarest = priced.where(F.col("kind") == PART).groupBy("rule_id", "way", "c").agg(F.min_by("probe", F.struct("docs", "probe")).alias("probe"), F.min("docs").alias("cost")).withColumn("probes", F.array("probe")).drop("probe").withColumn("kind", F.lit(PART))
     others = priced.where(F.col("kind") != PART).groupBy("rule_id", "way", "c", "kind").agg(F.collect_set("probe").alias("probes"), F.sum("docs").alias("cost"))
     chosen = rarest.unionByName(others).groupBy("rule_id", "way").agg(F.min_by(F.struct("kind", F.col("c.attr").alias("attr"), "probes"), F.struct("cost", "kind", F.to_json("c"))).alias("e"))
-    index = chosen.select("rule_id", "way", "e.kind", "e.attr", F.explode("e.probes").alias("probe")).join(ways, ["rule_id", "way"])
+    index = chosen.select("rule_id", "way", "e.kind", "e.attr", F.explode("e.probes").alias("probe"))
+    index = staged(index)
 
-    asked = known.select(key, "attributes", F.explode(_looked_up(kinds)).alias("p")).select(key, "attributes", "p.*")
-    holding = asked.join(index, places).where(F.forall("all", lambda c: _holds(c, F.col("attributes"))))
+    # what is looked up carries no values: they meet the few rules found once, by document
+    asked = known.select(key, F.explode(_looked_up(_shapes(index))).alias("p")).select(key, "p.*")
+    pairs = asked.join(index, places).select(key, "rule_id", "way").distinct()
+    holding = pairs.join(ways, ["rule_id", "way"]).join(known, key).where(F.forall("all", lambda c: _holds(c, F.col("attributes"))))
     best = holding.groupBy(key).agg(F.min(F.struct("position", "rule_id")).alias("best"))
     return docs.join(best.select(key, F.col("best.rule_id").alias(name)), key, "left")
 
