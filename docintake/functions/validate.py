@@ -136,12 +136,12 @@ def regex_ok(raw: Column, pattern: str) -> Column:
     if not patterns.is_valid(pattern):
         return F.lit(False)
     if not needs_helper(pattern):
-        return short & raw.rlike(rf"(?U)^(?:{pattern})\z")
+        return short & raw.rlike(rf"(?Ud)^(?:{pattern})\z")
     return short & slow.matches_with_deadline(F.when(short, raw), pattern)
 
 
 def needs_helper(pattern: str) -> bool:
-    return patterns.is_valid(pattern) and not (patterns.is_safe(pattern) and patterns.java_reads(f"(?U){pattern}"))
+    return patterns.is_valid(pattern) and not (patterns.is_safe(pattern) and patterns.java_reads(f"(?Ud){pattern}"))
 
 
 def validate_field(

@@ -72,7 +72,7 @@ def condition(c: Condition) -> Column:
 def _regex(pattern: str) -> Column:
     if not pattern or len(pattern) > PATTERN_LENGTH or not patterns.is_valid(pattern):
         return F.lit(False)
-    quick, text = "(?iU)" + patterns.from_run_start(pattern), F.col("lowered")
+    quick, text = "(?iUd)" + patterns.from_run_start(pattern), F.col("lowered")
     if not patterns.is_safe(pattern) or not patterns.java_reads(quick):
         return slow.search_with_deadline(text, pattern)
     if patterns.is_linear(pattern):
