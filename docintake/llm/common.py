@@ -137,15 +137,16 @@ def id_crc32(column: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def labelled(labels: DataFrame, value: str, limit: int, where: F.Column | None = None) -> DataFrame:
-    """At most `limit` labelled ids (the smallest by a hash of the id) with their label as `y`.
+def labelled(labels: DataFrame, value: str, limit: int | None, where: F.Column | None = None) -> DataFrame:
+    """At most `limit` labelled ids (the smallest by a hash of the id; None: all of them) with their label as `y`.
 
     Repeated label rows of one id count once, with the larger label; null ids and null labels do not count.
     """
     rows = labels.select("doc_id", F.col(value).cast("int").alias("y")).where("doc_id is not null and y is not null")
     if where is not None:
         rows = rows.where(where)
-    return rows.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    each = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
+    return each if limit is None else each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
 def one_text_each(rows: DataFrame, *keys: str) -> DataFrame:
