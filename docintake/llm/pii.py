@@ -188,7 +188,7 @@ def disclosive(docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCL
     removed(seen)
     # a common word is a candidate of most entities, hence a hot key
     terms = stored(candidates.groupBy("term").agg(F.count("*").alias("n_c")))
-    counted = docs.select(F.explode(_only(words_of(F.col("text")), listed(terms, most_terms))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    counted = term_rows(docs, listed(terms, most_terms)).groupBy("term").agg(F.count("*").alias("n_t"))
     total = max(docs.count(), 1)
     bits = F.log2((F.col("n_te") / F.col("n_e")) / (F.col("n_t") / F.lit(total)))
     carried = F.greatest(-F.log2(F.col("n_d") / F.lit(total)), F.lit(1.0))
@@ -206,10 +206,16 @@ def listed(terms: DataFrame, most: int) -> list[str] | None:
     return sorted(found) if len(found) <= most else None
 
 
-def _only(words: Column, terms: list[str] | None) -> Column:
+def term_rows(docs: DataFrame, terms: list[str] | None) -> DataFrame:
+    """(term): one row for each document and different word of it that is one of the terms (None: for each word).
+
+    All words become rows before they are looked up, so the rows made grow with the texts alone and not with the number of
+    terms too, which grows with the corpus; the aggregate behind sees only those that are terms.
+    """
+    words = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
     if terms is None:
         return words
-    return F.filter(words, lambda w: w.isin(terms)) if terms else F.array().cast("array<string>")
+    return words.where(F.col("term").isin(terms)) if terms else words.limit(0)
 
 
 def marked_terms(text: Column, is_term: Callable[[Column], Column]) -> Column:
