@@ -136,6 +136,22 @@ def _entries(conditions: DataFrame) -> DataFrame:
     return conditions.select("rule_id", "way", "c", F.explode(made).alias("e")).select("rule_id", "way", "c", "e.kind", F.col("c.attr").alias("attr"), "e.probe")
 
 
+def winnable(ways: DataFrame) -> DataFrame:
+    """The ways (rule_id, way, all, position) that can come first.
+
+    A way never wins where another with the same conditions, or with some of them only, comes before it: whatever meets
+    the one meets the other. Each is held against those with its own conditions, with all but one and with a single one.
+    So rules that say the same of one value, however many, leave one candidate to each document that has it.
+    """
+    place = F.struct("position", "rule_id", "way")
+    keyed = ways.withColumn("said", F.array_sort(F.transform("all", lambda c: F.to_json(c))))
+    first = keyed.groupBy(F.to_json("said").alias("key")).agg(F.min(place).alias("first"))
+    fewer = F.concat(F.array("said"), F.transform("said", lambda x: F.array(x)), F.transform("said", lambda x: F.filter("said", lambda y: y != x)))
+    held = keyed.select("rule_id", "way", place.alias("own"), F.explode(F.array_distinct(F.transform(fewer, lambda x: F.to_json(x)))).alias("key")).join(first, "key")
+    kept = held.groupBy("rule_id", "way").agg((F.min("first") == F.first("own")).alias("kept")).where("kept")
+    return ways.join(kept.drop("kept"), ["rule_id", "way"], "left_semi")
+
+
 def first_matching(docs: DataFrame, rules: DataFrame, conditions: DataFrame, fields: str = "fields", key: str = "document_id", name: str = "rule_id") -> DataFrame:
     """docs with `name`: the id of the rule of least position (then least id) whose conditions hold, or null.
 
@@ -146,13 +162,14 @@ def first_matching(docs: DataFrame, rules: DataFrame, conditions: DataFrame, fie
     read = _read(conditions).join(either, "rule_id").withColumn("way", F.when(F.col("either"), F.xxhash64(F.to_json("c"))).otherwise(0)).drop("either")
     # one condition that cannot hold is enough for all of its way
     ways = read.groupBy("rule_id", "way").agg(F.collect_list("c").alias("all"), F.bool_and(F.coalesce(F.col("c.mode").isNotNull() & (F.size("c.values") > 0), F.lit(False))).alias("can"))
-    ways = staged(ways.where("can").drop("can").join(rules.select("rule_id", "position"), "rule_id"))
+    ways = staged(winnable(ways.where("can").drop("can").join(rules.select("rule_id", "position"), "rule_id")))
     read = read.join(ways.select("rule_id", "way"), ["rule_id", "way"], "left_semi")
     entries = staged(_entries(read))
     if not (shapes := _shapes(entries)):
         return docs.withColumn(name, F.lit(None).cast("long"))
 
-    known = docs.select(key, _attributes(fields).alias("attributes"))
+    # read three times below, and its strings are dear to make
+    known = staged(docs.select(key, _attributes(fields).alias("attributes")))
     places = ["kind", "attr", "probe"]
     met = known.select(F.explode(_looked_up(shapes)).alias("p")).select("p.*").join(entries.select(*places).distinct(), places, "left_semi").groupBy(*places).agg(F.count("*").alias("docs"))
     priced = entries.join(met, places, "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
@@ -165,7 +182,7 @@ def first_matching(docs: DataFrame, rules: DataFrame, conditions: DataFrame, fie
 
     # what is looked up carries no values: they meet the few rules found once, by document
     asked = known.select(key, F.explode(_looked_up(_shapes(index))).alias("p")).select(key, "p.*")
-    pairs = asked.join(index, places).select(key, "rule_id", "way").distinct()
+    pairs = asked.join(index, places).select(key, "rule_id", "way")
     holding = pairs.join(ways, ["rule_id", "way"]).join(known, key).where(F.forall("all", lambda c: _holds(c, F.col("attributes"))))
     best = holding.groupBy(key).agg(F.min(F.struct("position", "rule_id")).alias("best"))
     return docs.join(best.select(key, F.col("best.rule_id").alias(name)), key, "left")
