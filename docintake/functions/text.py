@@ -18,6 +18,11 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def beyond_ascii(c: Column) -> Column:
+    """Whether a text holds characters beyond ASCII; told by its length in bytes, which is cheap."""
+    return F.octet_length(c) != F.length(c)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
