@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Bytes of one Arrow batch between the JVM and a Python worker, so that long texts do not pile up.
-BATCH_BYTES = 32 << 20
+#: Bytes of one Arrow batch between the JVM and a Python worker, so that long texts do not pile up: a task holds a batch
+#: several times, as vectors that grow by doubling, as the message that is sent, and in the worker.
+BATCH_BYTES = 4 << 20
 
 #: Rows that one call of a batch function sees.
 ROWS_PER_CALL = 256
