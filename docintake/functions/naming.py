@@ -17,6 +17,8 @@ from .text import blank, let, strip, strip_accents
 #: The form of a token, characters that a file name must not hold, and reserved names.
 TOKEN = re.compile(r"\{([^{}:]+)(?::([^{}]+))?\}")
 FORBIDDEN = r'[<>:"/\\|?*]'
+#: A component that is safe as it stands, so far as it is short enough: no such characters, no point, longer than reserved names.
+SAFE = r'^[!-~&&[^<>:"/\\|?*.]][ -~&&[^<>:"/\\|?*.]]{3,}[!-~&&[^<>:"/\\|?*.]]\z'
 RESERVED = (
     "CON", "PRN", "AUX", "NUL", "COM1", "COM2", "COM3", "COM4", "COM5", "COM6", "COM7", "COM8", "COM9",
     "LPT1", "LPT2", "LPT3", "LPT4", "LPT5", "LPT6", "LPT7", "LPT8", "LPT9",
@@ -53,7 +55,8 @@ def sanitize_component(c: Column, max_len: int = 200) -> Column:
         kept = _ends(F.when((F.length(ext) > 0) & (room > 0), F.concat(F.substr(x, F.lit(1), F.least(room, F.length(x) - F.length(ext))), ext)).otherwise(F.substr(x, F.lit(1), F.lit(max_len))))
         return F.when(F.length(x) > max_len, F.coalesce(F.nullif(kept, F.lit("")), F.lit("_"))).otherwise(x)
 
-    return let(let(let(F.regexp_replace(c, FORBIDDEN, "_"), trimmed), unreserved), shortened)
+    slow = let(let(let(F.regexp_replace(c, FORBIDDEN, "_"), trimmed), unreserved), shortened)
+    return F.when(c.rlike(SAFE) & (F.length(c) <= max_len), c).otherwise(slow)
 
 
 def head(c: Column, n: int) -> Column:
@@ -72,7 +75,10 @@ def fmt_date(iso: Column, spec: str) -> Column:
     parts = F.split(iso, "-")
     out = F.replace(F.lit(spec), F.lit("aaaa"), F.get(parts, F.lit(0)))
     out = F.replace(F.replace(out, F.lit("mm"), F.get(parts, F.lit(1))), F.lit("dd"), F.get(parts, F.lit(2)))
-    return F.when(iso.rlike(r"(?U)^\d{4}-\d+-\d+\z"), out)
+    places = {"aaaa": (1, 4), "mm": (6, 2), "dd": (9, 2)}
+    pieces = [F.substring(iso, *places[p]) if p in places else F.lit(p) for p in re.split("(aaaa|mm|dd)", spec) if p]
+    plain = iso.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
+    return F.when(plain, F.concat(*pieces) if pieces else F.lit("")).when(iso.rlike(r"(?U)^\d{4}-\d+-\d+\z"), out)
 
 
 def _whole(text: str) -> int | None:

@@ -23,14 +23,23 @@ def beyond_ascii(c: Column) -> Column:
     return F.octet_length(c) != F.length(c)
 
 
-def strip(c: Column) -> Column:
-    """Without white space of any kind at both ends."""
+def _visible(char: Column) -> Column:
+    """Whether a text starts with a character of ASCII that is no white space."""
+    return F.ascii(char).between(33, 126)
+
+
+def _stripped(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends; a text that plainly has none is not searched."""
+    return F.when(_visible(c) & _visible(F.right(c, F.lit(1))), c).otherwise(_stripped(c))
+
+
 def blank(c: Column) -> Column:
     """Null or nothing but white space."""
-    return c.isNull() | (F.length(strip(c)) == 0)
+    return c.isNull() | (~_visible(c) & (F.length(_stripped(c)) == 0))
 
 
 def _class(codes: list[int], gap: int = 1) -> str:
@@ -128,7 +137,7 @@ def casefold(c: Column) -> Column:
         known = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in several.items())), F.lit("\x01"), F.lit("\x02"))
         return F.aggregate(found, single, lambda text, char: F.replace(text, char, F.element_at(known, char)))
 
-    return let(F.lower(c), lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), folded(x)).otherwise(x))
+    return F.when(beyond_ascii(c), let(F.lower(c), folded)).otherwise(F.lower(c))
 
 
 def normalize_text(c: Column) -> Column:
@@ -143,7 +152,7 @@ def norm_key(c: Column) -> Column:
 
 
 def file_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.substring_index(path, "/", -1)
 
 
 def suffix(name: Column) -> Column:

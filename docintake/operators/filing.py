@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Automation
 from ..functions.naming import Lookup, from_map, resolve_dest_folder, resolve_pattern
-from ..functions.text import file_name, let, suffix
+from ..functions.text import file_name, suffix
 from .collisions import resolve_collision
 
 OUTPUT = "array<struct<kind:string,folder:string,name:string>>"
@@ -19,40 +19,39 @@ def apply_actions(docs: DataFrame, automations: list[Automation], base: str, fie
     Copies come first, in order, each with the name of its moment; then the move or rename of the document itself,
     unless there are only copies. A name or folder that cannot be resolved blocks the document: no outputs at all.
     """
-    look = from_map(F.col(fields))
+    look, made = from_map(F.col(fields)), {}
     plan = F.lit(None).cast(f"struct<blocked:boolean,has_move:boolean,outputs:{OUTPUT}>")
-    for a in automations:
-        plan = F.when(F.col("automation_id") == a.automation_id, _folded(a, look, base)).otherwise(plan)
+    for i, a in enumerate(automations):
+        own, resolved = F.col("automation_id") == a.automation_id, {}
+        plan = F.when(own, _folded(a, look, base, f"__made_{i}_", resolved)).otherwise(plan)
+        made |= {n: F.when(own, c) for n, c in resolved.items()}
     absent = {"blocked": F.lit(False), "has_move": F.lit(False), "outputs": F.array().cast(OUTPUT)}
-    out = docs.withColumn("__plan", plan)
-    return out.withColumns({n: F.coalesce(F.col(f"__plan.{n}"), c) for n, c in absent.items()}).drop("__plan")
+    # names and folders are columns of their own, so that each is worked out once and by compiled code
+    out = docs.withColumns(made).withColumn("__plan", plan)
+    return out.withColumns({n: F.coalesce(F.col(f"__plan.{n}"), c) for n, c in absent.items()}).drop("__plan", *made)
 
 
-def _folded(a: Automation, look: Lookup, base: str) -> Column:
-    """struct(blocked, has_move, outputs) of one automation; each name and folder is worked out once."""
-    folder, name, copies, resolved, moved = "default_folder", "default_name", [], [], False
+def _folded(a: Automation, look: Lookup, base: str, prefix: str, resolved: dict[str, Column]) -> Column:
+    """struct(blocked, has_move, outputs) of one automation, over the columns of names and folders that it adds to `resolved`."""
+    folder, name, copies, moved = "default_folder", "default_name", [], False
     for action in sorted(a.actions, key=lambda x: x.position):
-        made = f"made_{len(resolved)}"
+        made = f"{prefix}{len(resolved)}"
         if action.action_type == "rename":
-            resolved.append(resolve_pattern(action.params.get("name_pattern", ""), look).alias(made))
+            resolved[made] = resolve_pattern(action.params.get("name_pattern", ""), look)
             name = made
         elif action.action_type in ("move", "copy"):
-            resolved.append(resolve_dest_folder(action.params.get("dest_folder", ""), look, base).alias(made))
+            resolved[made] = resolve_dest_folder(action.params.get("dest_folder", ""), look, base)
             if action.action_type == "move":
                 folder, moved = made, True
             else:
                 copies.append(("copy", made, name))
     wanted = [*copies, ("move", folder, name)] if moved or not copies else copies
-
-    def planned(x: Column) -> Column:
-        blocked = F.lit(False)
-        for i in range(len(resolved)):
-            blocked = blocked | x[f"made_{i}"].isNull()
-        outputs = F.array(*[_output(kind, x[f], x[n]) for kind, f, n in wanted]).cast(OUTPUT)
-        outputs = F.when(blocked, F.array().cast(OUTPUT)).otherwise(outputs)
-        return F.struct(blocked.alias("blocked"), F.lit(moved).alias("has_move"), outputs.alias("outputs"))
-
-    return let(F.struct("default_folder", "default_name", *resolved), planned)
+    blocked = F.lit(False)
+    for n in resolved:
+        blocked = blocked | F.col(n).isNull()
+    outputs = F.array(*[_output(kind, F.col(f), F.col(n)) for kind, f, n in wanted]).cast(OUTPUT)
+    outputs = F.when(blocked, F.array().cast(OUTPUT)).otherwise(outputs)
+    return F.struct(blocked.alias("blocked"), F.lit(moved).alias("has_move"), outputs.alias("outputs"))
 
 
 def _output(kind: str, folder: Column, name: Column) -> Column:
@@ -62,9 +61,9 @@ def _output(kind: str, folder: Column, name: Column) -> Column:
 def plan_dest(source: Column, folder: Column, name: Column) -> Column:
     """folder/name; a name without a real extension (one that starts with a letter) gets that of the source."""
     own = file_name(source)
-    where = let(F.coalesce(folder, F.regexp_replace(source, "/[^/]*$", "")), lambda w: F.concat(F.regexp_replace(w, r"[/\\]+$", ""), F.when(w.rlike(r"^[A-Za-z]:|^\\\\"), F.lit("\\")).otherwise(F.lit("/"))))
-    full = let(F.coalesce(name, own), lambda n: F.when(suffix(n).rlike(r"^\.\p{L}"), n).otherwise(F.concat(n, suffix(own))))
-    return F.concat(where, full)
+    w, n = F.coalesce(folder, F.regexp_replace(source, "/[^/]*$", "")), F.coalesce(name, own)
+    where = F.concat(F.regexp_replace(w, r"[/\\]+$", ""), F.when(w.rlike(r"^[A-Za-z]:|^\\\\"), F.lit("\\")).otherwise(F.lit("/")))
+    return F.concat(where, F.when(suffix(n).rlike(r"^\.\p{L}"), n).otherwise(F.concat(n, suffix(own))))
 
 
 def source_path(docs: DataFrame, originals: DataFrame, folders: DataFrame) -> DataFrame:

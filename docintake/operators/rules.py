@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +34,35 @@ def number(c: Column) -> Column:
     return let(F.replace(ascii_digits(strip(c)), F.lit("_"), F.lit("")), read)
 
 
+#: Numbers that are compared as decimals, by compiled code.
+_SHORT, _DECIMAL = r"^-?[0-9]{1,18}(?:\.[0-9]{1,9})?\z", "decimal(27,9)"
+
+
+def number_of(target: str) -> Column | None:
+    """number() of a text that is the same for all rows, read once; None where number() is null."""
+    x = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in target.strip()).replace("_", "")
+    m, endless = re.match(_SHAPE.replace(r"\z", r"\Z"), x), "inf" in x.lower()
+    if not m or not (endless or re.match(r"[-+]?\.?[0-9]", x)):
+        return None
+    whole, part = m[2] or "", m[3] or ""
+    digits = whole + part
+    sign = 0 if not endless and not digits.strip("0") else -1 if m[1] == "-" else 1
+    place = 1 << 40 if endless else len(whole) - (len(digits) - len(digits.lstrip("0"))) + int(m[4] or 0)
+    return F.struct(F.lit(sign).alias("sign"), F.lit(sign * place).cast("long").alias("place"), F.lit(digits.strip("0")).alias("digits"))
+
+
+def compared_with(value: Column, target: str) -> Column:
+    """-1, 0 or 1 for a number in a text against a target; null where either is no number. Short plain ones take no apart."""
+    known = number_of(target)
+    if known is None:
+        return F.lit(None).cast("int")
+    slow = let(number(value), lambda n: F.when(n.isNotNull(), compared(n, known)))
+    if not re.fullmatch(r"-?[0-9]{1,18}(\.[0-9]{1,9})?", target, re.ASCII):
+        return slow
+    a, b = value.cast(_DECIMAL), F.lit(target).cast(_DECIMAL)
+    return F.when(value.rlike(_SHORT), F.when(a < b, -1).when(a > b, 1).otherwise(0)).otherwise(slow)
+
+
 def compared(left: Column, right: Column) -> Column:
     """-1, 0 or 1 for two numbers of number()."""
     order = lambda a, b: F.when(a < b, -1).when(a > b, 1).otherwise(0)
@@ -58,8 +89,7 @@ def evaluate_condition(value: Column, operator: str, target: str | None) -> Colu
     elif operator in ("gt", "lt"):
         wanted, text = (1 if operator == "gt" else -1), strip(value)
         as_text = text > target if operator == "gt" else text < target
-        both = F.struct(number(value).alias("a"), number(F.lit(target)).alias("b"))
-        result = let(both, lambda n: F.when(n["a"].isNotNull() & n["b"].isNotNull(), compared(n["a"], n["b"]) == wanted).otherwise(as_text))
+        result = F.coalesce(compared_with(value, target) == wanted, as_text)
     else:
         return F.lit(False)
     return F.coalesce(~blank(value) & result, F.lit(False))
@@ -105,8 +135,7 @@ def evaluate_filter(c: RuleCondition, fields: str = "fields") -> Column:
         return folded.contains(target.casefold()) if c.operator == "contains" else folded == target.casefold()
     if c.field == "size":
         wanted = {"gt": 1, "lt": -1, "eq": 0}.get(c.operator)
-        both = F.struct(number(F.col("size").cast("string")).alias("a"), number(F.lit(target)).alias("b"))
-        return F.coalesce(let(both, lambda n: F.when(n["a"].isNotNull() & n["b"].isNotNull(), compared(n["a"], n["b"]) == wanted)), F.lit(False)) if wanted is not None else F.lit(False)
+        return F.coalesce(compared_with(F.col("size").cast("string"), target) == wanted, F.lit(False)) if wanted is not None else F.lit(False)
     return F.lit(False)
 
 
