@@ -18,6 +18,8 @@ FALSE = ("não", "nao", "false", "0", "falso", "n", "f")
 REGEX_LENGTH = 4096
 #: Formats tried in this order after ISO; the day comes first.
 DATE_FORMATS = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d M yyyy")
+#: Numbers that are canonical as they stand.
+CANONICAL = r"^-?(?:0|[1-9][0-9]*)(?:\.(?!0{6})[0-9]+)?\z"
 
 RESULT = "struct<valid:boolean,raw:string,normalized:string,reason:string>"
 
@@ -25,7 +27,8 @@ RESULT = "struct<valid:boolean,raw:string,normalized:string,reason:string>"
 def _plain_date(text: Column) -> Column:
     iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
     compact = F.when(text.rlike(r"^\d{8}\z"), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
-    shapes = [F.when(text.rlike(r"^\d{1,2}[/. -]\d{1,2}[/. -]\d{4}\z"), F.try_to_timestamp(text, F.lit(f))) for f in DATE_FORMATS]
+    # each format by its own separator, as a text that fails a format costs far more than one that is not tried
+    shapes = [F.when(text.rlike(rf"^\d{{1,2}}[{f[1]}]\d{{1,2}}[{f[1]}]\d{{4}}\z"), F.try_to_timestamp(text, F.lit(f))) for f in DATE_FORMATS]
     return F.date_format(F.coalesce(iso, compact, *shapes), "yyyy-MM-dd")
 
 
@@ -58,17 +61,17 @@ def _is_plain(text: Column) -> Column:
 
 
 def _number_question(text: Column) -> Column:
-    return let(text, lambda x: F.when(~_is_plain(x) & x.rlike(r"(?iU)\d|inf|nan"), x))
+    return let(text, lambda x: F.when(~x.rlike(CANONICAL) & ~_is_plain(x) & x.rlike(r"(?iU)\d|inf|nan"), x))
 
 
 def _decimal_text(text: Column, answer: Column | None) -> Column:
     """Canonical text of a decimal number; exponents, tiny numbers, NaN and infinities go to a helper, null is no number."""
-    return F.coalesce(let(text, lambda x: F.when(_is_plain(x), canonical(x))), slow.exotic_number(_number_question(text)) if answer is None else answer)
+    return F.coalesce(let(text, lambda x: F.when(x.rlike(CANONICAL), x).when(_is_plain(x), canonical(x))), slow.exotic_number(_number_question(text)) if answer is None else answer)
 
 
 def _amount(raw: Column) -> Column:
-    kept = F.when(beyond_ascii(raw), F.regexp_replace(raw, rf"[^\p{{Nd}}{other_digits()},\-]", "")).otherwise(F.regexp_replace(raw, r"[^0-9,\-]", ""))
-    return F.regexp_replace(ascii_digits(kept), ",", ".")
+    kept = F.when(beyond_ascii(raw), ascii_digits(F.regexp_replace(raw, rf"[^\p{{Nd}}{other_digits()},\-]", ""))).otherwise(F.regexp_replace(raw, r"[^0-9,\-]", ""))
+    return F.translate(kept, ",", ".")
 
 
 def money_question(raw: Column) -> Column:
@@ -99,8 +102,7 @@ def normalize_doc_id(raw: Column) -> Column:
 def _check_digit(number: Column, length: int, weights: list[int]) -> Column:
     """The check digit of the first digits of a number of `length` digits, one for each weight."""
     total = sum((F.floor(number / 10 ** (length - 1 - i)) % 10 * w for i, w in enumerate(weights)), F.lit(0))
-    rest = total % 11
-    return F.when(rest < 2, 0).otherwise(11 - rest)
+    return (11 - total % 11) % 11 % 10  # remainders 0 and 1 both give 0
 
 
 def _checked(raw: Column, length: int, first: list[int], second: list[int]) -> Column:
