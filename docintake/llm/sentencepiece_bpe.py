@@ -3,7 +3,8 @@
 A text is put into the form the vocabulary is written in (a leading blank, blanks as U+2581) and cut where no piece of
 the vocabulary can reach across: before a blank that follows another character, and between characters that no chain of
 neighbours within pieces links. Merges never cross such a place, so each chunk is worked out by itself. In a chunk, an agenda holds the adjacent pairs of symbols that make a piece, best score first, leftmost of equals first; the pair on top
-becomes one symbol, and its new neighbours join the agenda. Symbols that are no piece become their UTF-8 bytes. Each
+becomes one symbol, and its new neighbours join the agenda. The agenda of a short chunk is a list in order of place, whose
+least number is looked for, that of a long one is a heap. Symbols that are no piece become their UTF-8 bytes. Each
 distinct chunk of a worker is resolved once and remembered in a bounded table.
 
 checked() holds the agenda against the sentencepiece library: every chunk that an Arrow batch resolves is encoded and
@@ -24,6 +25,7 @@ import re
 from collections.abc import Iterable
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_batches
@@ -36,6 +38,10 @@ MERGE_TYPE = 2
 REMEMBERED = 350_000
 #: Chunks of more characters are not remembered.
 LONGEST = 64
+#: Chunks of more characters have a heap as their agenda.
+LISTED = 40
+#: Stands in a list of ranks for a pair that is no piece; beyond all ranks.
+NO_PIECE = 1 << 60
 #: Error handler by which each byte that is no UTF-8 becomes one U+FFFD, as the library has it.
 EACH_BYTE = "replace_each_byte"
 codecs.register_error(EACH_BYTE, lambda e: ("\ufffd" * (e.end - e.start), e.end))
@@ -67,7 +73,12 @@ class Model:
         self.spoken |= {str(i): bytes([b]) for b, i in self.byte_ids.items()}
         self.spoken |= {str(i): b"" for i, p in enumerate(spec.pieces) if p.type == CONTROL}
         self.spoken |= {str(i): (spec.trainer_spec.unk_surface or " ⁇ ").encode() for i, p in enumerate(spec.pieces) if p.type == UNKNOWN}
-        self.byte_texts = set(map(str, self.byte_ids.values()))
+        self.names = {p: str(i) for p, i in self.ids.items()}
+        said = [self.spoken[str(i)] for i in range(len(spec.pieces))]
+        self.lengths = np.array([len(x) for x in said])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.blob = np.frombuffer(b"".join(said), np.uint8)
+        self.is_byte = np.isin(np.arange(len(said)), list(self.byte_ids.values()))
         self.chunks = self._cutter().findall
         self.seen = Remembered(self)
 
@@ -95,10 +106,25 @@ class Model:
         return re.compile("|".join([*runs, f"{BLANK}+", "."]), re.DOTALL)
 
     def merge(self, chunk: str) -> list[str]:
-        """The symbols of a chunk when no adjacent pair is a piece any more.
-
-        An entry of the agenda is one number: rank of the score, place of the left symbol, length of the pair.
-        """
+        """The symbols of a chunk when no adjacent pair is a piece any more."""
+        return self.merge_long(chunk) if len(chunk) > LISTED else self.merge_short(chunk)
+
+    def merge_short(self, chunk: str) -> list[str]:
+        """merge() with one number for each place in the agenda: the rank of the score of the pair that begins there."""
+        find, symbols = self.ranks.get, list(chunk)
+        agenda = [find(a + b, NO_PIECE) for a, b in zip(chunk, chunk[1:])]  # noqa: B905 - pairs
+        while agenda and (best := min(agenda)) < NO_PIECE:
+            i = agenda.index(best)
+            del agenda[i]
+            symbols[i] = made = symbols[i] + symbols.pop(i + 1)
+            if i < len(agenda):
+                agenda[i] = find(made + symbols[i + 1], NO_PIECE)
+            if i:
+                agenda[i - 1] = find(symbols[i - 1] + made, NO_PIECE)
+        return symbols
+
+    def merge_long(self, chunk: str) -> list[str]:
+        """merge() with a heap; an entry is one number: rank of the score, place of the left symbol, length of the pair."""
         find, n = self.ranks.get, len(chunk)
         bits = n.bit_length()
         mask, shift = (1 << bits) - 1, 2 * bits
@@ -125,12 +151,16 @@ class Model:
 
     def resolve(self, chunk: str) -> str:
         """Decimal ids of a chunk, joined by blanks."""
-        return " ".join(self._ids(self.merge(chunk)))
+        symbols = self.merge(chunk)
+        try:
+            return " ".join([self.names[s] for s in symbols])
+        except KeyError:
+            return " ".join(self._ids(symbols))
 
     def _ids(self, symbols: Iterable[str]) -> Iterable[str]:
         for s in symbols:
-            if (i := self.ids.get(s)) is not None:
-                yield str(i)
+            if (i := self.names.get(s)) is not None:
+                yield i
             else:
                 yield from (str(self.byte_ids[b]) for b in s.encode())
 
@@ -147,8 +177,16 @@ class Model:
 
     def decode(self, ids: str) -> str:
         """The text of decimal ids joined by blanks, without the leading blank; bytes that are no UTF-8 become U+FFFD each."""
-        data = self.spell(ids)
-        if self.leading_blank and data[:1] == b" " and next(i for i in ids.split(" ") if self.spoken[i]) not in self.byte_texts:
+        if not ids:
+            return ""
+        numbers = np.fromstring(ids, np.int64, sep=" ")
+        if numbers.min() < 0:
+            raise IndexError("not an id of the vocabulary")
+        lengths = self.lengths[numbers]
+        places = np.repeat(self.starts[numbers] - np.cumsum(lengths) + lengths, lengths)
+        places += np.arange(len(places))
+        data = self.blob[places].tobytes()
+        if self.leading_blank and data[:1] == b" " and not self.is_byte[numbers[np.argmax(lengths > 0)]]:
             data = data[1:]
         return data.decode("utf-8", EACH_BYTE)
 

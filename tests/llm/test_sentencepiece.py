@@ -97,3 +97,12 @@ def test_edges(odd, none, path):
     assert sp.checked(none, path).count() == 0
     got = sp.checked(odd, path).collect()
     assert len(got) == 9 and all(r.agrees for r in got) and min(r.n_tokens for r in got) == 1
+
+
+def test_lists_and_heaps_give_the_same_symbols(path, library):
+    m = sp.Model(path)
+    rng = random.Random(11)
+    for n in [*range(1, sp.LISTED + 3)] * 10:
+        chunk = sp.BLANK + "".join(rng.choice("aabeenrstitionülß日🙂") for _ in range(n))
+        assert m.merge_short(chunk) == m.merge_long(chunk) == m.merge(chunk)
+        assert m.encode(chunk[1:], False) == joined(library.encode(chunk[1:]))
