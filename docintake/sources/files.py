@@ -16,6 +16,8 @@ from ..functions.text import EXTENSIONS, file_name, is_supported_ext
 BUCKETS = 16
 #: Supported extensions in any case, for a listing; the list itself is in functions.text.
 GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e[1:]) for e in EXTENSIONS) + "}"
+#: Folders that a task remembers to have made.
+FOLDERS = 10_000
 PAIR = "array<struct<key:string,value:string,confidence:double>>"
 
 
@@ -145,9 +147,14 @@ def put_files(files: DataFrame, root: str) -> None:
         from pyarrow.fs import FileSystem
 
         store, base = FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        made: set[str] = set()
         for row in rows:
             where = f"{base}/{row.path.lstrip('/')}"
-            store.create_dir(where.rsplit("/", 1)[0], recursive=True)
+            folder = where.rsplit("/", 1)[0]
+            if folder not in made:
+                store.create_dir(folder, recursive=True)
+                made = made if len(made) < FOLDERS else set()
+                made.add(folder)
             with store.open_output_stream(where) as out:
                 out.write(bytes(row.content))
 

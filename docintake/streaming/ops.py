@@ -7,7 +7,8 @@ from rows it can read again, so that a batch that runs again changes nothing. No
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +28,34 @@ REGISTRY = "path string, hash string, arrival long, status string, prefix string
 DIGITS = 2
 #: A batch that touches more parts than this lists none in its filters: it is a backfill that reads most of them.
 MOST_PARTS = 2_000
-
-
-def file_stream(spark: SparkSession, root: str) -> DataFrame:
-    """New supported files below root as path, content, size, modified; others are not opened, as in scan_files()."""
+#: Files in one batch of a file stream: what the driver holds for a batch (statuses, splits) stays bounded.
+FILES = 100_000
+#: Settings for batches of many small files: some 500 of them in a task instead of 32, and listed by few tasks, not 10,000.
+SMALL_FILES = {"spark.sql.files.openCostInBytes": 256 << 10, "spark.sql.sources.parallelPartitionDiscovery.parallelism": 96}
+
+
+@contextmanager
+def lowered(spark: SparkSession, settings: dict[str, int]) -> Iterator[None]:
+    """Settings of the session at these values at most; afterwards they are as before."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, most in settings.items():
+            if before[k] is None or not before[k].isdigit() or int(before[k]) > most:
+                spark.conf.set(k, str(most))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def file_stream(spark: SparkSession, root: str, most: int = FILES) -> DataFrame:
+    """New supported files below root as path, content, size, modified; others are not opened, as in scan_files().
+
+    A batch holds `most` files at most; no file is left out, the rest come in further batches. A file source goes by the
+    settings of this session while it runs, so a stream of many small files runs within lowered(spark, SMALL_FILES).
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(root)
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).option("maxFilesPerTrigger", most).load(root)
     return files.where(is_supported_ext(F.col("path"))).select("path", "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
