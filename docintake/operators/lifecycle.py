@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import STATES, TRANSITIONS
+from ..sources.files import staged
 from .audit import without_splits
 
 
@@ -127,11 +128,19 @@ def delete_documents(ids: DataFrame, docs: DataFrame, originals: DataFrame, jobs
     """What remains of every table: documents, originals, jobs and the child tables.
 
     Unknown ids are ignored. Jobs of a deleted content go; an original without blocks goes with its jobs.
+
+    What goes is worked out once. Tables are held against hash tables of what goes, so that no task sorts its part of
+    a table: it holds its part of the keys that go and lets the rows pass.
     """
-    gone = docs.join(ids.select("document_id").distinct(), "document_id", "left_semi")
-    left = docs.join(gone.select("document_id"), "document_id", "left_anti")
-    emptied = gone.select("origin_id").distinct().join(left.select("origin_id").distinct(), "origin_id", "left_anti")
-    lost = originals.join(emptied, "origin_id", "left_semi")
-    hashes = gone.select(F.col("content_hash").alias("hash")).unionByName(lost.select("hash")).distinct()
-    out = {"documents": left, "originals": originals.join(emptied, "origin_id", "left_anti"), "jobs": jobs.join(hashes, "hash", "left_anti")}
-    return out | {name: t.join(gone.select("document_id"), "document_id", "left_anti") for name, t in children.items()}
+    gone = staged(_held_against(docs, ids, "document_id", "left_semi").select("document_id", "origin_id", "content_hash"))
+    left = _held_against(docs, gone, "document_id", "left_anti")
+    emptied = staged(_held_against(gone.select("origin_id").distinct(), left.select("origin_id").distinct(), "origin_id", "left_anti"))
+    lost = _held_against(originals, emptied, "origin_id", "left_semi")
+    hashes = gone.select(F.col("content_hash").alias("hash")).unionByName(lost.select("hash"))
+    out = {"documents": left, "originals": _held_against(originals, emptied, "origin_id", "left_anti"), "jobs": _held_against(jobs, hashes, "hash", "left_anti")}
+    return out | {name: _held_against(t, gone, "document_id", "left_anti") for name, t in children.items()}
+
+
+def _held_against(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """A semi or anti join by a hash table of the keys; repeated keys take no room in it."""
+    return rows.join(keys.select(key).hint("shuffle_hash"), key, how)
