@@ -49,6 +49,9 @@ ROWS_EACH = 1_000_000
 #: Fingerprints with one part value beyond which they meet at midpoints.
 HOT = 2_000
 
+#: Keys around crowded values that may be broadcast; more of them meet by a shuffle.
+MOST_SPOTS = 100_000
+
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     words = (text or "").encode().translate(LOWER).split()
@@ -197,19 +200,22 @@ def _keys(fps: DataFrame, part: Part, radius: int) -> DataFrame:
 def links(nodes: DataFrame, radius: int = 4, hot: int = HOT, design: int = DESIGN) -> DataFrame:
     """nodes(fp, distinct) -> edges (a, b) between fingerprints, whose components are those of "at most `radius` bits apart".
 
-    Outside of crowded values there is one edge or more for every pair within the radius.
+    Outside of crowded values there is one edge or more for every pair within the radius. Spark takes the keys of all
+    fingerprints for no more rows than the fingerprints are, so their joins are told to sort instead of broadcasting.
     """
     nodes = nodes.select("fp")
     parts = plan(_sample(nodes), radius, design)
     own = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), p.value(F.col("fp")).alias("value")) for i, p in enumerate(parts)])).alias("at"))
     crowded = stored(own.groupBy("at.part", "at.value").count().where(F.col("count") > hot).select("part", "value"))
-    some = bool(crowded.take(1))
+    some = crowded.count()
     found, members = [], []
     for i, part in enumerate(parts):
         calm = nodes
         if some:
             here = crowded.where(F.col("part") == i).select(F.col("value").alias("fp"))
             spots = _keys(here, part, part.near).select("key").distinct()
+            if some * len(part.flips(part.near)) > MOST_SPOTS:
+                spots = spots.hint("merge")
             members.append(_keys(nodes, part, part.far).join(spots, "key", "left_semi").select("fp"))
             calm = nodes.join(here.select(F.col("fp").alias("value")), part.value(F.col("fp")) == F.col("value"), "left_anti")
         probe, index = _keys(calm, part, part.far), _keys(calm, part, part.near).withColumnRenamed("fp", "other")
@@ -217,7 +223,7 @@ def links(nodes: DataFrame, radius: int = 4, hot: int = HOT, design: int = DESIG
         differ = F.bit_count(part.value(apart))
         # a pair that the probe side alone can bring together meets at the other one's own value only
         once = (F.col("key") == part.value(F.col("other"))) | (differ > part.far)
-        found.append(probe.join(index, "key").where((F.col("fp") < F.col("other")) & (F.bit_count(apart) <= radius) & once).select(F.col("fp").alias("a"), F.col("other").alias("b")))
+        found.append(probe.join(index.hint("merge"), "key").where((F.col("fp") < F.col("other")) & (F.bit_count(apart) <= radius) & once).select(F.col("fp").alias("a"), F.col("other").alias("b")))
     if some:
         found.append(_midpoints(reduce(DataFrame.union, members).distinct(), radius))
     return reduce(DataFrame.union, found)
