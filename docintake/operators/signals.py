@@ -138,9 +138,13 @@ def decide(docs: DataFrame, threshold: float = 0.5, gap: float = 0.1) -> DataFra
 
 
 def ambiguous_candidates(docs: DataFrame, threshold: float = 0.5, key: str = "document_id") -> DataFrame:
-    """The templates that reach the threshold for ambiguous documents."""
-    hits = F.filter("matches", lambda m: m["confidence"] >= threshold)
-    return docs.where("decision = 'ambiguous'").select(key, F.explode(hits).alias("m")).select(key, "m.template_id")
+    """The templates that reach the threshold for ambiguous documents.
+
+    Documents are chosen within what is exploded: a filter on the decision, or one that Spark infers from a plain explode,
+    would be moved below the matching and evaluate all of it once more for every time that the decision refers to it.
+    """
+    hits = F.when(F.col("decision") == "ambiguous", F.filter("matches", lambda m: m["confidence"] >= threshold))
+    return docs.select(key, F.explode_outer(hits).alias("m")).where("m is not null").select(key, "m.template_id")
 
 
 def evaluate_groups(docs: DataFrame, t: Template, key: str = "document_id") -> DataFrame:
