@@ -81,9 +81,8 @@ def t1(t):
     """The documents as files in a folder that a stream watches."""
     where = _folder(t)
     put_files(t.files, f"{where}/in")
-    rows = ops.file_stream(t.spark, f"{where}/in").select(file_name(F.col("path")).alias("name"), "size", F.sha2("content", 256).alias("hash"))
-    with ops.lowered(t.spark, ops.SMALL_FILES):
-        ops.land_batches(rows, "append", f"{where}/rows", f"{where}/checkpoint").awaitTermination()
+    rows = ops.listed_stream(t.spark, f"{where}/in", f"{where}/listings").select(file_name(F.col("path")).alias("name"), "size", F.sha2("content", 256).alias("hash"))
+    ops.land_batches(rows, "append", f"{where}/rows", f"{where}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{where}/rows").drop("batch")
 
 

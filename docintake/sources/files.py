@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from typing import TYPE_CHECKING
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +15,20 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import EXTENSIONS, file_name, is_supported_ext
 
+if TYPE_CHECKING:
+    from pyarrow.fs import FileSystem
+
 #: Partitions by key of a table that grows batch by batch.
 BUCKETS = 16
 #: Supported extensions in any case, for a listing; the list itself is in functions.text.
 GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e[1:]) for e in EXTENSIONS) + "}"
-#: Folders that a task remembers to have made.
-FOLDERS = 10_000
+#: Folders, and paths, that a task remembers to have made.
+FOLDERS, PATHS = 10_000, 100_000
+#: Files and bytes that one task reads at most on average, where that makes more tasks than there are cores.
+FILES_EACH, BYTES_EACH = 5_000, 128 << 20
+#: Rows and bytes of contents in one batch between a task and its worker, folders that one task lists on average.
+ROWS_AT_ONCE, BYTES_AT_ONCE, FOLDERS_EACH = 1_000, 4 << 20, 100
+LISTED = "name string, size long, modified timestamp"
 PAIR = "array<struct<key:string,value:string,confidence:double>>"
 
 
@@ -34,12 +45,95 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def own_uri(spark: SparkSession, root: str) -> str | None:
+    """root as a URI that tasks can list and read by themselves; None for a pattern and for a store that only Spark reaches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if any(c in uri for c in "*?[]{}"):
+        return None
+    try:
+        opened(uri)
+    except (OSError, ValueError):
+        return None
+    return uri
+
+
+def opened(uri: str) -> tuple[FileSystem, str]:
+    """The store of a URI, or of a local path, and the place in it."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    if uri.startswith("file:") or "://" not in uri:
+        return LocalFileSystem(), "/" + uri.removeprefix("file:").strip("/")
+    store, base = FileSystem.from_uri(uri)
+    return store, base.rstrip("/")
+
+
+def listed(spark: SparkSession, uri: str) -> DataFrame:
+    """name (from uri on), size, modified of all supported files below uri, staged; a folder that is not there has none.
+
+    Folders are listed by tasks, level by level, and what they hold stays in tables, so the driver knows of no file. One
+    task lists one folder as a whole.
+    """
+    kinds = pa.schema([("name", pa.string()), ("folder", pa.bool_()), ("size", pa.int64()), ("modified", pa.timestamp("us", "UTC"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSelector, FileType
+
+        store, base = opened(uri)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = [x for x in store.get_file_info(FileSelector(base + folder, allow_not_found=True)) if x.type in (FileType.File, FileType.Directory)]
+                for at in range(0, len(found), ROWS_AT_ONCE):
+                    part = found[at : at + ROWS_AT_ONCE]
+                    columns = [f"{folder}/{x.base_name}" for x in part], [x.type == FileType.Directory for x in part], [x.size for x in part], [(x.mtime_ns or 0) // 1000 for x in part]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds)
+
+    level, files, cores = spark.createDataFrame([("",)], "name string"), [], spark.sparkContext.defaultParallelism
+    folders = 1
+    while folders:
+        tasks = min(folders, max(cores, folders // FOLDERS_EACH))
+        here = staged(level.repartition(tasks, "name").mapInArrow(run, "name string, folder boolean, size long, modified timestamp").where(F.col("folder") | is_supported_ext(F.col("name"))))
+        files.append(here.where("not folder").drop("folder"))
+        level = here.where("folder").select("name")
+        folders = level.count()
+    return reduce(DataFrame.union, files)
+
+
+def with_content(found: DataFrame, uri: str) -> DataFrame:
+    """path, content, size, modified of files that listed() found, read by the tasks that hold their names."""
+    target = pa.schema([("path", pa.string()), ("content", pa.binary()), ("size", pa.int64()), ("modified", pa.timestamp("us", "UTC"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(uri)
+        shown = f"file:{base}" if uri.startswith("file:") else uri.rstrip("/")
+        for batch in batches:
+            names, first, held, contents = batch.column(0).to_pylist(), 0, 0, []
+            for i, name in enumerate(names):
+                with store.open_input_file(base + name) as file:
+                    contents.append(file.read())
+                held += len(contents[-1])
+                if held >= BYTES_AT_ONCE or len(contents) == ROWS_AT_ONCE or i + 1 == len(names):
+                    n = i + 1 - first
+                    paths = pa.array([shown + x for x in names[first : i + 1]], type=pa.string())
+                    yield pa.RecordBatch.from_arrays([paths, pa.array(contents, type=pa.binary()), *(batch.column(c).slice(first, n) for c in (1, 2))], schema=target)
+                    first, held, contents = i + 1, 0, []
+
+    return found.select("name", "size", F.col("modified").cast("timestamp").alias("modified")).mapInArrow(run, "path string, content binary, size long, modified timestamp")
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """Path, content, size, modified of all supported files below root, whatever the case of their extension.
 
-    Files are chosen by name while they are listed, so that others are never opened; what a name pattern lets
-    through beyond the rule (a name that is nothing but an extension) is sorted out afterwards.
+    Files are chosen by name while they are listed, so that others are never opened. Tasks list and read them, so the
+    driver holds nothing that grows with them; a store that only Spark reaches, or a pattern, goes by Spark's own source,
+    whose listing the driver holds and which passes over names that begin with a dot or an underscore.
     """
+    uri = own_uri(spark, root)
+    if uri is not None:
+        found = listed(spark, uri)
+        n, size = found.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        tasks = max(min(n, spark.sparkContext.defaultParallelism), n // FILES_EACH, size // BYTES_EACH, 1)
+        return with_content(found.repartition(tasks, "name"), uri)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(root)
     return files.where(is_supported_ext(F.col("path"))).select("path", "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
@@ -141,15 +235,23 @@ def staged_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def put_files(files: DataFrame, root: str) -> None:
-    """Writes each row of files(path, content) with a content as a file of its own below root."""
+    """Writes each row of files(path, content) with a content as a file of its own below root.
+
+    Each task writes below a folder of its own, and begins another one when a path comes again, so that rows with one path
+    are as many files.
+    """
 
     def write(rows: Iterator[Row]) -> None:
-        from pyarrow.fs import FileSystem
+        from pyspark import TaskContext
 
-        store, base = FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
-        made: set[str] = set()
+        (store, base), task = opened(root), TaskContext.get().partitionId()
+        part, made, there = 0, set(), set()
         for row in rows:
-            where = f"{base}/{row.path.lstrip('/')}"
+            name = row.path.lstrip("/")
+            if name in there or len(there) == PATHS:
+                part, there = part + 1, set()
+            there.add(name)
+            where = f"{base}/{task}-{part}/{name}"
             folder = where.rsplit("/", 1)[0]
             if folder not in made:
                 store.create_dir(folder, recursive=True)

@@ -21,7 +21,7 @@ from ..functions.text import file_name, is_supported_ext
 from ..operators.ingest import ingest_gate, joined_looks, look_pieces
 from ..operators.lifecycle import joined_replays, replay_pieces
 from ..operators.signals import decide, haystacks, match_templates
-from ..sources.files import BUCKETS, GLOB, bucket_of, existing, not_staged, put_once, replace_partitions
+from ..sources.files import BUCKETS, GLOB, LISTED, bucket_of, existing, listed, not_staged, own_uri, put_once, replace_partitions, with_content
 
 REGISTRY = "path string, hash string, arrival long, status string, prefix string, batch long"
 #: Hexadecimal digits of a hash that name its partition of the registry.
@@ -30,6 +30,8 @@ DIGITS = 2
 MOST_PARTS = 2_000
 #: Files in one batch of a file stream: what the driver holds for a batch (statuses, splits) stays bounded.
 FILES = 100_000
+#: Names in one file of a listing, and such files in one batch.
+NAMES_EACH, LISTS = 2_000, 100
 #: Settings for batches of many small files: some 500 of them in a task instead of 32, and listed by few tasks, not 10,000.
 SMALL_FILES = {"spark.sql.files.openCostInBytes": 256 << 10, "spark.sql.sources.parallelPartitionDiscovery.parallelism": 96}
 
@@ -59,6 +61,25 @@ def file_stream(spark: SparkSession, root: str, most: int = FILES) -> DataFrame:
     return files.where(is_supported_ext(F.col("path"))).select("path", "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def listed_stream(spark: SparkSession, root: str, listings: str, most: int = LISTS) -> DataFrame:
+    """T1 for any number of files: what file_stream() gives, of the files that are below root when it is called.
+
+    New files are listed by tasks and written to the table at `listings`, which remembers all that ever came; the stream
+    runs over the files of that table, `most` in a batch, and its tasks read what they name. So the driver, whose file
+    source holds every path that it has seen, holds one in NAMES_EACH. A store that only Spark reaches goes by file_stream().
+    """
+    uri = own_uri(spark, root)
+    if uri is None:
+        return file_stream(spark, root)
+    found, known = listed(spark, uri), existing(spark, listings, LISTED)
+    new = found if known is None else found.join(known.select("name"), "name", "left_anti")
+    n = new.count()
+    if n or known is None:
+        new.repartition(-(-n // NAMES_EACH) or 1, "name").write.mode("append").parquet(listings)
+    rows = spark.readStream.schema(LISTED).option("maxFilesPerTrigger", most).parquet(listings)
+    return with_content(rows, uri)
+
+
 def table_stream(spark: SparkSession, path: str, schema: StructType, files: int = 4) -> DataFrame:
     """A table of Parquet files as a stream of its files, so many in a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
